@@ -262,3 +262,68 @@ oracle("region_summary", with_ctes(zones_train_cte(), ARTICLES, records_ctes(),
 SELECT r.zone, r.risk, CAST(COALESCE(c.n, 0) AS BIGINT) AS incidents
 FROM regions r LEFT JOIN (SELECT zone, count(*) AS n FROM records WHERE accident = 1 GROUP BY zone) c
   ON c.zone = r.zone""")
+
+# ---- scalar rules over events ------------------------------------------------
+
+oracle("hour_features", f"""
+WITH h AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(hour(ts) AS INTEGER) END AS hour FROM events)
+SELECT event_id, hour, {peak("hour")} AS is_peak_hour, {hour_period("hour")} AS time_period FROM h""")
+
+_REGIONS6 = [r for r, _ in dims.REGION_RISK] + ["Elsewhere"]
+
+oracle("congestion_estimate", f"""
+WITH b AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(hour(ts) AS INTEGER) END AS hour,
+                  {pick(_REGIONS6, "(event_id % 6)")} AS zone FROM events)
+SELECT event_id, hour, zone, {congestion("hour", "zone")} AS congestion_pct,
+       CAST(greatest(5, 60 - {congestion("hour", "zone")} // 2) AS INTEGER) AS speed_kmh FROM b""")
+
+oracle("calendar_features", """
+WITH b AS (SELECT event_id, CAST(ts AS DATE) - CAST(event_id % 400 AS INTEGER) AS d FROM events)
+SELECT event_id, strftime(d, '%Y-%m-%d') AS date, CAST(month(d) AS INTEGER) AS month,
+       CAST(isodow(d) >= 6 AS INTEGER) AS is_weekend, dayname(d) AS day_of_week,
+       CAST(month(d) BETWEEN 6 AND 11 AS INTEGER) AS is_monsoon FROM b""")
+
+oracle("flood_flags", f"""
+WITH b AS (SELECT event_id, CAST(event_id % 12 + 1 AS INTEGER) AS month, {pick(_REGIONS6, "(event_id % 6)")} AS zone,
+                  value / 2 AS rainfall_mm FROM events)
+SELECT event_id, month, zone, rainfall_mm,
+       CAST(month BETWEEN 6 AND 11 AND zone IN ('Central Chennai', 'South Chennai') AS INTEGER) AS flood_risk_season,
+       CAST(rainfall_mm > 10 AS INTEGER) AS flood_risk_rain FROM b""")
+
+oracle("parse_dates", """
+SELECT event_id,
+  CASE WHEN event_id % 7 = 6 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS date,
+  CAST(CASE WHEN event_id % 7 IN (0, 1, 2) THEN hour(ts) WHEN event_id % 7 IN (3, 4, 5) THEN 0 END AS INTEGER) AS hour,
+  CASE WHEN event_id % 7 = 6 THEN NULL ELSE dayname(ts) END AS day_of_week
+FROM events""")
+
+oracle("impute_dates", with_ctes(zones_train_cte(), ARTICLES) + f"""
+SELECT article_id,
+  strftime(CAST(DATE '{AS_OF}' - (1 + {draw("source_url", "days", dims.IMPUTE_MAX_DAYS)}) AS DATE), '%Y-%m-%d') AS date,
+  {pick(dims.IMPUTE_HOURS_UNDATED, draw("source_url", "hour", len(dims.IMPUTE_HOURS_UNDATED)))} AS hour_undated,
+  {pick(dims.IMPUTE_HOURS_DATED, draw("source_url", "hour", len(dims.IMPUTE_HOURS_DATED)))} AS hour_dated
+FROM articles""")
+
+oracle("url_dates", with_ctes(zones_train_cte(), ARTICLES) + """
+SELECT article_id, strftime(CAST(TRY_STRPTIME(NULLIF(substr(regexp_extract(source_url, '/(\\d{4})/(\\d{2})/(\\d{2})/', 0), 2, 10), ''), '%Y/%m/%d') AS DATE), '%Y-%m-%d') AS url_date
+FROM articles""")
+
+oracle("publisher_split", with_ctes(zones_train_cte(), ARTICLES) + """
+SELECT article_id,
+  CASE WHEN regexp_matches(title, '(?s) - ') THEN trim(regexp_extract(title, '(?s)^(.*) - (.*)$', 1)) ELSE trim(title) END AS clean_title,
+  CASE WHEN regexp_matches(title, '(?s) - ') THEN trim(regexp_extract(title, '(?s)^(.*) - (.*)$', 2)) ELSE 'Google News' END AS publisher
+FROM articles""")
+
+_TEXTS = with_ctes(zones_train_cte(), ARTICLES, """texts AS (
+  SELECT concat('a', CAST(article_id AS VARCHAR)) AS text_id, title AS text FROM articles
+  UNION ALL SELECT concat('d', CAST(doc_id AS VARCHAR)) AS text_id, text FROM documents)""")
+
+oracle("severity", _TEXTS + f"SELECT text_id, {severity('text')} AS severity FROM texts")
+oracle("vehicle", _TEXTS + f"SELECT text_id, {vehicle('text')} AS vehicle_type FROM texts")
+oracle("casualty_numbers", _TEXTS + f"""
+SELECT text_id, COALESCE({first_number("text", dims.INJURED_PATTERN)}, 0) AS num_injured,
+       COALESCE({first_number("text", dims.KILLED_PATTERN)}, 0) AS num_fatalities,
+       least(COALESCE({first_number("text", dims.VEHICLES_PATTERN)}, 2), 5) AS num_vehicles FROM texts""")
+oracle("place_flags", _TEXTS + f"""
+SELECT text_id, CAST({any_contains("lower(text)", dims.JUNCTION_WORDS)} AS INTEGER) AS is_junction,
+       CAST({any_contains("lower(text)", dims.SCHOOL_WORDS)} AS INTEGER) AS is_school_zone FROM texts""")

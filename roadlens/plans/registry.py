@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..functions import calendar as cal
+from ..functions import text as tx
 from ..operators import aggregates as agg
 from ..operators import records as rec
 from .inputs import Inputs
@@ -62,5 +64,116 @@ def q_region_summary(i: Inputs) -> DataFrame:
     return agg.region_summary(i.records, dims.region_risk(i.spark))
 
 
+# ---- scalar rules over the driver's events -------------------------------------
+
+@register("hour_features")
+def q_hour_features(i: Inputs) -> DataFrame:
+    h = F.when(F.col("event_id") % 11 == 0, F.lit(None).cast("int")).otherwise(F.hour("ts"))
+    return i.events.select("event_id", h.alias("hour")).select(
+        "event_id", "hour", cal.is_peak_hour("hour").alias("is_peak_hour"),
+        cal.hour_to_period("hour").alias("time_period"))
+
+
+def _region_of(eid):
+    regions = [r for r, _ in dims.REGION_RISK] + ["Elsewhere"]
+    return cal.pick(regions, (eid % len(regions)).cast("int"))
+
+
+@register("congestion_estimate")
+def q_congestion_estimate(i: Inputs) -> DataFrame:
+    e = i.events
+    h = F.when(e.event_id % 7 == 0, F.lit(None).cast("int")).otherwise(F.hour("ts"))
+    df = e.select("event_id", h.alias("hour"), _region_of(e.event_id).alias("zone"))
+    c = cal.estimate_congestion("hour", "zone")
+    return df.select("event_id", "hour", "zone", c.alias("congestion_pct"), cal.estimate_speed(c).alias("speed_kmh"))
+
+
+@register("calendar_features")
+def q_calendar_features(i: Inputs) -> DataFrame:
+    d = F.date_sub(F.to_date("ts"), (F.col("event_id") % 400).cast("int"))
+    df = i.events.select("event_id", d.alias("d"))
+    return df.select("event_id", F.date_format("d", "yyyy-MM-dd").alias("date"), F.month("d").alias("month"),
+                     cal.is_weekend("d").alias("is_weekend"), cal.weekday_name("d").alias("day_of_week"),
+                     cal.is_monsoon(F.month("d")).alias("is_monsoon"))
+
+
+@register("flood_flags")
+def q_flood_flags(i: Inputs) -> DataFrame:
+    e = i.events
+    month = (e.event_id % 12 + 1).cast("int")
+    df = e.select("event_id", month.alias("month"), _region_of(e.event_id).alias("zone"),
+                  (e.value / 2).alias("rainfall_mm"))
+    return df.select("event_id", "month", "zone", "rainfall_mm",
+                     cal.flood_risk_season(cal.is_monsoon("month"), F.col("zone")).alias("flood_risk_season"),
+                     cal.flood_risk_rain("rainfall_mm").alias("flood_risk_rain"))
+
+
+PUBLISHED_TEXT_FORMATS = ["EEE, dd MMM yyyy HH:mm:ss '+0530'", "EEE, dd MMM yyyy HH:mm:ss 'GMT'",
+                          "yyyy-MM-dd'T'HH:mm:ss'Z'", "MMMM d, yyyy", "d MMMM yyyy", "yyyy-MM-dd"]
+
+
+@register("parse_dates")
+def q_parse_dates(i: Inputs) -> DataFrame:
+    e = i.events
+    k = (e.event_id % 7).cast("int")
+    ts = F.col("ts")
+    text = F.when(k == 6, F.lit("not a date"))
+    for j, fmt in enumerate(PUBLISHED_TEXT_FORMATS):
+        text = text.when(k == j, F.date_format(ts, fmt))
+    parsed = cal.parse_published(text)
+    return e.select("event_id", parsed["date"].alias("date"), parsed["hour"].alias("hour"),
+                    parsed["day_of_week"].alias("day_of_week"))
+
+
+@register("impute_dates")
+def q_impute_dates(i: Inputs) -> DataFrame:
+    a = i.articles
+    return a.select("article_id", F.date_format(cal.impute_date("source_url", F.lit(i.as_of)), "yyyy-MM-dd").alias("date"),
+                    cal.impute_hour("source_url", dated=False).alias("hour_undated"),
+                    cal.impute_hour("source_url", dated=True).alias("hour_dated"))
+
+
+@register("url_dates")
+def q_url_dates(i: Inputs) -> DataFrame:
+    return i.articles.select("article_id", F.date_format(cal.date_from_url("source_url"), "yyyy-MM-dd").alias("url_date"))
+
+
+@register("publisher_split")
+def q_publisher_split(i: Inputs) -> DataFrame:
+    sp = tx.split_publisher("title")
+    return i.articles.select("article_id", sp["title"].alias("clean_title"), sp["publisher"].alias("publisher"))
+
+
+def _texts(i: Inputs) -> DataFrame:
+    docs = i.table("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("text_id"),
+                                       F.col("text"))
+    arts = i.articles.select(F.concat(F.lit("a"), F.col("article_id").cast("string")).alias("text_id"),
+                             F.col("title").alias("text"))
+    return arts.unionByName(docs)
+
+
+@register("severity")
+def q_severity(i: Inputs) -> DataFrame:
+    return _texts(i).select("text_id", tx.extract_severity("text").alias("severity"))
+
+
+@register("vehicle")
+def q_vehicle(i: Inputs) -> DataFrame:
+    return _texts(i).select("text_id", tx.extract_vehicle("text").alias("vehicle_type"))
+
+
+@register("casualty_numbers")
+def q_casualty_numbers(i: Inputs) -> DataFrame:
+    n = tx.extract_numbers("text")
+    return _texts(i).select("text_id", n["num_injured"].alias("num_injured"),
+                            n["num_fatalities"].alias("num_fatalities"), n["num_vehicles"].alias("num_vehicles"))
+
+
+@register("place_flags")
+def q_place_flags(i: Inputs) -> DataFrame:
+    f = tx.place_flags("text")
+    return _texts(i).select("text_id", f["is_junction"].alias("is_junction"), f["is_school_zone"].alias("is_school_zone"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, _fn=fn: _fn(Inputs(spark, sf_dir))) for name, fn in QUERIES.items()}
