@@ -327,3 +327,198 @@ SELECT text_id, COALESCE({first_number("text", dims.INJURED_PATTERN)}, 0) AS num
 oracle("place_flags", _TEXTS + f"""
 SELECT text_id, CAST({any_contains("lower(text)", dims.JUNCTION_WORDS)} AS INTEGER) AS is_junction,
        CAST({any_contains("lower(text)", dims.SCHOOL_WORDS)} AS INTEGER) AS is_school_zone FROM texts""")
+
+# ---- weather -------------------------------------------------------------------
+
+WEATHER_PARSED = """wp AS (
+  SELECT obs_id, obs_ts, lat, lng, payload, COALESCE(json_valid(payload), false) AS ok FROM weather_obs),
+wf AS (
+  SELECT obs_id, obs_ts, lat, lng,
+    CASE WHEN ok THEN TRY_CAST(json_extract_string(payload, '$.main.temp') AS DOUBLE) END AS temp,
+    CASE WHEN ok THEN TRY_CAST(json_extract_string(payload, '$.main.feels_like') AS DOUBLE) END AS feels_like,
+    CASE WHEN ok THEN TRY_CAST(json_extract_string(payload, '$.main.humidity') AS DOUBLE) END AS humidity,
+    CASE WHEN ok THEN TRY_CAST(json_extract_string(payload, '$.main.pressure') AS DOUBLE) END AS pressure,
+    CASE WHEN ok THEN json_extract_string(payload, '$.weather[0].main') END AS main,
+    CASE WHEN ok THEN json_extract_string(payload, '$.weather[0].description') END AS description,
+    CASE WHEN ok THEN TRY_CAST(json_extract_string(payload, '$.rain."1h"') AS DOUBLE) END AS rain_1h,
+    CASE WHEN ok THEN TRY_CAST(json_extract_string(payload, '$.wind.speed') AS DOUBLE) END AS wind_speed,
+    CASE WHEN ok THEN TRY_CAST(json_extract_string(payload, '$.wind.gust') AS DOUBLE) END AS wind_gust,
+    CASE WHEN ok THEN TRY_CAST(json_extract_string(payload, '$.visibility') AS DOUBLE) END AS visibility
+  FROM wp),
+wv AS (
+  SELECT *, COALESCE(temp IS NOT NULL AND feels_like IS NOT NULL AND humidity IS NOT NULL
+                     AND main IS NOT NULL AND description IS NOT NULL, false) AS is_valid FROM wf)"""
+
+WEATHER_NORM = WEATHER_PARSED + """,
+wn AS (
+  SELECT obs_id, obs_ts, lat, lng,
+    CAST(floor(lat * 100 + 0.5) AS BIGINT) AS cell_lat, CAST(floor(lng * 100 + 0.5) AS BIGINT) AS cell_lng,
+    round(temp, 1) AS temperature_c, round(feels_like, 1) AS feels_like_c, humidity AS humidity_pct,
+    round(COALESCE(wind_speed, 0) * 3.6, 1) AS wind_speed_kmh, round(COALESCE(wind_gust, 0) * 3.6, 1) AS wind_gust_kmh,
+    round(COALESCE(visibility, 10000) / 1000, 1) AS visibility_km, round(COALESCE(rain_1h, 0), 1) AS rainfall_mm,
+    CASE WHEN main = 'Thunderstorm' THEN 'Thunderstorm' WHEN main = 'Drizzle' THEN 'Drizzle'
+         WHEN main = 'Rain' THEN CASE WHEN COALESCE(rain_1h, 0) > 5 THEN 'Heavy Rain' ELSE 'Light Rain' END
+         WHEN main IN ('Mist', 'Fog') THEN 'Fog' ELSE 'Clear' END AS weather_condition,
+    upper(description) AS weather_desc, COALESCE(pressure, 1013) AS pressure_hpa
+  FROM wv WHERE is_valid)"""
+
+
+def advisory_text(r: str, v: str, w: str, c: str) -> str:
+    parts = (f"concat_ws(' | ', CASE WHEN {r} > 20 THEN {q(dims.ADV_HEAVY_RAIN)} WHEN {r} > 5 THEN {q(dims.ADV_MODERATE_RAIN)} END, "
+             f"CASE WHEN {v} < 1 THEN {q(dims.ADV_VERY_LOW_VIS)} WHEN {v} < 3 THEN {q(dims.ADV_REDUCED_VIS)} END, "
+             f"CASE WHEN {w} > 30 THEN {q(dims.ADV_WIND)} END, "
+             f"CASE WHEN {c} = 'Thunderstorm' THEN {q(dims.ADV_THUNDER)} END)")
+    return f"(CASE WHEN {parts} = '' THEN {q(dims.ADV_NORMAL)} ELSE {parts} END)"
+
+
+def advisory_severity(r: str, v: str, w: str, c: str) -> str:
+    return (f"(CASE WHEN {r} > 20 OR {v} < 1 OR {c} = 'Thunderstorm' THEN 'DANGER' "
+            f"WHEN {r} > 5 OR {v} < 3 OR {w} > 30 THEN 'WARN' ELSE 'OK' END)")
+
+
+def driver_alert_list(r: str, v: str, f: str, cg: str, j: str, h: str) -> list[str]:
+    return [f"CASE WHEN {r} > 15 THEN {q(dims.ALERT_HEAVY_RAIN)} END",
+            f"CASE WHEN {v} < 2 THEN {q(dims.ALERT_LOW_VIS)} END",
+            f"CASE WHEN {f} <> 0 THEN {q(dims.ALERT_FLOOD)} END",
+            f"CASE WHEN {cg} > 80 THEN {q(dims.ALERT_CONGESTION)} END",
+            f"CASE WHEN {j} <> 0 THEN {q(dims.ALERT_JUNCTION)} END",
+            f"CASE WHEN {h} BETWEEN 17 AND 20 THEN {q(dims.ALERT_PEAK)} END"]
+
+
+oracle("weather_parsed", with_ctes(WEATHER_OBS, WEATHER_PARSED) + """
+SELECT obs_id, is_valid, temp, humidity, main, rain_1h, wind_speed, visibility FROM wv""")
+
+oracle("weather_normalized", with_ctes(WEATHER_OBS, WEATHER_NORM) + """
+SELECT obs_id, temperature_c, feels_like_c, humidity_pct, wind_speed_kmh, wind_gust_kmh, visibility_km, rainfall_mm,
+       weather_condition, weather_desc, pressure_hpa FROM wn""")
+
+oracle("weather_advisory", with_ctes(WEATHER_OBS, WEATHER_NORM) + f"""
+SELECT obs_id, {advisory_text("rainfall_mm", "visibility_km", "wind_speed_kmh", "weather_condition")} AS alerts,
+       {advisory_severity("rainfall_mm", "visibility_km", "wind_speed_kmh", "weather_condition")} AS severity FROM wn""")
+
+
+def weather_asof_sql(ttl: int) -> str:
+    fb = dims.WEATHER_FALLBACK
+    return with_ctes(PROBES, WEATHER_OBS, WEATHER_NORM, f"""pc AS (
+  SELECT *, CAST(floor(lat * 100 + 0.5) AS BIGINT) AS cell_lat, CAST(floor(lng * 100 + 0.5) AS BIGINT) AS cell_lng FROM probes),
+best AS (
+  SELECT p.probe_id, o.* EXCLUDE (lat, lng, cell_lat, cell_lng)
+  FROM pc p JOIN wn o ON o.cell_lat = p.cell_lat AND o.cell_lng = p.cell_lng AND o.obs_ts <= p.ts
+       AND epoch_us(p.ts) - epoch_us(o.obs_ts) < {ttl * 1_000_000}
+  QUALIFY row_number() OVER (PARTITION BY p.probe_id ORDER BY o.obs_ts DESC, o.obs_id DESC) = 1),
+wa AS (
+  SELECT p.*, b.obs_id,
+    COALESCE(b.temperature_c, {fb['temperature_c']}) AS temperature_c, COALESCE(b.humidity_pct, {fb['humidity_pct']}) AS humidity_pct,
+    COALESCE(b.wind_speed_kmh, {fb['wind_speed_kmh']}) AS wind_speed_kmh, COALESCE(b.visibility_km, {fb['visibility_km']}) AS visibility_km,
+    COALESCE(b.rainfall_mm, {fb['rainfall_mm']}) AS rainfall_mm, COALESCE(b.weather_condition, {q(fb['weather_condition'])}) AS weather_condition
+  FROM probes p LEFT JOIN best b USING (probe_id))""")
+
+
+oracle("weather_asof", weather_asof_sql(dims.WEATHER_TTL_S) + """
+SELECT probe_id, obs_id, temperature_c, humidity_pct, wind_speed_kmh, visibility_km, rainfall_mm, weather_condition FROM wa""")
+oracle("weather_asof_day", weather_asof_sql(86400) + """
+SELECT probe_id, obs_id, temperature_c, humidity_pct, wind_speed_kmh, visibility_km, rainfall_mm, weather_condition FROM wa""")
+
+# ---- routes ---------------------------------------------------------------------
+
+ROUTE_TABLE = """rtab AS (
+  SELECT *, concat(destination, ' — ', CASE route_type WHEN 'fastest' THEN 'Fastest Route' WHEN 'shortest' THEN 'Shortest Route'
+                                        WHEN 'eco' THEN 'Eco Route' ELSE 'Route' END) AS summary,
+    round_even(CAST(length_m AS DOUBLE) / 100, 0) / 10 AS distance_km,
+    CAST(round_even(CAST(COALESCE(no_traffic_s, travel_s) AS DOUBLE) / 60, 0) AS INTEGER) AS duration_min,
+    CAST(round_even(CAST(travel_s AS DOUBLE) / 60, 0) AS INTEGER) AS duration_traffic_min,
+    CAST(round_even(CAST(COALESCE(delay_s, 0) AS DOUBLE) / 60, 0) AS INTEGER) AS delay_min
+  FROM route_options),
+rm AS (
+  SELECT *, CASE WHEN duration_min > 0 THEN least(100, CAST(trunc(delay_min / greatest(duration_min, 1) * 200) AS INTEGER))
+                 ELSE 0 END AS congestion_pct FROM rtab),
+rmt AS (
+  SELECT *, CASE WHEN congestion_pct > 60 THEN 'HEAVY' WHEN congestion_pct > 30 THEN 'MODERATE' ELSE 'CLEAR' END AS traffic_status
+  FROM rm)"""
+
+oracle("route_metrics", with_ctes(ROUTE_OPTIONS, ROUTE_TABLE) + """
+SELECT trip_id, config_ord, summary, distance_km, duration_min, duration_traffic_min, delay_min, congestion_pct, traffic_status
+FROM rmt""")
+oracle("rank_routes", with_ctes(ROUTE_OPTIONS, ROUTE_TABLE) + """
+SELECT trip_id, config_ord, CAST(row_number() OVER (PARTITION BY trip_id ORDER BY duration_traffic_min, config_ord) AS INTEGER) AS rank,
+       row_number() OVER (PARTITION BY trip_id ORDER BY duration_traffic_min, config_ord) = 1 AS is_recommended FROM rmt""")
+oracle("recommended_route", with_ctes(ROUTE_OPTIONS, ROUTE_TABLE) + """
+SELECT trip_id, arg_min(route_type, duration_traffic_min * 10 + config_ord) AS route_type,
+       arg_min(summary, duration_traffic_min * 10 + config_ord) AS summary,
+       min(duration_traffic_min) AS duration_traffic_min,
+       arg_min(distance_km, duration_traffic_min * 10 + config_ord) AS distance_km,
+       arg_min(congestion_pct, duration_traffic_min * 10 + config_ord) AS congestion_pct,
+       count(*) AS n_options
+FROM rmt GROUP BY trip_id""")
+oracle("routes_parsed", with_ctes(ROUTE_OPTIONS) + """
+SELECT trip_id, config_ord, length_m, travel_s, delay_s, no_traffic_s, 2 AS n_points,
+       CAST(trip_id % 100 AS DOUBLE) / 1000 + CAST(80.0 AS DOUBLE) AS first_lng
+FROM route_options WHERE trip_id % 25 <> 0""")
+oracle("parse_origin", with_ctes(PROBES) + """
+SELECT probe_id, CASE WHEN probe_id % 3 = 0 THEN NULL ELSE lat END AS origin_lat,
+       CASE WHEN probe_id % 3 = 0 THEN NULL ELSE lng END AS origin_lng FROM probes""")
+oracle("route_keys", with_ctes(ROUTE_REQUESTS) + """
+SELECT request_id, CASE WHEN destination IS NOT NULL THEN md5(concat_ws(chr(1), origin, destination)) END AS route_key
+FROM route_requests""")
+
+
+def routes_asof_sql(ttl: int) -> str:
+    return with_ctes(ROUTE_OPTIONS, ROUTE_REQUESTS) + f"""
+, sets AS (SELECT DISTINCT trip_id, origin, destination, obs_ts FROM route_options),
+best AS (
+  SELECT r.request_id, s.trip_id FROM route_requests r JOIN sets s
+    ON r.destination IS NOT NULL AND s.origin = r.origin AND s.destination = r.destination AND s.obs_ts <= r.ts
+       AND epoch_us(r.ts) - epoch_us(s.obs_ts) < {ttl * 1_000_000}
+  QUALIFY row_number() OVER (PARTITION BY r.request_id ORDER BY s.obs_ts DESC, s.trip_id DESC) = 1)
+SELECT r.request_id, b.trip_id AS matched_trip_id FROM route_requests r LEFT JOIN best b USING (request_id)"""
+
+
+oracle("routes_asof", routes_asof_sql(dims.ROUTE_TTL_S))
+oracle("routes_asof_day", routes_asof_sql(86400))
+
+# ---- geo --------------------------------------------------------------------------
+
+NEAREST = """nz AS (
+  SELECT p.*, z.zone_ord, z.zone_name, z.base_risk
+  FROM probes p CROSS JOIN zones_serving z
+  QUALIFY row_number() OVER (PARTITION BY p.probe_id
+          ORDER BY sqrt((p.lat - z.lat) * (p.lat - z.lat) + (p.lng - z.lng) * (p.lng - z.lng)), z.zone_ord) = 1)"""
+
+oracle("nearest_zone", with_ctes(PROBES, zones_serving_cte(), NEAREST) + "SELECT probe_id, zone_name, base_risk FROM nz")
+
+HISTORY_BASE = """hb AS (
+  SELECT * FROM records WHERE accident = 1
+  QUALIFY row_number() OVER (PARTITION BY headline ORDER BY article_id) = 1),
+hbase AS (SELECT * FROM hb WHERE length(headline) > 10)"""
+
+oracle("history_base", records_prefix() + ", " + HISTORY_BASE + """
+SELECT article_id, headline, date, location_name FROM hbase""")
+
+oracle("history_near", with_ctes(zones_train_cte(), ARTICLES, records_ctes(), HISTORY_BASE, PROBES) + """
+, pairs AS (
+  SELECT p.probe_id, h.*,
+    abs(h.latitude - p.lat) < CAST(0.05 AS DOUBLE) AND abs(h.longitude - p.lng) < CAST(0.05 AS DOUBLE) AS in_r
+  FROM probes p JOIN hbase h
+    ON abs(h.latitude - p.lat) < CAST(0.05 AS DOUBLE) * 3 AND abs(h.longitude - p.lng) < CAST(0.05 AS DOUBLE) * 3),
+cnt AS (SELECT probe_id, sum(CASE WHEN in_r THEN 1 ELSE 0 END) AS hits_r FROM pairs GROUP BY probe_id),
+kept AS (SELECT pairs.* FROM pairs JOIN cnt USING (probe_id) WHERE in_r OR hits_r < 3),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY probe_id ORDER BY date DESC, article_id) AS INTEGER) AS rank,
+         count(*) OVER (PARTITION BY probe_id) AS matched FROM kept)
+SELECT probe_id, rank, date, location_name AS location, zone, substr(headline, 1, 100) AS headline, severity,
+       publisher, source_url, vehicle_type AS vehicle, least(matched, 10) AS total, matched
+FROM ranked WHERE rank <= 10""")
+
+oracle("geocode", records_prefix() + ", " + zones_serving_cte() + """
+SELECT r.article_id, r.location_name, z.lat AS geo_lat, z.lng AS geo_lng
+FROM records r LEFT JOIN zones_serving z ON lower(trim(r.location_name)) = lower(z.zone_name)""")
+
+TOP = "top AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {q(n)}, {dims.sql_double(la)}, {dims.sql_double(ln)}, {r})" for i, (n, la, ln, r) in enumerate(dims.TOP_ZONES)
+) + ") AS t(top_ord, name, lat, lng, risk))"
+
+oracle("top_zone_incidents", records_prefix() + ", " + TOP + """
+SELECT t.top_ord, t.name, t.lat, t.lng, t.risk, CAST(count(r.article_id) AS BIGINT) AS real_incidents
+FROM top t LEFT JOIN records r
+  ON r.accident = 1 AND contains(lower(r.location_name), lower(split_part(t.name, ' ', 1)))
+GROUP BY t.top_ord, t.name, t.lat, t.lng, t.risk""")

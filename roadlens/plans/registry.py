@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import calendar as cal
+from ..functions import risk as rk
+from ..functions import routes as rt
 from ..functions import text as tx
+from ..functions import weather as wx
+from ..operators import geo
+from ..operators import ranking as rank
+from . import alerts as al
 from ..operators import aggregates as agg
 from ..operators import records as rec
 from .inputs import Inputs
@@ -175,5 +181,235 @@ def q_place_flags(i: Inputs) -> DataFrame:
     return _texts(i).select("text_id", f["is_junction"].alias("is_junction"), f["is_school_zone"].alias("is_school_zone"))
 
 
+# ---- weather -------------------------------------------------------------------
+
+@register("weather_parsed")
+def q_weather_parsed(i: Inputs) -> DataFrame:
+    p = wx.parse_weather(i.weather_obs)
+    w = F.col("w")
+    return p.select("obs_id", "is_valid", w["main"]["temp"].alias("temp"), w["main"]["humidity"].alias("humidity"),
+                    F.get(w["weather"], 0)["main"].alias("main"), w["rain"]["1h"].alias("rain_1h"),
+                    w["wind"]["speed"].alias("wind_speed"), w["visibility"].alias("visibility"))
+
+
+_WEATHER_OUT = ["obs_id", "temperature_c", "feels_like_c", "humidity_pct", "wind_speed_kmh", "wind_gust_kmh",
+                "visibility_km", "rainfall_mm", "weather_condition", "weather_desc", "pressure_hpa"]
+
+
+@register("weather_normalized")
+def q_weather_normalized(i: Inputs) -> DataFrame:
+    return wx.normalize_weather(wx.parse_weather(i.weather_obs)).select(*_WEATHER_OUT)
+
+
+@register("weather_advisory")
+def q_weather_advisory(i: Inputs) -> DataFrame:
+    n = wx.normalize_weather(wx.parse_weather(i.weather_obs))
+    adv = wx.weather_advisory("rainfall_mm", "visibility_km", "wind_speed_kmh", "weather_condition")
+    return n.select("obs_id", F.array_join(adv["alerts"], " | ").alias("alerts"), adv["severity"].alias("severity"))
+
+
+def _weather_asof(i: Inputs, ttl: int) -> DataFrame:
+    out = al.weather_asof(i.probes, i.weather_obs, ttl)
+    return out.select("probe_id", "obs_id", *dims.WEATHER_FALLBACK.keys())
+
+
+@register("weather_asof")
+def q_weather_asof(i: Inputs) -> DataFrame:
+    return _weather_asof(i, dims.WEATHER_TTL_S)
+
+
+@register("weather_asof_day")
+def q_weather_asof_day(i: Inputs) -> DataFrame:
+    return _weather_asof(i, 86400)
+
+
+# ---- routes ----------------------------------------------------------------------
+
+_ROUTE_OUT = ["trip_id", "config_ord", "summary", "distance_km", "duration_min", "duration_traffic_min", "delay_min",
+              "congestion_pct", "traffic_status"]
+
+
+@register("route_metrics")
+def q_route_metrics(i: Inputs) -> DataFrame:
+    return rank.routes_table(i.route_options).select(*_ROUTE_OUT)
+
+
+@register("rank_routes")
+def q_rank_routes(i: Inputs) -> DataFrame:
+    return rank.rank_routes(rank.routes_table(i.route_options)).select("trip_id", "config_ord", "rank", "is_recommended")
+
+
+@register("recommended_route")
+def q_recommended_route(i: Inputs) -> DataFrame:
+    return rank.recommended_route(rank.routes_table(i.route_options))
+
+
+def _route_payloads(i: Inputs) -> DataFrame:
+    """Stored routing payloads built from the route options (one route each,
+    a two-point leg; every 25th trip stored with an empty route list)."""
+    o = i.route_options
+    pts = F.array(F.struct(F.lit(13.0).alias("latitude"), (F.col("trip_id") % 100 / 1000.0 + 80.0).alias("longitude")),
+                  F.struct((F.col("config_ord") / 100.0 + 13.0).alias("latitude"), F.lit(80.2).alias("longitude")))
+    route = F.struct(F.struct(F.col("length_m").alias("lengthInMeters"), F.col("travel_s").alias("travelTimeInSeconds"),
+                              F.col("delay_s").alias("trafficDelayInSeconds"),
+                              F.col("no_traffic_s").alias("noTrafficTravelTimeInSeconds")).alias("summary"),
+                     F.array(F.struct(pts.alias("points"))).alias("legs"))
+    routes = F.filter(F.array(route), lambda _r: F.col("trip_id") % 25 != 0)
+    return o.select("trip_id", "config_ord", F.to_json(F.struct(routes.alias("routes"))).alias("payload"))
+
+
+@register("routes_parsed")
+def q_routes_parsed(i: Inputs) -> DataFrame:
+    p = rt.parse_routes(_route_payloads(i))
+    return p.select("trip_id", "config_ord", "length_m", "travel_s", "delay_s", "no_traffic_s",
+                    F.size("coordinates").alias("n_points"),
+                    F.get(F.get("coordinates", 0), 0).alias("first_lng"))
+
+
+@register("route_coordinates")
+def q_route_coordinates(i: Inputs) -> DataFrame:
+    p = rt.parse_routes(_route_payloads(i))
+    return p.select("trip_id", "config_ord", "coordinates")
+
+
+@register("parse_origin")
+def q_parse_origin(i: Inputs) -> DataFrame:
+    p = i.probes
+    text = F.when(p.probe_id % 3 == 0, F.lit("T Nagar")).otherwise(
+        F.concat(p.lat.cast("string"), F.lit(","), p.lng.cast("string")))
+    o = rt.parse_origin(text)
+    return p.select("probe_id", o["lat"].alias("origin_lat"), o["lng"].alias("origin_lng"))
+
+
+@register("route_keys")
+def q_route_keys(i: Inputs) -> DataFrame:
+    r = i.route_requests
+    return r.select("request_id", F.when(F.col("destination").isNotNull(),
+                                         rt.route_key("origin", "destination")).alias("route_key"))
+
+
+def _routes_asof(i: Inputs, ttl: int) -> DataFrame:
+    return al.routes_asof(i.route_requests, i.route_options, ttl).select("request_id", "matched_trip_id")
+
+
+@register("routes_asof")
+def q_routes_asof(i: Inputs) -> DataFrame:
+    return _routes_asof(i, dims.ROUTE_TTL_S)
+
+
+@register("routes_asof_day")
+def q_routes_asof_day(i: Inputs) -> DataFrame:
+    return _routes_asof(i, 86400)
+
+
+# ---- geo -----------------------------------------------------------------------
+
+@register("nearest_zone")
+def q_nearest_zone(i: Inputs) -> DataFrame:
+    return geo.nearest_zone(i.probes).select("probe_id", "zone_name", "base_risk")
+
+
+@register("history_base")
+def q_history_base(i: Inputs) -> DataFrame:
+    return geo.history_base(i.records).select("article_id", "headline", "date", "location_name")
+
+
+@register("history_near")
+def q_history_near(i: Inputs) -> DataFrame:
+    return geo.accidents_near(i.probes, geo.history_base(i.records), radius=0.05, limit=10)
+
+
+@register("geocode")
+def q_geocode(i: Inputs) -> DataFrame:
+    return geo.geocode(i.records, "location_name").select("article_id", "location_name", "geo_lat", "geo_lng")
+
+
+@register("top_zone_incidents")
+def q_top_zone_incidents(i: Inputs) -> DataFrame:
+    return geo.zone_name_incidents(dims.top_zones(i.spark), i.records)
+
+
+# ---- alerts and scoring rules ---------------------------------------------------
+
+@register("full_alerts_rules")
+def q_full_alerts_rules(i: Inputs) -> DataFrame:
+    r = al.full_alerts_rules(i.probes, i.weather_obs, 86400)
+    return r.select("probe_id", "zone_name", "obs_id", "rainfall_mm", "visibility_km", "weather_condition",
+                    F.array_join("alerts", " | ").alias("alerts"), F.col("advisory_severity").alias("severity"))
+
+
+def _requests(i: Inputs) -> DataFrame:
+    """Scoring requests derived from probes, with some fields left unset."""
+    p = i.probes
+    pid = p.probe_id
+    return p.select(
+        "probe_id", "ts", p.lat.alias("latitude"), p.lng.alias("longitude"),
+        F.when(pid % 5 == 0, F.lit(None).cast("int")).otherwise((pid % 24).cast("int")).alias("hour"),
+        F.when(pid % 3 == 0, F.lit(None).cast("string"))
+         .otherwise(cal.pick(["Clear", "Fog", "Thunderstorm", "Heavy Rain", "Haze"], (pid % 5).cast("int")))
+         .alias("weather_condition"),
+        F.when(pid % 4 == 0, F.lit("Afternoon")).when(pid % 4 == 1, F.lit(None).cast("string"))
+         .otherwise(F.lit("Night")).alias("time_period"),
+        F.when(pid % 6 == 0, F.lit(None).cast("string"))
+         .otherwise(cal.pick(["Urban", "Expressway", "Highway", "Commercial", "Flyover"], (pid % 5).cast("int")))
+         .alias("road_type"),
+        (pid % 30).cast("double").alias("rainfall_mm"),
+        ((pid % 7) / 2.0).alias("visibility_km"),
+        (pid % 101).cast("double").alias("congestion_pct"),
+        (pid % 2).cast("int").alias("is_junction"),
+        F.when(pid % 9 == 0, F.lit(None).cast("int")).otherwise((pid % 3 == 0).cast("int")).alias("flood_risk"))
+
+
+_REQ_OUT = ["probe_id", "hour", "is_weekend", "temperature_c", "humidity_pct", "wind_speed_kmh", "visibility_km",
+            "rainfall_mm", "congestion_pct", "speed_kmh", "is_junction", "is_school_zone", "flood_risk",
+            "weather_condition", "road_type", "time_period"]
+
+
+@register("complete_requests")
+def q_complete_requests(i: Inputs) -> DataFrame:
+    return rk.complete_requests(_requests(i), F.col("ts")).select(*_REQ_OUT)
+
+
+@register("encode_serving")
+def q_encode_serving(i: Inputs) -> DataFrame:
+    return rk.encode_serving(rk.complete_requests(_requests(i), F.col("ts"))).select(
+        "probe_id", "weather_enc", "road_enc", "time_enc")
+
+
+@register("driver_alerts")
+def q_driver_alerts(i: Inputs) -> DataFrame:
+    r = rk.complete_requests(_requests(i), F.col("ts"))
+    a = rk.driver_alerts("rainfall_mm", "visibility_km", "flood_risk", "congestion_pct", "is_junction", "hour")
+    return r.select("probe_id", F.array_join(a, " | ").alias("alerts"))
+
+
+def _probabilities(i: Inputs) -> DataFrame:
+    return i.probes.select("probe_id", ((F.col("probe_id") * 7919 % 10007) / 10007.0).alias("probability"))
+
+
+@register("risk_levels")
+def q_risk_levels(i: Inputs) -> DataFrame:
+    return rk.risk_outputs(_probabilities(i)).select("probe_id", "accident_probability", "accident_predicted",
+                                                     "risk_score", "risk_level")
+
+
+@register("alert_severity")
+def q_alert_severity(i: Inputs) -> DataFrame:
+    n = wx.normalize_weather(wx.parse_weather(i.weather_obs))
+    adv = wx.weather_advisory("rainfall_mm", "visibility_km", "wind_speed_kmh", "weather_condition")
+    lvl = rk.risk_level((F.col("obs_id") * 7919 % 10007) / 10007.0)
+    return n.select("obs_id", adv["severity"].alias("advisory_severity"), lvl.alias("risk_level")) \
+            .withColumn("severity", rk.combined_severity("advisory_severity", "risk_level"))
+
+
+@register("merge_alerts")
+def q_merge_alerts(i: Inputs) -> DataFrame:
+    n = wx.normalize_weather(wx.parse_weather(i.weather_obs))
+    adv = wx.weather_advisory("rainfall_mm", "visibility_km", "wind_speed_kmh", "weather_condition")
+    drv = rk.driver_alerts("rainfall_mm", "visibility_km", (F.col("rainfall_mm") > 10).cast("int"),
+                           (F.col("obs_id") % 100).cast("double"), (F.col("obs_id") % 2).cast("int"), F.hour("obs_ts"))
+    return n.select("obs_id", F.array_join(rk.merge_alerts(adv["alerts"], drv), " | ").alias("alerts"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, _fn=fn: _fn(Inputs(spark, sf_dir))) for name, fn in QUERIES.items()}
