@@ -522,3 +522,95 @@ SELECT t.top_ord, t.name, t.lat, t.lng, t.risk, CAST(count(r.article_id) AS BIGI
 FROM top t LEFT JOIN records r
   ON r.accident = 1 AND contains(lower(r.location_name), lower(split_part(t.name, ' ', 1)))
 GROUP BY t.top_ord, t.name, t.lat, t.lng, t.risk""")
+
+# ---- alert and request rules ------------------------------------------------------
+
+def list_of(exprs: list[str]) -> str:
+    return "list_filter([" + ", ".join(exprs) + "], lambda x: x IS NOT NULL)"
+
+
+def advisory_list(r: str, v: str, w: str, c: str) -> str:
+    base = list_of([f"CASE WHEN {r} > 20 THEN {q(dims.ADV_HEAVY_RAIN)} WHEN {r} > 5 THEN {q(dims.ADV_MODERATE_RAIN)} END",
+                    f"CASE WHEN {v} < 1 THEN {q(dims.ADV_VERY_LOW_VIS)} WHEN {v} < 3 THEN {q(dims.ADV_REDUCED_VIS)} END",
+                    f"CASE WHEN {w} > 30 THEN {q(dims.ADV_WIND)} END",
+                    f"CASE WHEN {c} = 'Thunderstorm' THEN {q(dims.ADV_THUNDER)} END"])
+    return f"(CASE WHEN len({base}) = 0 THEN [{q(dims.ADV_NORMAL)}] ELSE {base} END)"
+
+
+def prefix_dedupe(lst: str, n: int = 30) -> str:
+    return (f"list_filter({lst}, lambda x, i: NOT list_contains("
+            f"list_transform(({lst})[1:i-1], lambda y: left(y, {n})), left(x, {n})))")
+
+
+REQUESTS = """req0 AS (
+  SELECT probe_id, ts, lat AS latitude, lng AS longitude,
+    CASE WHEN probe_id % 5 = 0 THEN NULL ELSE CAST(probe_id % 24 AS INTEGER) END AS hour,
+    CASE WHEN probe_id % 3 = 0 THEN NULL ELSE ['Clear', 'Fog', 'Thunderstorm', 'Heavy Rain', 'Haze'][probe_id % 5 + 1] END AS weather_condition,
+    CASE WHEN probe_id % 4 = 0 THEN 'Afternoon' WHEN probe_id % 4 = 1 THEN NULL ELSE 'Night' END AS time_period,
+    CASE WHEN probe_id % 6 = 0 THEN NULL ELSE ['Urban', 'Expressway', 'Highway', 'Commercial', 'Flyover'][probe_id % 5 + 1] END AS road_type,
+    CAST(probe_id % 30 AS DOUBLE) AS rainfall_mm, (probe_id % 7) / 2.0 AS visibility_km,
+    CAST(probe_id % 101 AS DOUBLE) AS congestion_pct, CAST(probe_id % 2 AS INTEGER) AS is_junction,
+    CASE WHEN probe_id % 9 = 0 THEN NULL ELSE CAST(probe_id % 3 = 0 AS INTEGER) END AS flood_risk
+  FROM probes),
+req1 AS (
+  SELECT probe_id, COALESCE(hour, CAST(hour(ts) AS INTEGER)) AS hour, CAST(isodow(ts) >= 6 AS INTEGER) AS is_weekend,
+    CAST(30.0 AS DOUBLE) AS temperature_c, CAST(70.0 AS DOUBLE) AS humidity_pct, CAST(15.0 AS DOUBLE) AS wind_speed_kmh,
+    CAST(visibility_km AS DOUBLE) AS visibility_km, rainfall_mm, congestion_pct, CAST(30.0 AS DOUBLE) AS speed_kmh,
+    is_junction, 0 AS is_school_zone, COALESCE(flood_risk, 0) AS flood_risk,
+    COALESCE(weather_condition, 'Clear') AS weather_condition, COALESCE(road_type, 'Urban') AS road_type,
+    COALESCE(time_period, 'Afternoon') AS tp0 FROM req0),
+requests AS (
+  SELECT * EXCLUDE (tp0), CASE WHEN tp0 = 'Afternoon' THEN """ + hour_period("hour") + """ ELSE tp0 END AS time_period FROM req1)"""
+
+
+def serving_codes(col: str, mapping: dict, default: int) -> str:
+    return "(CASE " + " ".join(f"WHEN {col} = {q(k)} THEN {v}" for k, v in mapping.items()) + f" ELSE {default} END)"
+
+
+oracle("complete_requests", with_ctes(PROBES, REQUESTS) + """
+SELECT probe_id, hour, is_weekend, temperature_c, humidity_pct, wind_speed_kmh, visibility_km, rainfall_mm, congestion_pct,
+       speed_kmh, is_junction, is_school_zone, flood_risk, weather_condition, road_type, time_period FROM requests""")
+oracle("encode_serving", with_ctes(PROBES, REQUESTS) + f"""
+SELECT probe_id, {serving_codes("weather_condition", dims.SERVE_WEATHER_CODES, 0)} AS weather_enc,
+       {serving_codes("road_type", dims.SERVE_ROAD_CODES, 2)} AS road_enc,
+       {serving_codes("time_period", dims.SERVE_TIME_CODES, 0)} AS time_enc FROM requests""")
+oracle("driver_alerts", with_ctes(PROBES, REQUESTS) + f"""
+SELECT probe_id, concat_ws(' | ', {", ".join(driver_alert_list("rainfall_mm", "visibility_km", "flood_risk", "congestion_pct", "is_junction", "hour"))}) AS alerts
+FROM requests""")
+
+PROB = "CAST(probe_id * 7919 % 10007 AS DOUBLE) / 10007"
+
+oracle("risk_levels", with_ctes(PROBES) + f"""
+SELECT probe_id, round({PROB}, 4) AS accident_probability, CAST({PROB} >= 0.45 AS INTEGER) AS accident_predicted,
+       round({PROB} * 100, 1) AS risk_score,
+       CASE WHEN {PROB} > 0.75 THEN 'CRITICAL' WHEN {PROB} > 0.55 THEN 'HIGH' WHEN {PROB} > 0.35 THEN 'MODERATE' ELSE 'LOW' END AS risk_level
+FROM probes""")
+
+_OBS_PROB = "CAST(obs_id * 7919 % 10007 AS DOUBLE) / 10007"
+oracle("alert_severity", with_ctes(WEATHER_OBS, WEATHER_NORM) + f"""
+, s AS (SELECT obs_id, {advisory_severity("rainfall_mm", "visibility_km", "wind_speed_kmh", "weather_condition")} AS advisory_severity,
+       CASE WHEN {_OBS_PROB} > 0.75 THEN 'CRITICAL' WHEN {_OBS_PROB} > 0.55 THEN 'HIGH' WHEN {_OBS_PROB} > 0.35 THEN 'MODERATE' ELSE 'LOW' END AS risk_level
+  FROM wn)
+SELECT *, CASE WHEN risk_level IN ('CRITICAL', 'HIGH') AND advisory_severity <> 'DANGER' THEN 'WARN' ELSE advisory_severity END AS severity FROM s""")
+
+_MERGED = ("list_concat(" + advisory_list("rainfall_mm", "visibility_km", "wind_speed_kmh", "weather_condition") + ", "
+           + list_of(driver_alert_list("rainfall_mm", "visibility_km", "CAST(rainfall_mm > 10 AS INTEGER)",
+                                       "CAST(obs_id % 100 AS DOUBLE)", "obs_id % 2", "hour(obs_ts)")) + ")")
+oracle("merge_alerts", with_ctes(WEATHER_OBS, WEATHER_NORM) + f"""
+SELECT obs_id, array_to_string({prefix_dedupe(_MERGED)}, ' | ') AS alerts FROM wn""")
+
+_FULL_MERGED = ("list_concat(" + advisory_list("rainfall_mm", "visibility_km", "wind_speed_kmh", "weather_condition") + ", "
+                + list_of(driver_alert_list("rainfall_mm", "visibility_km", "CAST(rainfall_mm > 10 AS INTEGER)",
+                                            "CAST(base_risk AS DOUBLE)", "0", "hour(ts)")) + ")")
+oracle("full_alerts_rules", weather_asof_sql(86400) + ", " + zones_serving_cte() + """,
+probes_nz AS (SELECT * FROM probes),
+nz AS (
+  SELECT p.probe_id, z.zone_name, z.base_risk
+  FROM probes p CROSS JOIN zones_serving z
+  QUALIFY row_number() OVER (PARTITION BY p.probe_id
+          ORDER BY sqrt((p.lat - z.lat) * (p.lat - z.lat) + (p.lng - z.lng) * (p.lng - z.lng)), z.zone_ord) = 1),
+fa AS (SELECT wa.*, nz.zone_name, nz.base_risk FROM wa JOIN nz USING (probe_id))
+""" + f"""SELECT probe_id, zone_name, obs_id, rainfall_mm, visibility_km, weather_condition,
+       array_to_string({prefix_dedupe(_FULL_MERGED)}, ' | ') AS alerts,
+       {advisory_severity("rainfall_mm", "visibility_km", "wind_speed_kmh", "weather_condition")} AS severity
+FROM fa""")
