@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..operators import records as rec
+from ..operators import training as tr
 from ..sources import fixtures as fx
 
 # Run date for imputation and age labels; a fixed parameter so runs repeat.
@@ -64,3 +65,13 @@ class Inputs:
     def records(self) -> DataFrame:
         """Positive accident records built from the articles (article_id + 34 columns)."""
         return self._get("records", lambda: rec.build_records(self.articles, self.zones_train, F.lit(self.as_of)))
+
+    @property
+    def negatives(self) -> DataFrame:
+        """L1 negatives, one per positive."""
+        return self._get("negatives", lambda: tr.negatives_from_zones(self.records, self.zones_train, F.lit(self.as_of)))
+
+    @property
+    def dataset(self) -> DataFrame:
+        """The builder's training set (record_id + 34 columns)."""
+        return self._get("dataset", lambda: tr.training_set(self.records, self.negatives))

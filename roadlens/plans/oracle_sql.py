@@ -614,3 +614,175 @@ fa AS (SELECT wa.*, nz.zone_name, nz.base_risk FROM wa JOIN nz USING (probe_id))
        array_to_string({prefix_dedupe(_FULL_MERGED)}, ' | ') AS alerts,
        {advisory_severity("rainfall_mm", "visibility_km", "wind_speed_kmh", "weather_condition")} AS severity
 FROM fa""")
+
+# ---- dataset (records + generated negatives) -------------------------------------
+
+ACC_COLS = ("source_url, publisher, headline, keyword, date, hour, day_of_week, is_weekend, is_peak_hour, month, "
+            "is_monsoon, time_period, location_name, zone, latitude, longitude, road_type, severity, vehicle_type, "
+            "num_vehicles, num_injured, num_fatalities, is_junction, is_school_zone, flood_risk, congestion_pct, "
+            "speed_kmh, weather_condition, temperature_c, humidity_pct, wind_speed_kmh, visibility_km, rainfall_mm, accident")
+
+
+def dbl_div(expr: str, d: int) -> str:
+    return f"CAST({expr} AS DOUBLE) / {d}"
+
+
+def negatives_cte(as_of: str = AS_OF) -> str:
+    k = "key"
+    return f"""neg0 AS (SELECT concat_ws('-', CAST(article_id AS VARCHAR), '1') AS key FROM records),
+neg1 AS (
+  SELECT key, {draw(k, "zone", len(dims.ZONES_TRAIN))} AS zone_ord,
+    CAST({pick(dims.NEG_ZONE_HOURS, draw(k, "hour", len(dims.NEG_ZONE_HOURS)))} AS INTEGER) AS hour,
+    CAST(DATE '{as_of}' - (1 + {draw(k, "days", dims.NEG_ZONE_MAX_DAYS)}) AS DATE) AS d FROM neg0),
+neg2 AS (
+  SELECT n.*, z.location_name, z.zone, z.lat AS latitude, z.lng AS longitude, z.road_type,
+    CAST(greatest(5, {congestion("n.hour", "z.zone")} - (10 + {draw(k, "cong", 21)})) AS INTEGER) AS congestion_pct
+  FROM neg1 n JOIN zones_train z USING (zone_ord)),
+negatives AS (
+  SELECT concat('neg-', key) AS record_id, 'generated-negative' AS source_url, 'generated' AS publisher, '' AS headline,
+    '' AS keyword, strftime(d, '%Y-%m-%d') AS date, hour, dayname(d) AS day_of_week,
+    CAST(isodow(d) >= 6 AS INTEGER) AS is_weekend, 0 AS is_peak_hour, CAST(month(d) AS INTEGER) AS month,
+    CAST(month(d) BETWEEN 6 AND 11 AS INTEGER) AS is_monsoon, {hour_period("hour")} AS time_period,
+    location_name, zone, latitude, longitude, road_type, 'None' AS severity, 'None' AS vehicle_type,
+    0 AS num_vehicles, 0 AS num_injured, 0 AS num_fatalities,
+    {draw(k, "junction", 2)} AS is_junction, {draw(k, "school", 2)} AS is_school_zone, 0 AS flood_risk, congestion_pct,
+    CAST(least(80, 60 - congestion_pct // 3 + {draw(k, "speed", 21)}) AS INTEGER) AS speed_kmh,
+    {pick(dims.NEG_ZONE_WEATHER, draw(k, "weather", len(dims.NEG_ZONE_WEATHER)))} AS weather_condition,
+    {dbl_div("280 + " + draw(k, "temp", 81), 10)} AS temperature_c,
+    {dbl_div("550 + " + draw(k, "hum", 251), 10)} AS humidity_pct,
+    {dbl_div("50 + " + draw(k, "wind", 151), 10)} AS wind_speed_kmh,
+    {dbl_div("60 + " + draw(k, "vis", 91), 10)} AS visibility_km,
+    CAST(0.0 AS DOUBLE) AS rainfall_mm, 0 AS accident
+  FROM neg2),
+dataset AS (
+  SELECT concat('pos-', CAST(article_id AS VARCHAR)) AS record_id, {ACC_COLS} FROM records
+  UNION ALL SELECT record_id, {ACC_COLS} FROM negatives)"""
+
+
+def dataset_prefix() -> str:
+    return with_ctes(zones_train_cte(), ARTICLES, records_ctes(), negatives_cte())
+
+
+def training_codes() -> str:
+    w = "(CASE " + " ".join(f"WHEN weather_condition = {q(a)} THEN {b}" for a, b in dims.TRAIN_WEATHER_CODES.items()) + " ELSE 0 END)"
+    r = "(CASE " + " ".join(f"WHEN road_type = {q(a)} THEN {b}" for a, b in dims.TRAIN_ROAD_CODES.items()) + " ELSE 2 END)"
+    t = "(CASE " + " ".join(f"WHEN time_period = {q(a)} THEN {b}" for a, b in dims.TRAIN_TIME_CODES.items()) + " ELSE 2 END)"
+    return f"{w} AS weather_enc, {r} AS road_enc, {t} AS time_enc"
+
+
+ENCODED = f"enc AS (SELECT *, {training_codes()} FROM dataset)"
+
+oracle("year_breakdown", records_prefix() + """
+SELECT CAST(year(TRY_STRPTIME(date, '%Y-%m-%d')) AS INTEGER) AS year, count(*) AS records FROM records
+WHERE accident = 1 AND TRY_STRPTIME(date, '%Y-%m-%d') IS NOT NULL GROUP BY 1""")
+oracle("top_publishers", records_prefix() + """
+SELECT publisher, count(*) AS records FROM records WHERE accident = 1 GROUP BY publisher
+ORDER BY records DESC, publisher LIMIT 10""")
+oracle("dataset_totals", dataset_prefix() + """
+SELECT count(*) AS total_records, CAST(sum(accident) AS BIGINT) AS accident_rows, CAST(sum(1 - accident) AS BIGINT) AS negative_rows
+FROM dataset""")
+oracle("source_month_counts", records_prefix() + """
+SELECT source_rank, substr(date, 1, 7) AS month, count(*) AS records FROM records GROUP BY ROLLUP (source_rank, substr(date, 1, 7))""")
+oracle("recent_accidents", records_prefix() + f"""
+, top AS (SELECT * FROM records WHERE accident = 1 ORDER BY date DESC, article_id LIMIT 10)
+SELECT article_id,
+  CASE WHEN TRY_STRPTIME(substr(date, 1, 10), '%Y-%m-%d') IS NULL THEN 'Recent'
+       WHEN DATE '{AS_OF}' - CAST(TRY_STRPTIME(substr(date, 1, 10), '%Y-%m-%d') AS DATE) > 0
+       THEN concat(CAST(DATE '{AS_OF}' - CAST(TRY_STRPTIME(substr(date, 1, 10), '%Y-%m-%d') AS DATE) AS VARCHAR), 'd ago')
+       ELSE 'Today' END AS time,
+  location_name AS location, zone, substr(headline, 1, 60) AS detail,
+  CASE WHEN severity = 'Fatal' THEN '#ff2d55' WHEN severity = 'Major' THEN '#ff6b35' ELSE '#ffcc00' END AS severity,
+  source_url AS source
+FROM top""")
+oracle("union_sources", with_ctes(zones_train_cte(), ARTICLES) + """
+SELECT article_id, source_rank, CASE WHEN source_rank = 0 THEN 'feed' ELSE 'site' END AS source_kind FROM articles""")
+oracle("training_union", dataset_prefix() + """
+SELECT record_id, accident, location_name, date, hour, congestion_pct FROM dataset""")
+oracle("negatives_zones", dataset_prefix() + "SELECT * FROM negatives")
+
+
+def mutate_sql(copies: int) -> str:
+    k = "key"
+    keys = " UNION ALL ".join(
+        f"SELECT r.*, concat_ws('-', CAST(article_id AS VARCHAR), '{c}') AS key FROM records r" for c in range(1, copies + 1))
+    hour = f"CAST({pick(dims.NEG_MUTATE_HOURS, draw(k, 'hour', len(dims.NEG_MUTATE_HOURS)))} AS INTEGER)"
+    if copies == 1:
+        cong, speed = f"CAST(10 + {draw(k, 'cong', 41)} AS INTEGER)", "CAST(least(80, speed_kmh + 20) AS INTEGER)"
+        vis, rain, junc = "visibility_km", "rainfall_mm", "is_junction"
+    else:
+        cong, speed = f"CAST(10 + {draw(k, 'cong', 46)} AS INTEGER)", f"CAST(30 + {draw(k, 'speed', 51)} AS INTEGER)"
+        vis = f"CAST(6.0 AS DOUBLE) + CAST({draw(k, 'vis', 900001)} AS DOUBLE) / 100000"
+        rain, junc = "CAST(0.0 AS DOUBLE)", f"{draw(k, 'junction', 2)}"
+    return records_prefix() + f""", m AS ({keys})
+SELECT concat('neg-', key) AS record_id, 'generated-negative' AS source_url, publisher, '' AS headline, keyword, date,
+  {hour} AS hour, day_of_week, is_weekend, 0 AS is_peak_hour, month, is_monsoon, time_period, location_name, zone,
+  latitude, longitude, road_type, severity, vehicle_type, num_vehicles, num_injured, num_fatalities, {junc} AS is_junction,
+  is_school_zone, flood_risk, {cong} AS congestion_pct, {speed} AS speed_kmh, weather_condition, temperature_c,
+  humidity_pct, wind_speed_kmh, {vis} AS visibility_km, {rain} AS rainfall_mm, 0 AS accident
+FROM m"""
+
+
+oracle("negatives_1x", mutate_sql(1))
+oracle("negatives_3x", mutate_sql(3))
+oracle("seeded_shuffle", dataset_prefix() + "SELECT record_id, md5(concat_ws('|', record_id, '42')) AS shuffle_key FROM dataset")
+oracle("encode_training", dataset_prefix() + f", {ENCODED} SELECT record_id, weather_enc, road_enc, time_enc FROM enc")
+oracle("feature_matrix", dataset_prefix() + f", {ENCODED} SELECT record_id, {', '.join(dims.FEATURES)}, accident FROM enc")
+oracle("stratified_split", dataset_prefix() + """
+, u AS (SELECT record_id, accident, ('0x' || substr(md5(concat_ws('|', record_id, '42')), 1, 8))::BIGINT AS u FROM dataset),
+r AS (SELECT *, row_number() OVER (PARTITION BY accident ORDER BY u, record_id) AS rn,
+             count(*) OVER (PARTITION BY accident) AS nc FROM u)
+SELECT record_id, accident, CASE WHEN rn <= round(nc * 0.2) THEN 'test' ELSE 'train' END AS split FROM r""")
+oracle("class_weights", dataset_prefix() + """
+, c AS (SELECT accident, count(*) AS nc FROM dataset GROUP BY accident)
+SELECT accident, CAST((SELECT sum(nc) FROM c) AS DOUBLE) / ((SELECT count(*) FROM c) * nc) AS class_weight, nc AS n FROM c""")
+oracle("feature_stats", dataset_prefix() + f", {ENCODED} " + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(avg(CAST({f} AS DOUBLE)), 6) AS mean, round(stddev_pop(CAST({f} AS DOUBLE)), 6) AS std FROM enc"
+    for f in dims.FEATURES))
+
+SCORED = "sc AS (SELECT *, CAST(congestion_pct AS DOUBLE) / 100 AS score FROM dataset)"
+oracle("roc_auc", dataset_prefix() + f", {SCORED}" + """
+, r AS (SELECT accident, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS avg_rank FROM sc),
+n AS (SELECT sum(CASE WHEN accident = 1 THEN 1 ELSE 0 END) AS n1, sum(CASE WHEN accident = 1 THEN 0 ELSE 1 END) AS n0,
+             sum(CASE WHEN accident = 1 THEN avg_rank ELSE 0 END) AS s1 FROM r)
+SELECT round((s1 - n1 * (n1 + 1) / 2.0) / (n1 * n0), 9) AS auc, CAST(n1 AS BIGINT) AS n_pos, CAST(n0 AS BIGINT) AS n_neg FROM n""")
+oracle("accuracy", dataset_prefix() + f", {SCORED}" + """
+SELECT round(avg(CAST(CAST(score > 0.5 AS INTEGER) = accident AS DOUBLE)), 9) AS accuracy, count(*) AS n FROM sc""")
+oracle("class_report", dataset_prefix() + f", {SCORED}" + """
+, p AS (SELECT accident AS y, CAST(score > 0.5 AS INTEGER) AS p FROM sc),
+c AS (SELECT cls AS class, sum(CASE WHEN y = cls AND p = cls THEN 1 ELSE 0 END) AS tp,
+             sum(CASE WHEN y <> cls AND p = cls THEN 1 ELSE 0 END) AS fp,
+             sum(CASE WHEN y = cls AND p <> cls THEN 1 ELSE 0 END) AS fn
+      FROM p CROSS JOIN (VALUES (0), (1)) v(cls) GROUP BY cls),
+m AS (SELECT class, tp, fn, CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision,
+             CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall FROM c)
+SELECT class, round(precision, 9) AS precision, round(recall, 9) AS recall,
+       round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 9) AS f1,
+       CAST(tp + fn AS BIGINT) AS support FROM m""")
+oracle("leakage_report", dataset_prefix() + f", {ENCODED} " + " UNION ALL ".join(
+    f"SELECT accident, '{f}' AS feature, min(CAST({f} AS DOUBLE)) AS min_value, max(CAST({f} AS DOUBLE)) AS max_value, "
+    f"count(DISTINCT CAST({f} AS DOUBLE)) AS n_distinct, CAST(count(DISTINCT CAST({f} AS DOUBLE)) <= 1 AS INTEGER) AS constant_in_class "
+    f"FROM enc GROUP BY accident" for f in dims.FEATURES))
+oracle("batch_requests", with_ctes(zones_serving_cte()) + f"""
+, h AS (SELECT DISTINCT date_trunc('hour', ts) AS board_ts FROM events)
+SELECT strftime(board_ts, '%Y-%m-%d %H:%M') AS board_hour, zone_ord, zone_name, lat AS latitude, lng AS longitude,
+       CAST(hour(board_ts) AS INTEGER) AS hour, CAST(isodow(board_ts) >= 6 AS INTEGER) AS is_weekend,
+       CAST(base_risk AS DOUBLE) AS congestion_pct, {hour_period("CAST(hour(board_ts) AS INTEGER)")} AS time_period
+FROM h CROSS JOIN zones_serving""")
+oracle("scan_accidents", dataset_prefix() + f"SELECT {ACC_COLS} FROM dataset")
+oracle("sink_roundtrip", dataset_prefix() + f"SELECT record_id, {ACC_COLS} FROM dataset WHERE accident = 1")
+KW = "kw AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(k)})" for i, k in enumerate(dims.RSS_KEYWORDS)) + ") AS t(keyword_ord, keyword))"
+oracle("month_spine", with_ctes(zones_train_cte(), ARTICLES, KW) + """
+, m AS (SELECT unnest(generate_series(date_trunc('month', min(published_ts)), date_trunc('month', max(published_ts)), INTERVAL 1 MONTH)) AS ms FROM articles)
+SELECT strftime(ms, '%Y-%m-%d') AS month_start, strftime(ms + INTERVAL 1 MONTH, '%Y-%m-%d') AS month_end, keyword_ord, keyword
+FROM m CROSS JOIN kw""")
+_ANCHOR = q(r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>')
+oracle("page_links", f"""
+WITH a AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base,
+                  regexp_extract_all(html, {_ANCHOR}, 1) AS hrefs, regexp_extract_all(html, {_ANCHOR}, 2) AS texts FROM pages),
+u AS (SELECT page_id, base, unnest(hrefs) AS href, unnest(texts) AS text, generate_subscripts(hrefs, 1) - 1 AS pos FROM a)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(text, '<[^>]*>', '', 'g')) AS text,
+       CASE WHEN starts_with(href, 'http') THEN href ELSE concat(base, href) END AS href FROM u""")
+oracle("rss_items", with_ctes(zones_train_cte(), ARTICLES) + """
+SELECT title, source_url AS link, '' AS summary, strftime(published_ts, '%a, %d %b %Y %H:%M:%S GMT') AS published,
+       strftime(published_ts, '%Y-%m-%d') AS date, CAST(hour(published_ts) AS INTEGER) AS hour
+FROM articles WHERE source_rank = 0""")

@@ -20,6 +20,11 @@ from ..functions import text as tx
 from ..functions import weather as wx
 from ..operators import geo
 from ..operators import ranking as rank
+from ..operators import training as tr
+from ..schemas import ACCIDENT_COLUMNS
+from ..session import scratch_path
+from ..sources import accidents as src
+from ..sources import feeds
 from . import alerts as al
 from ..operators import aggregates as agg
 from ..operators import records as rec
@@ -411,5 +416,170 @@ def q_merge_alerts(i: Inputs) -> DataFrame:
     return n.select("obs_id", F.array_join(rk.merge_alerts(adv["alerts"], drv), " | ").alias("alerts"))
 
 
+# ---- dashboard and dataset reports ------------------------------------------------
+
+@register("year_breakdown")
+def q_year_breakdown(i: Inputs) -> DataFrame:
+    return agg.year_breakdown(i.records)
+
+
+@register("top_publishers")
+def q_top_publishers(i: Inputs) -> DataFrame:
+    return agg.top_publishers(i.records, 10)
+
+
+@register("dataset_totals")
+def q_dataset_totals(i: Inputs) -> DataFrame:
+    return agg.dataset_totals(i.dataset)
+
+
+@register("source_month_counts")
+def q_source_month_counts(i: Inputs) -> DataFrame:
+    return agg.source_month_counts(i.records)
+
+
+@register("recent_accidents")
+def q_recent_accidents(i: Inputs) -> DataFrame:
+    return rank.recent_accidents(i.records, F.lit(i.as_of), 10)
+
+
+@register("union_sources")
+def q_union_sources(i: Inputs) -> DataFrame:
+    frames = [i.articles.where(F.col("source_rank") == r).withColumn("source_kind", F.lit(kind))
+              for r, kind, _ in dims.SOURCES]
+    return rec.union_sources(frames).select("article_id", "source_rank", "source_kind")
+
+
+@register("training_union")
+def q_training_union(i: Inputs) -> DataFrame:
+    return i.dataset.select("record_id", "accident", "location_name", "date", "hour", "congestion_pct")
+
+
+@register("negatives_zones")
+def q_negatives_zones(i: Inputs) -> DataFrame:
+    return i.negatives
+
+
+@register("negatives_1x")
+def q_negatives_1x(i: Inputs) -> DataFrame:
+    return tr.negatives_mutate(i.records, 1).select("record_id", *ACCIDENT_COLUMNS)
+
+
+@register("negatives_3x")
+def q_negatives_3x(i: Inputs) -> DataFrame:
+    return tr.negatives_mutate(i.records, 3).select("record_id", *ACCIDENT_COLUMNS)
+
+
+@register("seeded_shuffle")
+def q_seeded_shuffle(i: Inputs) -> DataFrame:
+    return tr.seeded_shuffle(i.dataset, 42).select("record_id", "shuffle_key")
+
+
+@register("encode_training")
+def q_encode_training(i: Inputs) -> DataFrame:
+    return rk.encode_training(i.dataset).select("record_id", "weather_enc", "road_enc", "time_enc")
+
+
+@register("feature_matrix")
+def q_feature_matrix(i: Inputs) -> DataFrame:
+    return rk.encode_training(i.dataset).select("record_id", *dims.FEATURES, "accident")
+
+
+@register("stratified_split")
+def q_stratified_split(i: Inputs) -> DataFrame:
+    return tr.stratified_split(i.dataset, "accident", 0.2, 42).select("record_id", "accident", "split")
+
+
+@register("class_weights")
+def q_class_weights(i: Inputs) -> DataFrame:
+    return (tr.balanced_weights(i.dataset).groupBy("accident", "class_weight")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("feature_stats")
+def q_feature_stats(i: Inputs) -> DataFrame:
+    s = tr.feature_stats(rk.encode_training(i.dataset))
+    return s.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+def _scored_dataset(i: Inputs) -> DataFrame:
+    """A deterministic score column for the metric operators (congestion share)."""
+    return i.dataset.withColumn("score", F.col("congestion_pct") / 100.0)
+
+
+@register("roc_auc")
+def q_roc_auc(i: Inputs) -> DataFrame:
+    return tr.roc_auc(_scored_dataset(i), "score").select(F.round("auc", 9).alias("auc"), "n_pos", "n_neg")
+
+
+@register("accuracy")
+def q_accuracy(i: Inputs) -> DataFrame:
+    return tr.accuracy(_scored_dataset(i), "score").select(F.round("accuracy", 9).alias("accuracy"), "n")
+
+
+@register("class_report")
+def q_class_report(i: Inputs) -> DataFrame:
+    r = tr.classification_report(_scored_dataset(i), "score")
+    return r.select("class", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@register("leakage_report")
+def q_leakage_report(i: Inputs) -> DataFrame:
+    return tr.leakage_report(rk.encode_training(i.dataset))
+
+
+@register("batch_requests")
+def q_batch_requests(i: Inputs) -> DataFrame:
+    """Every serving zone for every hour seen in the events (hourly boards)."""
+    hours = i.events.select(F.date_trunc("hour", "ts").alias("board_ts")).distinct()
+    z = F.broadcast(i.zones_serving)
+    req = hours.crossJoin(z).select(
+        F.date_format("board_ts", "yyyy-MM-dd HH:mm").alias("board_hour"), "zone_ord", "zone_name",
+        F.col("lat").alias("latitude"), F.col("lng").alias("longitude"), F.hour("board_ts").alias("hour"),
+        cal.is_weekend(F.to_date("board_ts")).alias("is_weekend"),
+        F.col("base_risk").cast("double").alias("congestion_pct"),
+        cal.hour_to_period(F.hour("board_ts")).alias("time_period"))
+    return req
+
+
+# ---- sources and sinks ---------------------------------------------------------
+
+@register("scan_accidents")
+def q_scan_accidents(i: Inputs) -> DataFrame:
+    path = scratch_path(i.spark, "accidents-csv")
+    src.write_dataset_csv(i.dataset, path)
+    return src.read_accidents(i.spark, path)
+
+
+@register("sink_roundtrip")
+def q_sink_roundtrip(i: Inputs) -> DataFrame:
+    path = scratch_path(i.spark, "dataset-parquet")
+    src.write_dataset(i.dataset, path)
+    return src.read_dataset(i.spark, path, positives_only=True).select("record_id", *ACCIDENT_COLUMNS)
+
+
+@register("month_spine")
+def q_month_spine(i: Inputs) -> DataFrame:
+    return src.month_keyword_spine(i.articles)
+
+
+@register("page_links")
+def q_page_links(i: Inputs) -> DataFrame:
+    return feeds.extract_links(i.table("pages"))
+
+
+@register("rss_items")
+def q_rss_items(i: Inputs) -> DataFrame:
+    a = i.articles.where(F.col("source_rank") == 0)
+    items = a.select(F.col("title"), F.col("source_url").alias("link"),
+                     F.lit(None).cast("string").alias("description"),
+                     F.date_format(F.col("published_ts"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("pubDate"))
+    path = scratch_path(i.spark, "rss")
+    feeds.write_rss(items, path)
+    r = feeds.read_rss(i.spark, path)
+    p = cal.parse_published("published")
+    return r.select("title", "link", "summary", "published", p["date"].alias("date"), p["hour"].alias("hour"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, _fn=fn: _fn(Inputs(spark, sf_dir))) for name, fn in QUERIES.items()}
