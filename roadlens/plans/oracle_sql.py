@@ -768,7 +768,10 @@ SELECT strftime(board_ts, '%Y-%m-%d %H:%M') AS board_hour, zone_ord, zone_name,
        CAST(hour(board_ts) AS INTEGER) AS hour, CAST(isodow(board_ts) >= 6 AS INTEGER) AS is_weekend,
        CAST(base_risk AS DOUBLE) AS congestion_pct, {hour_period("CAST(hour(board_ts) AS INTEGER)")} AS time_period
 FROM h CROSS JOIN zones_serving""")
-oracle("scan_accidents", dataset_prefix() + f"SELECT {ACC_COLS} FROM dataset")
+_STR_COLS = {"source_url", "publisher", "headline", "keyword", "date", "day_of_week", "time_period", "location_name",
+             "zone", "road_type", "severity", "vehicle_type", "weather_condition"}
+oracle("scan_accidents", dataset_prefix() + "SELECT " + ", ".join(
+    f"NULLIF({c}, '') AS {c}" if c in _STR_COLS else c for c in ACC_COLS.split(", ")) + " FROM dataset")
 oracle("sink_roundtrip", dataset_prefix() + f"SELECT record_id, {ACC_COLS} FROM dataset WHERE accident = 1")
 KW = "kw AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(k)})" for i, k in enumerate(dims.RSS_KEYWORDS)) + ") AS t(keyword_ord, keyword))"
 oracle("month_spine", with_ctes(zones_train_cte(), ARTICLES, KW) + """

@@ -16,9 +16,11 @@ from ..schemas import ACCIDENT, ACCIDENT_COLUMNS
 
 
 def read_accidents(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV with the declared 34-column schema (no inference)."""
+    """Header CSV with the declared 34-column schema (no inference).
+
+    Empty fields read as null, as a pandas reader turns them into NaN."""
     return (spark.read.schema(ACCIDENT).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("emptyValue", "").option("mode", "PERMISSIVE").csv(path))
+            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
 
 
 def first_existing(paths: list[str]) -> str | None:
