@@ -25,7 +25,9 @@ from ..schemas import ACCIDENT_COLUMNS
 from ..session import scratch_path
 from ..sources import accidents as src
 from ..sources import feeds
+from ..operators import model as ml
 from . import alerts as al
+from . import train as trn
 from ..operators import aggregates as agg
 from ..operators import records as rec
 from .inputs import Inputs
@@ -531,15 +533,7 @@ def q_leakage_report(i: Inputs) -> DataFrame:
 @register("batch_requests")
 def q_batch_requests(i: Inputs) -> DataFrame:
     """Every serving zone for every hour seen in the events (hourly boards)."""
-    hours = i.events.select(F.date_trunc("hour", "ts").alias("board_ts")).distinct()
-    z = F.broadcast(i.zones_serving)
-    req = hours.crossJoin(z).select(
-        F.date_format("board_ts", "yyyy-MM-dd HH:mm").alias("board_hour"), "zone_ord", "zone_name",
-        F.col("lat").alias("latitude"), F.col("lng").alias("longitude"), F.hour("board_ts").alias("hour"),
-        cal.is_weekend(F.to_date("board_ts")).alias("is_weekend"),
-        F.col("base_risk").cast("double").alias("congestion_pct"),
-        cal.hour_to_period(F.hour("board_ts")).alias("time_period"))
-    return req
+    return trn.batch_requests(i.events, i.zones_serving).drop("board_ts")
 
 
 # ---- sources and sinks ---------------------------------------------------------
@@ -581,5 +575,72 @@ def q_rss_items(i: Inputs) -> DataFrame:
     return r.select("title", "link", "summary", "published", p["date"].alias("date"), p["hour"].alias("hour"))
 
 
+# ---- model-backed (rows-only checks: tree models have no SQL oracle) -------------
+
+_MODELS: dict = {}
+
+
+def _trained(i: Inputs):
+    key = (i.sf_dir, str(i.as_of))
+    if key not in _MODELS:
+        _MODELS[key] = trn.train(i.dataset, "retrain", 42)
+    return _MODELS[key]
+
+
+@register("evaluate")
+def q_evaluate(i: Inputs) -> DataFrame:
+    _, _, metrics = _trained(i)
+    return metrics.select(*[F.round(c, 6).alias(c) for c in ("gbt_auc", "rf_auc", "ensemble_auc", "accuracy")],
+                          "n_pos", "n_neg")
+
+
+@register("score_ensemble")
+def q_score_ensemble(i: Inputs) -> DataFrame:
+    _, scored, _ = _trained(i)
+    return scored.select("record_id", "accident", "gbt_probability", "rf_probability", "probability")
+
+
+@register("score_requests")
+def q_score_requests(i: Inputs) -> DataFrame:
+    model, _, _ = _trained(i)
+    req = rk.complete_requests(_requests(i), F.col("ts"))
+    out = ml.score_requests(model, req)
+    return out.select("probe_id", "accident_probability", "accident_predicted", "risk_score", "risk_level",
+                      "gbt_probability", "rf_probability", F.array_join("alerts", " | ").alias("alerts"))
+
+
+@register("zone_board")
+def q_zone_board(i: Inputs) -> DataFrame:
+    model, _, _ = _trained(i)
+    req = rk.complete_requests(trn.batch_requests(i.events, i.zones_serving), F.col("board_ts"))
+    return trn.zone_board(model, req).select("board_hour", "board_rank", "zone_name", "latitude", "longitude",
+                                             "accident_probability", "risk_level")
+
+
+@register("importances")
+def q_importances(i: Inputs) -> DataFrame:
+    model, _, _ = _trained(i)
+    return i.spark.createDataFrame(ml.importances(model), "feature string, gbt_importance double, rf_importance double")
+
+
+@register("model_meta")
+def q_model_meta(i: Inputs) -> DataFrame:
+    model, _, metrics = _trained(i)
+    path = scratch_path(i.spark, "model")
+    ml.save_model(model, path)
+    meta = ml.model_metadata(i.dataset, metrics).withColumn("model_path", F.lit(path))
+    meta_path = scratch_path(i.spark, "model-meta")
+    meta.write.mode("overwrite").json(meta_path)
+    return i.spark.read.json(meta_path)
+
+
+@register("full_alerts")
+def q_full_alerts(i: Inputs) -> DataFrame:
+    model, _, _ = _trained(i)
+    out = al.full_alerts(i.probes, i.weather_obs, model, 86400)
+    return out.select("probe_id", "zone_name", "obs_id", "accident_probability", "risk_level",
+                      F.array_join("alerts", " | ").alias("alerts"), "severity")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, _fn=fn: _fn(Inputs(spark, sf_dir))) for name, fn in QUERIES.items()}
