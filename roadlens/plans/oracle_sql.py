@@ -789,3 +789,22 @@ oracle("rss_items", with_ctes(zones_train_cte(), ARTICLES) + """
 SELECT title, source_url AS link, '' AS summary, strftime(published_ts, '%a, %d %b %Y %H:%M:%S GMT') AS published,
        strftime(published_ts, '%Y-%m-%d') AS date, CAST(hour(published_ts) AS INTEGER) AS hour
 FROM articles WHERE source_rank = 0""")
+
+# ---- streaming (final tables) ------------------------------------------------------
+
+oracle("stream_dedupe", _cand_only() + "SELECT DISTINCT dedupe_key FROM cand WHERE is_relevant")
+oracle("stream_latest", with_ctes(WEATHER_OBS, WEATHER_NORM) + """
+SELECT cell_lat, cell_lng, obs_id, rainfall_mm, weather_condition,
+       count(*) OVER (PARTITION BY cell_lat, cell_lng) AS n_obs
+FROM wn QUALIFY row_number() OVER (PARTITION BY cell_lat, cell_lng ORDER BY obs_ts DESC, obs_id DESC) = 1""")
+oracle("stream_zone_board", with_ctes(WEATHER_OBS, WEATHER_NORM, zones_serving_cte()) + """
+, z AS (
+  SELECT w.*, s.zone_name FROM wn w CROSS JOIN zones_serving s
+  QUALIFY row_number() OVER (PARTITION BY w.obs_id
+          ORDER BY sqrt((w.lat - s.lat) * (w.lat - s.lat) + (w.lng - s.lng) * (w.lng - s.lng)), s.zone_ord) = 1)
+SELECT strftime(time_bucket(INTERVAL '30 seconds', obs_ts), '%Y-%m-%d %H:%M:%S') AS window_start, zone_name,
+       count(*) AS n_obs, round(avg(rainfall_mm), 9) AS avg_rainfall, max(rainfall_mm) AS max_rainfall,
+       min(visibility_km) AS min_visibility
+FROM z WHERE time_bucket(INTERVAL '30 seconds', obs_ts) + INTERVAL '30 seconds'
+             <= (SELECT max(obs_ts) FROM wn) - INTERVAL '10 minutes'
+GROUP BY 1, zone_name""")

@@ -26,6 +26,8 @@ from ..session import scratch_path
 from ..sources import accidents as src
 from ..sources import feeds
 from ..operators import model as ml
+from ..sources import fixtures as fx
+from ..streaming import jobs as sj
 from . import alerts as al
 from . import train as trn
 from ..operators import aggregates as agg
@@ -642,5 +644,31 @@ def q_full_alerts(i: Inputs) -> DataFrame:
                       F.array_join("alerts", " | ").alias("alerts"), "severity")
 
 
+# ---- streaming (run to completion with availableNow, final table compared) --------
+
+@register("stream_dedupe")
+def q_stream_dedupe(i: Inputs) -> DataFrame:
+    arts = fx.articles(sj.events_stream(i.spark, i.sf_dir))
+    out = sj.run_to_table(sj.stream_dedupe(arts).select("dedupe_key"), "dedupe")
+    return out.select("dedupe_key")
+
+
+@register("stream_latest")
+def q_stream_latest(i: Inputs) -> DataFrame:
+    obs = fx.weather_obs(sj.events_stream(i.spark, i.sf_dir))
+    out = sj.run_to_table(sj.stream_latest_weather(obs), "latest", mode="update", upsert_keys=["cell_lat", "cell_lng"])
+    return out.select("cell_lat", "cell_lng", F.col("latest.obs_id").alias("obs_id"),
+                      F.col("latest.rainfall_mm").alias("rainfall_mm"),
+                      F.col("latest.weather_condition").alias("weather_condition"), "n_obs")
+
+
+@register("stream_zone_board")
+def q_stream_zone_board(i: Inputs) -> DataFrame:
+    obs = fx.weather_obs(sj.events_stream(i.spark, i.sf_dir))
+    out = sj.run_to_table(sj.stream_zone_board(obs), "zone-board")
+    return out.select("window_start", "zone_name", "n_obs", F.round("avg_rainfall", 9).alias("avg_rainfall"),
+                      "max_rainfall", "min_visibility")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, _fn=fn: _fn(Inputs(spark, sf_dir))) for name, fn in QUERIES.items()}
