@@ -338,24 +338,39 @@ ZONES_SERVING_SCHEMA = T.StructType([
 ])
 
 
+def values_df(spark: SparkSession, rows: list[tuple], names: list[str], types: list[str]) -> DataFrame:
+    """A small fixed table as a SQL VALUES relation (a JVM local relation:
+    no Python RDD behind it, broadcast by size, constant-folded by Catalyst)."""
+    def lit(v, t):
+        if v is None:
+            return f"CAST(NULL AS {t})"
+        if t == "string":
+            return sql_str(v)
+        return f"CAST({v!r} AS {t})"
+    body = ", ".join("(" + ", ".join(lit(v, t) for v, t in zip(r, types)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
+
+
 def zones_train(spark: SparkSession) -> DataFrame:
     rows = [(i, *z) for i, z in enumerate(ZONES_TRAIN)]
-    return spark.createDataFrame(rows, ZONES_TRAIN_SCHEMA)
+    return values_df(spark, rows, ["zone_ord", "zone_key", "lat", "lng", "zone", "road_type"],
+                     ["int", "string", "double", "double", "string", "string"])
 
 
 def zones_serving(spark: SparkSession) -> DataFrame:
     rows = [(i, *z) for i, z in enumerate(ZONES_SERVING)]
-    return spark.createDataFrame(rows, ZONES_SERVING_SCHEMA)
+    return values_df(spark, rows, ["zone_ord", "zone_name", "lat", "lng", "base_risk", "road_type"],
+                     ["int", "string", "double", "double", "int", "string"])
 
 
 def region_risk(spark: SparkSession) -> DataFrame:
     rows = [(i, r, k) for i, (r, k) in enumerate(REGION_RISK)]
-    return spark.createDataFrame(rows, "region_ord int, zone string, risk int")
+    return values_df(spark, rows, ["region_ord", "zone", "risk"], ["int", "string", "int"])
 
 
 def top_zones(spark: SparkSession) -> DataFrame:
     rows = [(i, n, la, ln, r) for i, (n, la, ln, r) in enumerate(TOP_ZONES)]
-    return spark.createDataFrame(rows, "top_ord int, name string, lat double, lng double, risk int")
+    return values_df(spark, rows, ["top_ord", "name", "lat", "lng", "risk"], ["int", "string", "double", "double", "int"])
 
 
 def title_case(key: str) -> str:

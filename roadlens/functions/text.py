@@ -103,12 +103,14 @@ def match_location_ord(text, zones: list | None = None, lowered: bool = False) -
     """Order of the first gazetteer key contained in the lower-cased text, else null.
 
     A single regex alternation cannot express "first key in gazetteer order"
-    (it returns the leftmost hit in the text).  The keys are one literal
-    array; ``transform`` tests each and ``array_position`` returns the first
-    hit, so the generated code stays small for any gazetteer size.
+    (it returns the leftmost hit in the text), so the rule is an ordered
+    ``CASE WHEN contains`` (generated code; with the session's huge-method
+    limit its branches are split into JIT-compiled methods).
     """
     zones = zones if zones is not None else [z[0] for z in dims.ZONES_TRAIN]
     t = _low(text, lowered)
-    keys = F.array(*[F.lit(k) for k in zones])
-    pos = F.array_position(F.transform(keys, lambda k: F.contains(t, k)), F.lit(True))
-    return F.when(pos > 0, (pos - 1).cast("int"))
+    out = None
+    for i, key in enumerate(zones):
+        cond = t.contains(key)
+        out = F.when(cond, F.lit(i)) if out is None else out.when(cond, F.lit(i))
+    return out

@@ -28,15 +28,19 @@ def _c(x) -> Column:
 # ---- J2 ---------------------------------------------------------------------
 
 def nearest_zone_struct(lat, lng, zones: list | None = None) -> Column:
-    """struct(dist, zone_ord) of the closest serving zone (ties -> lowest order)."""
+    """struct(dist, zone_ord) of the closest serving zone (ties -> lowest order).
+
+    One literal struct per zone and ``array_min``, which compares (dist, ord):
+    the first-strictly-smaller rule of the original loop.  Plain generated
+    code (a higher-order ``transform`` would be evaluated interpretively)."""
     zones = zones if zones is not None else dims.ZONES_SERVING
     la, ln = _c(lat), _c(lng)
     nan = F.lit(float("nan"))
     cands = []
     for i, z in enumerate(zones):
         dla, dln = la - F.lit(z[1]), ln - F.lit(z[2])
-        d = F.coalesce(F.sqrt(dla * dla + dln * dln), nan)
-        cands.append(F.struct(d.alias("dist"), F.lit(i).alias("zone_ord")))
+        cands.append(F.struct(F.coalesce(F.sqrt(dla * dla + dln * dln), nan).alias("dist"),
+                              F.lit(i).alias("zone_ord")))
     return F.array_min(F.array(*cands))
 
 

@@ -10,8 +10,19 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..operators import records as rec
 from ..operators import training as tr
+from ..session import apply_runtime_conf, ensure_checkpoint_dir
 from ..sources import fixtures as fx
 
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core even when a table is one small file (one scan task).
+
+    On a cluster input files give far more splits than cores and this is a
+    no-op; only an input with fewer splits than the default parallelism is
+    redistributed (round-robin, deterministic on retry)."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
 # Run date for imputation and age labels; a fixed parameter so runs repeat.
 AS_OF = _dt.date(2024, 2, 1)
 
@@ -20,6 +31,8 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF):
         self.spark, self.sf_dir, self.as_of = spark, sf_dir, as_of
         self._memo: dict[str, DataFrame] = {}
+        apply_runtime_conf(spark)
+        ensure_checkpoint_dir(spark)
 
     def _get(self, name, build):
         if name not in self._memo:
@@ -27,7 +40,7 @@ class Inputs:
         return self._memo[name]
 
     def table(self, name: str) -> DataFrame:
-        return self._get("t:" + name, lambda: fx.table(self.spark, self.sf_dir, name))
+        return self._get("t:" + name, lambda: spread(fx.table(self.spark, self.sf_dir, name)))
 
     @property
     def events(self) -> DataFrame:

@@ -28,6 +28,19 @@ SESSION_CONF = {
     "spark.ui.enabled": "false",
 }
 
+# Runtime SQL settings the library applies to any session it is handed.
+# HotSpot does not JIT-compile methods over 8000 bytes of bytecode; with this
+# limit a stage whose fused method would be larger falls back to per-operator
+# code, whose expression code is split into small JIT-able methods.
+RUNTIME_CONF = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def apply_runtime_conf(spark: SparkSession) -> None:
+    for k, v in RUNTIME_CONF.items():
+        spark.conf.set(k, v)
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
               app_name: str = "roadlens") -> SparkSession:
@@ -39,6 +52,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     builder = builder.config("spark.driver.memory", os.environ.get("ROADLENS_DRIVER_MEM", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    apply_runtime_conf(spark)
     ensure_checkpoint_dir(spark)
     return spark
 

@@ -74,7 +74,7 @@ def month_keyword_spine(articles: DataFrame, ts_col: str = "published_ts", keywo
     half-open [month_start, next_month), crossed with the search keywords."""
     kws = keywords if keywords is not None else dims.RSS_KEYWORDS
     spark = articles.sparkSession
-    kw = spark.createDataFrame([(i, k) for i, k in enumerate(kws)], "keyword_ord int, keyword string")
+    kw = dims.values_df(spark, [(i, k) for i, k in enumerate(kws)], ["keyword_ord", "keyword"], ["int", "string"])
     rng = articles.agg(F.trunc(F.min(F.to_date(ts_col)), "month").alias("m0"),
                        F.trunc(F.max(F.to_date(ts_col)), "month").alias("m1"))
     months = rng.select(F.explode(F.sequence("m0", "m1", F.expr("INTERVAL 1 MONTH"))).alias("month_start"))

@@ -87,8 +87,8 @@ def weather_obs(events: DataFrame) -> DataFrame:
 def route_options(events: DataFrame) -> DataFrame:
     """Three stored route options per trip (free-flow time null for 10 %)."""
     spark = events.sparkSession
-    configs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(dims.ROUTE_CONFIGS)],
-                                    "config_ord int, route_type string")
+    configs = dims.values_df(spark, [(i, t) for i, (t, _) in enumerate(dims.ROUTE_CONFIGS)],
+                             ["config_ord", "route_type"], ["int", "string"])
     eid, k = F.col("event_id"), F.col("config_ord")
     return events.crossJoin(F.broadcast(configs)).select(
         eid.alias("trip_id"), F.concat(F.lit("o"), F.col("user_id").cast("string")).alias("origin"),
