@@ -6,7 +6,6 @@ Every rule is an ordered ``CASE WHEN`` or a disjunction of ``contains`` /
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,12 +19,10 @@ def _c(x) -> Column:
 
 
 def _any_contains(text: Column, words: list[str]) -> Column:
-    """Any of the literal words is a substring: one precompiled alternation
-    of quoted literals (a long OR-chain of ``contains`` would overflow the
-    generated method size and fall out of codegen)."""
-    if len(words) <= 3:
-        return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
-    return text.rlike("(?:" + "|".join(re.escape(w) for w in words) + ")")
+    """Any of the literal words is a substring: a short-circuit OR of
+    ``contains`` byte searches (about twice as fast as one Java regex
+    alternation over the same words)."""
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
 def is_relevant(text, title=None, tamil: bool = False) -> Column:

@@ -44,14 +44,17 @@ def dedupe_articles(articles: DataFrame) -> DataFrame:
 
     Relevance is applied first (irrelevant items never take a key); the
     location filter comes after (an item without a place still takes the
-    key).  ``row_number() = 1`` plans as a WindowGroupLimit, which also runs
-    before the shuffle, so a key holding a third of all rows is cut to one
-    row per map partition before it is exchanged.
+    key).  Relevant items are ranked ahead of irrelevant ones inside each key,
+    so "first relevant" is ``row_number() = 1 and is_relevant``; this keeps
+    the text rules in a projection (split, JIT-compiled code) instead of a
+    pushed-down filter predicate.  The rank filter plans as a WindowGroupLimit
+    that also runs before the shuffle, so a key holding a third of all rows is
+    cut to one row per map partition before it is exchanged.
     """
-    w = Window.partitionBy("dedupe_key").orderBy("source_rank", "article_id")
-    return (relevant_articles(articles)
+    w = Window.partitionBy("dedupe_key").orderBy(F.col("is_relevant").desc(), "source_rank", "article_id")
+    return (with_candidate_columns(articles)
             .withColumn("_rn", F.row_number().over(w))
-            .where("_rn = 1").drop("_rn"))
+            .where((F.col("_rn") == 1) & F.col("is_relevant")).drop("_rn"))
 
 
 def match_location(df: DataFrame, text: Column, zones: DataFrame) -> DataFrame:
