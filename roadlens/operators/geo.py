@@ -143,9 +143,10 @@ def zone_name_incidents(top_zones: DataFrame, accidents: DataFrame) -> DataFrame
     distinct names x 7 fixed zones only."""
     names = (accidents.where(F.col("accident") == 1)
              .groupBy(F.lower("location_name").alias("lname")).agg(F.count(F.lit(1)).alias("n")))
-    tz = top_zones.withColumn("token", F.lower(F.split("name", " ").getItem(0)))
-    hits = (names.join(F.broadcast(tz), F.col("lname").contains(F.col("token")))
+    tokens = [(i, n.split(" ")[0].lower()) for i, (n, *_r) in enumerate(dims.TOP_ZONES)]
+    matched = F.array_compact(F.array(*[F.when(F.col("lname").contains(tok), F.lit(i)) for i, tok in tokens]))
+    hits = (names.select("n", F.explode(matched).alias("top_ord"))
             .groupBy("top_ord").agg(F.sum("n").alias("n")))
-    return (F.broadcast(tz).join(hits, "top_ord", "left")
+    return (F.broadcast(top_zones).join(hits, "top_ord", "left")
             .select("top_ord", "name", "lat", "lng", "risk",
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("real_incidents")))

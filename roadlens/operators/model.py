@@ -79,11 +79,21 @@ def score_requests(model: PipelineModel, requests: DataFrame) -> DataFrame:
 
 def evaluate(scored_test: DataFrame) -> DataFrame:
     """The three AUCs and the ensemble accuracy on the holdout (one row)."""
-    a = tr.roc_auc(scored_test, "gbt_probability").select(F.col("auc").alias("gbt_auc"))
-    b = tr.roc_auc(scored_test, "rf_probability").select(F.col("auc").alias("rf_auc"))
-    c = tr.roc_auc(scored_test, "probability").select(F.col("auc").alias("ensemble_auc"), "n_pos", "n_neg")
-    d = tr.accuracy(scored_test, "probability").select("accuracy")
-    return a.crossJoin(b).crossJoin(c).crossJoin(d)
+    parts = [tr.roc_auc(scored_test, c).select(F.lit(n).alias("metric"), F.col("auc").alias("value"))
+             for n, c in [("gbt_auc", "gbt_probability"), ("rf_auc", "rf_probability"), ("ensemble_auc", "probability")]]
+    parts.append(tr.accuracy(scored_test, "probability").select(F.lit("accuracy").alias("metric"),
+                                                                F.col("accuracy").alias("value")))
+    counts = scored_test.select(F.explode(F.array(
+        F.struct(F.lit("n_pos").alias("metric"), (F.col("accident") == 1).cast("double").alias("value")),
+        F.struct(F.lit("n_neg").alias("metric"), (F.col("accident") != 1).cast("double").alias("value")))).alias("m")
+    ).groupBy("m.metric").agg(F.sum("m.value").alias("value"))
+    long = counts
+    for p in parts:
+        long = long.unionByName(p)
+    names = ["gbt_auc", "rf_auc", "ensemble_auc", "accuracy", "n_pos", "n_neg"]
+    wide = long.groupBy().pivot("metric", names).agg(F.first("value"))
+    return wide.select(*names[:4], F.col("n_pos").cast("bigint").alias("n_pos"),
+                       F.col("n_neg").cast("bigint").alias("n_neg"))
 
 
 def importances(model: PipelineModel) -> list[tuple[str, float, float]]:
@@ -95,9 +105,10 @@ def importances(model: PipelineModel) -> list[tuple[str, float, float]]:
 def model_metadata(dataset: DataFrame, metrics: DataFrame, trained_on: _dt.datetime | None = None) -> DataFrame:
     """One-row metadata table built from aggregates (no driver loops)."""
     ts = (trained_on or _dt.datetime.now()).isoformat()
+    m = metrics.first()
     totals = dataset.agg(F.count(F.lit(1)).alias("total_records"),
                          F.sum(F.col("accident").cast("int")).cast("bigint").alias("accident_rows"))
-    return (totals.crossJoin(metrics)
+    return (totals.select("*", *[F.lit(m[c]).alias(c) for c in metrics.columns])
             .withColumn("trained_on", F.lit(ts))
             .withColumn("features", F.array(*[F.lit(f) for f in dims.FEATURES])))
 

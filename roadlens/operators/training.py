@@ -154,8 +154,9 @@ def stratified_split(df: DataFrame, label: str = "accident", test_frac: float =
 def balanced_weights(df: DataFrame, label: str = "accident") -> DataFrame:
     """Weight n / (k * n_c) per row (scikit-learn's 'balanced')."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = counts.crossJoin(tot).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("class_weight"))
+    everything = Window.partitionBy()  # over the per-class count table only (one row per class)
+    w = counts.select(label, (F.sum("_nc").over(everything)
+                              / (F.count(F.lit(1)).over(everything) * F.col("_nc"))).alias("class_weight"))
     return df.join(F.broadcast(w), label)
 
 
@@ -168,10 +169,14 @@ def exclusive_prefix(df: DataFrame, order_col: str, value_cols: list[str], bucke
     table) give each bucket its offset, and a window inside the bucket adds
     the rest.  Exact for any bucket bounds."""
     qs = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(order_col, qs, 1000).alias("_bounds"))
-    d = (df.crossJoin(F.broadcast(bounds))
-           .withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < F.col(order_col))))
-           .drop("_bounds"))
+    # bucket bounds: `buckets - 1` sampled quantiles (a fixed-size aggregate
+    # result), used as a literal array
+    row = df.agg(F.percentile_approx(order_col, qs, 1000).alias("_bounds")).first()
+    bounds = sorted(set(row["_bounds"] or [])) if row else []
+    bk = F.lit(0)
+    for b in bounds:
+        bk = bk + (F.col(order_col) > F.lit(b)).cast("int")
+    d = df.withColumn("_bk", bk)
     tot = d.groupBy("_bk").agg(*[F.sum(c).alias("_t_" + c) for c in value_cols])
     wo = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_bk", *[F.coalesce(F.sum("_t_" + c).over(wo), F.lit(0)).alias("_o_" + c) for c in value_cols])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..operators import records as rec
 from ..operators import training as tr
-from ..session import apply_runtime_conf, ensure_checkpoint_dir
+from ..session import apply_runtime_conf, ensure_checkpoint_dir, materialize
 from ..sources import fixtures as fx
 
 
@@ -76,8 +76,14 @@ class Inputs:
 
     @property
     def records(self) -> DataFrame:
-        """Positive accident records built from the articles (article_id + 34 columns)."""
-        return self._get("records", lambda: rec.build_records(self.articles, self.zones_train, F.lit(self.as_of)))
+        """Positive accident records built from the articles (article_id + 34 columns).
+
+        Written once (a table in the shared checkpoint folder), as the
+        dataset builder writes its file: the many jobs that branch on the
+        records read the table instead of each re-running the text pipeline,
+        and a lost executor does not restart it."""
+        return self._get("records", lambda: materialize(
+            rec.build_records(self.articles, self.zones_train, F.lit(self.as_of)), "records"))
 
     @property
     def negatives(self) -> DataFrame:
@@ -87,4 +93,4 @@ class Inputs:
     @property
     def dataset(self) -> DataFrame:
         """The builder's training set (record_id + 34 columns)."""
-        return self._get("dataset", lambda: tr.training_set(self.records, self.negatives))
+        return self._get("dataset", lambda: materialize(tr.training_set(self.records, self.negatives), "dataset"))

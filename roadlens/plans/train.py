@@ -11,21 +11,23 @@ from ..functions import calendar as cal
 from ..operators import model as ml
 from ..operators import ranking as rank
 from ..operators import training as tr
+from ..session import materialize
 
 
 def train(dataset: DataFrame, config: str = "retrain", seed: int = 42, test_frac: float = 0.2):
     """Encode, weight, split (stratified), fit both models on the train part and
     score the holdout.  Returns (model, scored holdout, metrics row).
 
-    The prepared frame is checkpointed (the session's shared checkpoint
-    folder) so the many passes of tree fitting do not recompute the record
-    pipeline and a lost executor does not restart it."""
+    The split frame is written once to the session's shared checkpoint
+    folder, so the many passes of tree fitting read a table instead of
+    recomputing upstream work, and a lost executor does not restart it."""
     prepared = ml.prepare_training(dataset)
-    split = tr.stratified_split(prepared, "accident", test_frac, seed).checkpoint(eager=True)
+    split = materialize(tr.stratified_split(prepared, "accident", test_frac, seed), "train-split")
     train_df = split.where(F.col("split") == "train")
     test_df = split.where(F.col("split") == "test")
     model = ml.fit_ensemble(train_df, config, seed)
-    scored = ml.score(model, test_df)
+    # the holdout is scored once; the four metrics read the written result
+    scored = materialize(ml.score(model, test_df), "holdout-scored")
     return model, scored, ml.evaluate(scored)
 
 
@@ -46,7 +48,10 @@ def batch_requests(events: DataFrame, zones: DataFrame) -> DataFrame:
     """Every serving zone for every hour seen in the events, with the
     zone base risk as congestion and serving defaults elsewhere."""
     hours = events.select(F.date_trunc("hour", "ts").alias("board_ts")).distinct()
-    req = hours.crossJoin(F.broadcast(zones)).select(
+    zone_rows = F.array(*[F.struct(F.lit(i).alias("zone_ord"), F.lit(n).alias("zone_name"), F.lit(la).alias("lat"),
+                                   F.lit(ln).alias("lng"), F.lit(b).alias("base_risk"))
+                          for i, (n, la, ln, b, _) in enumerate(dims.ZONES_SERVING)])
+    req = hours.select("board_ts", F.inline(zone_rows)).select(
         F.date_format("board_ts", "yyyy-MM-dd HH:mm").alias("board_hour"), "board_ts", "zone_ord", "zone_name",
         F.col("lat").alias("latitude"), F.col("lng").alias("longitude"), F.hour("board_ts").alias("hour"),
         cal.is_weekend(F.to_date("board_ts")).alias("is_weekend"),

@@ -70,6 +70,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read
+    it back: cuts the lineage (a lost executor does not restart upstream
+    work) and computes the input once (an RDD checkpoint computes it twice)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -73,12 +73,11 @@ def month_keyword_spine(articles: DataFrame, ts_col: str = "published_ts", keywo
     """Every month between the first and last published month, as
     half-open [month_start, next_month), crossed with the search keywords."""
     kws = keywords if keywords is not None else dims.RSS_KEYWORDS
-    spark = articles.sparkSession
-    kw = dims.values_df(spark, [(i, k) for i, k in enumerate(kws)], ["keyword_ord", "keyword"], ["int", "string"])
+    kw = F.array(*[F.struct(F.lit(i).alias("keyword_ord"), F.lit(k).alias("keyword")) for i, k in enumerate(kws)])
     rng = articles.agg(F.trunc(F.min(F.to_date(ts_col)), "month").alias("m0"),
                        F.trunc(F.max(F.to_date(ts_col)), "month").alias("m1"))
     months = rng.select(F.explode(F.sequence("m0", "m1", F.expr("INTERVAL 1 MONTH"))).alias("month_start"))
     return (months.withColumn("month_end", F.add_months("month_start", 1))
-            .crossJoin(F.broadcast(kw))
+            .select("*", F.inline(kw))
             .select(F.date_format("month_start", "yyyy-MM-dd").alias("month_start"),
                     F.date_format("month_end", "yyyy-MM-dd").alias("month_end"), "keyword_ord", "keyword"))

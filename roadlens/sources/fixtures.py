@@ -86,11 +86,10 @@ def weather_obs(events: DataFrame) -> DataFrame:
 
 def route_options(events: DataFrame) -> DataFrame:
     """Three stored route options per trip (free-flow time null for 10 %)."""
-    spark = events.sparkSession
-    configs = dims.values_df(spark, [(i, t) for i, (t, _) in enumerate(dims.ROUTE_CONFIGS)],
-                             ["config_ord", "route_type"], ["int", "string"])
+    configs = F.array(*[F.struct(F.lit(i).alias("config_ord"), F.lit(t).alias("route_type"))
+                        for i, (t, _) in enumerate(dims.ROUTE_CONFIGS)])
     eid, k = F.col("event_id"), F.col("config_ord")
-    return events.crossJoin(F.broadcast(configs)).select(
+    return events.select("*", F.inline(configs)).select(
         eid.alias("trip_id"), F.concat(F.lit("o"), F.col("user_id").cast("string")).alias("origin"),
         F.concat(F.lit("d"), (eid % 40).cast("string")).alias("destination"), "route_type", "config_ord",
         (F.lit(4000) + (eid * 37 + k * 911) % 11000).cast("int").alias("length_m"),
