@@ -35,10 +35,15 @@ def is_relevant(text, title=None, tamil: bool = False) -> Column:
     rule = _any_contains(t, dims.ACCIDENT_WORDS) & _any_contains(
         t, dims.CITY_WORDS + [z[0] for z in dims.ZONES_TRAIN])
     if tamil:
-        rule = rule | _any_contains(_c(title), dims.TAMIL_TITLE_WORDS)
+        rule = rule | has_tamil_accident_word(title)
     return rule
 
 
+def has_tamil_accident_word(title) -> Column:
+    """The relaxed rule's extra test: a Tamil accident/death word in the raw title."""
+    return _any_contains(_c(title), dims.TAMIL_TITLE_WORDS)
+
+
 def dedupe_key(title) -> Column:
     """Cross-source duplicate key: lower-cased first 60 characters of the raw title."""
     return F.lower(F.substring(_c(title), 1, 60))

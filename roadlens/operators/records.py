@@ -28,10 +28,9 @@ def with_candidate_columns(articles: DataFrame) -> DataFrame:
     df = articles if "summary" in articles.columns else articles.withColumn("summary", F.lit(""))
     df = df.withColumn("summary", F.coalesce(F.col("summary"), F.lit("")))
     relevant = tx.is_relevant(F.concat_ws(" ", "title", "summary"))
-    relaxed = tx.is_relevant(F.concat_ws(" ", "title", "summary"), F.col("title"), tamil=True)
+    tamil = F.col("source_rank").isin(dims.TAMIL_RELAXED_RANKS) & tx.has_tamil_accident_word("title")
     return (df.withColumn("dedupe_key", tx.dedupe_key("title"))
-              .withColumn("is_relevant",
-                          F.when(F.col("source_rank").isin(dims.TAMIL_RELAXED_RANKS), relaxed).otherwise(relevant)))
+              .withColumn("is_relevant", relevant | tamil))
 
 
 def relevant_articles(articles: DataFrame) -> DataFrame:

@@ -248,11 +248,12 @@ def leakage_report(df: DataFrame, label: str = "accident", features: list[str] =
     """Per feature and class: min, max, distinct count; ``constant_in_class``
     flags a feature with a single value inside a class (a label leak when the
     other class varies)."""
-    aggs = []
-    for f in features:
-        c = F.col(f).cast("double")
-        aggs += [F.min(c).alias(f"mn_{f}"), F.max(c).alias(f"mx_{f}"), F.countDistinct(c).alias(f"nd_{f}")]
-    wide = df.groupBy(label).agg(*aggs)
-    stack = ", ".join(f"'{f}', mn_{f}, mx_{f}, nd_{f}" for f in features)
-    return (wide.selectExpr(label, f"stack({len(features)}, {stack}) AS (feature, min_value, max_value, n_distinct)")
+    # long form (label, feature, value), distinct values first (partial
+    # aggregation), then min / max / count per (label, feature): two plain
+    # hash aggregates instead of one Expand per distinct column
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
+    distinct_vals = df.select(label, F.inline(pairs)).distinct()
+    return (distinct_vals.groupBy(label, "feature")
+            .agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"),
+                 F.count("value").alias("n_distinct"))
             .withColumn("constant_in_class", (F.col("n_distinct") <= 1).cast("int")))

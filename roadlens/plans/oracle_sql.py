@@ -246,9 +246,9 @@ def _cand_only() -> str:
     return with_ctes(zones_train_cte(), ARTICLES, records_ctes())
 
 
-oracle("relevant_articles", _cand_only() + "SELECT article_id, source_rank, dedupe_key FROM cand "
-       "WHERE source_rank <> 5 AND is_relevant")
-oracle("relevant_tamil", _cand_only() + "SELECT article_id, source_rank, dedupe_key FROM cand WHERE is_relevant")
+oracle("relevant_articles", _cand_only() + f"SELECT article_id, source_rank, dedupe_key, "
+       f"{relevance('concat(title, \' \', summary)')} AS is_relevant FROM cand")
+oracle("relevant_tamil", _cand_only() + "SELECT article_id, source_rank, dedupe_key, is_relevant FROM cand")
 oracle("article_dedupe", _cand_only() + "SELECT article_id, source_rank, dedupe_key FROM dedup")
 oracle("article_location", with_ctes(zones_train_cte(), ARTICLES) + f"""
 SELECT a.article_id, z.zone_ord, z.location_name, z.zone

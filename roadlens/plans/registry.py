@@ -48,12 +48,16 @@ def register(name: str):
 
 @register("relevant_articles")
 def q_relevant_articles(i: Inputs) -> DataFrame:
-    return rec.relevant_articles(i.articles.where("source_rank <> 5")).select("article_id", "source_rank", "dedupe_key")
+    """F1 on every article (the standard rule), as a flag column."""
+    a = i.articles
+    return a.select("article_id", "source_rank", tx.dedupe_key("title").alias("dedupe_key"),
+                    tx.is_relevant(F.concat_ws(" ", "title", F.lit(""))).alias("is_relevant"))
 
 
 @register("relevant_tamil")
 def q_relevant_tamil(i: Inputs) -> DataFrame:
-    return rec.relevant_articles(i.articles).select("article_id", "source_rank", "dedupe_key")
+    """F1/F2 per source (relaxed Tamil rule for its site), as a flag column."""
+    return rec.with_candidate_columns(i.articles).select("article_id", "source_rank", "dedupe_key", "is_relevant")
 
 
 @register("article_dedupe")
