@@ -6,8 +6,6 @@ is the internal form (``accident = 1`` becomes partition pruning).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +21,18 @@ def read_accidents(spark: SparkSession, path: str) -> DataFrame:
             .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
 
 
-def first_existing(paths: list[str]) -> str | None:
-    """S3: the first path that exists (checked on the driver's file system view)."""
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence through the cluster's Hadoop file system (any scheme)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(hpath))
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
+    """S3: the first path that exists, in the given precedence order."""
     for p in paths:
-        if p.startswith(("file:", "/")) and os.path.exists(p.replace("file:", "")):
-            return p
-        if not p.startswith(("file:", "/")):
+        if path_exists(spark, p):
             return p
     return None
 
