@@ -29,6 +29,12 @@ def dataset_totals(df: DataFrame) -> DataFrame:
                   F.coalesce(F.sum(1 - F.col("accident")), F.lit(0)).cast("bigint").alias("negative_rows"))
 
 
+def dashboard_totals(records: DataFrame) -> DataFrame:
+    """Positives behind the dashboard and the data-present flag."""
+    return (positives(records).agg(F.count(F.lit(1)).alias("total_records"))
+            .withColumn("real_data", F.col("total_records") > 0))
+
+
 def year_breakdown(records: DataFrame) -> DataFrame:
     """A2: positive records per year (unparseable dates dropped), by year."""
     y = F.year(F.try_to_date(F.col("date"), "yyyy-MM-dd"))

@@ -672,6 +672,8 @@ def training_codes() -> str:
 
 ENCODED = f"enc AS (SELECT *, {training_codes()} FROM dataset)"
 
+oracle("dashboard_totals", records_prefix() + """
+SELECT count(*) AS total_records, count(*) > 0 AS real_data FROM records WHERE accident = 1""")
 oracle("year_breakdown", records_prefix() + """
 SELECT CAST(year(TRY_STRPTIME(date, '%Y-%m-%d')) AS INTEGER) AS year, count(*) AS records FROM records
 WHERE accident = 1 AND TRY_STRPTIME(date, '%Y-%m-%d') IS NOT NULL GROUP BY 1""")
@@ -795,7 +797,8 @@ FROM articles WHERE source_rank = 0""")
 oracle("stream_dedupe", _cand_only() + "SELECT DISTINCT dedupe_key FROM cand WHERE is_relevant")
 oracle("stream_latest", with_ctes(WEATHER_OBS, WEATHER_NORM) + """
 SELECT cell_lat, cell_lng, obs_id, rainfall_mm, weather_condition,
-       count(*) OVER (PARTITION BY cell_lat, cell_lng) AS n_obs
+       count(*) OVER (PARTITION BY cell_lat, cell_lng) AS n_obs,
+       (SELECT epoch_us(max(obs_ts)) FROM wn) - epoch_us(obs_ts) >= 600 * 1000000 AS expired
 FROM wn QUALIFY row_number() OVER (PARTITION BY cell_lat, cell_lng ORDER BY obs_ts DESC, obs_id DESC) = 1""")
 oracle("stream_zone_board", with_ctes(WEATHER_OBS, WEATHER_NORM, zones_serving_cte()) + """
 , z AS (

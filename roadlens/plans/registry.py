@@ -426,6 +426,11 @@ def q_merge_alerts(i: Inputs) -> DataFrame:
 
 # ---- dashboard and dataset reports ------------------------------------------------
 
+@register("dashboard_totals")
+def q_dashboard_totals(i: Inputs) -> DataFrame:
+    return agg.dashboard_totals(i.records)
+
+
 @register("year_breakdown")
 def q_year_breakdown(i: Inputs) -> DataFrame:
     return agg.year_breakdown(i.records)
@@ -661,9 +666,10 @@ def q_stream_dedupe(i: Inputs) -> DataFrame:
 def q_stream_latest(i: Inputs) -> DataFrame:
     obs = fx.weather_obs(sj.events_stream(i.spark, i.sf_dir))
     out = sj.run_to_table(sj.stream_latest_weather(obs), "latest", mode="update", upsert_keys=["cell_lat", "cell_lng"])
+    out = sj.expire_latest(out, dims.WEATHER_TTL_S)
     return out.select("cell_lat", "cell_lng", F.col("latest.obs_id").alias("obs_id"),
                       F.col("latest.rainfall_mm").alias("rainfall_mm"),
-                      F.col("latest.weather_condition").alias("weather_condition"), "n_obs")
+                      F.col("latest.weather_condition").alias("weather_condition"), "n_obs", "expired")
 
 
 @register("stream_zone_board")

@@ -50,6 +50,16 @@ def stream_latest_weather(obs: DataFrame) -> DataFrame:
                                                  F.count(F.lit(1)).alias("n_obs"))
 
 
+def expire_latest(latest: DataFrame, ttl_s: int) -> DataFrame:
+    """X2 expiry: a cell's latest observation is expired once it is ``ttl_s``
+    seconds or more older than the newest observation the stream has seen
+    (a one-value aggregate of the state table)."""
+    newest = latest.agg(F.max("latest.obs_ts").alias("m")).first()["m"]
+    age_us = F.lit(newest).cast("timestamp_ntz").cast("timestamp").cast("double") * 1_000_000 \
+        - F.unix_micros(F.col("latest.obs_ts").cast("timestamp"))
+    return latest.withColumn("expired", age_us >= int(ttl_s) * 1_000_000)
+
+
 def stream_zone_board(obs: DataFrame, window: str = "30 seconds", delay: str = "10 minutes") -> DataFrame:
     """Observations -> nearest serving zone -> tumbling windows per zone
     (count, mean and max rainfall, min visibility); rows are emitted once the
