@@ -74,16 +74,18 @@ def stream_zone_board(obs: DataFrame, window: str = "30 seconds", delay: str = "
                      "n_obs", "avg_rainfall", "max_rainfall", "min_visibility"))
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append", upsert_keys: list[str] | None = None) -> DataFrame:
+def run_to_table(df: DataFrame, name: str, mode: str = "append", upsert_keys: list[str] | None = None,
+                 base: str | None = None) -> DataFrame:
     """Run a streaming DataFrame until its input is drained (availableNow) into a
     Parquet table under the shared checkpoint folder and return that table.
 
     ``mode='update'`` writes each micro-batch's changed state rows with their
     batch id (``foreachBatch``); the returned table keeps the newest row per
-    ``upsert_keys``.
+    ``upsert_keys``.  Passing the same ``base`` again resumes the query from
+    its checkpoint (only new input is processed).
     """
     spark = df.sparkSession
-    base = scratch_path(spark, "stream-" + name)
+    base = base or scratch_path(spark, "stream-" + name)
     out, ckpt = base + "/table", base + "/checkpoint"
     w = df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if mode == "append":
