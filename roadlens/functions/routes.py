@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..schemas import ROUTE_PAYLOAD
+from . import weather as wx
 
 
 def _c(x) -> Column:
@@ -16,8 +17,7 @@ def _c(x) -> Column:
 def parse_routes(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """Routing JSON -> first route's summary fields and first leg's points;
     payloads with no routes are skipped."""
-    p = F.from_json(F.col(payload), ROUTE_PAYLOAD)
-    df = raw.withColumn("_p", p).where(F.coalesce(F.size("_p.routes"), F.lit(-1)) > 0)
+    df = wx.parse_once(raw, payload, ROUTE_PAYLOAD, "_p").where(F.coalesce(F.size("_p.routes"), F.lit(-1)) > 0)
     r0 = F.get(F.col("_p.routes"), 0)
     s = r0["summary"]
     return df.select(

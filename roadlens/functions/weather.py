@@ -22,8 +22,22 @@ def parse_weather(obs: DataFrame, payload: str = "payload") -> DataFrame:
     valid = required[0].isNotNull()
     for c in required[1:]:
         valid = valid & c.isNotNull()
-    return (obs.withColumn("w", F.from_json(F.col(payload), WEATHER_PAYLOAD))
-               .withColumn("is_valid", F.coalesce(valid, F.lit(False))))
+    return (parse_once(obs, payload, WEATHER_PAYLOAD, "w")
+            .withColumn("is_valid", F.coalesce(valid, F.lit(False))))
+
+
+def parse_once(df: DataFrame, payload: str, schema, out: str) -> DataFrame:
+    """``from_json`` evaluated exactly once per row into struct column ``out``.
+
+    The parse is the single element of an array expanded by ``inline_outer``
+    (a Generate node): later field accesses read the generated columns
+    instead of Catalyst inlining (and re-running) the parse into every use."""
+    fields = [f.name for f in schema.fields]
+    clash = set(fields) & set(df.columns)
+    assert not clash, f"payload fields clash with input columns: {clash}"
+    parsed = df.select("*", F.inline_outer(F.array(F.from_json(F.col(payload), schema))))
+    return parsed.withColumn(out, F.when(F.col(payload).isNotNull(), F.struct(*[F.col(f) for f in fields]))) \
+                 .drop(*fields)
 
 
 def condition(main, rain_1h) -> Column:
