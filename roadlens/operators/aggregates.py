@@ -18,7 +18,9 @@ def positives(records: DataFrame) -> DataFrame:
 def region_summary(records: DataFrame, regions: DataFrame) -> DataFrame:
     """A1: incidents per region over the fixed region list, zero when absent."""
     counts = positives(records).groupBy("zone").agg(F.count(F.lit(1)).alias("incidents"))
-    return (F.broadcast(regions).join(counts, "zone", "left")
+    # the per-zone counts hold one row per region value of the gazetteer
+    # (a fixed table), so that side is the broadcast build side
+    return (regions.join(F.broadcast(counts), "zone", "left")
             .select("zone", "risk", F.coalesce("incidents", F.lit(0)).cast("bigint").alias("incidents")))
 
 

@@ -156,6 +156,7 @@ def zone_name_incidents(top_zones: DataFrame, accidents: DataFrame) -> DataFrame
     matched = F.array_compact(F.array(*[F.when(F.col("lname").contains(tok), F.lit(i)) for i, tok in tokens]))
     hits = (names.select("n", F.explode(matched).alias("top_ord"))
             .groupBy("top_ord").agg(F.sum("n").alias("n")))
-    return (F.broadcast(top_zones).join(hits, "top_ord", "left")
+    # at most one row per highlight zone (7): broadcast the counts
+    return (top_zones.join(F.broadcast(hits), "top_ord", "left")
             .select("top_ord", "name", "lat", "lng", "risk",
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("real_incidents")))
