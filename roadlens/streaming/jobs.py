@@ -74,6 +74,17 @@ def stream_zone_board(obs: DataFrame, window: str = "30 seconds", delay: str = "
                      "n_obs", "avg_rainfall", "max_rainfall", "min_visibility"))
 
 
+def start_continuous(df: DataFrame, name: str, every: str = "30 seconds", mode: str = "append"):
+    """Run a streaming job continuously (e.g. the zone board refreshed every
+    30 seconds) into a Parquet table under the shared checkpoint folder.
+    Returns the StreamingQuery; restarting with the same name's paths resumes
+    from the checkpoint."""
+    base = scratch_path(df.sparkSession, "stream-" + name)
+    return (df.writeStream.option("checkpointLocation", base + "/checkpoint")
+              .trigger(processingTime=every).outputMode(mode).format("parquet")
+              .option("path", base + "/table").start())
+
+
 def run_to_table(df: DataFrame, name: str, mode: str = "append", upsert_keys: list[str] | None = None,
                  base: str | None = None) -> DataFrame:
     """Run a streaming DataFrame until its input is drained (availableNow) into a

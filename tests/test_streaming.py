@@ -34,3 +34,14 @@ def test_zone_board_windows_are_thirty_seconds(spark):
     out = sj.run_to_table(sj.stream_zone_board(obs), "zb")
     secs = out.select(F.second(F.to_timestamp("window_start")).alias("s")).distinct().collect()
     assert {r.s for r in secs} <= {0, 30}
+
+
+def test_continuous_board_runs_and_stops(spark):
+    obs = fx.weather_obs(spark.readStream.schema(spark.read.parquet(f"{SMALL}/events.parquet").schema)
+                         .option("pathGlobFilter", "events*.parquet").parquet(SMALL))
+    q = sj.start_continuous(sj.stream_zone_board(obs), "zb-continuous", every="1 second")
+    try:
+        q.processAllAvailable()
+        assert q.exception() is None and q.lastProgress is not None
+    finally:
+        q.stop()
