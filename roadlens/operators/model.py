@@ -52,8 +52,23 @@ def prepare_training(df: DataFrame) -> DataFrame:
 
 
 def fit_ensemble(train: DataFrame, config: str = "retrain", seed: int = 42) -> PipelineModel:
-    """L6 + L7: fit both models in one pipeline (input must be prepared)."""
-    return ensemble_pipeline(config, seed).fit(train)
+    """L6 + L7: fit both models (input must be prepared).
+
+    Assembler and scaler are fitted first; the boosted trees and the forest
+    are then fitted concurrently (two driver threads submitting Spark jobs)
+    on the same assembled input, and joined into one ``PipelineModel``."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    assembler, scaler, gbt, rf = ensemble_pipeline(config, seed).getStages()
+    scaler_model = scaler.fit(assembler.transform(train))
+    features = scaler_model.transform(assembler.transform(train)).persist()
+    try:
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            gbt_job, rf_job = pool.submit(gbt.fit, features), pool.submit(rf.fit, features)
+            gbt_model, rf_model = gbt_job.result(), rf_job.result()
+    finally:
+        features.unpersist()
+    return PipelineModel(stages=[assembler, scaler_model, gbt_model, rf_model])
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
