@@ -71,3 +71,18 @@ def test_auc_matches_evaluator(spark):
     ev = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderROC")
     theirs = ev.evaluate(d.withColumn("label", F.col("accident").cast("double")))
     assert abs(ours - theirs) < 1e-9
+
+
+def test_dedupe_with_a_hot_key(spark):
+    """A third of all items share one title: one survivor, the first relevant
+    one in (source_rank, article_id) order, and nothing else is lost."""
+    i = Inputs(spark, SMALL)
+    hot = "Bus crash kills two at Guindy, Chennai"
+    arts = i.articles.withColumn("title", F.when(F.col("article_id") % 3 == 0, F.lit(hot)).otherwise(F.col("title")))
+    out = rec.dedupe_articles(arts)
+    hot_rows = out.where(F.col("dedupe_key") == hot.lower()[:60]).collect()
+    expect = (arts.where(F.col("article_id") % 3 == 0)
+              .orderBy("source_rank", "article_id").first())
+    assert len(hot_rows) == 1 and hot_rows[0].article_id == expect.article_id
+    rest = rec.dedupe_articles(arts.where(F.col("article_id") % 3 != 0))
+    assert out.count() == rest.count() + 1

@@ -15,9 +15,13 @@ def test_history_search_is_an_equi_join(spark):
     assert "HashJoin" in p or "SortMergeJoin" in p
 
 
-def test_dedupe_uses_window_group_limit(spark):
-    p = plan(spark, "article_dedupe")
-    assert "WindowGroupLimit" in p
+def test_dedupe_limits_before_the_shuffle(spark):
+    from roadlens.plans import registry
+    df = registry.queries()["article_dedupe"](spark, SMALL)
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    exch = [k for k, ln in enumerate(lines) if "Exchange hashpartitioning(dedupe_key" in ln]
+    partial = [k for k, ln in enumerate(lines) if "WindowGroupLimit" in ln and "Partial" in ln]
+    assert exch and partial and partial[0] > exch[0]   # the partial limit runs map-side, below the exchange
 
 
 def test_no_python_in_hot_paths(spark):
