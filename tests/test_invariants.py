@@ -86,3 +86,28 @@ def test_dedupe_with_a_hot_key(spark):
     assert len(hot_rows) == 1 and hot_rows[0].article_id == expect.article_id
     rest = rec.dedupe_articles(arts.where(F.col("article_id") % 3 != 0))
     assert out.count() == rest.count() + 1
+
+
+def test_asof_with_a_hot_cell_matches_brute_force(spark):
+    """A third of probes and observations fall into one weather cell; the
+    time-bucketed as-of lookup equals a brute-force range join."""
+    from pyspark.sql import Window
+
+    from roadlens.plans import alerts as al
+    i = Inputs(spark, SMALL)
+    hot = lambda df, idc: (df.withColumn("lat", F.when(F.col(idc) % 3 == 0, F.lit(13.05)).otherwise(F.col("lat")))
+                             .withColumn("lng", F.when(F.col(idc) % 3 == 0, F.lit(80.25)).otherwise(F.col("lng"))))
+    probes, obs = hot(i.probes, "probe_id"), hot(i.weather_obs, "obs_id")
+    ttl = 86400
+    got = al.weather_asof(probes, obs, ttl).select("probe_id", "obs_id")
+    w = al.weather_table(obs).select("obs_id", "obs_ts", "cell_lat", "cell_lng")
+    p = probes.withColumn("cell_lat", F.floor(F.col("lat") * 100 + 0.5).cast("long")) \
+              .withColumn("cell_lng", F.floor(F.col("lng") * 100 + 0.5).cast("long"))
+    age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("obs_ts").cast("timestamp"))
+    pairs = (p.join(w, ["cell_lat", "cell_lng"]).where((F.col("obs_ts") <= F.col("ts")) & (age < ttl * 1_000_000))
+             .withColumn("rn", F.row_number().over(Window.partitionBy("probe_id")
+                                                   .orderBy(F.desc("obs_ts"), F.desc("obs_id"))))
+             .where("rn = 1").select("probe_id", "obs_id"))
+    brute = p.select("probe_id").join(pairs, "probe_id", "left")
+    assert got.exceptAll(brute).count() == 0 and brute.exceptAll(got).count() == 0
+    assert got.where("obs_id IS NOT NULL").count() > 0
