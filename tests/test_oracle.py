@@ -40,3 +40,16 @@ def test_model_backed_queries_run(spark):
     s = QUERIES["score_requests"](spark, SMALL)
     assert s.where("accident_probability < 0 OR accident_probability > 1").count() == 0
     assert QUERIES["full_alerts"](spark, SMALL).count() == QUERIES["full_alerts_rules"](spark, SMALL).count()
+
+
+def test_scenario_scores(spark):
+    """The five named rows scored by the model trained on the driver's data."""
+    from roadlens import dims
+    from roadlens.plans import registry, train
+    from roadlens.plans.inputs import Inputs
+    model, _, _ = registry._trained(Inputs(spark, SMALL))
+    rows = train.scenario_scores(spark, model).collect()
+    assert [r.scenario for r in rows] == [s for s, _ in dims.SCENARIOS]
+    for r in rows:
+        assert 0.0 <= r.probability <= 1.0
+        assert abs(r.probability - (0.55 * r.gbt_probability + 0.45 * r.rf_probability)) < 1e-12
