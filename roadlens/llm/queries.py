@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 from . import decontaminate as dc
+from . import near_dup as nd
 from . import token_binary as tb
 from .common import read_table, scratch_path
 
@@ -36,3 +37,8 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.digest(dc.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+
+
+@register
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nd.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, numerator=85, denominator=100)
