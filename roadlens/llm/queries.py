@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 from . import decontaminate as dc
 from . import near_dup as nd
+from . import quality as ql
+from . import secrets as sc
 from . import token_binary as tb
 from .common import read_table, scratch_path
 
@@ -42,3 +44,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, numerator=85, denominator=100)
+
+
+@register
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ql.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@register
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sc.find_secrets(read_table(spark, sf_dir, "documents"))
