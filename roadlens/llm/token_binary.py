@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,17 @@ _LETTERS = "a-zß-öø-ÿ"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
 
 
+class _Pieces(dict):
+    """Piece (letters, one digit or symbols) -> bytes of the ids its merges give."""
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        text = piece if piece.isascii() else piece.translate(self.byte_chars)
+        out = self[piece] = array(self.typecode, [t.id for t in self.tokenize(text)]).tobytes()
+        return out
+
+
 class WordEncoder(dict):
     """Word between white space -> bytes of its ids, filled on first sight.
 
@@ -65,25 +77,23 @@ class WordEncoder(dict):
     def __init__(self, tokenizer_path: str, split_pieces: bool, dtype: str):
         super().__init__()
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.split_pieces, self.dtype, self.pieces = split_pieces, dtype, {}
+        self.split_pieces, self.dtype, self.pieces = split_pieces, dtype, _Pieces()
+        self.piece = self.pieces.__getitem__
+        # the model reads bytes as printable characters; those of ASCII stand for themselves
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces.byte_chars = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.pieces.tokenize, self.pieces.typecode = self.tokenizer.model.tokenize, "H" if dtype == "<u2" else "I"
 
     def _ask(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        out = self.pieces.get(piece)
-        if out is None:
-            if len(self.pieces) >= CACHE_PIECES:
-                self.pieces.clear()
-            out = self.pieces[piece] = self._ask(piece)
-        return out
-
     def __missing__(self, word: str) -> bytes:
         if not word:
             return b""
         if self.split_pieces and "<|" not in word and _PLAIN.fullmatch(word):
-            out = b"".join(map(self._piece, _PIECES.findall(word.lower())))
+            out = b"".join(map(self.piece, _PIECES.findall(word.lower())))
         else:
             out = self._ask(word)
         if len(word) <= 64:
@@ -108,6 +118,11 @@ def _word_split(tokenizer_path: str) -> bool:
     return '"Lowercase"' in rules and '"Removed"' in rules and "[^\\\\s\\\\p{L}\\\\p{N}]+" in rules
 
 
+def _vocabulary_size(tokenizer_path: str) -> int:
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(tokenizer_path).get_vocab_size()
+
+
 def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id",
                   text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The blocks of all documents (schema BLOCKS); write them with ``write``.
@@ -116,13 +131,12 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col:
     vocabulary (white space dropped), which is checked here."""
     if not _word_split(tokenizer_path):
         raise ValueError(f"{tokenizer_path}: not a lower-casing vocabulary that drops white space")
+    id_type = "<u2" if max(_vocabulary_size(tokenizer_path), end_id) < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tokenizer_path,)
+        key = (tokenizer_path, id_type)
         if key not in _ENCODERS:
-            probe = WordEncoder(tokenizer_path, True, "<u4")
-            probe.dtype = "<u2" if max(probe.tokenizer.get_vocab_size(), end_id) < 1 << 16 else "<u4"
-            _ENCODERS[key] = probe
+            _ENCODERS[key] = WordEncoder(tokenizer_path, True, id_type)
         encoder = _ENCODERS[key]
         width = np.dtype(encoder.dtype).itemsize
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
