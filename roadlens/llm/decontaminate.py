@@ -104,20 +104,23 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def scan_documents(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   slice_windows: int = SLICE_WINDOWS, keep: list[str] | None = None) -> DataFrame:
-    """One row per document with n_words, n_hit, spans (hit word spans), items and contaminated.
+def _inner_names(columns: list[str], id_col: str, text_col: str) -> dict[str, str]:
+    """Name used inside -> column of the caller, for all columns."""
+    own = {id_col: "doc_id", text_col: "text"}
+    return {own.get(c, f"_k{i}"): c for i, c in enumerate(columns)}
+
 
-    ``windows`` is a written table of ``item_windows``.  ``keep`` names further
-    columns to carry along."""
+def _scan(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, slice_windows: int,
+          carry: bool) -> DataFrame:
+    """doc_id, n_words, n_hit, spans, items, contaminated; with ``carry`` also the text and
+    the other columns, under inner names."""
     slices = max(1, -(-windows.count() // slice_windows))
     spark = docs.sparkSession
-    carried = {f"_k{i}": c for i, c in enumerate(keep or [])}
-    named = only(docs, doc_id=id_col, text=text_col, **carried)
+    names = _inner_names(docs.columns, id_col, text_col) if carry else {"doc_id": id_col, "text": text_col}
+    named = only(docs, **names)
     if slices > 1:
         named = named.withColumn("_row", F.monotonically_increasing_id())
-    extra = [f for f in named.schema.fields if f.name not in ("doc_id", "text")]
-    out_schema = named.schema.__class__([named.schema["doc_id"], *extra])
+    out_schema = [f for f in named.schema.fields if carry or f.name != "text"]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out_schema)
     ddl += ", n_words long, spans array<struct<s:long,e:long>>, items array<string>"
     results = []
@@ -146,26 +149,37 @@ def scan_documents(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id",
     out = results[0]
     if slices > 1:
         out = _merge_slices(results, [f.name for f in out_schema])
-    out = (out.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, x) -> n + x.e - x.s)"))
-              .withColumn("contaminated", F.size("spans") > 0))
-    return out.select(F.col("doc_id").alias(id_col), *[F.col(k).alias(c) for k, c in carried.items()],
-                      "n_words", "n_hit", "spans", "items", "contaminated")
+    return (out.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, x) -> n + x.e - x.s)"))
+               .withColumn("contaminated", F.size("spans") > 0))
+
+
+def scan_documents(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   slice_windows: int = SLICE_WINDOWS) -> DataFrame:
+    """One row per document with n_words, n_hit, spans (hit word spans), items and contaminated.
+
+    ``windows`` is a written table of ``item_windows``."""
+    found = _scan(docs, windows, id_col, text_col, slice_windows, carry=False)
+    return found.select(F.col("doc_id").alias(id_col), "n_words", "n_hit", "spans", "items", "contaminated")
 
 
 _SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
+def _whole(docs: DataFrame, items: DataFrame, n: int, id_col: str, text_col: str, slice_windows: int) -> DataFrame:
+    return _scan(docs, materialize(item_windows(items, n), "bench-windows"), id_col, text_col, slice_windows, carry=True)
+
+
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id",
-                 text_col: str = "text", **options) -> DataFrame:
+                 text_col: str = "text", slice_windows: int = SLICE_WINDOWS) -> DataFrame:
     """The documents with the hit words cut out of their texts; all other columns as they are."""
-    columns = docs.columns
-    scanned = decontaminate(docs, items, n, id_col=id_col, text_col=text_col, keep=columns, **options)
-    scanned = scanned.select(*[f"`{c}`" for c in columns], F.col("spans").alias("_hit_spans"))
+    names = _inner_names(docs.columns, id_col, text_col)
+    scanned = _whole(docs, items, n, id_col, text_col, slice_windows).select(*names, "spans")
+    columns = list(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch[text_col].to_pylist()
-            for k, spans in enumerate(batch["_hit_spans"].to_pylist()):
+            texts = batch["text"].to_pylist()
+            for k, spans in enumerate(batch["spans"].to_pylist()):
                 if spans:
                     _, w = next(chunks(pa.array([texts[k]]), ALNUM_WORDS))
                     raw, out, at = texts[k].encode(), [], 0
@@ -173,8 +187,8 @@ def remove_spans(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str
                         out.append(raw[at:int(w.start[x["s"]])])
                         at = int(w.end[x["e"] - 1])
                     texts[k] = b"".join([*out, raw[at:]]).decode()
-            yield pa.RecordBatch.from_pydict({c: pa.array(texts, pa.string()) if c == text_col else batch[c]
-                                              for c in columns})
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch[c]
+                                              for c in columns], names=columns)
 
     return scanned.mapInArrow(run, docs.schema)
 
@@ -213,9 +227,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, **options)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id",
-                    text_col: str = "text", **options) -> DataFrame:
+                    text_col: str = "text", slice_windows: int = SLICE_WINDOWS) -> DataFrame:
     """The documents without contaminated ones, all columns kept as they are."""
-    columns = docs.columns
-    scanned = decontaminate(docs, items, n, id_col=id_col, text_col=text_col, keep=columns, **options)
-    own = [f"`{c}`" for c in columns]
-    return scanned.where(~F.col("contaminated")).select(*own)
+    names = _inner_names(docs.columns, id_col, text_col)
+    scanned = _whole(docs, items, n, id_col, text_col, slice_windows).where(~F.col("contaminated"))
+    return scanned.select(*[F.col(inner).alias(c) for inner, c in names.items()])

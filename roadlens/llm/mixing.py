@@ -51,7 +51,7 @@ TEMPER = 0.5
 LABELLED_ROWS = 100_000
 RIDGE = 1e-3
 STEPS, STEPS_PER_TABLE = 24, 6
-TOLERANCE = 1e-3
+TOLERANCE = 1e-4
 
 
 def buckets_of(text: Column, buckets: int) -> Column:

@@ -150,4 +150,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
                        F.col(f"`{text_col}`").alias("_text"))
     rows = with_verdict(with_base(with_words(rows, "_text"), "_text"), table, n, threshold)
-    return rows.where("kept").select("_doc.*")
+    # a generated column: a filter on it is not pushed down, where the rules would be computed again inside it
+    return rows.select("_doc", F.explode_outer(F.array("kept")).alias("_keep")).where("_keep").select("_doc.*")
