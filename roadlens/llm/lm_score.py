@@ -97,16 +97,13 @@ class Model:
 
 def models(tables: DataFrame, words: int, pairs: int) -> tuple[Model, Model]:
     """(target, background) from the count tables; at most 2 * words + pairs rows reach the driver."""
-    sizes = (words, words, pairs)
-    rows = tables.toPandas()
+    rows = tables.toArrow()
+    kind, bucket = rows["kind"].to_numpy(), rows["bucket"].to_numpy()
     out = []
     for column in ("target", "background"):
-        arrays = []
-        for kind, n in enumerate(sizes):
-            mine = rows[rows["kind"] == kind]
-            a = np.zeros(n, dtype=np.int64)
-            a[mine["bucket"].to_numpy()] = mine[column].to_numpy()
-            arrays.append(a)
+        arrays = [np.zeros(n, dtype=np.int64) for n in (words, words, pairs)]
+        for k, a in enumerate(arrays):
+            a[bucket[kind == k]] = rows[column].to_numpy()[kind == k]
         out.append(Model(*arrays))
     return out[0], out[1]
 
