@@ -6,14 +6,16 @@
    expected count.  Smoothing and a least weight of evidence leave out words
    that are rare or that a domain merely favours (as one language does), so
    that long documents are not decided by many small biases.  ``good`` is the
-   domain without evidence against it.  The sums are tempered and normalised.
+   domain without evidence against it: the other domains start at the log odds
+   ``NO_EVIDENCE``.  The sums are normalised by the softmax.
 2. Rates r >= 0, one per document, are fitted by projected gradient descent on
 
        sum_k (sum_d r_d n_d p_dk - T_k)^2 / (2 N E_k) + ridge / 2 * sum_d n_d / N (r_d - 1)^2
 
    with n_d the tokens, p_dk the posteriors, E_k the expected tokens of domain
    k, N all tokens, and targets T_k in the ratio of the weights, scaled so that
-   the domain ``good`` keeps its tokens.  The ridge makes the solution unique.
+   the domain ``good`` keeps its tokens; a domain that has less than its weight
+   allows keeps what it has.  The ridge makes the solution unique.
    One step needs the K residuals only, so a step is one aggregate over a
    table of (tokens, posteriors, rate), which is written anew every few steps;
    rates are never shuffled.  Step size 1 is safe: the scaled Hessian is
@@ -25,9 +27,9 @@ The sums over documents are taken in whole millionths, so they don't depend on
 the order.  The classifier's sample is bounded (``labelled_rows`` smallest
 doc_ids by hash); posteriors, tokens and residuals cover every document.
 
-Cases: null or word-less texts have no tokens and the prior as posterior; they
-never move a total.  A domain without tokens is left out of the fit.  Without
-labels every document is ``good``.  Repeated rows count each for itself and
+Cases: null or word-less texts have no tokens and the posterior
+without evidence; they never move a total.  A domain without tokens is left out of the fit.  Without
+labels every document is equally near ``good``.  Repeated rows count each for itself and
 share the draw of their doc_id.  An empty table has no rates.  Extra columns
 are carried along by ``mix`` whatever their names.
 """
@@ -43,11 +45,11 @@ from .common import materialize, only
 from .quality import UNIT, constant_array, words_of
 
 DOMAINS = ["good", "low", "toxic"]
-WEIGHTS = {"good": 0.97, "low": 0.03, "toxic": 0.0}
+WEIGHTS = {"good": 0.94, "low": 0.04, "toxic": 0.02}
 BUCKETS = 1 << 17
 SMOOTHING = 10.0
 LEAST_EVIDENCE = 0.8
-TEMPER = 0.5
+NO_EVIDENCE = -5.0
 LABELLED_ROWS = 100_000
 RIDGE = 1e-3
 STEPS, STEPS_PER_TABLE = 24, 6
@@ -67,18 +69,13 @@ def labelled_domains(labels: DataFrame, limit: int) -> DataFrame:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING,
-                   labelled_rows: int = LABELLED_ROWS) -> tuple[list[list[int]], list[float]]:
-    """(ratio table of every domain in units of 1 / UNIT, log priors).  ``docs``: doc_id, text."""
+                   labelled_rows: int = LABELLED_ROWS) -> list[list[int]]:
+    """Ratio table of every domain in units of 1 / UNIT.  ``docs``: doc_id, text."""
     sample = labelled_domains(labels, labelled_rows)
     rows = docs.join(F.broadcast(sample), "doc_id")
     counts = (rows.select("domain", F.explode(buckets_of(F.col("text"), buckets)).alias("b"))
               .groupBy("b").agg(*[F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(len(DOMAINS))])
               .collect())  # at most ``buckets`` rows
-    sizes = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    priors = [math.log((sizes.get(k, 0) + 0.5) / (sum(sizes.values()) + 0.5 * len(DOMAINS)))
-              for k in range(len(DOMAINS))]
-    if not sizes:
-        priors = [0.0, -50.0, -50.0]
     totals = [sum(r[f"c{k}"] for r in counts) for k in range(len(DOMAINS))]
     tables = [[0] * buckets for _ in DOMAINS]
     for r in counts:
@@ -88,21 +85,21 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, s
             weight = math.log((r[f"c{k}"] + smoothing) / (expected + smoothing)) if totals[k] else 0.0
             if abs(weight) >= LEAST_EVIDENCE:
                 tables[k][r.b] = round(UNIT * weight)
-    return tables, priors
+    return tables
 
 
 def _sum_of(indices: str, table: Column) -> Column:
     return F.aggregate(indices, F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
 
 
-def with_posteriors(rows: DataFrame, tables: list[list[int]], priors: list[float], text: str = "text",
-                    temper: float = TEMPER) -> DataFrame:
+def with_posteriors(rows: DataFrame, tables: list[list[int]], text: str = "text",
+                    no_evidence: float = NO_EVIDENCE) -> DataFrame:
     """Adds n_tokens (words) and p_<domain>."""
     buckets = len(tables[0])
     rows = rows.withColumn("_b", buckets_of(F.col(text), buckets)).withColumn("n_tokens", F.size("_b").cast("long"))
     for k in range(1, len(tables)):
         total = _sum_of("_b", constant_array(tables[k]))
-        logit = F.lit(priors[k] - priors[0]) + total * F.lit(temper / UNIT)
+        logit = F.lit(no_evidence) + total * F.lit(1 / UNIT)
         rows = rows.withColumn(f"_l{k}", F.least(F.lit(500.0), logit))
     logits = [F.lit(0.0), *[F.col(f"_l{k}") for k in range(1, len(tables))]]
     rows = rows.withColumn("_top", F.greatest(*logits))
@@ -133,7 +130,7 @@ def fit_rates(table: DataFrame, weights: dict[str, float], ridge: float = RIDGE,
     rate = F.lit(1.0)
     now = expected = totals(rate)
     everything = sum(expected)
-    targets = [expected[0] * weights[d] / weights[DOMAINS[0]] for d in DOMAINS]
+    targets = [min(e, expected[0] * weights[d] / weights[DOMAINS[0]]) for d, e in zip(DOMAINS, expected)]
     for n in range(steps if everything else 0):
         if n and n % STEPS_PER_TABLE == 0:  # keeps the expression short
             table = materialize(table.withColumn("_next", rate).drop("_rate").withColumnRenamed("_next", "_rate"),
@@ -155,10 +152,10 @@ def copies_of(rate: Column, key: Column) -> Column:
 
 def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     named = only(docs, doc_id=id_col, text=text_col)
-    tables, priors = fit_classifier(named, labels, **options)
+    tables = fit_classifier(named, labels, **options)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
                        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return with_posteriors(rows, tables, priors)
+    return with_posteriors(rows, tables)
 
 
 def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id",
