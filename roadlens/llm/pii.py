@@ -37,7 +37,8 @@ _PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
     r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"
     r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![A-Za-z0-9])"
-    r"|(?<![0-9A-Za-z.-])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z.-])(?P<card>[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}"
+    r"|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])(?P<phone>\+1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
     r"|\([2-9][0-9]{2}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[2-9][0-9]{2}[.-][0-9]{3}[.-][0-9]{4}"
     r"|\+[1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){2,4})(?![0-9A-Za-z])"
