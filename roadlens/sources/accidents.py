@@ -6,19 +6,31 @@ is the internal form (``accident = 1`` becomes partition pruning).
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..schemas import ACCIDENT, ACCIDENT_COLUMNS
 
+_LOG = logging.getLogger(__name__)
+
 
-def read_accidents(spark: SparkSession, path: str) -> DataFrame:
+def read_accidents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Header CSV with the declared 34-column schema (no inference).
 
-    Empty fields read as null, as a pandas reader turns them into NaN."""
-    return (spark.read.schema(ACCIDENT).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    Columns are taken by their header names, in whatever order the file has
+    them; a column the file lacks is null, and a value that doesn't fit its
+    type is null.  Empty fields read as null, as a pandas reader turns them
+    into NaN.  Without line breaks inside fields, ``multi_line=False`` lets
+    Spark split large files."""
+    raw = (spark.read.option("header", True).option("multiLine", multi_line)
+           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    found = set(raw.columns)
+    return raw.select(*[
+        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in found else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in ACCIDENT.fields])
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -39,14 +51,17 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
 
 def read_accident_history(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Many CSV files -> positives with a file-rank column; files whose
-    header lacks ``accident`` are skipped, unreadable files are ignored."""
+    header lacks ``accident`` and files that can't be read are skipped, with a
+    warning that names them."""
     frames = []
     for rank, p in enumerate(paths):
         try:
             header = spark.read.option("header", True).csv(p).columns
-        except Exception:  # noqa: BLE001 - unreadable file is skipped as in the original
+        except Exception as error:  # noqa: BLE001 - unreadable file is skipped as in the original
+            _LOG.warning("skipped %s: %s", p, str(error).split("\n")[0])
             continue
         if "accident" not in header:
+            _LOG.warning("skipped %s: no column accident", p)
             continue
         frames.append(read_accidents(spark, p).where(F.col("accident") == 1).withColumn("file_rank", F.lit(rank)))
     if not frames:

@@ -38,3 +38,18 @@ def test_partitioned_sink_prunes(spark):
     plan = pos._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(accident" in plan
     assert pos.count() == i.dataset.where(F.col("accident") == 1).count()
+
+
+def test_columns_are_read_by_name(spark, tmp_path):
+    """A file with another column order, an unknown column and missing ones keeps its rows."""
+    from roadlens.schemas import ACCIDENT_COLUMNS
+    from roadlens.sources import accidents as src
+    (tmp_path / "a.csv").write_text("accident,hour,extra,zone,latitude\n1,7,x,North,13.05\n0,bad,y,,1\n")
+    (tmp_path / "b.csv").write_text("zone,hour\nNorth,3\n")
+    df = src.read_accidents(spark, str(tmp_path / "a.csv"))
+    assert df.columns == ACCIDENT_COLUMNS
+    rows = {r.accident: r for r in df.collect()}
+    assert (rows[1].hour, rows[1].zone, rows[1].latitude, rows[1].headline) == (7, "North", 13.05, None)
+    assert rows[0].hour is None and rows[0].zone is None
+    paths = [str(tmp_path / x) for x in ("a.csv", "b.csv", "missing.csv")]
+    assert [(r.accident, r.hour, r.file_rank) for r in src.read_accident_history(spark, paths).collect()] == [(1, 7, 0)]
