@@ -29,8 +29,12 @@ def with_candidate_columns(articles: DataFrame) -> DataFrame:
     df = df.withColumn("summary", F.coalesce(F.col("summary"), F.lit("")))
     relevant = tx.is_relevant(F.concat_ws(" ", "title", "summary"))
     tamil = F.col("source_rank").isin(dims.TAMIL_RELAXED_RANKS) & tx.has_tamil_accident_word("title")
+    # the flag is produced by a Generate (one-element inline): a filter on it
+    # stays above, so the text rule is not inlined into a predicate whose
+    # generated code is not split
+    flag = F.coalesce(relevant | tamil, F.lit(False)).alias("is_relevant")
     return (df.withColumn("dedupe_key", tx.dedupe_key("title"))
-              .withColumn("is_relevant", relevant | tamil))
+              .select("*", F.inline(F.array(F.struct(flag)))))
 
 
 def relevant_articles(articles: DataFrame) -> DataFrame:
@@ -43,17 +47,15 @@ def dedupe_articles(articles: DataFrame) -> DataFrame:
 
     Relevance is applied first (irrelevant items never take a key); the
     location filter comes after (an item without a place still takes the
-    key).  Relevant items are ranked ahead of irrelevant ones inside each key,
-    so "first relevant" is ``row_number() = 1 and is_relevant``; this keeps
-    the text rules in a projection (split, JIT-compiled code) instead of a
-    pushed-down filter predicate.  The rank filter plans as a WindowGroupLimit
-    that also runs before the shuffle, so a key holding a third of all rows is
-    cut to one row per map partition before it is exchanged.
+    key).  Only relevant items are shuffled.  The rank filter plans as a
+    WindowGroupLimit that also runs before the shuffle, so a key holding a
+    third of all rows is cut to one row per map partition before it is
+    exchanged.
     """
-    w = Window.partitionBy("dedupe_key").orderBy(F.col("is_relevant").desc(), "source_rank", "article_id")
-    return (with_candidate_columns(articles)
+    w = Window.partitionBy("dedupe_key").orderBy("source_rank", "article_id")
+    return (relevant_articles(articles)
             .withColumn("_rn", F.row_number().over(w))
-            .where((F.col("_rn") == 1) & F.col("is_relevant")).drop("_rn"))
+            .where(F.col("_rn") == 1).drop("_rn"))
 
 
 def match_location(df: DataFrame, text: Column, zones: DataFrame) -> DataFrame:
@@ -72,14 +74,16 @@ def match_location(df: DataFrame, text: Column, zones: DataFrame) -> DataFrame:
 def build_records(articles: DataFrame, zones: DataFrame, as_of) -> DataFrame:
     """Relevance -> dedupe -> location -> 34-column accident record.
 
-    ``articles``: article_id, source_rank, title, source_url, optional summary
-    and published_ts (feed items only).  ``as_of`` is the run date used by the
+    ``articles``: article_id, source_rank, title, source_url, optional summary,
+    published_ts and search keyword (the last two: feed items only).  ``as_of`` is the run date used by the
     undated-article imputation (a DATE literal or column).
     """
     as_of = F.lit(as_of).cast("date") if not isinstance(as_of, Column) else as_of
     df = dedupe_articles(articles)
     if "published_ts" not in df.columns:
         df = df.withColumn("published_ts", F.lit(None).cast("timestamp_ntz"))
+    if "keyword" not in df.columns:
+        df = df.withColumn("keyword", F.lit(""))
     is_feed = F.col("source_rank") == 0
     split = tx.split_publisher("title")
     site_pub = dims.map_lookup({r: p for r, _, p in dims.SOURCES if p}, F.col("source_rank"), None)
@@ -110,7 +114,7 @@ def build_records(articles: DataFrame, zones: DataFrame, as_of) -> DataFrame:
         "article_id", "source_rank",
         "source_url", "publisher",
         F.substring("clean_title", 1, 120).alias("headline"),
-        F.lit("").alias("keyword"),
+        F.when(is_feed, F.coalesce("keyword", F.lit(""))).otherwise(F.lit("")).alias("keyword"),
         F.date_format("_date", "yyyy-MM-dd").alias("date"),
         "hour", "day_of_week",
         cal.is_weekend("_date").alias("is_weekend"),

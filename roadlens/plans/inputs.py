@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..operators import geo
 from ..operators import records as rec
 from ..operators import training as tr
 from ..session import apply_runtime_conf, ensure_checkpoint_dir, materialize
@@ -67,21 +68,30 @@ class Inputs:
 
     @property
     def records(self) -> DataFrame:
-        """Positive accident records built from the articles (article_id + 34 columns).
+        """Positive accident records built from the articles (article_id + 34
+        columns).  Lazy: a job that reads them once computes only its columns."""
+        return self._get("records", lambda: rec.build_records(self.articles, self.zones_train, F.lit(self.as_of)))
 
-        Written once (a table in the shared checkpoint folder), as the
-        dataset builder writes its file: the many jobs that branch on the
-        records read the table instead of each re-running the text pipeline,
-        and a lost executor does not restart it."""
-        return self._get("records", lambda: materialize(
-            rec.build_records(self.articles, self.zones_train, F.lit(self.as_of)), "records"))
+    @property
+    def record_table(self) -> DataFrame:
+        """The records written once in the shared checkpoint folder, as the
+        dataset builder writes its file, for jobs that branch on them."""
+        return self._get("record_table", lambda: materialize(self.records, "records"))
+
+    @property
+    def history(self) -> DataFrame:
+        """The history base (D2) with the columns of the proximity search,
+        written once: the search reads it as points and as newest rows."""
+        return self._get("history", lambda: materialize(geo.history_base(self.records).select(
+            "article_id", "latitude", "longitude", "date", "location_name", "zone", "headline", "severity",
+            "publisher", "source_url", "vehicle_type"), "history"))
 
     @property
     def negatives(self) -> DataFrame:
         """L1 negatives, one per positive."""
-        return self._get("negatives", lambda: tr.negatives_from_zones(self.records, self.zones_train, F.lit(self.as_of)))
+        return self._get("negatives", lambda: tr.negatives_from_zones(self.record_table, self.zones_train, F.lit(self.as_of)))
 
     @property
     def dataset(self) -> DataFrame:
         """The builder's training set (record_id + 34 columns)."""
-        return self._get("dataset", lambda: materialize(tr.training_set(self.records, self.negatives), "dataset"))
+        return self._get("dataset", lambda: materialize(tr.training_set(self.record_table, self.negatives), "dataset"))

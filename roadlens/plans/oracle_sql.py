@@ -30,26 +30,42 @@ def zones_serving_cte() -> str:
     return f"zones_serving AS ({dims.zones_serving_values_sql()})"
 
 
-ARTICLES = """articles AS (
-SELECT e.event_id AS article_id,
-       CAST(e.event_id % 6 AS INT) AS source_rank,
-       e.ts AS published_ts,
-       concat(CASE CAST(e.event_id % 8 AS INT)
-         WHEN 0 THEN 'Two-wheeler rider killed after lorry hit him'
-         WHEN 1 THEN '3 people injured as bus and car collide in accident at signal'
-         WHEN 2 THEN 'College student escapes unhurt in auto crash'
-         WHEN 3 THEN '12 killed, 7 vehicles damaged in fatal pile-up'
-         WHEN 4 THEN 'Man struck by heavy vehicle on flyover, critical'
-         WHEN 5 THEN 'Council reviews new budget'
-         WHEN 6 THEN 'SUV accident: 1 dead'
-         ELSE 'Minor collision near school' END,
+def _arms(values: list[str], idx: str) -> str:
+    return f"CASE {idx} " + " ".join(f"WHEN {i} THEN {q(v)}" for i, v in enumerate(values)) + " END"
+
+
+ARTICLES = f"""articles AS (
+SELECT b.event_id AS article_id,
+       CAST(b.event_id % 6 AS INT) AS source_rank,
+       b.ts - to_days(CAST(b.event_id % 7 * 30 AS INT)) AS published_ts,
+       CASE WHEN b.hot THEN '3 people injured as bus and car collide in accident at kathipara, Chennai'
+       ELSE concat(
+         CASE WHEN b.told THEN concat('Case ', CAST(b.story AS VARCHAR), ': ', CASE b.block % 8
+           WHEN 0 THEN 'Two-wheeler rider killed after lorry hit him'
+           WHEN 1 THEN '3 people injured as bus and car collide in accident at signal'
+           WHEN 2 THEN 'College student escapes unhurt in auto crash'
+           WHEN 3 THEN '12 killed, 7 vehicles damaged in fatal pile-up'
+           WHEN 4 THEN 'Man struck by heavy vehicle on flyover, critical'
+           WHEN 5 THEN 'Council reviews new budget'
+           WHEN 6 THEN 'SUV accident: 1 dead'
+           ELSE 'Minor collision near school' END)
+         ELSE concat('Note ', CAST(b.story AS VARCHAR), ': ', CASE b.block % 4
+           WHEN 0 THEN 'School opens new library' WHEN 1 THEN 'Council plans a park'
+           WHEN 2 THEN 'Metro work moves on' ELSE 'Market prices ease' END) END,
          CASE WHEN z.zone_key IS NULL THEN ' in Salem' ELSE concat(' at ', z.zone_key, ', Chennai') END,
-         CASE WHEN e.event_id % 5 = 0 THEN ' - Daily Post' ELSE '' END) AS title,
-       CASE WHEN e.event_id % 9 = 0 THEN concat('https://news.example.org/2024/01/',
-              CASE WHEN e.event_id % 28 < 9 THEN '0' ELSE '' END,
-              CAST(e.event_id % 28 + 1 AS VARCHAR), '/a', CAST(e.event_id AS VARCHAR))
-            ELSE concat('https://news.example.org/a', CAST(e.event_id AS VARCHAR)) END AS source_url
-FROM events e LEFT JOIN zones_train z ON z.zone_ord = (e.event_id * 7 + e.user_id) % 50)"""
+         CASE WHEN b.story % 5 = 0 THEN ' - Daily Post' ELSE '' END) END AS title,
+       CASE WHEN b.hot OR NOT b.told THEN NULL
+            WHEN b.block % 8 = 5 THEN 'Accident near a school, 2 injured; Chennai police at the junction'
+            WHEN b.event_id % 2 = 0 THEN 'Police said 4 people were injured and 2 vehicles towed at the signal'
+            ELSE '' END AS summary,
+       CASE WHEN b.event_id % 6 = 0 THEN {_arms(dims.RSS_KEYWORDS, f"b.block % {len(dims.RSS_KEYWORDS)}")} END AS keyword,
+       CASE WHEN b.block % 2 = 0 THEN concat('https://news.example.org/2023/0', CAST(b.block % 9 + 1 AS VARCHAR), '/',
+              CASE WHEN b.event_id % 28 < 9 THEN '0' ELSE '' END,
+              CAST(b.event_id % 28 + 1 AS VARCHAR), '/a', CAST(b.event_id AS VARCHAR))
+            ELSE concat('https://news.example.org/a', CAST(b.event_id AS VARCHAR)) END AS source_url
+FROM (SELECT event_id, ts, event_id // 6 AS block, (event_id // 6) % 3 = 0 AS hot, (event_id // 18) % 5 = 1 AS told,
+             CASE WHEN (event_id // 2) % 4 = 0 THEN event_id - event_id % 2 ELSE event_id END AS story FROM events) b
+LEFT JOIN zones_train z ON z.zone_ord = (b.story * 7) % 50)"""
 
 PROBES = """probes AS (
 SELECT event_id AS probe_id, ts,
@@ -58,9 +74,9 @@ SELECT event_id AS probe_id, ts,
 FROM events)"""
 
 WEATHER_OBS = """weather_obs AS (
-SELECT event_id AS obs_id, ts AS obs_ts,
-       CAST(12850 + (event_id * 17) % 340 AS DOUBLE) / 1000 AS lat,
-       CAST(80000 + (user_id * 31 + event_id) % 310 AS DOUBLE) / 1000 AS lng,
+SELECT event_id AS obs_id, ts - to_seconds(event_id % 900) AS obs_ts,
+       CAST(12850 + (event_id * CASE WHEN event_id % 3 = 0 THEN 17 ELSE 13 END) % 340 AS DOUBLE) / 1000 AS lat,
+       CAST(80000 + (user_id * CASE WHEN event_id % 3 = 0 THEN 31 ELSE 29 END + event_id) % 310 AS DOUBLE) / 1000 AS lng,
        CASE WHEN event_id % 50 = 0 THEN '{bad json'
        ELSE concat('{"main":{"temp":', CAST(24 + event_id % 13 AS VARCHAR),
          ',"feels_like":', CAST(26 + event_id % 13 AS VARCHAR),
@@ -82,13 +98,13 @@ SELECT e.event_id AS trip_id, concat('o', CAST(e.user_id AS VARCHAR)) AS origin,
        CAST((e.event_id * 11 + k.config_ord * 97) % 1200 AS INT) AS delay_s,
        CASE WHEN e.event_id % 10 = 0 THEN CAST(NULL AS INT)
             ELSE CAST(700 + (e.event_id * 53 + k.config_ord * 401) % 1500 AS INT) END AS no_traffic_s,
-       e.ts AS obs_ts
+       e.ts - to_seconds(e.event_id % 450) AS obs_ts
 FROM events e CROSS JOIN (SELECT * FROM (VALUES (0,'fastest'),(1,'shortest'),(2,'eco')) AS v(config_ord, route_type)) k)"""
 
 ROUTE_REQUESTS = """route_requests AS (
 SELECT event_id AS request_id, ts, concat('o', CAST(user_id AS VARCHAR)) AS origin,
        CASE WHEN event_id % 4 = 0 THEN CAST(NULL AS VARCHAR)
-            ELSE concat('d', CAST((event_id * 3) % 40 AS VARCHAR)) END AS destination
+            ELSE concat('d', CAST((event_id * CASE WHEN event_id % 3 = 0 THEN 3 ELSE 1 END) % 40 AS VARCHAR)) END AS destination
 FROM events)"""
 
 
@@ -160,10 +176,10 @@ def records_ctes(as_of: str = AS_OF) -> str:
     tamil = any_contains("title", dims.TAMIL_TITLE_WORDS)
     site_pub = "CASE source_rank " + " ".join(f"WHEN {r} THEN {q(p)}" for r, _, p in dims.SOURCES if p) + " END"
     return f"""cand AS (
-  SELECT article_id, source_rank, published_ts, title, source_url, summary,
+  SELECT article_id, source_rank, published_ts, title, source_url, summary, keyword,
          lower(substr(title, 1, 60)) AS dedupe_key,
          CASE WHEN source_rank = 5 THEN ({rel} OR {tamil}) ELSE {rel} END AS is_relevant
-  FROM (SELECT *, '' AS summary FROM articles) a),
+  FROM (SELECT * REPLACE (COALESCE(summary, '') AS summary) FROM articles) a),
 dedup AS (
   SELECT * FROM cand WHERE is_relevant
   QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY source_rank, article_id) = 1),
@@ -196,7 +212,8 @@ imputed AS (
          ELSE {pick(dims.IMPUTE_HOURS_DATED, draw("source_url", "hour", len(dims.IMPUTE_HOURS_DATED)))} END AS INTEGER) AS hour
   FROM dated),
 records AS (
-  SELECT article_id, source_rank, source_url, publisher, substr(clean_title, 1, 120) AS headline, '' AS keyword,
+  SELECT article_id, source_rank, source_url, publisher, substr(clean_title, 1, 120) AS headline,
+    CASE WHEN source_rank = 0 THEN COALESCE(keyword, '') ELSE '' END AS keyword,
     strftime(d, '%Y-%m-%d') AS date, hour,
     CASE WHEN gdate IS NULL THEN dayname(d) WHEN source_rank = 0 THEN dayname(d) ELSE NULL END AS day_of_week,
     CAST(isodow(d) >= 6 AS INTEGER) AS is_weekend,
@@ -788,7 +805,7 @@ u AS (SELECT page_id, base, unnest(hrefs) AS href, unnest(texts) AS text, genera
 SELECT page_id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(text, '<[^>]*>', '', 'g')) AS text,
        CASE WHEN starts_with(href, 'http') THEN href ELSE concat(base, href) END AS href FROM u""")
 oracle("rss_items", with_ctes(zones_train_cte(), ARTICLES) + """
-SELECT title, source_url AS link, '' AS summary, strftime(published_ts, '%a, %d %b %Y %H:%M:%S GMT') AS published,
+SELECT title, source_url AS link, COALESCE(summary, '') AS summary, strftime(published_ts, '%a, %d %b %Y %H:%M:%S GMT') AS published,
        strftime(published_ts, '%Y-%m-%d') AS date, CAST(hour(published_ts) AS INTEGER) AS hour
 FROM articles WHERE source_rank = 0""")
 

@@ -51,7 +51,7 @@ def q_relevant_articles(i: Inputs) -> DataFrame:
     """F1 on every article (the standard rule), as a flag column."""
     a = i.articles
     return a.select("article_id", "source_rank", tx.dedupe_key("title").alias("dedupe_key"),
-                    tx.is_relevant(F.concat_ws(" ", "title", F.lit(""))).alias("is_relevant"))
+                    tx.is_relevant(F.concat_ws(" ", "title", F.coalesce("summary", F.lit("")))).alias("is_relevant"))
 
 
 @register("relevant_tamil")
@@ -329,7 +329,7 @@ def q_history_base(i: Inputs) -> DataFrame:
 
 @register("history_near")
 def q_history_near(i: Inputs) -> DataFrame:
-    return geo.accidents_near(i.probes, geo.history_base(i.records), radius=0.05, limit=10)
+    return geo.accidents_near(i.probes, i.history, radius=0.05, limit=10)
 
 
 @register("geocode")
@@ -458,9 +458,9 @@ def q_recent_accidents(i: Inputs) -> DataFrame:
 
 @register("union_sources")
 def q_union_sources(i: Inputs) -> DataFrame:
-    frames = [i.articles.where(F.col("source_rank") == r).withColumn("source_kind", F.lit(kind))
-              for r, kind, _ in dims.SOURCES]
-    return rec.union_sources(frames).select("article_id", "source_rank", "source_kind")
+    """U1 where all sources share one table: tagged in a single scan."""
+    kind = dims.map_lookup({r: k for r, k, _ in dims.SOURCES}, F.col("source_rank"), None)
+    return i.articles.select("article_id", "source_rank", kind.alias("source_kind")).where("source_kind IS NOT NULL")
 
 
 @register("training_union")
@@ -577,7 +577,7 @@ def q_page_links(i: Inputs) -> DataFrame:
 def q_rss_items(i: Inputs) -> DataFrame:
     a = i.articles.where(F.col("source_rank") == 0)
     items = a.select(F.col("title"), F.col("source_url").alias("link"),
-                     F.lit(None).cast("string").alias("description"),
+                     F.col("summary").alias("description"),
                      F.date_format(F.col("published_ts"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("pubDate"))
     path = scratch_path(i.spark, "rss")
     feeds.write_rss(items, path)

@@ -30,12 +30,9 @@ def stream_dedupe(articles: DataFrame, delay: str = "3650 days") -> DataFrame:
     """Relevant articles, first per 60-character key while duplicates arrive
     within ``delay`` of the newest event time (state is then dropped)."""
     cand = rec.with_candidate_columns(articles).withColumn("event_time", F.col("published_ts").cast("timestamp"))
-    # irrelevant items form their own (key, false) groups and are dropped
-    # after the dedupe, so they never take a key; the text rule stays in a
-    # projection instead of a pushed-down filter predicate
-    return (cand.withWatermark("event_time", delay)
-                .dropDuplicatesWithinWatermark(["dedupe_key", "is_relevant"])
-                .where(F.col("is_relevant")))
+    # irrelevant items are dropped first: they neither take a key nor reach the state
+    return (cand.where("is_relevant").withWatermark("event_time", delay)
+                .dropDuplicatesWithinWatermark(["dedupe_key"]))
 
 
 def stream_latest_weather(obs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from roadlens.plans.inputs import Inputs
 def test_dedupe_is_idempotent(spark):
     i = Inputs(spark, SMALL)
     once = rec.dedupe_articles(i.articles)
-    twice = rec.dedupe_articles(once.drop("dedupe_key", "is_relevant", "summary"))
+    twice = rec.dedupe_articles(once.drop("dedupe_key", "is_relevant"))
     assert once.count() == twice.count() == once.select("dedupe_key").distinct().count()
 
 
