@@ -10,11 +10,13 @@ unioned, and ``last(value, ignorenulls)`` runs over windows partitioned by
 (key, bucket) and ordered by time.  A hot key therefore spreads over as many
 partitions as it has time buckets, and each window partition holds at most
 two buckets of one key, so a key holding a third of all rows is still split
-by time.
+by time.  Rows without a key match nothing: they skip the shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +29,9 @@ def asof_latest(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str
                 ttl_s: int, value_cols: list[str], tiebreak: str, prefix: str = "m_") -> DataFrame:
     """Adds ``prefix + c`` for every right value column (null when none is fresh)."""
     ttl_us = int(ttl_s) * 1_000_000
-    lt = left.withColumn("_t", _micros(left_ts))
-    rt = right.withColumn("_t", _micros(right_ts))
+    has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    lt = left.where(has_key).withColumn("_t", _micros(left_ts))
+    rt = right.where(has_key).withColumn("_t", _micros(right_ts))
     vals = F.struct(*[F.col(c).alias(c) for c in value_cols], F.col("_t").alias("_rt"))
     r = (rt.select(*keys, "_t", F.col(tiebreak).alias("_tb"), vals.alias("_r"))
            .withColumn("_b", F.explode(F.array(F.floor(F.col("_t") / ttl_us),
@@ -45,5 +48,7 @@ def asof_latest(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str
     found = F.last("_r", ignorenulls=True).over(w)
     out = (both.withColumn("_m", found).where(F.col("_kind") == 1)
                .withColumn("_m", F.when(F.col("_t") - F.col("_m._rt") < ttl_us, F.col("_m"))))
-    return out.select(*[c for c in l_cols if c != "_t"],
-                      *[F.col("_m")[c].alias(prefix + c) for c in value_cols])
+    out = out.select(*[c for c in l_cols if c != "_t"], *[F.col("_m")[c].alias(prefix + c) for c in value_cols])
+    types = {f.name: f.dataType for f in right.schema.fields}
+    return out.unionByName(left.where(~has_key).select(
+        "*", *[F.lit(None).cast(types[c]).alias(prefix + c) for c in value_cols]))

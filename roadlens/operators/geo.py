@@ -78,7 +78,8 @@ def accidents_near(probes: DataFrame, accidents: DataFrame, radius: float = 0.05
     """Per probe, accidents inside the box of half-width ``radius``
     (strict); if fewer than ``min_hits`` the box of ``widen*radius`` replaces
     it; newest first (date text descending, then file order); at most
-    ``limit`` rows.  Output: probe_id, rank, record fields, total, matched.
+    ``limit`` rows.  A probe without hits keeps one row with ``total`` 0 and no
+    accident.  Output: probe_id, rank, record fields, total, matched.
     """
     r = float(radius)
     big = r * widen
@@ -127,7 +128,8 @@ def accidents_near(probes: DataFrame, accidents: DataFrame, radius: float = 0.05
     # back to the probes: at most `limit` rows per location; a hot location is
     # a skewed join key on the probe side, which AQE's skew join splits
     out = probes.select("probe_id", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng")) \
-                .join(per_loc, ["p_lat", "p_lng"])
+                .join(per_loc, ["p_lat", "p_lng"], "left") \
+                .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total", "matched")})
     return out.select("probe_id", "rank", "date", "location", "zone", "headline", "severity", "publisher",
                       "source_url", "vehicle", "total", "matched")
 

@@ -162,21 +162,15 @@ def balanced_weights(df: DataFrame, label: str = "accident") -> DataFrame:
 
 # ---- A9 / A10 / A11 -------------------------------------------------------------
 
-def exclusive_prefix(df: DataFrame, order_col: str, value_cols: list[str], buckets: int = 64) -> DataFrame:
+def exclusive_prefix(df: DataFrame, order_col: str, value_cols: list[str], steps: int = 1 << 16) -> DataFrame:
     """For each row, the sums of ``value_cols`` over all rows with a smaller
-    ``order_col`` (``order_col`` unique per row).  Rows are cut into
-    approximately equal buckets by sampled quantiles; bucket totals (a tiny
-    table) give each bucket its offset, and a window inside the bucket adds
-    the rest.  Exact for any bucket bounds."""
-    qs = [i / buckets for i in range(1, buckets)]
-    # bucket bounds: `buckets - 1` sampled quantiles (a fixed-size aggregate
-    # result), used as a literal array
-    row = df.agg(F.percentile_approx(order_col, qs, 1000).alias("_bounds")).first()
-    bounds = sorted(set(row["_bounds"] or [])) if row else []
-    bk = F.lit(0)
-    for b in bounds:
-        bk = bk + (F.col(order_col) > F.lit(b)).cast("int")
-    d = df.withColumn("_bk", bk)
+    ``order_col`` (``order_col`` unique per row).  Rows are cut into ``steps``
+    equal steps of the unit interval; step totals (at most ``steps`` rows) give
+    each step its offset, and a window inside the step adds the rest.  Values
+    outside 0..1 fall into the end steps: still exact, less evenly spread.
+    Rows with a null value are left out."""
+    step = F.floor(F.col(order_col) * steps)
+    d = df.withColumn("_bk", F.least(F.greatest(step, F.lit(0)), F.lit(steps - 1)))
     tot = d.groupBy("_bk").agg(*[F.sum(c).alias("_t_" + c) for c in value_cols])
     wo = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_bk", *[F.coalesce(F.sum("_t_" + c).over(wo), F.lit(0)).alias("_o_" + c) for c in value_cols])
@@ -188,7 +182,8 @@ def exclusive_prefix(df: DataFrame, order_col: str, value_cols: list[str], bucke
 
 
 def roc_auc(df: DataFrame, score: str, label: str = "accident") -> DataFrame:
-    """ROC-AUC with tie-averaged ranks (one row: auc, n_pos, n_neg).
+    """ROC-AUC with tie-averaged ranks (one row: auc, n_pos, n_neg); auc is
+    null when a class is missing.
 
     Equal to the rank-sum form: sum over distinct scores of
     pos(s) * (neg below s + neg(s) / 2) / (n_pos * n_neg).  Rows are first
@@ -199,7 +194,8 @@ def roc_auc(df: DataFrame, score: str, label: str = "accident") -> DataFrame:
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("double").alias("neg"))
     pref = exclusive_prefix(per, "_s", ["neg"])
     return pref.agg(
-        (F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2)),
+                     F.sum("pos") * F.sum("neg")).alias("auc"),
         F.sum("pos").cast("bigint").alias("n_pos"), F.sum("neg").cast("bigint").alias("n_neg"))
 
 

@@ -46,8 +46,8 @@ def full_alerts_rules(probes: DataFrame, obs: DataFrame, ttl_s: int = dims.WEATH
     w = weather_asof(z, obs, ttl_s)
     adv = wx.weather_advisory("rainfall_mm", "visibility_km", "wind_speed_kmh", "weather_condition")
     hour = F.hour("ts")
-    flood = wx_flood = (F.col("rainfall_mm") > 10).cast("int")
-    drv = rk.driver_alerts("rainfall_mm", "visibility_km", wx_flood, F.col("base_risk").cast("double"),
+    flood = (F.col("rainfall_mm") > 10).cast("int")
+    drv = rk.driver_alerts("rainfall_mm", "visibility_km", flood, F.col("base_risk").cast("double"),
                            F.lit(0), hour)
     return (w.withColumn("advisory", adv)
              .withColumn("hour", hour)

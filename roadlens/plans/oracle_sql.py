@@ -69,7 +69,7 @@ LEFT JOIN zones_train z ON z.zone_ord = (b.story * 7) % 50)"""
 
 PROBES = """probes AS (
 SELECT event_id AS probe_id, ts,
-       CAST(12850 + (event_id * 13) % 340 AS DOUBLE) / 1000 AS lat,
+       CAST(CASE WHEN event_id % 97 = 0 THEN 11850 ELSE 12850 END + (event_id * 13) % 340 AS DOUBLE) / 1000 AS lat,
        CAST(80000 + (user_id * 29 + event_id) % 310 AS DOUBLE) / 1000 AS lng
 FROM events)"""
 
@@ -523,8 +523,10 @@ ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY probe_id ORDER BY date DESC, article_id) AS INTEGER) AS rank,
          count(*) OVER (PARTITION BY probe_id) AS matched FROM kept)
 SELECT probe_id, rank, date, location_name AS location, zone, substr(headline, 1, 100) AS headline, severity,
-       publisher, source_url, vehicle_type AS vehicle, least(matched, 10) AS total, matched
-FROM ranked WHERE rank <= 10""")
+       publisher, source_url, vehicle_type AS vehicle, CAST(least(matched, 10) AS BIGINT) AS total, matched
+FROM ranked WHERE rank <= 10
+UNION ALL SELECT probe_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, 0
+FROM probes WHERE probe_id NOT IN (SELECT probe_id FROM kept)""")
 
 oracle("geocode", records_prefix() + ", " + zones_serving_cte() + """
 SELECT r.article_id, r.location_name, z.lat AS geo_lat, z.lng AS geo_lng
@@ -791,17 +793,17 @@ _STR_COLS = {"source_url", "publisher", "headline", "keyword", "date", "day_of_w
              "zone", "road_type", "severity", "vehicle_type", "weather_condition"}
 oracle("scan_accidents", dataset_prefix() + "SELECT " + ", ".join(
     f"NULLIF({c}, '') AS {c}" if c in _STR_COLS else c for c in ACC_COLS.split(", ")) + " FROM dataset")
-oracle("sink_roundtrip", dataset_prefix() + f"SELECT record_id, {ACC_COLS} FROM dataset WHERE accident = 1")
+oracle("sink_roundtrip", dataset_prefix() + f"SELECT record_id, {ACC_COLS} FROM dataset")
 KW = "kw AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(k)})" for i, k in enumerate(dims.RSS_KEYWORDS)) + ") AS t(keyword_ord, keyword))"
 oracle("month_spine", with_ctes(zones_train_cte(), ARTICLES, KW) + """
 , m AS (SELECT unnest(generate_series(date_trunc('month', min(published_ts)), date_trunc('month', max(published_ts)), INTERVAL 1 MONTH)) AS ms FROM articles)
 SELECT strftime(ms, '%Y-%m-%d') AS month_start, strftime(ms + INTERVAL 1 MONTH, '%Y-%m-%d') AS month_end, keyword_ord, keyword
 FROM m CROSS JOIN kw""")
-_ANCHOR = q(r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>')
+_ANCHOR = q(r"""(?is)<a\s(?:[^>]*\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a>""")
 oracle("page_links", f"""
 WITH a AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base,
                   regexp_extract_all(html, {_ANCHOR}, 1) AS hrefs, regexp_extract_all(html, {_ANCHOR}, 2) AS texts FROM pages),
-u AS (SELECT page_id, base, unnest(hrefs) AS href, unnest(texts) AS text, generate_subscripts(hrefs, 1) - 1 AS pos FROM a)
+u AS (SELECT page_id, base, trim(unnest(hrefs), '"''') AS href, unnest(texts) AS text, generate_subscripts(hrefs, 1) - 1 AS pos FROM a)
 SELECT page_id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(text, '<[^>]*>', '', 'g')) AS text,
        CASE WHEN starts_with(href, 'http') THEN href ELSE concat(base, href) END AS href FROM u""")
 oracle("rss_items", with_ctes(zones_train_cte(), ARTICLES) + """

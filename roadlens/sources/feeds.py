@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import RSS_ITEM
 
-ANCHOR = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+ANCHOR = r"(?is)<a\s(?:[^>]*\s)?href\s*=[^>]*>.*?</a>"
+HREF = r"""(?is)^<a\s(?:[^>]*\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
@@ -28,15 +29,13 @@ def write_rss(items: DataFrame, path: str) -> None:
 
 def extract_links(pages: DataFrame, base: str | None = None) -> DataFrame:
     """Anchors of each page: position, text (tags stripped, trimmed) and
-    href, made absolute with ``base`` (default: the page's own origin) when it
-    does not start with ``http``."""
+    href (quoted either way or not at all), made absolute with ``base``
+    (default: the page's own origin) when it does not start with ``http``."""
     origin = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1) if base is None else F.lit(base)
-    hrefs = F.regexp_extract_all("html", F.lit(ANCHOR), 1)
-    texts = F.regexp_extract_all("html", F.lit(ANCHOR), 2)
     df = pages.select("page_id", origin.alias("_base"),
-                      F.posexplode(F.arrays_zip(hrefs.alias("href"), texts.alias("text"))).alias("pos", "a"))
-    href = F.col("a.href")
+                      F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), 0)).alias("pos", "a"))
+    href = F.concat(*[F.regexp_extract("a", HREF, k) for k in (1, 2, 3)])
     return df.select(
         "page_id", "pos",
-        F.trim(F.regexp_replace(F.col("a.text"), "<[^>]*>", "")).alias("text"),
+        F.trim(F.regexp_replace("a", "<[^>]*>", "")).alias("text"),
         F.when(href.startswith("http"), href).otherwise(F.concat("_base", href)).alias("href"))

@@ -76,10 +76,10 @@ def articles(events: DataFrame) -> DataFrame:
 
 
 def probes(events: DataFrame) -> DataFrame:
-    """Locations to score/search: probe_id, ts, lat, lng."""
+    """Locations to score/search: probe_id, ts, lat, lng; one in 97 lies far from every place."""
     return events.select(
         F.col("event_id").alias("probe_id"), "ts",
-        ((F.lit(12850) + (F.col("event_id") * 13) % 340).cast("double") / 1000).alias("lat"),
+        ((F.when(F.col("event_id") % 97 == 0, 11850).otherwise(12850) + (F.col("event_id") * 13) % 340).cast("double") / 1000).alias("lat"),
         ((F.lit(80000) + (F.col("user_id") * 29 + F.col("event_id")) % 310).cast("double") / 1000).alias("lng"))
 
 

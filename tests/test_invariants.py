@@ -111,3 +111,38 @@ def test_asof_with_a_hot_cell_matches_brute_force(spark):
     brute = p.select("probe_id").join(pairs, "probe_id", "left")
     assert got.exceptAll(brute).count() == 0 and brute.exceptAll(got).count() == 0
     assert got.where("obs_id IS NOT NULL").count() > 0
+
+
+def test_auc_of_continuous_scores(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 3000)
+    s = np.clip(rng.normal(0.4 + 0.1 * y, 0.3), -0.2, 1.2)   # also outside 0..1
+    s[:600] = 0.5                                            # one large tie
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)], "score double, accident int")
+    pos, neg = s[y == 1], s[y == 0]
+    want = float(((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / (len(pos) * len(neg)))
+    got = tr.roc_auc(df, "score").first()
+    assert abs(got.auc - want) < 1e-12 and got.n_pos == len(pos)
+    assert tr.roc_auc(df.where("accident = 1"), "score").first().auc is None
+    assert tr.roc_auc(df.limit(0), "score").first().auc is None
+
+
+def test_asof_rows_without_key_skip_the_shuffle(spark):
+    from roadlens.operators import asof
+    left = spark.sql("SELECT id AS l, CASE WHEN id % 2 = 0 THEN id % 3 END AS k, TIMESTAMP_NTZ '2024-01-01 00:00:00' "
+                     "+ make_dt_interval(0, 0, 0, id) AS ts FROM range(40)")
+    right = spark.sql("SELECT id AS r, CASE WHEN id % 5 > 0 THEN id % 3 END AS k, TIMESTAMP_NTZ '2024-01-01 00:00:00' "
+                      "+ make_dt_interval(0, 0, 0, id) AS ts FROM range(40)")
+    out = {x.l: x.m_r for x in asof.asof_latest(left, right, ["k"], "ts", "ts", 7, ["r"], "r").collect()}
+    want = {i: (max((r for r in range(40) if r % 5 and r % 3 == i % 3 and 0 <= i - r < 7), default=None)
+                if i % 2 == 0 else None) for i in range(40)}
+    assert out == want
+
+
+def test_links_quoted_either_way_or_not_at_all(spark):
+    from roadlens.sources import feeds
+    html = """<a href="/one">One</a><A class=x HREF='/two'><b>Two</b></A><a href=/three>Three</a><a data-href="/no">No</a>"""
+    df = spark.createDataFrame([(1, "https://h.example/p", html)], "page_id int, url string, html string")
+    got = [(r.text, r.href) for r in feeds.extract_links(df).orderBy("pos").collect()]
+    assert got == [("One", "https://h.example/one"), ("Two", "https://h.example/two"), ("Three", "https://h.example/three")]

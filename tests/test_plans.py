@@ -31,8 +31,22 @@ def test_no_python_in_hot_paths(spark):
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "PythonUDF" not in p, name
 
 
-def test_pushdown_reaches_scan(spark):
-    df = spark.read.parquet(f"{SMALL}/events.parquet").where("event_id > 10").select("event_id")
-    p = df._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(event_id), GreaterThan(event_id,10)]" in p
-    assert "ReadSchema: struct<event_id:bigint>" in p
+def physical(spark, name):
+    return registry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relevance_filter_is_below_the_dedupe_shuffle(spark):
+    lines = physical(spark, "article_dedupe").splitlines()
+    exchange = next(k for k, ln in enumerate(lines) if "Exchange hashpartitioning(dedupe_key" in ln)
+    kept = [k for k, ln in enumerate(lines) if "Filter is_relevant" in ln]
+    assert kept and kept[0] > exchange
+
+
+def test_sources_are_scanned_once(spark):
+    assert physical(spark, "union_sources").count("FileScan parquet") == 1
+
+
+def test_region_summary_computes_only_its_columns(spark):
+    p = physical(spark, "region_summary")
+    assert p.count("FileScan parquet") == 1 and "events.parquet" in p   # no written record table
+    assert "headline" not in p and "congestion_pct" not in p
