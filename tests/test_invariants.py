@@ -28,7 +28,9 @@ def test_history_limit_and_totals(spark):
     i = Inputs(spark, SMALL)
     h = geo.accidents_near(i.probes, geo.history_base(i.records), 0.05, 10)
     per = h.groupBy("probe_id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("mx"), F.first("total").alias("t"))
-    assert per.where("n > 10 OR mx <> n OR t <> n").count() == 0
+    assert per.where("mx IS NOT NULL AND (n > 10 OR mx <> n OR t <> n)").count() == 0
+    assert per.where("mx IS NULL AND (n <> 1 OR t <> 0)").count() == 0   # probes without hits
+    assert per.where("mx IS NULL").count() > 0 and per.count() == i.probes.count()
 
 
 def test_route_ranks_are_dense(spark):
