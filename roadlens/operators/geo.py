@@ -86,13 +86,15 @@ def accidents_near(probes: DataFrame, accidents: DataFrame, radius: float = 0.05
     acc = accidents.select(F.col("latitude").alias("a_lat"), F.col("longitude").alias("a_lng"),
                            "date", "location_name", "zone", "headline", "severity", "publisher",
                            "source_url", "vehicle_type", F.col(order_col).alias("_ord"))
-    # distinct locations with their counts (partial + final hash aggregate)
-    points = (acc.groupBy("a_lat", "a_lng").agg(F.count(F.lit(1)).alias("n_point"))
-              .withColumn("c_lat", F.floor(F.col("a_lat") / big))
-              .withColumn("c_lng", F.floor(F.col("a_lng") / big)))
     # newest `limit` rows per location (WindowGroupLimit runs before the shuffle too)
     wp = Window.partitionBy("a_lat", "a_lng").orderBy(F.desc("date"), F.asc("_ord"))
     newest = acc.withColumn("_prn", F.row_number().over(wp)).where(F.col("_prn") <= limit)
+    ranked = newest.select("a_lat", "a_lng", "_prn", "date", "_ord")
+    # distinct locations with their counts (partial + final hash aggregate) and newest row
+    points = (acc.groupBy("a_lat", "a_lng").agg(F.count(F.lit(1)).alias("n_point"))
+              .join(ranked.where("_prn = 1").drop("_prn"), ["a_lat", "a_lng"])
+              .withColumn("c_lat", F.floor(F.col("a_lat") / big))
+              .withColumn("c_lng", F.floor(F.col("a_lng") / big)))
 
     # the answer depends only on the probe's coordinates: search once per
     # distinct location (a hot location collapses in the partial aggregate)
@@ -107,15 +109,23 @@ def accidents_near(probes: DataFrame, accidents: DataFrame, radius: float = 0.05
              .where((dlat < big) & (dlng < big))
              .withColumn("in_r", (dlat < r) & (dlng < r)))
     wloc = Window.partitionBy("p_lat", "p_lng")
+    wr = wloc.orderBy(F.desc("date"), F.asc("_ord"))
     chosen = (pairs
               .withColumn("hits_r", F.sum(F.when(F.col("in_r"), F.col("n_point")).otherwise(0)).over(wloc))
               .where(F.col("in_r") | (F.col("hits_r") < min_hits))
               .withColumn("matched", F.sum("n_point").over(wloc))
-              .select("p_lat", "p_lng", "a_lat", "a_lng", "matched"))
-    wr = Window.partitionBy("p_lat", "p_lng").orderBy(F.desc("date"), F.asc("_ord"))
-    per_loc = (chosen.join(newest, ["a_lat", "a_lng"])
+              # Each of the k - 1 locations with a newer newest row has a row before
+              # any row of the k-th, so that one can give limit - k + 1 rows at most.
+              .withColumn("_quota", F.lit(limit + 1) - F.row_number().over(wr))
+              .where(F.col("_quota") > 0)
+              .select("p_lat", "p_lng", "a_lat", "a_lng", "matched",
+                      F.explode(F.sequence(F.lit(1), F.col("_quota"))).alias("_prn")))
+    # ranked on the sort key alone; the record fields join the rows that stay
+    per_loc = (chosen.join(ranked, ["a_lat", "a_lng", "_prn"])
                .withColumn("rank", F.row_number().over(wr))
                .where(F.col("rank") <= limit)
+               .select("p_lat", "p_lng", "rank", "matched", "a_lat", "a_lng", "_prn")
+               .join(newest, ["a_lat", "a_lng", "_prn"])
                .select("p_lat", "p_lng", "rank",
                        F.col("date").cast("string").alias("date"),
                        F.col("location_name").alias("location"),
