@@ -14,6 +14,7 @@ from ..functions import weather as wx
 from ..operators import asof
 from ..operators import geo
 from ..operators import model as ml
+from ..operators import ranking as rank
 
 WEATHER_VALUES = ["obs_id", "temperature_c", "humidity_pct", "wind_speed_kmh", "visibility_km", "rainfall_mm",
                   "weather_condition"]
@@ -79,3 +80,17 @@ def routes_asof(requests: DataFrame, route_options: DataFrame, ttl_s: int = dims
             .withColumn("route_key", key()).where(F.col("route_key").isNotNull()))
     m = asof.asof_latest(req, sets, ["route_key"], "ts", "obs_ts", ttl_s, ["trip_id"], "trip_id")
     return m.withColumnRenamed("m_trip_id", "matched_trip_id")
+
+
+def alerts_with_routes(probes: DataFrame, requests: DataFrame, obs: DataFrame, route_options: DataFrame,
+                       ttl_s: int = dims.WEATHER_TTL_S, route_ttl_s: int = dims.ROUTE_TTL_S) -> DataFrame:
+    """J10 with the optional destination: the rule-based alerts of every probe,
+    the weather behind them and, where a fresh route set of its trip is stored,
+    the recommended route.  ``requests`` has the request of a probe under its
+    id.  Probes without a route set skip the join with the routes."""
+    hits = (routes_asof(requests, route_options, route_ttl_s).where(F.col("matched_trip_id").isNotNull())
+            .select(F.col("request_id").alias("probe_id"), F.col("matched_trip_id").alias("trip_id")))
+    best = rank.recommended_route(rank.routes_table(route_options)).select(
+        "trip_id", "route_type", F.col("summary").alias("route_summary"),
+        F.col("duration_traffic_min").alias("route_min"), F.col("congestion_pct").alias("route_congestion_pct"))
+    return full_alerts_rules(probes, obs, ttl_s).join(hits.join(best, "trip_id"), "probe_id", "left")

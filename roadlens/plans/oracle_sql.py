@@ -471,6 +471,11 @@ oracle("routes_parsed", with_ctes(ROUTE_OPTIONS) + """
 SELECT trip_id, config_ord, length_m, travel_s, delay_s, no_traffic_s, 2 AS n_points,
        CAST(trip_id % 100 AS DOUBLE) / 1000 + CAST(80.0 AS DOUBLE) AS first_lng
 FROM route_options WHERE trip_id % 25 <> 0""")
+oracle("route_coordinates", with_ctes(ROUTE_OPTIONS) + """
+SELECT trip_id, config_ord, point_ord,
+       CASE point_ord WHEN 0 THEN CAST(trip_id % 100 AS DOUBLE) / 1000 + CAST(80.0 AS DOUBLE) ELSE CAST(80.2 AS DOUBLE) END AS lng,
+       CASE point_ord WHEN 0 THEN CAST(13.0 AS DOUBLE) ELSE CAST(config_ord AS DOUBLE) / 100 + CAST(13.0 AS DOUBLE) END AS lat
+FROM route_options CROSS JOIN (VALUES (0), (1)) AS t(point_ord) WHERE trip_id % 25 <> 0""")
 oracle("parse_origin", with_ctes(PROBES) + """
 SELECT probe_id, CASE WHEN probe_id % 3 = 0 THEN NULL ELSE lat END AS origin_lat,
        CASE WHEN probe_id % 3 = 0 THEN NULL ELSE lng END AS origin_lng FROM probes""")
@@ -621,18 +626,39 @@ SELECT obs_id, array_to_string({prefix_dedupe(_MERGED)}, ' | ') AS alerts FROM w
 _FULL_MERGED = ("list_concat(" + advisory_list("rainfall_mm", "visibility_km", "wind_speed_kmh", "weather_condition") + ", "
                 + list_of(driver_alert_list("rainfall_mm", "visibility_km", "CAST(rainfall_mm > 10 AS INTEGER)",
                                             "CAST(base_risk AS DOUBLE)", "0", "hour(ts)")) + ")")
-oracle("full_alerts_rules", weather_asof_sql(86400) + ", " + zones_serving_cte() + """,
-probes_nz AS (SELECT * FROM probes),
+_FULL_ALERTS = f"array_to_string({prefix_dedupe(_FULL_MERGED)}, ' | ') AS alerts"
+_FULL_SEVERITY = advisory_severity("rainfall_mm", "visibility_km", "wind_speed_kmh", "weather_condition")
+
+
+def full_alerts_sql(ttl: int) -> str:
+    return weather_asof_sql(ttl) + ", " + zones_serving_cte() + """,
 nz AS (
   SELECT p.probe_id, z.zone_name, z.base_risk
   FROM probes p CROSS JOIN zones_serving z
   QUALIFY row_number() OVER (PARTITION BY p.probe_id
           ORDER BY sqrt((p.lat - z.lat) * (p.lat - z.lat) + (p.lng - z.lng) * (p.lng - z.lng)), z.zone_ord) = 1),
 fa AS (SELECT wa.*, nz.zone_name, nz.base_risk FROM wa JOIN nz USING (probe_id))
-""" + f"""SELECT probe_id, zone_name, obs_id, rainfall_mm, visibility_km, weather_condition,
-       array_to_string({prefix_dedupe(_FULL_MERGED)}, ' | ') AS alerts,
-       {advisory_severity("rainfall_mm", "visibility_km", "wind_speed_kmh", "weather_condition")} AS severity
+"""
+
+
+oracle("full_alerts_rules", full_alerts_sql(86400) + f"""
+SELECT probe_id, zone_name, obs_id, rainfall_mm, visibility_km, weather_condition, {_FULL_ALERTS}, {_FULL_SEVERITY} AS severity
 FROM fa""")
+oracle("full_alerts_checked", full_alerts_sql(dims.WEATHER_TTL_S) + f"""
+SELECT probe_id, zone_name, obs_id, {_FULL_ALERTS}, {_FULL_SEVERITY} AS advisory_severity, TRUE AS severity_agrees FROM fa""")
+oracle("full_alerts_routes", full_alerts_sql(dims.WEATHER_TTL_S) + f""", {ROUTE_OPTIONS}, {ROUTE_REQUESTS}, {ROUTE_TABLE},
+trips AS (
+  SELECT r.request_id, o.trip_id FROM route_requests r JOIN route_options o
+    ON o.origin = r.origin AND o.destination = r.destination AND o.obs_ts <= r.ts
+       AND epoch_us(r.ts) - epoch_us(o.obs_ts) < {dims.ROUTE_TTL_S * 1_000_000}
+  QUALIFY row_number() OVER (PARTITION BY r.request_id ORDER BY o.obs_ts DESC, o.trip_id DESC) = 1),
+chosen AS (
+  SELECT trip_id, route_type, summary, duration_traffic_min, congestion_pct FROM rmt
+  QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY duration_traffic_min, config_ord) = 1)
+SELECT fa.probe_id, zone_name, obs_id, temperature_c, humidity_pct, wind_speed_kmh, visibility_km, rainfall_mm,
+       weather_condition, {_FULL_ALERTS}, {_FULL_SEVERITY} AS severity, trips.trip_id, route_type,
+       summary AS route_summary, duration_traffic_min AS route_min, chosen.congestion_pct AS route_congestion_pct
+FROM fa LEFT JOIN trips ON trips.request_id = fa.probe_id LEFT JOIN chosen ON chosen.trip_id = trips.trip_id""")
 
 # ---- dataset (records + generated negatives) -------------------------------------
 
@@ -789,6 +815,33 @@ SELECT strftime(board_ts, '%Y-%m-%d %H:%M') AS board_hour, zone_ord, zone_name,
        CAST(hour(board_ts) AS INTEGER) AS hour, CAST(isodow(board_ts) >= 6 AS INTEGER) AS is_weekend,
        CAST(base_risk AS DOUBLE) AS congestion_pct, {hour_period("CAST(hour(board_ts) AS INTEGER)")} AS time_period
 FROM h CROSS JOIN zones_serving""")
+_BOARD = with_ctes(zones_serving_cte()) + """
+, h AS (SELECT DISTINCT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS board_hour FROM events),
+board AS (SELECT board_hour, zone_name, base_risk,
+                 CAST(row_number() OVER (PARTITION BY board_hour ORDER BY base_risk DESC, zone_ord) AS INTEGER) AS board_rank
+          FROM h CROSS JOIN zones_serving)"""
+oracle("zone_board_base", _BOARD + """
+SELECT board_hour, board_rank, zone_name, CAST(base_risk AS DOUBLE) / 100 AS accident_probability FROM board""")
+oracle("zone_board_checked", _BOARD + "SELECT board_hour, board_rank, TRUE AS in_order FROM board")
+oracle("score_requests_checked", with_ctes(PROBES, REQUESTS) + f"""
+SELECT probe_id, concat_ws(' | ', {", ".join(driver_alert_list("rainfall_mm", "visibility_km", "flood_risk", "congestion_pct", "is_junction", "hour"))}) AS alerts,
+       TRUE AS in_range, TRUE AS is_blend, TRUE AS level_agrees, TRUE AS prediction_agrees, TRUE AS score_agrees
+FROM requests""")
+HOLDOUT = """
+, u AS (SELECT record_id, accident, ('0x' || substr(md5(concat_ws('|', record_id, '42')), 1, 8))::BIGINT AS u FROM dataset),
+holdout AS (SELECT record_id, accident FROM u
+            QUALIFY row_number() OVER (PARTITION BY accident ORDER BY u, record_id) <= round(count(*) OVER (PARTITION BY accident) * 0.2)),
+sizes AS (SELECT count(*) FILTER (accident = 1) AS n_pos, count(*) FILTER (accident = 0) AS n_neg FROM holdout)
+"""
+oracle("score_ensemble_checked", dataset_prefix() + HOLDOUT + """
+SELECT record_id, CAST(accident AS INTEGER) AS accident, TRUE AS in_range, TRUE AS is_blend, TRUE AS same_after_load FROM holdout""")
+oracle("evaluate_checked", dataset_prefix() + HOLDOUT + """
+SELECT n_pos, n_neg, TRUE AS gbt_auc_agrees, TRUE AS rf_auc_agrees, TRUE AS ensemble_auc_agrees, TRUE AS accuracy_in_range FROM sizes""")
+oracle("model_meta_checked", dataset_prefix() + HOLDOUT + f"""
+SELECT (SELECT count(*) FROM dataset) AS total_records, CAST((SELECT sum(accident) FROM dataset) AS BIGINT) AS accident_rows,
+       n_pos, n_neg, {q(",".join(dims.FEATURES))} AS features FROM sizes""")
+oracle("importances_checked", "SELECT feature, TRUE AS gbt_share, TRUE AS rf_share FROM (VALUES "
+       + ", ".join(f"({q(f)})" for f in dims.FEATURES) + ") AS t(feature)")
 _STR_COLS = {"source_url", "publisher", "headline", "keyword", "date", "day_of_week", "time_period", "location_name",
              "zone", "road_type", "severity", "vehicle_type", "weather_condition"}
 oracle("scan_accidents", dataset_prefix() + "SELECT " + ", ".join(

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -281,8 +282,10 @@ def q_routes_parsed(i: Inputs) -> DataFrame:
 
 @register("route_coordinates")
 def q_route_coordinates(i: Inputs) -> DataFrame:
+    """One row per point, in the order of the leg."""
     p = rt.parse_routes(_route_payloads(i))
-    return p.select("trip_id", "config_ord", "coordinates")
+    return p.select("trip_id", "config_ord", F.posexplode("coordinates").alias("point_ord", "point")).select(
+        "trip_id", "config_ord", "point_ord", F.get("point", 0).alias("lng"), F.get("point", 1).alias("lat"))
 
 
 @register("parse_origin")
@@ -351,6 +354,16 @@ def q_full_alerts_rules(i: Inputs) -> DataFrame:
                     F.array_join("alerts", " | ").alias("alerts"), F.col("advisory_severity").alias("severity"))
 
 
+@register("full_alerts_routes")
+def q_full_alerts_routes(i: Inputs) -> DataFrame:
+    """J10 with J7: probes with an optional destination, at the real lifetimes."""
+    r = al.alerts_with_routes(i.probes, i.route_requests, i.weather_obs, i.route_options)
+    return r.select("probe_id", "zone_name", "obs_id", "temperature_c", "humidity_pct", "wind_speed_kmh",
+                    "visibility_km", "rainfall_mm", "weather_condition", F.array_join("alerts", " | ").alias("alerts"),
+                    F.col("advisory_severity").alias("severity"), "trip_id", "route_type", "route_summary",
+                    "route_min", "route_congestion_pct")
+
+
 def _requests(i: Inputs) -> DataFrame:
     """Scoring requests derived from probes, with some fields left unset."""
     p = i.probes
@@ -592,7 +605,7 @@ _MODELS: dict = {}
 
 
 def _trained(i: Inputs):
-    key = (i.sf_dir, str(i.as_of))
+    key = (i.spark.sparkContext.applicationId, i.sf_dir, str(i.as_of))  # written splits and models of one application
     if key not in _MODELS:
         _MODELS[key] = trn.train(i.dataset, "retrain", 42)
     return _MODELS[key]
@@ -653,6 +666,96 @@ def q_full_alerts(i: Inputs) -> DataFrame:
                       F.array_join("alerts", " | ").alias("alerts"), "severity")
 
 
+# ---- what can be said exactly about the model-backed results ------------------------
+
+def _near(a, b, within: float):
+    return F.abs(a - b) <= within
+
+
+@register("zone_board_base")
+def q_zone_board_base(i: Inputs) -> DataFrame:
+    """W3 by the base risk of the zones."""
+    req = trn.batch_requests(i.events, i.zones_serving)
+    ranked = rank.rank_zones(req.withColumn("accident_probability", F.round(F.col("congestion_pct") / 100, 4)))
+    return ranked.select("board_hour", "board_rank", "zone_name", "accident_probability")
+
+
+@register("evaluate_checked")
+def q_evaluate_checked(i: Inputs) -> DataFrame:
+    """Holdout counts, and the AUCs against Spark's evaluator."""
+    _, scored, metrics = _trained(i)
+    evaluator = BinaryClassificationEvaluator(labelCol="accident", metricName="areaUnderROC", numBins=0)
+    agrees = [_near(F.col(name), F.lit(evaluator.setRawPredictionCol(c).evaluate(scored)), 1e-6).alias(name + "_agrees")
+              for name, c in [("gbt_auc", "gbt_probability"), ("rf_auc", "rf_probability"),
+                              ("ensemble_auc", "probability")]]
+    return metrics.select("n_pos", "n_neg", *agrees, F.col("accuracy").between(0, 1).alias("accuracy_in_range"))
+
+
+@register("score_ensemble_checked")
+def q_score_ensemble_checked(i: Inputs) -> DataFrame:
+    """Every holdout row, scored also by the model after saving and loading it."""
+    model, scored, _ = _trained(i)
+    path = scratch_path(i.spark, "model")
+    ml.save_model(model, path)
+    names = ["gbt_probability", "rf_probability", "probability"]
+    again = ml.score(ml.load_model(path), scored.withColumnsRenamed({c: "first_" + c for c in names}))
+    wg, wf = dims.ENSEMBLE_WEIGHTS
+    same = [_near(F.col(c), F.col("first_" + c), 1e-12) for c in names]
+    blend = _near(F.col("probability"), wg * F.col("gbt_probability") + wf * F.col("rf_probability"), 1e-12)
+    return again.select("record_id", F.col("accident").cast("int").alias("accident"),
+                        F.col("probability").between(0, 1).alias("in_range"), blend.alias("is_blend"),
+                        (same[0] & same[1] & same[2]).alias("same_after_load"))
+
+
+@register("score_requests_checked")
+def q_score_requests_checked(i: Inputs) -> DataFrame:
+    """Alerts, and whether outputs agree with the rounded probability."""
+    p, half = F.col("accident_probability"), 0.5e-4 + 1e-9
+    wg, wf = dims.ENSEMBLE_WEIGHTS
+    blend = _near(p, wg * F.col("gbt_probability") + wf * F.col("rf_probability"), 2 * half)
+    level = F.col("risk_level").isin(rk.risk_level(p - half), rk.risk_level(p + half))
+    predicted = F.col("accident_predicted").between((p - half >= dims.THRESHOLD_SERVE).cast("int"),
+                                                    (p + half >= dims.THRESHOLD_SERVE).cast("int"))
+    return q_score_requests(i).select("probe_id", "alerts", p.between(0, 1).alias("in_range"),
+                                      blend.alias("is_blend"), level.alias("level_agrees"),
+                                      predicted.alias("prediction_agrees"),
+                                      _near(F.col("risk_score"), p * 100, 0.06).alias("score_agrees"))
+
+
+@register("zone_board_checked")
+def q_zone_board_checked(i: Inputs) -> DataFrame:
+    """Ranks of every hour, and whether the probability falls with the rank."""
+    before = F.lag("accident_probability").over(Window.partitionBy("board_hour").orderBy("board_rank"))
+    return q_zone_board(i).select("board_hour", "board_rank", F.coalesce(
+        before >= F.col("accident_probability"), F.lit(True)).alias("in_order"))
+
+
+@register("importances_checked")
+def q_importances_checked(i: Inputs) -> DataFrame:
+    """The features, shares between 0 and 1 that add up to 1."""
+    every = Window.partitionBy(F.lit(1))  # 15 rows
+    share = lambda c: F.col(c).between(0, 1) & _near(F.sum(c).over(every), F.lit(1.0), 1e-6)
+    return q_importances(i).select("feature", share("gbt_importance").alias("gbt_share"),
+                                   share("rf_importance").alias("rf_share"))
+
+
+@register("model_meta_checked")
+def q_model_meta_checked(i: Inputs) -> DataFrame:
+    """The columns that don't depend on the fitted trees."""
+    return q_model_meta(i).select("total_records", "accident_rows", "n_pos", "n_neg",
+                                  F.array_join("features", ",").alias("features"))
+
+
+@register("full_alerts_checked")
+def q_full_alerts_checked(i: Inputs) -> DataFrame:
+    """J10 with the model: alerts, and whether the severity follows from advisory and level."""
+    model, _, _ = _trained(i)
+    out = al.full_alerts(i.probes, i.weather_obs, model)
+    agrees = F.col("severity") == rk.combined_severity("advisory_severity", "risk_level")
+    return out.select("probe_id", "zone_name", "obs_id", F.array_join("alerts", " | ").alias("alerts"),
+                      "advisory_severity", agrees.alias("severity_agrees"))
+
+
 # ---- streaming (run to completion with availableNow, final table compared) --------
 
 @register("stream_dedupe")
