@@ -63,7 +63,7 @@ def nearest_zone(df: DataFrame, lat: str = "lat", lng: str = "lng", zones: DataF
 
 # ---- S2 / D2 history base -----------------------------------------------------
 
-def history_base(records: DataFrame, order_col: str = "article_id") -> DataFrame:
+def history_base(records: DataFrame, order_col: str | Column = "article_id") -> DataFrame:
     """Positives, first row per headline in file order, headline longer than 10."""
     w = Window.partitionBy("headline").orderBy(order_col)
     return (records.where(F.col("accident") == 1)

@@ -846,6 +846,10 @@ _STR_COLS = {"source_url", "publisher", "headline", "keyword", "date", "day_of_w
              "zone", "road_type", "severity", "vehicle_type", "weather_condition"}
 oracle("scan_accidents", dataset_prefix() + "SELECT " + ", ".join(
     f"NULLIF({c}, '') AS {c}" if c in _STR_COLS else c for c in ACC_COLS.split(", ")) + " FROM dataset")
+oracle("history_files", dataset_prefix() + """
+, f AS (SELECT *, CASE WHEN hour % 2 = 0 THEN 0 ELSE 3 END AS file_rank FROM dataset WHERE accident = 1)
+SELECT headline, date, location_name, source_url, file_rank FROM f WHERE length(headline) > 10
+QUALIFY row_number() OVER (PARTITION BY headline ORDER BY file_rank, source_url) = 1""")
 oracle("sink_roundtrip", dataset_prefix() + f"SELECT record_id, {ACC_COLS} FROM dataset")
 KW = "kw AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(k)})" for i, k in enumerate(dims.RSS_KEYWORDS)) + ") AS t(keyword_ord, keyword))"
 oracle("month_spine", with_ctes(zones_train_cte(), ARTICLES, KW) + """

@@ -569,6 +569,23 @@ def q_scan_accidents(i: Inputs) -> DataFrame:
     return src.read_accidents(i.spark, path)
 
 
+@register("history_files")
+def q_history_files(i: Inputs) -> DataFrame:
+    """S2 + S3 + U3 + D2: the dataset in files with different column orders, one
+    file without labels, one missing, and a last one, the first of two paths
+    that exists, which repeats the rows of the first."""
+    base = scratch_path(i.spark, "history-files")
+    even = F.coalesce(F.col("hour") % 2 == 0, F.lit(False))
+    src.write_dataset_csv(i.dataset.where(even), f"{base}/even")
+    src.write_dataset_csv(i.dataset.where(~even), f"{base}/odd", ACCIDENT_COLUMNS[::-1])
+    src.write_dataset_csv(i.dataset, f"{base}/unlabelled", ["headline", "zone"])
+    src.write_dataset_csv(i.dataset.where(even), f"{base}/parent")
+    last = src.first_existing(i.spark, [f"{base}/elsewhere", f"{base}/parent"])
+    files = [f"{base}/{x}" for x in ("even", "unlabelled", "missing", "odd")]
+    history = geo.history_base(src.read_accident_history(i.spark, [*files, last]), F.struct("file_rank", "source_url"))
+    return history.select("headline", "date", "location_name", "source_url", "file_rank")
+
+
 @register("sink_roundtrip")
 def q_sink_roundtrip(i: Inputs) -> DataFrame:
     path = scratch_path(i.spark, "dataset-parquet")

@@ -72,9 +72,9 @@ def read_accident_history(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def write_dataset_csv(df: DataFrame, path: str) -> None:
-    """S10 (exchange form): header CSV of the 34 columns."""
-    df.select(*ACCIDENT_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_dataset_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """S10 (exchange form): header CSV of the 34 columns, or of those named."""
+    df.select(*(columns or ACCIDENT_COLUMNS)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_dataset(df: DataFrame, path: str) -> None:
