@@ -1,20 +1,29 @@
 """Operator 9: cross-entropy difference of matched n-gram models.
 
 A target model (trusted documents) and a background model (all documents) are
-bigram models with the same order, smoothing and vocabulary: the hash buckets
-of all words and word pairs of the corpus.  The probability of a word after
-another interpolates the bigram with the unigram (Witten-Bell), and the
-unigram with the uniform distribution over the word buckets.  A document's
-score is the mean over its tokens of (target loss - background loss) in nats:
-low scores look like the target.
+bigram models with the same order, smoothing and vocabulary: the words of the
+corpus.  The probability of a word after another interpolates the bigram with
+the unigram (Witten-Bell), and the unigram with the uniform distribution over
+the vocabulary.  A document's score is the mean over its tokens of (target
+loss - background loss) in nats: low scores look like the target.
 
-Counting reads every document; a task adds up in arrays of ``buckets`` counts
-and hands on one row per bucket it has seen, so what is gathered grows with the
-corpus and no frequent word is a hot key.  The models are two count tables of
-at most ``buckets`` rows each; that bound (parameter) lets them be broadcast.
+1. One pass counts every pair of a word and the word before (64-bit hashes),
+   added up over many texts inside a task before the shuffle.  The table of
+   pairs is written; the counts of words and contexts are sums over it.
+2. A pair's two losses need its own counts and those of its word and context.
+   These are joined: words that head many pairs by a broadcast of fewer than
+   ``HOT_WORDS`` rows, all others by a shuffle.
+3. A second pass over the texts adds up the losses of the hot pairs (fewer than
+   ``HOT_PAIRS``, broadcast) and hands on the other pairs, which are joined to
+   their losses by a shuffle.
 
-The trusted documents are a bounded sample (the ``trusted_rows`` smallest
-doc_ids by hash); background counts cover all rows.
+The tables grow with the corpus and stay distributed; the two bounds only say
+which way a row is joined.  Losses are added in units of 2^-32, so sums don't
+depend on the order.  The target is counted over all trusted documents.
+
+A caller who gives ``words`` and ``pairs`` gets the bounded variant: counts in
+that many hash buckets, which are broadcast whole.  Its buckets are shared by
+unrelated pairs once the corpus has more pairs than buckets.
 
 Cases: null or word-less texts have no tokens and null scores.  Without
 trusted documents the target model is uniform.  Repeated rows count and are
@@ -23,20 +32,20 @@ scored each for itself.  Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
-from .quality import trusted_ids
-from .wordarrays import SPACE_WORDS, Words, chunks
+from .common import materialize, only
+from .wordarrays import SPACE_WORDS, Words, chunks, mix
 
-WORD_BUCKETS = 1 << 18
-PAIR_BUCKETS = 1 << 20
-TRUSTED_ROWS = 100_000
+HOT_WORDS = 1 << 18
+HOT_PAIRS = 1 << 20
+CHUNK_TOKENS = 1 << 21
+UNIT = 2.0 ** 32
 _START = np.uint64(0x5EED)
 
 
@@ -108,15 +117,164 @@ def models(tables: DataFrame, words: int, pairs: int) -> tuple[Model, Model]:
     return out[0], out[1]
 
 
+def _befores(w: Words) -> np.ndarray:
+    """Hash of the word before every token, or the start mark."""
+    before = np.empty_like(w.hash)
+    before[1:] = w.hash[:-1]
+    before[w.first[:-1][np.diff(w.first) > 0]] = _START
+    return before
+
+
+def _keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit key of every pair."""
+    return mix(mix(before) + word).view(np.int64)
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(before, word, background, target) of every pair of the corpus.  ``docs``: text, trusted."""
+
+    def added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        before, word, good = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((word, before))
+        before, word, good = before[order], word[order], good[order]
+        new = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (word[1:] != word[:-1])))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(before[new].view(np.int64)), pa.array(word[new].view(np.int64)),
+             pa.array(np.diff(np.append(new, len(word)))), pa.array(np.add.reduceat(good.astype(np.int64), new))],
+            names=["before", "word", "background", "target"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            trusted = batch["trusted"].to_numpy(zero_copy_only=False).astype(bool)
+            for base, w in chunks(batch["text"], SPACE_WORDS):
+                parts.append((_befores(w), w.hash, trusted[base + w.row]))
+                held += len(w.hash)
+                if held >= CHUNK_TOKENS:
+                    yield added(parts)
+                    parts, held = [], 0
+        if held:
+            yield added(parts)
+
+    partial = docs.mapInArrow(run, "before long, word long, background long, target long")
+    return partial.groupBy("before", "word").agg(F.sum("background").alias("background"),
+                                                 F.sum("target").alias("target"))
+
+
+def _joined(rows: DataFrame, heavy: DataFrame, light: DataFrame, key: str) -> DataFrame:
+    """``rows``, already left-joined to ``heavy``, with the counts of ``light`` where they have none."""
+    counts = [c for c in heavy.columns if c != key]
+    missing = F.col(counts[0]).isNull()
+    return rows.where(~missing).unionByName(rows.where(missing).drop(*counts).join(light, key))
+
+
+def pair_loss(n: np.ndarray, context: np.ndarray, word: np.ndarray, total: int, kinds: int, pairs: int,
+              vocabulary: int) -> np.ndarray:
+    """Negative log probability of a word in a context, from the counts of the pair, its context and its word."""
+    uniform = 1.0 / vocabulary
+    lower = (word + kinds * uniform) / (total + kinds) if total else uniform
+    spread = np.maximum(1.0, context * (pairs / max(1, total)))
+    return -np.log((n + spread * lower) / (context + spread))
+
+
+def pair_losses(pairs: DataFrame, hot_words: int = HOT_WORDS) -> Callable[[DataFrame], DataFrame]:
+    """A function from rows of ``pairs`` to their (key, target, background), losses in units of 1 / UNIT.
+
+    ``pairs`` is a written table (it is read several times)."""
+    sums = [F.sum("background").alias("b"), F.sum("target").alias("t"), F.count("*").alias("n")]
+    both = [F.sum("background"), F.sum("target"), F.count("*"), F.count_if(F.col("target") > 0)]
+    b_total, t_total, b_pairs, t_pairs = (x or 0 for x in pairs.agg(*both).first())
+    heavy, light, kinds = {}, {}, {}
+    least = b_pairs // hot_words + 1  # fewer than ``hot_words`` words head as many pairs
+    for key in ("word", "before"):
+        counts = materialize(pairs.groupBy(key).agg(*sums), f"lm-{key}")
+        kinds[key] = counts.agg(F.count("*"), F.count_if(F.col("t") > 0)).first()
+        named = [key, *[F.col(c).alias(f"{key}_{c}") for c in "bt"]]
+        heavy[key] = counts.where(F.col("n") >= least).select(named)
+        light[key] = counts.where(F.col("n") < least).select(named)
+    b_kinds, t_kinds = kinds["word"]
+    shapes = {"target": (t_total, t_kinds, t_pairs, b_kinds), "background": (b_total, b_kinds, b_pairs, b_kinds)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {c: batch[c].to_numpy() for c in batch.schema.names}
+            losses = [pa.array(np.rint(UNIT * pair_loss(x[m], x[f"before_{m[0]}"], x[f"word_{m[0]}"], *shape))
+                               .astype(np.int64)) for m, shape in shapes.items()]
+            keys = _keys(x["before"].view(np.uint64), x["word"].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *losses], names=["key", "target", "background"])
+
+    def losses_of(rows: DataFrame) -> DataFrame:
+        for key in heavy:
+            rows = rows.join(F.broadcast(heavy[key]), key, "left")
+        for key in heavy:
+            rows = _joined(rows, heavy[key], light[key], key)
+        return rows.mapInArrow(run, "key long, target long, background long")
+
+    return losses_of
+
+
+def _marked(named: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, trusted) of every document; all good, non-toxic labels count."""
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
+    good = materialize(good, "lm-trusted").withColumn("trusted", F.lit(True))  # its size decides how it is joined
+    known = named.where("doc_id is not null").join(good, "doc_id", "left").select(
+        "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    return known.unionByName(named.where("doc_id is null").select("text", F.lit(False).alias("trusted")))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    words: int = WORD_BUCKETS, pairs: int = PAIR_BUCKETS,
-                    trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+                    words: int | None = None, pairs: int | None = None, hot_words: int = HOT_WORDS,
+                    hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (means per token), score (their difference)."""
     named = only(docs, doc_id=id_col, text=text_col)
-    trusted = trusted_ids(labels, trusted_rows).withColumn("trusted", F.lit(True))
-    marked = named.join(F.broadcast(trusted), "doc_id", "left").select(
-        "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    shared = docs.sparkSession.sparkContext.broadcast(models(count_tables(marked, words, pairs), words, pairs))
+    marked = _marked(named, labels)
+    if words and pairs:
+        return _bounded_scores(named, marked, words, pairs).withColumnRenamed("doc_id", id_col)
+    counts = materialize(pair_counts(marked), "lm-pairs")
+    losses_of = pair_losses(counts, hot_words)
+    least = (counts.agg(F.sum("background")).first()[0] or 0) // hot_pairs + 1  # fewer than ``hot_pairs`` are hot
+    hot = losses_of(counts.where(F.col("background") >= least)).toArrow().sort_by("key")
+    shared = docs.sparkSession.sparkContext.broadcast([hot[c].to_numpy() for c in ("key", "target", "background")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, *losses = shared.value
+        for batch in batches:
+            for base, w in chunks(batch["text"], SPACE_WORDS):
+                keys = _keys(_befores(w), w.hash)
+                at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+                hit = known[at] == keys if len(known) else np.zeros(len(keys), dtype=bool)
+                sums = [_row_sums(np.where(hit, x[at], 0) if len(known) else np.zeros(len(keys), np.int64), w.first)
+                        for x in losses]
+                rest = pa.ListArray.from_arrays(
+                    pa.array(np.append(0, np.cumsum(~hit))[w.first].astype(np.int32)), pa.array(keys[~hit]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch["row"].slice(base, w.n_rows), batch["doc_id"].slice(base, w.n_rows),
+                     pa.array(np.diff(w.first).astype(np.int64)), *map(pa.array, sums), rest],
+                    names=["row", "doc_id", "n_tokens", "target", "background", "rest"])
+
+    numbered = named.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
+    scored = materialize(numbered.mapInArrow(
+        run, f"row long, doc_id {named.schema['doc_id'].dataType.simpleString()}, n_tokens long, target long, "
+             "background long, rest array<long>"), "lm-hot")
+    cold = losses_of(counts.where(F.col("background") < least))
+    more = (scored.select("row", F.explode("rest").alias("key")).join(cold, "key").groupBy("row")
+            .agg(F.sum("target").alias("more_target"), F.sum("background").alias("more_background")))
+    out = scored.drop("rest").join(more, "row", "left")
+    means = {m: (F.col(m) + F.coalesce(f"more_{m}", F.lit(0).cast("long"))) / F.lit(UNIT) / F.nullif("n_tokens", F.lit(0))
+             for m in ("target", "background")}
+    return (out.select(F.col("doc_id").alias(id_col), "n_tokens", means["target"].alias("target_loss"),
+                       means["background"].alias("background_loss"))
+            .withColumn("score", F.col("target_loss") - F.col("background_loss")))
+
+
+def _row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of ``values`` over every row's tokens."""
+    return np.diff(np.append(0, np.cumsum(values))[first])
+
+
+def _bounded_scores(named: DataFrame, marked: DataFrame, words: int, pairs: int) -> DataFrame:
+    """``score_documents`` from counts in hash buckets."""
+    shared = named.sparkSession.sparkContext.broadcast(models(count_tables(marked, words, pairs), words, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, background = shared.value
@@ -133,6 +291,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     [batch["doc_id"].slice(base, w.n_rows), pa.array(n.astype(np.int64)), *cols],
                     names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    scored = named.mapInArrow(run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, n_tokens long, "
-                                   "target_loss double, background_loss double, score double")
-    return scored.withColumnRenamed("doc_id", id_col)
+    return named.mapInArrow(run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, n_tokens long, "
+                                 "target_loss double, background_loss double, score double")

@@ -301,6 +301,42 @@ def test_lm_scores(spark, docs, labels):
     assert lm_score.score_documents(docs.limit(0), labels, words=16, pairs=16).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1 << 20, 3])
+def test_lm_scores_of_real_pairs(spark, docs, labels, hot):
+    """Counts of real words and pairs, however many there are and whichever way they are joined."""
+    rows = [(i, SPACE.findall((t or "").translate(LOWER))) for i, t in pairs()]
+    good = [(i, w) for i, w in rows if i is not None and i < 40 and i != 32]
+    grams = lambda some: collections.Counter(g for _, w in some for g in zip([None, *w], w))
+    vocabulary = len({x for _, w in rows for x in w})
+    models = []
+    for some in (good, rows):
+        pair = grams(some)
+        word, context = collections.Counter(), collections.Counter()
+        for (a, b), n in pair.items():
+            word[b] += n
+            context[a] += n
+        models.append((pair, word, context, sum(word.values())))
+
+    def loss(model, a, b):
+        pair, word, context, total = model
+        lower = (word[b] + len(word) / vocabulary) / (total + len(word))
+        spread = max(1.0, context[a] * len(pair) / total)
+        return -np.log((pair[a, b] + spread * lower) / (context[a] + spread))
+
+    out = lm_score.score_documents(docs, labels, hot_words=hot, hot_pairs=hot)
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for i, w in rows:
+        if not w:
+            assert got[i].n_tokens == 0 and got[i].score is None
+            continue
+        a, b = (np.mean([loss(m, *g) for g in zip([None, *w], w)]) for m in models)
+        assert got[i].n_tokens == len(w)
+        assert np.allclose([got[i].target_loss, got[i].background_loss, got[i].score], [a, b, a - b], atol=1e-8)
+    assert lm_score.score_documents(docs.limit(0), labels).count() == 0
+    assert all(r.target_loss > 0 for r in lm_score.score_documents(docs, labels.limit(0)).collect() if r.n_tokens)
+
+
 def test_rates(spark, docs, labels):
     rnd = random.Random(5)
     rows = [(i, rnd.randrange(1, 500), *(lambda a, b: (1 - a - b, a, b))(rnd.random() / 2, rnd.random() / 2))
