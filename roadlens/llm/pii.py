@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -72,9 +73,7 @@ class Feistel:
     def permute(self, x: int, n: int, tweak: str, back: bool = False) -> int:
         if n < 2:
             return x
-        a = max(1, int(n ** 0.5))
-        while a * a < n:
-            a += 1
+        a = math.isqrt(n - 1) + 1
         b = -(-n // a)
         salt = f"{tweak}|{n}".encode()
         x = self._once(x, a, b, salt, back)

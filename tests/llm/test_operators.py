@@ -259,6 +259,16 @@ def test_pseudonyms(spark, docs):
     assert {r.doc_id: r.text for r in out.collect()} == dict(pairs())  # nothing personal in there
 
 
+def test_pseudonyms_of_long_names():
+    f, rnd = pii.Feistel(b"k"), random.Random(11)
+    for n in (*range(30, 65), 64):
+        name = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        text = f"to {name}@mail.example.com now"
+        new, spans = pii.replace_all(text, f)
+        assert len(spans) == 1 and new != text and len(new) == len(text)
+        assert pii.replace_all(new, f, back=True)[0] == text
+
+
 def test_main_text(spark):
     notice = "this site uses many words to say the very same thing on every page"
     pages = [(1, "http://H.example/1", "<nav>menu</nav><article><h1>T&amp;x</h1><p>one <b>b</b>old<p>two<br>three"
