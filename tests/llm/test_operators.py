@@ -153,6 +153,19 @@ def test_near_duplicates_edges(spark, docs):
     assert {i for i in ids if i is not None} == {i for i, (_, c) in want.items() if i == c} and None in ids
 
 
+def test_keep_one_row_of_a_component(spark, docs):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(1, a), (1, a), (1, a),  # repeated rows
+            (5, b), (2, c), (5, c), (7, b),  # one doc_id with two texts
+            (None, a), (None, d), (None, d), (None, e), (9, None), (9, None)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for some in (made, made.select("text", "doc_id").withColumn("row", F.lit("x"))):
+        kept = near_dup.keep_one(some)
+        assert kept.columns == some.columns
+        assert collections.Counter(map(tuple, kept.select("doc_id", "text").collect())) == collections.Counter(
+            [(1, a), (5, b), (2, c), (None, d), (None, e), (9, None), (9, None)])
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(i, i + 1) for i in range(50)] + [(rnd.randrange(100, 160), rnd.randrange(100, 160)) for _ in range(40)]
