@@ -20,8 +20,9 @@
    table of (tokens, posteriors, rate), which is written anew every few steps;
    rates are never shuffled.  Step size 1 is safe: the scaled Hessian is
    row-stochastic.
-3. Whole copies: rates from 0.5 to 1.5 give one copy, other rates ``r`` give
-   ``floor(r + u)`` with ``u`` uniform by the hash of the doc_id.
+3. Whole copies: every rate ``r`` gives ``floor(r + u)`` with ``u`` uniform by
+   the hash of the doc_id, so a domain's expected kept tokens are those of its
+   rates.
 
 The sums over documents are taken in whole millionths, so they don't depend on
 the order.  The classifier's sample is bounded (``labelled_rows`` smallest
@@ -147,7 +148,7 @@ def fit_rates(table: DataFrame, weights: dict[str, float], ridge: float = RIDGE,
 def copies_of(rate: Column, key: Column) -> Column:
     """Whole copies of a document with this rate."""
     draw = F.pmod(F.xxhash64(key, F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return F.when((rate >= 0.5) & (rate < 1.5), F.lit(1)).otherwise(F.floor(rate + draw)).cast("int")
+    return F.floor(rate + draw).cast("int")
 
 
 def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:

@@ -380,3 +380,21 @@ def test_rates(spark, docs, labels):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in out)
     assert all(abs(r.p_good + r.p_low + r.p_toxic - 1) < 1e-9 and r.rate >= 0 for r in out) and len(out) == docs.count()
     assert mixing.rates(docs.limit(0), labels, buckets=64).count() == 0
+
+
+def test_kept_tokens_meet_the_targets(spark):
+    """Sharp posteriors, every domain within twice its target: rates between 0.5 and 1."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(20_000):
+        home, spread = rnd.choices(range(3), [0.92, 0.05, 0.03])[0], rnd.random() / 1000
+        rows.append((i, rnd.randrange(50, 150), *(1 - spread if k == home else spread / 2 for k in range(3))))
+    table = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double")
+    out = mixing.fit_rates(table, mixing.WEIGHTS)
+    out = out.withColumn("copies", mixing.copies_of(F.col("_rate"), F.col("doc_id"))).collect()
+    tokens = lambda f: [sum(r.n_tokens * f(r) * r[f"p_{d}"] for r in out) for d in mixing.DOMAINS]
+    had = tokens(lambda r: 1)
+    targets = [min(e, had[0] * mixing.WEIGHTS[d] / mixing.WEIGHTS["good"]) for d, e in zip(mixing.DOMAINS, had)]
+    assert all(t < 0.9 * e for t, e in zip(targets[1:], had[1:]))
+    assert np.allclose(tokens(lambda r: r._rate), targets, rtol=0.02)  # the fit has converged
+    assert np.allclose(tokens(lambda r: r.copies), targets, rtol=0.08)  # some 600 documents are the smallest domain
