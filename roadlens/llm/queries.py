@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from . import byte_bpe as bb
 from . import chat as ch
 from . import decontaminate as dc
 from . import html_main as hm
@@ -95,3 +96,10 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mx.rates(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@register
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bb.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bb.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bb.digest(encoded, ranks)
