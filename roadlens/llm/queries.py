@@ -13,6 +13,7 @@ from . import byte_bpe as bb
 from . import chat as ch
 from . import decontaminate as dc
 from . import html_main as hm
+from . import lexical as lx
 from . import lm_score as lm
 from . import mixing as mx
 from . import near_dup as nd
@@ -28,7 +29,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PSEUDONYM_KEY = b"example key of the registered query"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_lexical": lx.SEARCH_SQL}
 
 
 def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -103,3 +104,8 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bb.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = bb.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     return bb.digest(encoded, ranks)
+
+
+@register
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lx.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
