@@ -21,6 +21,7 @@ from . import pii
 from . import quality as ql
 from . import secrets as sc
 from . import token_binary as tb
+from . import whitening as wh
 from .common import materialize, read_table, scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -109,3 +110,9 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lx.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, fitted = wh.whiten(read_table(spark, sf_dir, "embeddings"))
+    return wh.report(table, fitted)
