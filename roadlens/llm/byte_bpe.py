@@ -60,12 +60,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.lru_cache(maxsize=None)
-def as_library(pattern: str) -> str:
-    """``pattern`` for the regex library, with the letters and digits of tiktoken's engine.
+def newer_characters(pattern: str) -> dict[str, str]:
+    """Letters (L) and digits (N) of the regex library that tiktoken's engine doesn't take for such.
 
     The two libraries may hold different versions of Unicode, of which the
     later only adds characters.  Those that the oldest at hand doesn't know are
     tried with tiktoken: next to a letter, one of ``\\p{L}`` makes one pre-token."""
+    out = {}
     for kind, beside in (("L", "a"), ("N", "1")):
         known = regex.compile(rf"\p{{{kind}}}")
         newer = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and known.match(chr(c))
@@ -76,17 +77,31 @@ def as_library(pattern: str) -> str:
             for k in range(2, len(whole) + 1):
                 ranks.setdefault(whole[:k], len(ranks))
         trial = tiktoken.Encoding("trial", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        unknown = "".join(c for c in newer if len(trial.encode_ordinary(beside + c)) > 1)
-        if unknown:
-            pattern = pattern.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{unknown}]]")
-    return "(?V1)" + pattern
+        out[kind] = "".join(c for c in newer if len(trial.encode_ordinary(beside + c)) > 1)
+    return out
+
+
+class Scanner:
+    """Pre-tokens of a text from a place on, as tiktoken's engine splits it."""
+
+    def __init__(self, pattern: str, newer: dict[str, str]):
+        exact = pattern
+        for kind, characters in newer.items():
+            if characters:
+                exact = exact.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{characters}]]")
+        self.plain, self.exact = regex.compile(pattern).findall, regex.compile("(?V1)" + exact).findall
+        self.newer = frozenset("".join(newer.values()))
+
+    def __call__(self, text: str, start: int = 0) -> list[str]:
+        # the long list of characters makes the exact pattern slow; hardly a text has one of them
+        return (self.plain if self.newer.isdisjoint(text) else self.exact)(text, start)
 
 
 class Codec:
-    """Pre-tokeniser, merges and byte table of one task."""
+    """Pre-tokeniser and merges of one task."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, scan_pattern: str):
-        self.scan = regex.compile(scan_pattern).findall
+    def __init__(self, ranks: dict[bytes, int], pattern: str, newer: dict[str, str]):
+        self.scan = Scanner(pattern, newer)
         self.merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, list[int]] = {}
 
@@ -121,7 +136,7 @@ def _codec(shared) -> Codec:
 def _share(docs: DataFrame, ranks: dict[bytes, int], pattern: str):
     """Broadcast of the vocabulary: as large as its file, whatever the documents."""
     key = hash((pattern, frozenset(ranks.items())))
-    return docs.sparkSession.sparkContext.broadcast((key, ranks, pattern, as_library(pattern)))
+    return docs.sparkSession.sparkContext.broadcast((key, ranks, pattern, newer_characters(pattern)))
 
 
 def boundaries(scan, text: str, start: int, at_end: bool) -> list[int]:

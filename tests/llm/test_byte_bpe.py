@@ -5,7 +5,6 @@ import random
 
 import public_tokenizers
 import pytest
-import regex
 import tiktoken
 
 from roadlens.llm import byte_bpe
@@ -60,7 +59,7 @@ def test_empty_table(spark, ranks):
 
 
 def test_every_stitch_is_a_true_boundary():
-    scan = regex.compile(byte_bpe.as_library(PATTERN)).findall
+    scan = byte_bpe.Scanner(PATTERN, byte_bpe.newer_characters(PATTERN))
     rnd = random.Random(5)
     found = 0
     for _ in range(4000):
