@@ -48,7 +48,9 @@ from .common import only
 
 CHUNK = 16_384
 OVERLAP = 512
-CACHE = 400_000
+CACHE = 200_000
+#: rows whose texts a task holds as Python strings at once
+_ROWS = 64
 #: code points after a match that decide its end: a white-space run and the character behind it, or a contraction
 _AHEAD = 3
 
@@ -133,6 +135,12 @@ def _codec(shared) -> Codec:
     return _CODECS[shared.value[0]]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 def _share(docs: DataFrame, ranks: dict[bytes, int], pattern: str):
     """Broadcast of the vocabulary: as large as its file, whatever the documents."""
     key = hash((pattern, frozenset(ranks.items())))
@@ -183,7 +191,7 @@ def _stitches(chunks: DataFrame, shared, chunk: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _codec(shared).scan
-        for batch in batches:
+        for batch in _slices(batches):
             cols = [batch[c].to_pylist() for c in ("text", "chunk", "last", "at_end")]
             stops = [len(t) if last else stitch(scan, t, chunk, k == 0, at_end) for t, k, last, at_end in zip(*cols)]
             yield pa.RecordBatch.from_arrays([batch["row"], batch["chunk"], pa.array(stops, pa.int64())],
@@ -220,7 +228,7 @@ def _encode(texts: DataFrame, shared, wide: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for batch in batches:
+        for batch in _slices(batches):
             cols = [batch[c].to_pylist() for c in ("text", "start", "stop")]
             ids = [np.array(codec.ids(*x), dtype=kind).tobytes() for x in zip(*cols)]
             yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], batch["piece"], pa.array(ids, pa.binary())],
@@ -251,7 +259,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     shared, wide = _table(encoded, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             raw = [b"".join(map(shared.value.__getitem__, _numbers(x, wide))) for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, "bytes"])
 
@@ -287,7 +295,7 @@ def digest(encoded: list[DataFrame], ranks: dict[bytes, int], id_col: str = "doc
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
                                               names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             kind = batch["doc_id"].type
             for r, doc_id, raw in zip(*[batch[c].to_pylist() for c in ("row", "doc_id", "ids")]):
                 if r != row:
