@@ -7,114 +7,54 @@ the unigram (Witten-Bell), and the unigram with the uniform distribution over
 the vocabulary.  A document's score is the mean over its tokens of (target
 loss - background loss) in nats: low scores look like the target.
 
-1. One pass counts every pair of a word and the word before (64-bit hashes),
-   added up over many texts inside a task before the shuffle.  The table of
-   pairs is written; the counts of words and contexts are sums over it.
-2. A pair's two losses need its own counts and those of its word and context.
-   These are joined: words that head many pairs by a broadcast of fewer than
-   ``HOT_WORDS`` rows, all others by a shuffle.
-3. A second pass over the texts adds up the losses of the hot pairs (fewer than
-   ``HOT_PAIRS``, broadcast) and hands on the other pairs, which are joined to
-   their losses by a shuffle.
-
-The tables grow with the corpus and stay distributed; the two bounds only say
-which way a row is joined.  Losses are added in units of 2^-32, so sums don't
-depend on the order.  The target is counted over all trusted documents.
-
-A caller who gives ``words`` and ``pairs`` gets the bounded variant: counts in
-that many hash buckets, which are broadcast whole.  Its buckets are shared by
-unrelated pairs once the corpus has more pairs than buckets.
+1. One pass counts the pairs of a word and the word before, the words, and the
+   texts' last words (64-bit hashes), added up over many texts inside a task
+   before the shuffle.  What occurs once is not written: the background holds
+   the scored documents themselves, so a pair or word that a document has and
+   the table has not occurs once, in this document.  The numbers of different
+   pairs and words follow from the totals.
+2. A second pass knows the most frequent words and pairs (at most ``hot_words``
+   and ``hot_pairs``, broadcast).  A bit map of fixed size holds all other
+   counted ones; what is in neither occurs once.  All tokens known so are
+   scored in the scan.
+3. The others are written with what is known of them and joined by a shuffle,
+   first to their words' counts, then to their pairs'; again, a miss occurs
+   once.  The bit maps only say which way a token takes: with a corpus that
+   fills them, more tokens take the second.
+
+The tables grow with the corpus and stay distributed.  Losses are added in units
+of 2^-32, so sums don't depend on the order.  The target is counted over all
+trusted documents.
 
 Cases: null or word-less texts have no tokens and null scores.  Without
 trusted documents the target model is uniform.  Repeated rows count and are
-scored each for itself.  Extra columns are not read.
+scored each for itself.  Empty tables give no rows; extra columns are not read.
+A long text is scanned by one task; its tokens are counted in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only
+from .common import materialize, only, scratch_path
 from .wordarrays import SPACE_WORDS, Words, chunks, mix
 
-HOT_WORDS = 1 << 18
-HOT_PAIRS = 1 << 20
-CHUNK_TOKENS = 1 << 21
+HOT_WORDS = 1 << 22
+HOT_PAIRS = 1 << 22
+#: trusted ids that are broadcast at most; more are joined by a shuffle
+BROADCAST_IDS = 1 << 20
+#: bits of the maps of counted words and pairs that are not broadcast
+MAP_BITS = 1 << 28
+CHUNK_TOKENS = 1 << 22
 UNIT = 2.0 ** 32
 _START = np.uint64(0x5EED)
-
-
-def ngrams(w: Words, words: int, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word bucket, bucket of the word before or of the start mark, pair bucket) of every token."""
-    before = np.empty_like(w.hash)
-    before[1:] = w.hash[:-1]
-    begins = w.first[:-1][np.diff(w.first) > 0]
-    before[begins] = _START
-    pair = w.hash * np.uint64(0x9E3779B97F4A7C15) ^ before * np.uint64(0xD1342543DE82EF95)
-    pair ^= pair >> np.uint64(29)
-    return ((w.hash % np.uint64(words)).astype(np.int64), (before % np.uint64(words)).astype(np.int64),
-            (pair % np.uint64(pairs)).astype(np.int64))
-
-
-def count_tables(docs: DataFrame, words: int, pairs: int) -> DataFrame:
-    """(kind, bucket, background, target): kind 0 words, 1 contexts, 2 pairs.  ``docs``: text, trusted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = (words, words, pairs)
-        counts = [np.zeros((2, n), dtype=np.int64) for n in sizes]
-        for batch in batches:
-            trusted = batch["trusted"].to_numpy(zero_copy_only=False).astype(bool)
-            for base, w in chunks(batch["text"], SPACE_WORDS):
-                good = trusted[base + w.row]
-                for table, grams, n in zip(counts, ngrams(w, words, pairs), sizes):
-                    table[0] += np.bincount(grams, minlength=n)
-                    table[1] += np.bincount(grams[good], minlength=n)
-        for kind, table in enumerate(counts):
-            seen = np.flatnonzero(table[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(seen), kind, np.int32)), pa.array(seen.astype(np.int32)),
-                 pa.array(table[0][seen]), pa.array(table[1][seen])], names=["kind", "bucket", "background", "target"])
-
-    partial = docs.mapInArrow(run, "kind int, bucket int, background long, target long")
-    return partial.groupBy("kind", "bucket").agg(F.sum("background").alias("background"),
-                                                 F.sum("target").alias("target"))
-
-
-class Model:
-    """Interpolated bigram model over hashed words."""
-
-    def __init__(self, word: np.ndarray, context: np.ndarray, pair: np.ndarray):
-        total = word.sum()
-        kinds = np.count_nonzero(word)
-        uniform = 1.0 / len(word)
-        self.word = (word + kinds * uniform) / (total + kinds) if total else np.full(len(word), uniform)
-        self.context, self.pair = context.astype(np.float64), pair.astype(np.float64)
-        # distinct followers of a context, as its share of all distinct pairs (matched in both models)
-        self.spread = np.maximum(1.0, context * (np.count_nonzero(pair) / max(1, total)))
-
-    def loss(self, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Negative log probability of every token."""
-        lower, spread = self.word[word], self.spread[context]
-        seen = np.minimum(self.pair[pair], self.context[context])  # a pair is seen as often as its context at most
-        return -np.log((seen + spread * lower) / (self.context[context] + spread))
-
-
-def models(tables: DataFrame, words: int, pairs: int) -> tuple[Model, Model]:
-    """(target, background) from the count tables; at most 2 * words + pairs rows reach the driver."""
-    rows = tables.toArrow()
-    kind, bucket = rows["kind"].to_numpy(), rows["bucket"].to_numpy()
-    out = []
-    for column in ("target", "background"):
-        arrays = [np.zeros(n, dtype=np.int64) for n in (words, words, pairs)]
-        for k, a in enumerate(arrays):
-            a[bucket[kind == k]] = rows[column].to_numpy()[kind == k]
-        out.append(Model(*arrays))
-    return out[0], out[1]
+_PAIR, _WORD, _LAST, _TOTAL = range(4)
 
 
 def _befores(w: Words) -> np.ndarray:
@@ -130,42 +70,47 @@ def _keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(before) + word).view(np.int64)
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """(before, word, background, target) of every pair of the corpus.  ``docs``: text, trusted."""
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(kind, key, background, target) of every pair, word and last word of a text, and the totals of
+    tokens (key 0) and texts with words (key 1).  ``docs``: text, trusted."""
 
-    def added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        before, word, good = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((word, before))
-        before, word, good = before[order], word[order], good[order]
-        new = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (word[1:] != word[:-1])))
+    def counted(kind: int, keys: np.ndarray, good: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(keys)
+        keys, good = keys[order], good[order]
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(before[new].view(np.int64)), pa.array(word[new].view(np.int64)),
-             pa.array(np.diff(np.append(new, len(word)))), pa.array(np.add.reduceat(good.astype(np.int64), new))],
-            names=["before", "word", "background", "target"])
+            [pa.array(np.full(len(new), kind, np.int8)), pa.array(keys[new]), pa.array(np.diff(np.append(new, len(keys)))),
+             pa.array(np.add.reduceat(good, new) if len(new) else new)], names=["kind", "key", "background", "target"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            trusted = batch["trusted"].to_numpy(zero_copy_only=False).astype(bool)
-            for base, w in chunks(batch["text"], SPACE_WORDS):
-                parts.append((_befores(w), w.hash, trusted[base + w.row]))
-                held += len(w.hash)
-                if held >= CHUNK_TOKENS:
-                    yield added(parts)
-                    parts, held = [], 0
-        if held:
-            yield added(parts)
-
-    partial = docs.mapInArrow(run, "before long, word long, background long, target long")
-    return partial.groupBy("before", "word").agg(F.sum("background").alias("background"),
-                                                 F.sum("target").alias("target"))
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
+        totals, tokens = np.zeros((2, 2), dtype=np.int64), 0
 
+        def full() -> Iterator[pa.RecordBatch]:
+            for kind, parts in enumerate(held):
+                if parts:
+                    yield counted(kind, *(np.concatenate(x) for x in zip(*parts)))
+                    parts.clear()
 
-def _joined(rows: DataFrame, heavy: DataFrame, light: DataFrame, key: str) -> DataFrame:
-    """``rows``, already left-joined to ``heavy``, with the counts of ``light`` where they have none."""
-    counts = [c for c in heavy.columns if c != key]
-    missing = F.col(counts[0]).isNull()
-    return rows.where(~missing).unionByName(rows.where(missing).drop(*counts).join(light, key))
+        for batch in batches:
+            trusted = batch["trusted"].to_numpy(zero_copy_only=False).astype(np.int64)
+            for base, w in chunks(batch["text"], SPACE_WORDS):
+                good = trusted[base + w.row]
+                last = w.first[1:][np.diff(w.first) > 0] - 1
+                held[_PAIR].append((_keys(_befores(w), w.hash), good))
+                held[_WORD].append((w.hash.view(np.int64), good))
+                held[_LAST].append((w.hash[last].view(np.int64), good[last]))
+                totals += ((len(good), good.sum()), (len(last), good[last].sum()))
+                tokens += len(good)
+                if tokens >= CHUNK_TOKENS:
+                    yield from full()
+                    tokens = 0
+        yield from full()
+        yield pa.RecordBatch.from_arrays([pa.array([_TOTAL] * 2, pa.int8()), pa.array([0, 1]), pa.array(totals[:, 0]),
+                                          pa.array(totals[:, 1])], names=["kind", "key", "background", "target"])
+
+    partial = docs.mapInArrow(run, "kind byte, key long, background long, target long")
+    return partial.groupBy("kind", "key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
 def pair_loss(n: np.ndarray, context: np.ndarray, word: np.ndarray, total: int, kinds: int, pairs: int,
@@ -177,89 +122,208 @@ def pair_loss(n: np.ndarray, context: np.ndarray, word: np.ndarray, total: int,
     return -np.log((n + spread * lower) / (context + spread))
 
 
-def pair_losses(pairs: DataFrame, hot_words: int = HOT_WORDS) -> Callable[[DataFrame], DataFrame]:
-    """A function from rows of ``pairs`` to their (key, target, background), losses in units of 1 / UNIT.
-
-    ``pairs`` is a written table (it is read several times)."""
-    sums = [F.sum("background").alias("b"), F.sum("target").alias("t"), F.count("*").alias("n")]
-    both = [F.sum("background"), F.sum("target"), F.count("*"), F.count_if(F.col("target") > 0)]
-    b_total, t_total, b_pairs, t_pairs = (x or 0 for x in pairs.agg(*both).first())
-    heavy, light, kinds = {}, {}, {}
-    least = b_pairs // hot_words + 1  # fewer than ``hot_words`` words head as many pairs
-    for key in ("word", "before"):
-        counts = materialize(pairs.groupBy(key).agg(*sums), f"lm-{key}")
-        kinds[key] = counts.agg(F.count("*"), F.count_if(F.col("t") > 0)).first()
-        named = [key, *[F.col(c).alias(f"{key}_{c}") for c in "bt"]]
-        heavy[key] = counts.where(F.col("n") >= least).select(named)
-        light[key] = counts.where(F.col("n") < least).select(named)
-    b_kinds, t_kinds = kinds["word"]
-    shapes = {"target": (t_total, t_kinds, t_pairs, b_kinds), "background": (b_total, b_kinds, b_pairs, b_kinds)}
+def _bin(n: str) -> Column:
+    """Size class of a count: sixteen to a doubling, so each of the small counts has its own."""
+    return F.floor(F.log2(n) * 16).cast("int")
+
+
+def _cut(counted: DataFrame, most: int) -> int:
+    """The least size class with at most ``most`` rows from it on."""
+    sizes = sorted(counted.groupBy(_bin("background").alias("bin")).count().collect(), reverse=True)  # about 1,000 at most
+    cut, held = 1 << 20, 0
+    for r in sizes:
+        held += r["count"]
+        if held > most:
+            break
+        cut = r["bin"]
+    return cut
+
+
+class Counts:
+    """The counts of one kind that a task knows: sorted keys with their counts, and a map of the keys counted elsewhere."""
+
+    def __init__(self, hot: DataFrame, cold: DataFrame, key: str, columns: list[str], map_bits: int, more: tuple = ()):
+        rows = hot.select(key, *columns).toArrow()  # as bounded as ``hot``
+        keys = rows[key].to_numpy()
+        most = max([int(rows[c].to_numpy().max(initial=0)) for c in columns] + [max(more[1:], default=0)])
+        kind = np.uint32 if most < 1 << 32 else np.uint64
+        values = [rows[c].to_numpy().astype(kind) for c in columns]
+        if more:
+            keys, values = np.append(keys, more[0]), [np.append(v, m).astype(kind) for v, m in zip(values, more[1:])]
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], [v[order] for v in values]
+        words = (cold.select(F.expr(f"{key} & {map_bits - 1}L").alias("s"))
+                 .groupBy(F.expr("cast(shiftright(s, 6) as int)").alias("w"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow())
+        self.map_bits = map_bits if words.num_rows else 0  # at most map_bits / 64 words
+        self.bits = np.zeros(self.map_bits // 64, dtype=np.int64)
+        if self.map_bits:
+            self.bits[words["w"].to_numpy()] = words["bits"].to_numpy()
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, known, open) of every key: open ones may be counted elsewhere, the rest occur once."""
+        place = np.searchsorted(self.keys, keys)
+        np.minimum(place, max(0, len(self.keys) - 1), out=place)
+        known = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        if not self.map_bits:
+            return place, known, np.zeros(len(keys), dtype=bool)
+        slot = keys & (self.map_bits - 1)
+        return place, known, ~known & ((self.bits[slot >> 6] >> (slot & 63)) & 1).astype(bool)
+
+    def counts(self, column: int, place: np.ndarray, known: np.ndarray, once: np.ndarray) -> np.ndarray:
+        out = once.astype(np.int64)
+        if len(self.keys):
+            out[known] = self.values[column][place[known]]
+        return out
+
+
+@dataclass
+class Shapes:
+    """Tokens, different words, different pairs and vocabulary of the two models."""
+
+    target: tuple
+    background: tuple
+
+
+def _shapes(words: DataFrame, pairs: DataFrame, totals: dict) -> Shapes:
+    """The numbers of different grams: those counted, and one for every token of none of them."""
+    out = []
+    for column in ("background", "target"):
+        total, sizes = totals[0][column], []
+        for counted in (words, pairs):
+            held, n = counted.agg(F.coalesce(F.sum(column), F.lit(0)), F.count_if(F.col(column) > 0)).first()
+            sizes.append(n + total - held)
+        out.append((total, *sizes))
+    vocabulary = max(1, out[0][1])
+    return Shapes(target=(*out[1], vocabulary), background=(*out[0], vocabulary))
+
+
+def _marked(named: DataFrame, labels: DataFrame) -> DataFrame:
+    """``named`` with ``trusted``; all good, non-toxic labels count."""
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
+    good = materialize(good, "lm-trusted").withColumn("trusted", F.lit(True))
+    few = good.count() <= BROADCAST_IDS
+    known = named.where("doc_id is not null").join(F.broadcast(good) if few else good, "doc_id", "left")
+    known = known.select(*named.columns, F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    marked = known.unionByName(named.where("doc_id is null").withColumn("trusted", F.lit(False)))
+    return marked if few else materialize(marked, "lm-marked")  # the texts cross the network once, not in every scan
+
+
+_KNOWN = ["n_b", "n_t", "u_b", "u_t", "v_b", "v_t"]
+
+
+def _scan(docs: DataFrame, words: Counts, pairs: Counts, shapes: Shapes) -> DataFrame:
+    """Two kinds of rows.  ``open`` 0: row, doc_id, n_tokens and the losses of the known tokens.  ``open`` 1, one per
+    other token: row, pair key, the counts known or else of a single occurrence, and the words to look up (u before v)."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, pairs))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    long = [c for c in ("n_tokens", "target", "background", "key", *_KNOWN, "u", "v")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = shared.value
         for batch in batches:
-            x = {c: batch[c].to_numpy() for c in batch.schema.names}
-            losses = [pa.array(np.rint(UNIT * pair_loss(x[m], x[f"before_{m[0]}"], x[f"word_{m[0]}"], *shape))
-                               .astype(np.int64)) for m, shape in shapes.items()]
-            keys = _keys(x["before"].view(np.uint64), x["word"].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *losses], names=["key", "target", "background"])
+            id_type = batch["doc_id"].type
 
-    def losses_of(rows: DataFrame) -> DataFrame:
-        for key in heavy:
-            rows = rows.join(F.broadcast(heavy[key]), key, "left")
-        for key in heavy:
-            rows = _joined(rows, heavy[key], light[key], key)
-        return rows.mapInArrow(run, "key long, target long, background long")
+            def rows(state: int, n: int, given: dict) -> pa.RecordBatch:
+                empty = {"doc_id": pa.nulls(n, id_type)} | {c: pa.nulls(n, pa.int64()) for c in long}
+                cols = {"open": pa.array(np.full(n, state, np.int32)), **{"row": None}, **empty} | given
+                return pa.RecordBatch.from_pydict(cols)
 
-    return losses_of
+            trusted = batch["trusted"].to_numpy(zero_copy_only=False).astype(bool)
+            for base, w in chunks(batch["text"], SPACE_WORDS):
+                once = trusted[base + w.row]
+                ones = np.ones(len(once), dtype=np.int64)
+                before, word = _befores(w).view(np.int64), w.hash.view(np.int64)
+                key = _keys(before.view(np.uint64), w.hash)
+                found = {"n": pairs.find(key), "u": words.find(before), "v": words.find(word)}
+                x = {}
+                for name, table, columns in (("n", pairs, (0, 1)), ("u", words, (2, 3)), ("v", words, (0, 1))):
+                    place, known, _ = found[name]
+                    for suffix, column, single in zip(("b", "t"), columns, (ones, once)):
+                        x[f"{name}_{suffix}"] = table.counts(column, place, known, single)
+                later = found["n"][2] | found["u"][2] | found["v"][2]
+                sums = {}
+                for model, shape in vars(shapes).items():
+                    loss = pair_loss(*(x[f"{name}_{model[0]}"] for name in "nuv"), *shape)
+                    sums[model] = pa.array(_row_sums(np.where(later, 0, np.rint(UNIT * loss)).astype(np.int64), w.first))
+                yield rows(0, w.n_rows, {"row": batch["row"].slice(base, w.n_rows), "doc_id": batch["doc_id"].slice(base, w.n_rows),
+                                         "n_tokens": pa.array(np.diff(w.first).astype(np.int64)), **sums})
+                at = np.flatnonzero(later)
+                if len(at):
+                    given = {"row": batch["row"].take(pa.array(base + w.row[at])), "key": pa.array(key[at])}
+                    given |= {c: pa.array(x[c][at]) for c in _KNOWN}
+                    given |= {c: pa.array(h[at], mask=~found[c][2][at]) for c, h in (("u", before), ("v", word))}
+                    yield rows(1, len(at), given)
+
+    ddl = f"open int, row long, doc_id {kind}, " + ", ".join(f"{c} long" for c in long)
+    path = scratch_path(docs.sparkSession, "lm-scan")
+    docs.mapInArrow(run, ddl).write.partitionBy("open").parquet(path)
+    return docs.sparkSession.read.schema(ddl).parquet(path)
+
+
+def _with_words(tokens: DataFrame, cold_words: DataFrame) -> DataFrame:
+    """The tokens with the counts of the words that are looked up; a miss keeps its single occurrence."""
+    for side, columns in (("u", ("context", "t_context")), ("v", ("background", "target"))):
+        counts = cold_words.select(F.col("key").alias(side), *[F.col(c).alias(f"_{s}") for c, s in zip(columns, "bt")])
+        found = tokens.where(F.col(side).isNotNull()).join(counts, side, "left")
+        found = found.withColumns({f"{side}_{s}": F.coalesce(f"_{s}", f"{side}_{s}") for s in "bt"})
+        tokens = found.select(*tokens.columns).unionByName(tokens.where(F.col(side).isNull()))
+    return tokens
+
+
+def _open_losses(tokens: DataFrame, shapes: Shapes) -> DataFrame:
+    """(row, more_target, more_background): summed losses of tokens with all their counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {c: batch[c].to_numpy() for c in _KNOWN}
+            losses = [pa.array(np.rint(UNIT * pair_loss(*(x[f"{name}_{m[0]}"] for name in "nuv"), *shape)).astype(np.int64))
+                      for m, shape in vars(shapes).items()]
+            yield pa.RecordBatch.from_arrays([batch["row"], *losses], names=["row", "target", "background"])
 
-def _marked(named: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, trusted) of every document; all good, non-toxic labels count."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    good = materialize(good, "lm-trusted").withColumn("trusted", F.lit(True))  # its size decides how it is joined
-    known = named.where("doc_id is not null").join(good, "doc_id", "left").select(
-        "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    return known.unionByName(named.where("doc_id is null").select("text", F.lit(False).alias("trusted")))
+    scored = tokens.select("row", *_KNOWN).mapInArrow(run, "row long, target long, background long")
+    return scored.groupBy("row").agg(F.sum("target").alias("more_target"), F.sum("background").alias("more_background"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    words: int | None = None, pairs: int | None = None, hot_words: int = HOT_WORDS,
-                    hot_pairs: int = HOT_PAIRS) -> DataFrame:
+                    hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS, map_bits: int = MAP_BITS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (means per token), score (their difference)."""
-    named = only(docs, doc_id=id_col, text=text_col)
-    marked = _marked(named, labels)
-    if words and pairs:
-        return _bounded_scores(named, marked, words, pairs).withColumnRenamed("doc_id", id_col)
-    counts = materialize(pair_counts(marked), "lm-pairs")
-    losses_of = pair_losses(counts, hot_words)
-    least = (counts.agg(F.sum("background")).first()[0] or 0) // hot_pairs + 1  # fewer than ``hot_pairs`` are hot
-    hot = losses_of(counts.where(F.col("background") >= least)).toArrow().sort_by("key")
-    shared = docs.sparkSession.sparkContext.broadcast([hot[c].to_numpy() for c in ("key", "target", "background")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, *losses = shared.value
-        for batch in batches:
-            for base, w in chunks(batch["text"], SPACE_WORDS):
-                keys = _keys(_befores(w), w.hash)
-                at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-                hit = known[at] == keys if len(known) else np.zeros(len(keys), dtype=bool)
-                sums = [_row_sums(np.where(hit, x[at], 0) if len(known) else np.zeros(len(keys), np.int64), w.first)
-                        for x in losses]
-                rest = pa.ListArray.from_arrays(
-                    pa.array(np.append(0, np.cumsum(~hit))[w.first].astype(np.int32)), pa.array(keys[~hit]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["row"].slice(base, w.n_rows), batch["doc_id"].slice(base, w.n_rows),
-                     pa.array(np.diff(w.first).astype(np.int64)), *map(pa.array, sums), rest],
-                    names=["row", "doc_id", "n_tokens", "target", "background", "rest"])
-
-    numbered = named.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
-    scored = materialize(numbered.mapInArrow(
-        run, f"row long, doc_id {named.schema['doc_id'].dataType.simpleString()}, n_tokens long, target long, "
-             "background long, rest array<long>"), "lm-hot")
-    cold = losses_of(counts.where(F.col("background") < least))
-    more = (scored.select("row", F.explode("rest").alias("key")).join(cold, "key").groupBy("row")
-            .agg(F.sum("target").alias("more_target"), F.sum("background").alias("more_background")))
-    out = scored.drop("rest").join(more, "row", "left")
+    marked = _marked(only(docs, doc_id=id_col, text=text_col), labels)
+    path = scratch_path(docs.sparkSession, "lm-counts")
+    kept = gram_counts(marked).where((F.col("kind") >= _LAST) | (F.col("background") > 1))
+    kept.withColumn("kind", F.col("kind").cast("int")).write.partitionBy("kind").parquet(path)
+    counts = docs.sparkSession.read.schema("kind int, key long, background long, target long").parquet(path)
+    pairs, words, last, total = (counts.where(F.col("kind") == k).drop("kind") for k in (_PAIR, _WORD, _LAST, _TOTAL))
+    totals = {r["key"]: r for r in total.collect()}  # two rows
+    if not totals:
+        totals = {k: {"background": 0, "target": 0} for k in (0, 1)}
+    shapes = _shapes(words, pairs, totals)
+    # a word is a context wherever it isn't a text's last word
+    words = (words.join(last.select("key", F.col("background").alias("_b"), F.col("target").alias("_t")), "key", "left")
+             .select("key", "background", "target", (F.col("background") - F.coalesce("_b", F.lit(0))).alias("context"),
+                     (F.col("target") - F.coalesce("_t", F.lit(0))).alias("t_context")))
+    words = materialize(words, "lm-words")
+    known = []
+    for table, most, columns, more in (
+            (words, hot_words, ["background", "target", "context", "t_context"],
+             (_START.astype(np.int64), 0, 0, totals[1]["background"], totals[1]["target"])),
+            (pairs, hot_pairs, ["background", "target"], ())):
+        is_hot = _bin("background") >= _cut(table, most)
+        known.append((Counts(table.where(is_hot), table.where(~is_hot), "key", columns, map_bits, more), table.where(~is_hot)))
+    (word_counts, cold_words), (pair_counts, cold_pairs) = known
+    numbered = marked.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text", "trusted")
+    scanned = _scan(numbered, word_counts, pair_counts, shapes)
+    out = scanned.where("open = 0").select("row", "doc_id", "n_tokens", "target", "background")
+    tokens = scanned.where("open = 1").select("row", "key", *_KNOWN, "u", "v")
+    if word_counts.map_bits:
+        tokens = _with_words(tokens, cold_words)
+    if word_counts.map_bits or pair_counts.map_bits:
+        cold = cold_pairs.select("key", F.col("background").alias("_b"), F.col("target").alias("_t"))
+        tokens = tokens.drop("u", "v").join(cold, "key", "left").withColumns(
+            {"n_b": F.coalesce("_b", "n_b"), "n_t": F.coalesce("_t", "n_t")})
+        out = out.join(_open_losses(tokens, shapes), "row", "left")
+    else:  # everything counted is known to the scan
+        out = out.withColumns({f"more_{m}": F.lit(None).cast("long") for m in vars(shapes)})
     means = {m: (F.col(m) + F.coalesce(f"more_{m}", F.lit(0).cast("long"))) / F.lit(UNIT) / F.nullif("n_tokens", F.lit(0))
              for m in ("target", "background")}
     return (out.select(F.col("doc_id").alias(id_col), "n_tokens", means["target"].alias("target_loss"),
@@ -270,26 +334,3 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def _row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of ``values`` over every row's tokens."""
     return np.diff(np.append(0, np.cumsum(values))[first])
-
-
-def _bounded_scores(named: DataFrame, marked: DataFrame, words: int, pairs: int) -> DataFrame:
-    """``score_documents`` from counts in hash buckets."""
-    shared = named.sparkSession.sparkContext.broadcast(models(count_tables(marked, words, pairs), words, pairs))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = shared.value
-        for batch in batches:
-            for base, w in chunks(batch["text"], SPACE_WORDS):
-                grams = ngrams(w, words, pairs)
-                n = np.diff(w.first)
-                empty = pa.array(n == 0)
-                sums = [np.bincount(w.row, m.loss(*grams), minlength=w.n_rows) for m in (target, background)]
-                means = [s / np.maximum(n, 1) for s in sums]
-                cols = [pa.array(x, mask=empty.to_numpy(zero_copy_only=False))
-                        for x in (*means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(base, w.n_rows), pa.array(n.astype(np.int64)), *cols],
-                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return named.mapInArrow(run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, n_tokens long, "
-                                 "target_loss double, background_loss double, score double")

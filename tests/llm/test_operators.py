@@ -303,29 +303,8 @@ def test_main_text(spark):
     assert [keys[i] for i in order] == sorted(keys) and (rank[0] == rank[6]) and rank[3] != rank[0]
 
 
-def test_lm_scores(spark, docs, labels):
-    out = {r.doc_id: r for r in lm_score.score_documents(docs, labels, words=1 << 8, pairs=1 << 10).collect()}
-    from roadlens.llm.wordarrays import SPACE_WORDS, chunks
-    import pyarrow as pa
-    rows = pairs()
-    _, w = next(chunks(pa.array([t or "" for _, t in rows]), SPACE_WORDS))
-    word, before, pair = lm_score.ngrams(w, 1 << 8, 1 << 10)
-    trusted = np.array([i is not None and i < 40 and i != 32 for i, _ in rows])[w.row]
-    count = lambda x, n, m: np.bincount(x[m], minlength=n)
-    models = [lm_score.Model(count(word, 256, m), count(before, 256, m), count(pair, 1024, m))
-              for m in (trusted, np.ones(len(word), bool))]
-    for r, (i, t) in enumerate(rows):
-        mine = slice(w.first[r], w.first[r + 1])
-        if w.first[r] == w.first[r + 1]:
-            assert out[i].score is None and out[i].n_tokens == 0
-        else:
-            a, b = (m.loss(word[mine], before[mine], pair[mine]).mean() for m in models)
-            assert abs(out[i].score - (a - b)) < 1e-9 and out[i].n_tokens == len(SPACE.findall(t))
-    assert lm_score.score_documents(docs.limit(0), labels, words=16, pairs=16).count() == 0
-
-
-@pytest.mark.parametrize("hot", [1 << 20, 3])
-def test_lm_scores_of_real_pairs(spark, docs, labels, hot):
+@pytest.mark.parametrize("hot,map_bits", [(1 << 20, lm_score.MAP_BITS), (3, lm_score.MAP_BITS), (60, 1 << 8)])
+def test_lm_scores_of_real_pairs(spark, docs, labels, hot, map_bits):
     """Counts of real words and pairs, however many there are and whichever way they are joined."""
     rows = [(i, SPACE.findall((t or "").translate(LOWER))) for i, t in pairs()]
     good = [(i, w) for i, w in rows if i is not None and i < 40 and i != 32]
@@ -346,7 +325,7 @@ def test_lm_scores_of_real_pairs(spark, docs, labels, hot):
         spread = max(1.0, context[a] * len(pair) / total)
         return -np.log((pair[a, b] + spread * lower) / (context[a] + spread))
 
-    out = lm_score.score_documents(docs, labels, hot_words=hot, hot_pairs=hot)
+    out = lm_score.score_documents(docs, labels, hot_words=hot, hot_pairs=hot, map_bits=map_bits)
     got = {r.doc_id: r for r in out.collect()}
     assert len(got) == len(rows)
     for i, w in rows:
