@@ -9,10 +9,10 @@ loss - background loss) in nats: low scores look like the target.
 
 1. One pass counts the pairs of a word and the word before, the words, and the
    texts' last words (64-bit hashes), added up over many texts inside a task
-   before the shuffle.  What occurs once is not written: the background holds
-   the scored documents themselves, so a pair or word that a document has and
-   the table has not occurs once, in this document.  The numbers of different
-   pairs and words follow from the totals.
+   before the shuffle and packed.  What occurs once is not written: the
+   background holds the scored documents themselves, so a pair or word that a
+   document has and the table has not occurs once, in this document.  The
+   numbers of different pairs and words follow from the totals.
 2. A second pass knows the most frequent words and pairs (at most ``hot_words``
    and ``hot_pairs``, broadcast).  A bit map of fixed size holds all other
    counted ones; what is in neither occurs once.  All tokens known so are
@@ -51,7 +51,11 @@ HOT_PAIRS = 1 << 22
 BROADCAST_IDS = 1 << 20
 #: bits of the maps of counted words and pairs that are not broadcast
 MAP_BITS = 1 << 28
-CHUNK_TOKENS = 1 << 22
+CHUNK_TOKENS = 1 << 21
+#: first bytes of a key that name its bucket: 2 while buckets fit into tasks (some 10^11 keys), 3 beyond
+BUCKET_BYTES = 2
+#: keys that a task adds up at once
+MERGED_KEYS = 1 << 21
 UNIT = 2.0 ** 32
 _START = np.uint64(0x5EED)
 _PAIR, _WORD, _LAST, _TOTAL = range(4)
@@ -70,17 +74,68 @@ def _keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(before) + word).view(np.int64)
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, background, target) of every pair, word and last word of a text, and the totals of
-    tokens (key 0) and texts with words (key 1).  ``docs``: text, trusted."""
-
-    def counted(kind: int, keys: np.ndarray, good: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(keys)
-        keys, good = keys[order], good[order]
-        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(new), kind, np.int8)), pa.array(keys[new]), pa.array(np.diff(np.append(new, len(keys)))),
-             pa.array(np.add.reduceat(good, new) if len(new) else new)], names=["kind", "key", "background", "target"])
+def _pack(kind: int, keys: np.ndarray, good: np.ndarray, bucket_bytes: int) -> pa.RecordBatch:
+    """The counts of the sorted distinct ``keys``, one row per bucket (the keys' first bytes): the other bytes of keys
+    seen once, of those in a trusted text, and of keys seen more often with their counts of 32 bits."""
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    keys, n = keys[new], np.diff(np.append(new, len(keys)))
+    good = np.add.reduceat(good, new, dtype=np.int64) if len(new) else new
+    bucket = keys >> np.uint64(64 - 8 * bucket_bytes)
+    buckets = np.unique(bucket)
+    ends = np.append(buckets, buckets[-1:] + np.uint64(1))
+    cols = {"kind": pa.array(np.full(len(buckets), kind, np.int8)), "bucket": pa.array(buckets.astype(np.int32))}
+    for name, mine in (("once", (n == 1) & (good == 0)), ("once_good", (n == 1) & (good == 1)), ("many", n > 1)):
+        first = np.searchsorted(bucket[mine], ends)
+        low = keys[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :8 - bucket_bytes]
+        cols[name] = _binary(low, first)
+        if name == "many":
+            cols |= {c: _binary(x[mine].astype("<u4").view(np.uint8).reshape(-1, 4), first) for c, x in (("n", n), ("good", good))}
+    return pa.RecordBatch.from_pydict(cols)
+
+
+def _binary(rows: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Byte rows, of which first[i] to first[i + 1] make value i."""
+    offsets = (first * rows.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1,
+                                 [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _unpack(batch: pa.RecordBatch, bucket_bytes: int) -> list[np.ndarray]:
+    """(tag, key, n, good) of every key of the rows; the tag is the kind and the bucket."""
+    width = 8 - bucket_bytes
+    bucket = batch["bucket"].to_numpy().astype(np.uint64)
+    tag = (batch["kind"].to_numpy().astype(np.uint64) << np.uint64(32)) | bucket
+
+    def raw(name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = batch[name]
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1]
+        body = column.buffers()[2]
+        data = np.frombuffer(body, dtype=np.uint8)[offsets[0]:offsets[-1]] if body is not None else np.empty(0, np.uint8)
+        return data, np.diff(offsets)
+
+    parts = []
+    for name in ("once", "once_good", "many"):
+        data, sizes = raw(name)
+        keys = np.zeros((len(data) // width, 8), dtype=np.uint8)
+        keys[:, :width] = data.reshape(-1, width)
+        keys = keys.view("<u8").ravel()
+        sizes = sizes // width
+        keys |= np.repeat(bucket, sizes) << np.uint64(64 - 8 * bucket_bytes)
+        if name == "many":
+            n, good = (raw(c)[0].copy().view("<u4").astype(np.int64) for c in ("n", "good"))
+        else:
+            n = np.ones(len(keys), dtype=np.int64)
+            good = n * (name == "once_good")
+        parts.append((np.repeat(tag, sizes), keys, n, good))
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
+def gram_counts(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, merged_keys: int = MERGED_KEYS) -> DataFrame:
+    """(kind, key, background, target) of the pairs and words that occur more than once, of the last words of texts,
+    and the totals of tokens (key 0) and texts with words (key 1).  ``docs``: text, trusted.
+
+    Tasks hand on their keys packed by bucket, at six bytes for a key seen once.  Buckets arrive in order, and a
+    task adds up ``merged_keys`` keys at once, or one bucket where that holds more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
@@ -89,28 +144,69 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         def full() -> Iterator[pa.RecordBatch]:
             for kind, parts in enumerate(held):
                 if parts:
-                    yield counted(kind, *(np.concatenate(x) for x in zip(*parts)))
+                    keys, good = (np.concatenate(x) for x in zip(*parts))
                     parts.clear()
+                    order = np.argsort(keys)
+                    yield _pack(kind, keys[order], good[order], bucket_bytes)
 
         for batch in batches:
-            trusted = batch["trusted"].to_numpy(zero_copy_only=False).astype(np.int64)
+            trusted = batch["trusted"].to_numpy(zero_copy_only=False).astype(bool)
             for base, w in chunks(batch["text"], SPACE_WORDS):
                 good = trusted[base + w.row]
                 last = w.first[1:][np.diff(w.first) > 0] - 1
-                held[_PAIR].append((_keys(_befores(w), w.hash), good))
-                held[_WORD].append((w.hash.view(np.int64), good))
-                held[_LAST].append((w.hash[last].view(np.int64), good[last]))
+                held[_PAIR].append((_keys(_befores(w), w.hash).view(np.uint64), good))
+                held[_WORD].append((w.hash, good))
+                held[_LAST].append((w.hash[last], good[last]))
                 totals += ((len(good), good.sum()), (len(last), good[last].sum()))
                 tokens += len(good)
                 if tokens >= CHUNK_TOKENS:
                     yield from full()
                     tokens = 0
         yield from full()
-        yield pa.RecordBatch.from_arrays([pa.array([_TOTAL] * 2, pa.int8()), pa.array([0, 1]), pa.array(totals[:, 0]),
-                                          pa.array(totals[:, 1])], names=["kind", "key", "background", "target"])
-
-    partial = docs.mapInArrow(run, "kind byte, key long, background long, target long")
-    return partial.groupBy("kind", "key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+        # the totals are no keys: their two rows have the numbers themselves
+        none = pa.array([b"", b""], pa.binary())
+        yield pa.RecordBatch.from_pydict(
+            {"kind": pa.array([_TOTAL] * 2, pa.int8()), "bucket": pa.array([0, 1], pa.int32()), "once": none, "once_good": none,
+             "many": none} | {c: pa.array([x.tobytes() for x in totals[:, i:i + 1]], pa.binary()) for i, c in enumerate(("n", "good"))})
+
+    def merged(parts: list[tuple]) -> pa.RecordBatch:
+        tag, key, n, good = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((key, tag >> np.uint64(32)))
+        kind, key, n, good = (tag >> np.uint64(32))[order], key[order], n[order], good[order]
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))) if len(key) else np.empty(0, np.int64)
+        kind, key = kind[new], key[new]
+        n, good = (np.add.reduceat(x, new) if len(new) else x for x in (n, good))
+        kept = (n > 1) | (kind == _LAST)
+        return pa.RecordBatch.from_arrays([pa.array(kind[kept].astype(np.int32)), pa.array(key[kept].view(np.int64)),
+                                           pa.array(n[kept]), pa.array(good[kept])], names=["kind", "key", "background", "target"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, totals = [], 0, np.zeros((2, 2), dtype=np.int64)
+        for batch in batches:
+            is_total = batch["kind"].to_numpy() == _TOTAL
+            for r in batch.filter(pa.array(is_total)).to_pylist():
+                totals[r["bucket"]] += [int.from_bytes(r[c], "little") for c in ("n", "good")]
+            batch = batch.filter(pa.array(~is_total))
+            if not batch.num_rows:
+                continue
+            parts.append(tuple(_unpack(batch, bucket_bytes)))
+            held += len(parts[-1][0])
+            if held >= merged_keys:
+                whole = [np.concatenate(x) for x in zip(*parts)]
+                last = whole[0] == whole[0].max()  # its bucket may go on
+                if not last.all():
+                    yield merged([tuple(x[~last] for x in whole)])
+                parts = [tuple(x[last] for x in whole)]
+                held = int(last.sum())
+        if parts:
+            yield merged(parts)
+        if totals.any():
+            yield pa.RecordBatch.from_arrays([pa.array([_TOTAL] * 2, pa.int32()), pa.array([0, 1]), pa.array(totals[:, 0]),
+                                              pa.array(totals[:, 1])], names=["kind", "key", "background", "target"])
+
+    packed = docs.mapInArrow(run, "kind byte, bucket int, once binary, once_good binary, many binary, n binary, good binary")
+    dealt = packed.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    return dealt.mapInArrow(add, "kind int, key long, background long, target long")
 
 
 def pair_loss(n: np.ndarray, context: np.ndarray, word: np.ndarray, total: int, kinds: int, pairs: int,
@@ -290,13 +386,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """doc_id, n_tokens, target_loss, background_loss (means per token), score (their difference)."""
     marked = _marked(only(docs, doc_id=id_col, text=text_col), labels)
     path = scratch_path(docs.sparkSession, "lm-counts")
-    kept = gram_counts(marked).where((F.col("kind") >= _LAST) | (F.col("background") > 1))
-    kept.withColumn("kind", F.col("kind").cast("int")).write.partitionBy("kind").parquet(path)
+    gram_counts(marked).write.partitionBy("kind").parquet(path)
     counts = docs.sparkSession.read.schema("kind int, key long, background long, target long").parquet(path)
     pairs, words, last, total = (counts.where(F.col("kind") == k).drop("kind") for k in (_PAIR, _WORD, _LAST, _TOTAL))
-    totals = {r["key"]: r for r in total.collect()}  # two rows
-    if not totals:
-        totals = {k: {"background": 0, "target": 0} for k in (0, 1)}
+    sums = total.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("background", "target")])
+    totals = {k: {"background": 0, "target": 0} for k in (0, 1)} | {r["key"]: r for r in sums.collect()}  # two rows
     shapes = _shapes(words, pairs, totals)
     # a word is a context wherever it isn't a text's last word
     words = (words.join(last.select("key", F.col("background").alias("_b"), F.col("target").alias("_t")), "key", "left")
