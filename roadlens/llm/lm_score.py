@@ -7,92 +7,113 @@ the unigram (Witten-Bell), and the unigram with the uniform distribution over
 the vocabulary.  A document's score is the mean over its tokens of (target
 loss - background loss) in nats: low scores look like the target.
 
-1. One pass counts the pairs of a word and the word before, the words, and the
-   texts' last words (64-bit hashes), added up over many texts inside a task
-   before the shuffle and packed.  What occurs once is not written: the
-   background holds the scored documents themselves, so a pair or word that a
-   document has and the table has not occurs once, in this document.  The
-   numbers of different pairs and words follow from the totals.
-2. A second pass knows the most frequent words and pairs (at most ``hot_words``
-   and ``hot_pairs``, broadcast).  A bit map of fixed size holds all other
-   counted ones; what is in neither occurs once.  All tokens known so are
-   scored in the scan.
-3. The others are written with what is known of them and joined by a shuffle,
-   first to their words' counts, then to their pairs'; again, a miss occurs
-   once.  The bit maps only say which way a token takes: with a corpus that
-   fills them, more tokens take the second.
-
-The tables grow with the corpus and stay distributed.  Losses are added in units
-of 2^-32, so sums don't depend on the order.  The target is counted over all
-trusted documents.
+1. The texts are dealt once into groups of about ``group_bytes`` by their row.
+   A group counts its pairs of a word and the word before, its words, and its
+   texts' last words, by 64-bit hashes.  Its sorted keys go out packed by
+   bucket (their first bits), seven bytes for a key seen once.
+2. A bucket's task adds up all groups' counts.  It answers every group with the
+   corpus counts of the group's keys, in the group's own order, so that the
+   answer holds no keys: one byte for most counts.
+3. Each group meets its answers, and its texts again (the same shuffle is read
+   twice), and scores its documents.  No table is broadcast or collected; a
+   frequent word is one key of each group, however often it occurs there.
+
+The totals of the models are one row of sums over the buckets, put to the
+answers by a scalar subquery.  Everything grows in proportion to the corpus.
+Losses are added in units of 2^-32, so sums don't depend on the order.  The
+target is counted over all trusted documents.
 
 Cases: null or word-less texts have no tokens and null scores.  Without
 trusted documents the target model is uniform.  Repeated rows count and are
 scored each for itself.  Empty tables give no rows; extra columns are not read.
-A long text is scanned by one task; its tokens are counted in blocks.
+A very long text makes its group as large as itself.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only, scratch_path
-from .wordarrays import SPACE_WORDS, Words, chunks, mix
+from .common import materialize, only
+from .wordarrays import SPACE_WORDS, chunks, mix
 
-HOT_WORDS = 1 << 22
-HOT_PAIRS = 1 << 22
+GROUP_BYTES = 10 << 20
 #: trusted ids that are broadcast at most; more are joined by a shuffle
 BROADCAST_IDS = 1 << 20
-#: bits of the maps of counted words and pairs that are not broadcast
-MAP_BITS = 1 << 28
-CHUNK_TOKENS = 1 << 21
-#: first bytes of a key that name its bucket: 2 while buckets fit into tasks (some 10^11 keys), 3 beyond
-BUCKET_BYTES = 2
+#: bits of a key that name its bucket, at least; more groups take more, so that a bucket fits into a task
+BUCKET_BITS = 10
 #: keys that a task adds up at once
-MERGED_KEYS = 1 << 21
+MERGED_KEYS = 1 << 20
+#: packed rows that are opened at once
+_ROWS = 64
 UNIT = 2.0 ** 32
 _START = np.uint64(0x5EED)
-_PAIR, _WORD, _LAST, _TOTAL = range(4)
-
-
-def _befores(w: Words) -> np.ndarray:
-    """Hash of the word before every token, or the start mark."""
-    before = np.empty_like(w.hash)
-    before[1:] = w.hash[:-1]
-    before[w.first[:-1][np.diff(w.first) > 0]] = _START
-    return before
-
-
-def _keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """64-bit key of every pair."""
-    return mix(mix(before) + word).view(np.int64)
-
-
-def _pack(kind: int, keys: np.ndarray, good: np.ndarray, bucket_bytes: int) -> pa.RecordBatch:
-    """The counts of the sorted distinct ``keys``, one row per bucket (the keys' first bytes): the other bytes of keys
-    seen once, of those in a trusted text, and of keys seen more often with their counts of 32 bits."""
-    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+_PAIR, _WORD, _LAST = range(3)
+#: what a group is told of each pair, and of each word: corpus counts, trusted counts, and both as a text's last word
+_TOLD = {_PAIR: ["b", "t"], _WORD: ["b", "t", "last_b", "last_t"]}
+
+
+class Group:
+    """The grams of a group of texts: hashes of the tokens and of the words before, and the texts they belong to."""
+
+    def __init__(self, texts: pa.Table):
+        word, before, last, row, at = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [], 0
+        for base, w in chunks(texts["text"], SPACE_WORDS):
+            full = np.diff(w.first) > 0
+            ahead = np.empty_like(w.hash)
+            ahead[1:] = w.hash[:-1]
+            ahead[w.first[:-1][full]] = _START
+            word.append(w.hash)
+            before.append(ahead)
+            last.append(at + w.first[1:][full] - 1)
+            row.append(np.diff(w.first))
+            at += len(w.hash)
+        self.word, self.before, self.last = (np.concatenate(x) for x in (word, before, last))
+        self.tokens = np.concatenate([np.empty(0, np.int64), *row])  # of every text
+        trusted = texts["trusted"].to_numpy().astype(bool)
+        self.trusted = np.repeat(trusted, self.tokens)
+        self.pair = mix(mix(self.before) + self.word)
+
+
+def _pack(grp: int, kind: int, keys: np.ndarray, good: np.ndarray, bits: int) -> pa.RecordBatch:
+    """The counts of ``keys`` (``good``: in a trusted text), one row per bucket: the other bytes of the keys seen once,
+    of those in a trusted text, and of the keys seen more often with their counts of 32 bits."""
+    order = np.argsort(keys)
+    keys, good = keys[order], good[order]
+    new = _starts(keys)
     keys, n = keys[new], np.diff(np.append(new, len(keys)))
     good = np.add.reduceat(good, new, dtype=np.int64) if len(new) else new
-    bucket = keys >> np.uint64(64 - 8 * bucket_bytes)
+    bucket = keys >> np.uint64(64 - bits)
     buckets = np.unique(bucket)
-    ends = np.append(buckets, buckets[-1:] + np.uint64(1))
-    cols = {"kind": pa.array(np.full(len(buckets), kind, np.int8)), "bucket": pa.array(buckets.astype(np.int32))}
+    ends = np.append(buckets, buckets[-1:] + np.uint64(1)) if len(buckets) else np.zeros(1, np.uint64)
+    cols = {"grp": pa.array(np.full(len(buckets), grp, np.int64)), "kind": pa.array(np.full(len(buckets), kind, np.int8)),
+            "bucket": pa.array(buckets.astype(np.int64))}
     for name, mine in (("once", (n == 1) & (good == 0)), ("once_good", (n == 1) & (good == 1)), ("many", n > 1)):
         first = np.searchsorted(bucket[mine], ends)
-        low = keys[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :8 - bucket_bytes]
-        cols[name] = _binary(low, first)
+        cols[name] = _binary(keys[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_width(bits)], first)
         if name == "many":
             cols |= {c: _binary(x[mine].astype("<u4").view(np.uint8).reshape(-1, 4), first) for c, x in (("n", n), ("good", good))}
     return pa.RecordBatch.from_pydict(cols)
 
 
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a new key begins in sorted rows."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+
+
+def _width(bits: int) -> int:
+    """Bytes of a key without the bits of its bucket."""
+    return -(-(64 - bits) // 8)
+
+
 def _binary(rows: np.ndarray, first: np.ndarray) -> pa.Array:
     """Byte rows, of which first[i] to first[i + 1] make value i."""
     offsets = (first * rows.shape[1]).astype(np.int32)
@@ -100,113 +121,80 @@ def _binary(rows: np.ndarray, first: np.ndarray) -> pa.Array:
                                  [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-def _unpack(batch: pa.RecordBatch, bucket_bytes: int) -> list[np.ndarray]:
-    """(tag, key, n, good) of every key of the rows; the tag is the kind and the bucket."""
-    width = 8 - bucket_bytes
-    bucket = batch["bucket"].to_numpy().astype(np.uint64)
-    tag = (batch["kind"].to_numpy().astype(np.uint64) << np.uint64(32)) | bucket
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and the length of each value."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1]
+    body = column.buffers()[2]
+    return np.frombuffer(body, dtype=np.uint8)[offsets[0]:offsets[-1]] if body is not None else np.empty(0, np.uint8), np.diff(offsets)
 
-    def raw(name: str) -> tuple[np.ndarray, np.ndarray]:
-        column = batch[name]
-        offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1]
-        body = column.buffers()[2]
-        data = np.frombuffer(body, dtype=np.uint8)[offsets[0]:offsets[-1]] if body is not None else np.empty(0, np.uint8)
-        return data, np.diff(offsets)
 
-    parts = []
+def _unpack(batch: pa.RecordBatch, bits: int) -> list[np.ndarray]:
+    """(group, kind, key, n, good) of every key of the rows."""
+    owner = [batch[c].to_numpy().astype(np.int64) for c in ("grp", "kind")]
+    high = batch["bucket"].to_numpy().astype(np.uint64) << np.uint64(64 - bits)
+    width, parts = _width(bits), []
     for name in ("once", "once_good", "many"):
-        data, sizes = raw(name)
+        data, sizes = _bytes(batch[name])
+        sizes = sizes // width
         keys = np.zeros((len(data) // width, 8), dtype=np.uint8)
         keys[:, :width] = data.reshape(-1, width)
-        keys = keys.view("<u8").ravel()
-        sizes = sizes // width
-        keys |= np.repeat(bucket, sizes) << np.uint64(64 - 8 * bucket_bytes)
+        keys = keys.view("<u8").ravel() | np.repeat(high, sizes)  # bits that both have are the same
         if name == "many":
-            n, good = (raw(c)[0].copy().view("<u4").astype(np.int64) for c in ("n", "good"))
+            n, good = (_bytes(batch[c])[0].copy().view("<u4").astype(np.int64) for c in ("n", "good"))
         else:
             n = np.ones(len(keys), dtype=np.int64)
             good = n * (name == "once_good")
-        parts.append((np.repeat(tag, sizes), keys, n, good))
+        parts.append((*[np.repeat(x, sizes) for x in owner], keys, n, good))
     return [np.concatenate(x) for x in zip(*parts)]
 
 
-def gram_counts(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, merged_keys: int = MERGED_KEYS) -> DataFrame:
-    """(kind, key, background, target) of the pairs and words that occur more than once, of the last words of texts,
-    and the totals of tokens (key 0) and texts with words (key 1).  ``docs``: text, trusted.
-
-    Tasks hand on their keys packed by bucket, at six bytes for a key seen once.  Buckets arrive in order, and a
-    task adds up ``merged_keys`` keys at once, or one bucket where that holds more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
-        totals, tokens = np.zeros((2, 2), dtype=np.int64), 0
-
-        def full() -> Iterator[pa.RecordBatch]:
-            for kind, parts in enumerate(held):
-                if parts:
-                    keys, good = (np.concatenate(x) for x in zip(*parts))
-                    parts.clear()
-                    order = np.argsort(keys)
-                    yield _pack(kind, keys[order], good[order], bucket_bytes)
-
-        for batch in batches:
-            trusted = batch["trusted"].to_numpy(zero_copy_only=False).astype(bool)
-            for base, w in chunks(batch["text"], SPACE_WORDS):
-                good = trusted[base + w.row]
-                last = w.first[1:][np.diff(w.first) > 0] - 1
-                held[_PAIR].append((_keys(_befores(w), w.hash).view(np.uint64), good))
-                held[_WORD].append((w.hash, good))
-                held[_LAST].append((w.hash[last], good[last]))
-                totals += ((len(good), good.sum()), (len(last), good[last].sum()))
-                tokens += len(good)
-                if tokens >= CHUNK_TOKENS:
-                    yield from full()
-                    tokens = 0
-        yield from full()
-        # the totals are no keys: their two rows have the numbers themselves
-        none = pa.array([b"", b""], pa.binary())
-        yield pa.RecordBatch.from_pydict(
-            {"kind": pa.array([_TOTAL] * 2, pa.int8()), "bucket": pa.array([0, 1], pa.int32()), "once": none, "once_good": none,
-             "many": none} | {c: pa.array([x.tobytes() for x in totals[:, i:i + 1]], pa.binary()) for i, c in enumerate(("n", "good"))})
-
-    def merged(parts: list[tuple]) -> pa.RecordBatch:
-        tag, key, n, good = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((key, tag >> np.uint64(32)))
-        kind, key, n, good = (tag >> np.uint64(32))[order], key[order], n[order], good[order]
-        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))) if len(key) else np.empty(0, np.int64)
-        kind, key = kind[new], key[new]
-        n, good = (np.add.reduceat(x, new) if len(new) else x for x in (n, good))
-        kept = (n > 1) | (kind == _LAST)
-        return pa.RecordBatch.from_arrays([pa.array(kind[kept].astype(np.int32)), pa.array(key[kept].view(np.int64)),
-                                           pa.array(n[kept]), pa.array(good[kept])], names=["kind", "key", "background", "target"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, totals = [], 0, np.zeros((2, 2), dtype=np.int64)
-        for batch in batches:
-            is_total = batch["kind"].to_numpy() == _TOTAL
-            for r in batch.filter(pa.array(is_total)).to_pylist():
-                totals[r["bucket"]] += [int.from_bytes(r[c], "little") for c in ("n", "good")]
-            batch = batch.filter(pa.array(~is_total))
-            if not batch.num_rows:
-                continue
-            parts.append(tuple(_unpack(batch, bucket_bytes)))
-            held += len(parts[-1][0])
-            if held >= merged_keys:
-                whole = [np.concatenate(x) for x in zip(*parts)]
-                last = whole[0] == whole[0].max()  # its bucket may go on
-                if not last.all():
-                    yield merged([tuple(x[~last] for x in whole)])
-                parts = [tuple(x[last] for x in whole)]
-                held = int(last.sum())
-        if parts:
-            yield merged(parts)
-        if totals.any():
-            yield pa.RecordBatch.from_arrays([pa.array([_TOTAL] * 2, pa.int32()), pa.array([0, 1]), pa.array(totals[:, 0]),
-                                              pa.array(totals[:, 1])], names=["kind", "key", "background", "target"])
-
-    packed = docs.mapInArrow(run, "kind byte, bucket int, once binary, once_good binary, many binary, n binary, good binary")
-    dealt = packed.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
-    return dealt.mapInArrow(add, "kind int, key long, background long, target long")
+def _short(values: np.ndarray, first: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Counts as bytes, and in full those of 255 and more; first[i] to first[i + 1] make row i."""
+    large = np.flatnonzero(values >= 255)
+    return (_binary(np.minimum(values, 255).astype(np.uint8).reshape(-1, 1), first),
+            _binary(values[large].astype("<i8").view(np.uint8).reshape(-1, 8), np.searchsorted(large, first)))
+
+
+def _answer(parts: list[tuple], bits: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The answers to all groups for whole buckets, and the totals: tokens, texts with words, different words and pairs,
+    each of the background and the target."""
+    grp, kind, key, n, good = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((grp, key, kind))
+    grp, kind, key, n, good = (x[order] for x in (grp, kind, key, n, good))
+    new = _starts(kind, key)
+    which = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
+    first_kind, first_key = kind[new], key[new]
+    told = {"b": np.add.reduceat(n, new), "t": np.add.reduceat(good, new)}
+    is_last = first_kind == _LAST
+    last_keys = first_key[is_last]
+    place = np.minimum(np.searchsorted(last_keys, first_key), max(0, len(last_keys) - 1))
+    hit = (first_kind == _WORD) & (last_keys[place] == first_key) if len(last_keys) else np.zeros(len(new), bool)
+    for c in "bt":
+        told[f"last_{c}"] = np.where(hit, told[c][is_last][place], 0) if len(last_keys) else np.zeros(len(new), np.int64)
+    words, pairs = first_kind == _WORD, first_kind == _PAIR
+    totals = np.array([told[c][m].sum() for m in (words, is_last) for c in "bt"]
+                      + [np.count_nonzero(told[c][m]) for m in (words, pairs) for c in "bt"], dtype=np.int64)
+    # back to the groups: their keys in ascending order, cut by bucket
+    mine = np.flatnonzero(kind != _LAST)
+    mine = mine[np.lexsort((key[mine], kind[mine], grp[mine]))]
+    bucket = (key[mine] >> np.uint64(64 - bits)).astype(np.int64)
+    cut = _starts(grp[mine], kind[mine], bucket)
+    first = np.append(cut, len(mine))
+    cols = {"grp": pa.array(grp[mine][cut]), "kind": pa.array(kind[mine][cut].astype(np.int8)), "bucket": pa.array(bucket[cut])}
+    for c, x in told.items():
+        cols[c], cols[f"{c}_more"] = _short(x[which[mine]], first)
+    return pa.RecordBatch.from_pydict(cols), totals
+
+
+def _told(answers: pa.Table, kind: int) -> dict[str, np.ndarray]:
+    """The counts of all keys of a group in ascending order of the keys."""
+    rows = answers.filter(pa.compute.equal(answers["kind"], kind)).sort_by("bucket").combine_chunks()
+    out = {}
+    for c in _TOLD[kind]:
+        small, more = (_bytes(rows[x].combine_chunks())[0] if rows.num_rows else np.empty(0, np.uint8) for x in (c, f"{c}_more"))
+        out[c] = small.astype(np.int64)
+        out[c][small == 255] = more.copy().view("<i8")
+    return out
 
 
 def pair_loss(n: np.ndarray, context: np.ndarray, word: np.ndarray, total: int, kinds: int, pairs: int,
@@ -218,213 +206,103 @@ def pair_loss(n: np.ndarray, context: np.ndarray, word: np.ndarray, total: int,
     return -np.log((n + spread * lower) / (context + spread))
 
 
-def _bin(n: str) -> Column:
-    """Size class of a count: sixteen to a doubling, so each of the small counts has its own."""
-    return F.floor(F.log2(n) * 16).cast("int")
-
-
-def _cut(counted: DataFrame, most: int) -> int:
-    """The least size class with at most ``most`` rows from it on."""
-    sizes = sorted(counted.groupBy(_bin("background").alias("bin")).count().collect(), reverse=True)  # about 1,000 at most
-    cut, held = 1 << 20, 0
-    for r in sizes:
-        held += r["count"]
-        if held > most:
-            break
-        cut = r["bin"]
-    return cut
-
-
-class Counts:
-    """The counts of one kind that a task knows: sorted keys with their counts, and a map of the keys counted elsewhere."""
-
-    def __init__(self, hot: DataFrame, cold: DataFrame, key: str, columns: list[str], map_bits: int, more: tuple = ()):
-        rows = hot.select(key, *columns).toArrow()  # as bounded as ``hot``
-        keys = rows[key].to_numpy()
-        most = max([int(rows[c].to_numpy().max(initial=0)) for c in columns] + [max(more[1:], default=0)])
-        kind = np.uint32 if most < 1 << 32 else np.uint64
-        values = [rows[c].to_numpy().astype(kind) for c in columns]
-        if more:
-            keys, values = np.append(keys, more[0]), [np.append(v, m).astype(kind) for v, m in zip(values, more[1:])]
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], [v[order] for v in values]
-        words = (cold.select(F.expr(f"{key} & {map_bits - 1}L").alias("s"))
-                 .groupBy(F.expr("cast(shiftright(s, 6) as int)").alias("w"))
-                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow())
-        self.map_bits = map_bits if words.num_rows else 0  # at most map_bits / 64 words
-        self.bits = np.zeros(self.map_bits // 64, dtype=np.int64)
-        if self.map_bits:
-            self.bits[words["w"].to_numpy()] = words["bits"].to_numpy()
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, known, open) of every key: open ones may be counted elsewhere, the rest occur once."""
-        place = np.searchsorted(self.keys, keys)
-        np.minimum(place, max(0, len(self.keys) - 1), out=place)
-        known = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
-        if not self.map_bits:
-            return place, known, np.zeros(len(keys), dtype=bool)
-        slot = keys & (self.map_bits - 1)
-        return place, known, ~known & ((self.bits[slot >> 6] >> (slot & 63)) & 1).astype(bool)
-
-    def counts(self, column: int, place: np.ndarray, known: np.ndarray, once: np.ndarray) -> np.ndarray:
-        out = once.astype(np.int64)
-        if len(self.keys):
-            out[known] = self.values[column][place[known]]
-        return out
-
-
-@dataclass
-class Shapes:
-    """Tokens, different words, different pairs and vocabulary of the two models."""
-
-    target: tuple
-    background: tuple
-
-
-def _shapes(words: DataFrame, pairs: DataFrame, totals: dict) -> Shapes:
-    """The numbers of different grams: those counted, and one for every token of none of them."""
-    out = []
-    for column in ("background", "target"):
-        total, sizes = totals[0][column], []
-        for counted in (words, pairs):
-            held, n = counted.agg(F.coalesce(F.sum(column), F.lit(0)), F.count_if(F.col(column) > 0)).first()
-            sizes.append(n + total - held)
-        out.append((total, *sizes))
-    vocabulary = max(1, out[0][1])
-    return Shapes(target=(*out[1], vocabulary), background=(*out[0], vocabulary))
+_TOTALS = [f"{c}_{m}" for c in ("tokens", "texts", "words", "pairs") for m in "bt"]
+
+
+def gram_answers(texts: DataFrame, groups: int, merged_keys: int = MERGED_KEYS) -> DataFrame:
+    """Rows of answers (grp, kind, bucket and counts) and rows of totals (grp null).  ``texts``: grp, text, trusted."""
+    bits = max(BUCKET_BITS, math.ceil(math.log2(max(1, groups))))
+
+    def count(table: pa.Table) -> pa.Table:
+        g, grp = Group(table), table["grp"][0].as_py()
+        packed = [_pack(grp, kind, keys, good, bits) for kind, keys, good in (
+            (_PAIR, g.pair, g.trusted), (_WORD, g.word, g.trusted), (_LAST, g.word[g.last], g.trusted[g.last]))]
+        return pa.Table.from_batches(packed)
+
+    blobs = [f"{c}{more}" for c in _TOLD[_WORD] for more in ("", "_more")]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, totals = [], 0, np.zeros(len(_TOTALS), dtype=np.int64)
+
+        def whole(some: list[tuple]) -> pa.RecordBatch:
+            rows, sums = _answer(some, bits)
+            totals[:] += sums
+            return pa.RecordBatch.from_pydict(
+                {c: rows[c] for c in rows.schema.names} | {c: pa.nulls(rows.num_rows, pa.int64()) for c in _TOTALS})
+
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
+            parts.append(tuple(_unpack(batch, bits)))
+            held += len(parts[-1][0])
+            if held >= merged_keys:
+                every = [np.concatenate(x) for x in zip(*parts)]
+                bucket = every[2] >> np.uint64(64 - bits)
+                last = bucket == np.uint64(batch["bucket"][-1].as_py())  # may go on
+                if not last.all():
+                    yield whole([tuple(x[~last] for x in every)])
+                parts = [tuple(x[last] for x in every)]
+                held = int(last.sum())
+        if held:
+            yield whole(parts)
+        one = {"grp": pa.nulls(1, pa.int64()), "kind": pa.nulls(1, pa.int8()), "bucket": pa.nulls(1, pa.int64())}
+        yield pa.RecordBatch.from_pydict(one | {c: pa.nulls(1, pa.binary()) for c in blobs}
+                                         | {c: pa.array([x]) for c, x in zip(_TOTALS, totals.tolist())})
+
+    packed = texts.groupBy("grp").applyInArrow(
+        count, "grp long, kind byte, bucket long, once binary, once_good binary, many binary, n binary, good binary")
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(add, "grp long, kind byte, bucket long, " + ", ".join(f"{c} binary" for c in blobs)
+                            + ", " + ", ".join(f"{c} long" for c in _TOTALS))
 
 
 def _marked(named: DataFrame, labels: DataFrame) -> DataFrame:
     """``named`` with ``trusted``; all good, non-toxic labels count."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     good = materialize(good, "lm-trusted").withColumn("trusted", F.lit(True))
-    few = good.count() <= BROADCAST_IDS
-    known = named.where("doc_id is not null").join(F.broadcast(good) if few else good, "doc_id", "left")
+    good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
+    known = named.where("doc_id is not null").join(good, "doc_id", "left")
     known = known.select(*named.columns, F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    marked = known.unionByName(named.where("doc_id is null").withColumn("trusted", F.lit(False)))
-    return marked if few else materialize(marked, "lm-marked")  # the texts cross the network once, not in every scan
-
-
-_KNOWN = ["n_b", "n_t", "u_b", "u_t", "v_b", "v_t"]
-
-
-def _scan(docs: DataFrame, words: Counts, pairs: Counts, shapes: Shapes) -> DataFrame:
-    """Two kinds of rows.  ``open`` 0: row, doc_id, n_tokens and the losses of the known tokens.  ``open`` 1, one per
-    other token: row, pair key, the counts known or else of a single occurrence, and the words to look up (u before v)."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, pairs))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    long = [c for c in ("n_tokens", "target", "background", "key", *_KNOWN, "u", "v")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = shared.value
-        for batch in batches:
-            id_type = batch["doc_id"].type
-
-            def rows(state: int, n: int, given: dict) -> pa.RecordBatch:
-                empty = {"doc_id": pa.nulls(n, id_type)} | {c: pa.nulls(n, pa.int64()) for c in long}
-                cols = {"open": pa.array(np.full(n, state, np.int32)), **{"row": None}, **empty} | given
-                return pa.RecordBatch.from_pydict(cols)
-
-            trusted = batch["trusted"].to_numpy(zero_copy_only=False).astype(bool)
-            for base, w in chunks(batch["text"], SPACE_WORDS):
-                once = trusted[base + w.row]
-                ones = np.ones(len(once), dtype=np.int64)
-                before, word = _befores(w).view(np.int64), w.hash.view(np.int64)
-                key = _keys(before.view(np.uint64), w.hash)
-                found = {"n": pairs.find(key), "u": words.find(before), "v": words.find(word)}
-                x = {}
-                for name, table, columns in (("n", pairs, (0, 1)), ("u", words, (2, 3)), ("v", words, (0, 1))):
-                    place, known, _ = found[name]
-                    for suffix, column, single in zip(("b", "t"), columns, (ones, once)):
-                        x[f"{name}_{suffix}"] = table.counts(column, place, known, single)
-                later = found["n"][2] | found["u"][2] | found["v"][2]
-                sums = {}
-                for model, shape in vars(shapes).items():
-                    loss = pair_loss(*(x[f"{name}_{model[0]}"] for name in "nuv"), *shape)
-                    sums[model] = pa.array(_row_sums(np.where(later, 0, np.rint(UNIT * loss)).astype(np.int64), w.first))
-                yield rows(0, w.n_rows, {"row": batch["row"].slice(base, w.n_rows), "doc_id": batch["doc_id"].slice(base, w.n_rows),
-                                         "n_tokens": pa.array(np.diff(w.first).astype(np.int64)), **sums})
-                at = np.flatnonzero(later)
-                if len(at):
-                    given = {"row": batch["row"].take(pa.array(base + w.row[at])), "key": pa.array(key[at])}
-                    given |= {c: pa.array(x[c][at]) for c in _KNOWN}
-                    given |= {c: pa.array(h[at], mask=~found[c][2][at]) for c, h in (("u", before), ("v", word))}
-                    yield rows(1, len(at), given)
-
-    ddl = f"open int, row long, doc_id {kind}, " + ", ".join(f"{c} long" for c in long)
-    path = scratch_path(docs.sparkSession, "lm-scan")
-    docs.mapInArrow(run, ddl).write.partitionBy("open").parquet(path)
-    return docs.sparkSession.read.schema(ddl).parquet(path)
-
-
-def _with_words(tokens: DataFrame, cold_words: DataFrame) -> DataFrame:
-    """The tokens with the counts of the words that are looked up; a miss keeps its single occurrence."""
-    for side, columns in (("u", ("context", "t_context")), ("v", ("background", "target"))):
-        counts = cold_words.select(F.col("key").alias(side), *[F.col(c).alias(f"_{s}") for c, s in zip(columns, "bt")])
-        found = tokens.where(F.col(side).isNotNull()).join(counts, side, "left")
-        found = found.withColumns({f"{side}_{s}": F.coalesce(f"_{s}", f"{side}_{s}") for s in "bt"})
-        tokens = found.select(*tokens.columns).unionByName(tokens.where(F.col(side).isNull()))
-    return tokens
-
-
-def _open_losses(tokens: DataFrame, shapes: Shapes) -> DataFrame:
-    """(row, more_target, more_background): summed losses of tokens with all their counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = {c: batch[c].to_numpy() for c in _KNOWN}
-            losses = [pa.array(np.rint(UNIT * pair_loss(*(x[f"{name}_{m[0]}"] for name in "nuv"), *shape)).astype(np.int64))
-                      for m, shape in vars(shapes).items()]
-            yield pa.RecordBatch.from_arrays([batch["row"], *losses], names=["row", "target", "background"])
-
-    scored = tokens.select("row", *_KNOWN).mapInArrow(run, "row long, target long, background long")
-    return scored.groupBy("row").agg(F.sum("target").alias("more_target"), F.sum("background").alias("more_background"))
+    return known.unionByName(named.where("doc_id is null").withColumn("trusted", F.lit(False)))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS, map_bits: int = MAP_BITS) -> DataFrame:
+                    group_bytes: int = GROUP_BYTES, merged_keys: int = MERGED_KEYS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (means per token), score (their difference)."""
-    marked = _marked(only(docs, doc_id=id_col, text=text_col), labels)
-    path = scratch_path(docs.sparkSession, "lm-counts")
-    gram_counts(marked).write.partitionBy("kind").parquet(path)
-    counts = docs.sparkSession.read.schema("kind int, key long, background long, target long").parquet(path)
-    pairs, words, last, total = (counts.where(F.col("kind") == k).drop("kind") for k in (_PAIR, _WORD, _LAST, _TOTAL))
-    sums = total.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("background", "target")])
-    totals = {k: {"background": 0, "target": 0} for k in (0, 1)} | {r["key"]: r for r in sums.collect()}  # two rows
-    shapes = _shapes(words, pairs, totals)
-    # a word is a context wherever it isn't a text's last word
-    words = (words.join(last.select("key", F.col("background").alias("_b"), F.col("target").alias("_t")), "key", "left")
-             .select("key", "background", "target", (F.col("background") - F.coalesce("_b", F.lit(0))).alias("context"),
-                     (F.col("target") - F.coalesce("_t", F.lit(0))).alias("t_context")))
-    words = materialize(words, "lm-words")
-    known = []
-    for table, most, columns, more in (
-            (words, hot_words, ["background", "target", "context", "t_context"],
-             (_START.astype(np.int64), 0, 0, totals[1]["background"], totals[1]["target"])),
-            (pairs, hot_pairs, ["background", "target"], ())):
-        is_hot = _bin("background") >= _cut(table, most)
-        known.append((Counts(table.where(is_hot), table.where(~is_hot), "key", columns, map_bits, more), table.where(~is_hot)))
-    (word_counts, cold_words), (pair_counts, cold_pairs) = known
-    numbered = marked.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text", "trusted")
-    scanned = _scan(numbered, word_counts, pair_counts, shapes)
-    out = scanned.where("open = 0").select("row", "doc_id", "n_tokens", "target", "background")
-    tokens = scanned.where("open = 1").select("row", "key", *_KNOWN, "u", "v")
-    if word_counts.map_bits:
-        tokens = _with_words(tokens, cold_words)
-    if word_counts.map_bits or pair_counts.map_bits:
-        cold = cold_pairs.select("key", F.col("background").alias("_b"), F.col("target").alias("_t"))
-        tokens = tokens.drop("u", "v").join(cold, "key", "left").withColumns(
-            {"n_b": F.coalesce("_b", "n_b"), "n_t": F.coalesce("_t", "n_t")})
-        out = out.join(_open_losses(tokens, shapes), "row", "left")
-    else:  # everything counted is known to the scan
-        out = out.withColumns({f"more_{m}": F.lit(None).cast("long") for m in vars(shapes)})
-    means = {m: (F.col(m) + F.coalesce(f"more_{m}", F.lit(0).cast("long"))) / F.lit(UNIT) / F.nullif("n_tokens", F.lit(0))
-             for m in ("target", "background")}
-    return (out.select(F.col("doc_id").alias(id_col), "n_tokens", means["target"].alias("target_loss"),
-                       means["background"].alias("background_loss"))
-            .withColumn("score", F.col("target_loss") - F.col("background_loss")))
-
-
-def _row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` over every row's tokens."""
-    return np.diff(np.append(0, np.cumsum(values))[first])
+    named = only(docs, doc_id=id_col, text=text_col)
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-size // group_bytes))
+    marked = _marked(named, labels).withColumn("row", F.monotonically_increasing_id())
+    texts = marked.select(F.pmod(F.xxhash64("row"), F.lit(groups)).alias("grp"), "doc_id", "text", "trusted").repartition("grp")
+    rows = gram_answers(texts, groups, merged_keys)
+    totals = rows.agg(F.array(*[F.coalesce(F.sum(c), F.lit(0)) for c in _TOTALS]).alias("totals"))
+    answers = rows.where("grp is not null").drop(*_TOTALS).withColumn("totals", totals.scalar())
+
+    def score(table: pa.Table, told: pa.Table) -> pa.Table:
+        n_texts = table.num_rows
+        empty = pa.nulls(n_texts, pa.float64())
+        out = {"doc_id": table["doc_id"], "n_tokens": pa.array(np.zeros(n_texts, np.int64)), "target_loss": empty,
+               "background_loss": empty, "score": empty}
+        g = Group(table)
+        if len(g.word):
+            total = dict(zip(_TOTALS, told["totals"][0].as_py()))
+            pair, word = _told(told, _PAIR), _told(told, _WORD)
+            pair_at = np.unique(g.pair, return_inverse=True)[1]
+            keys, word_at = np.unique(g.word, return_inverse=True)
+            begins = g.before == _START
+            before_at = np.minimum(np.searchsorted(keys, g.before), len(keys) - 1)
+            n = np.maximum(g.tokens, 1)
+            none = g.tokens == 0
+            means = []
+            for m in "tb":
+                context = np.where(begins, total[f"texts_{m}"], (word[m] - word[f"last_{m}"])[before_at])
+                loss = pair_loss(pair[m][pair_at], context, word[m][word_at], total[f"tokens_{m}"], total[f"words_{m}"],
+                                 total[f"pairs_{m}"], max(1, total["words_b"]))
+                units = np.append(0, np.cumsum(np.rint(UNIT * loss).astype(np.int64)))
+                means.append(np.diff(units[np.append(0, np.cumsum(g.tokens))]) / UNIT / n)
+            out |= {"n_tokens": pa.array(g.tokens)} | {c: pa.array(x, mask=none) for c, x in (
+                ("target_loss", means[0]), ("background_loss", means[1]), ("score", means[0] - means[1]))}
+        return pa.Table.from_pydict(out)
+
+    kind = named.schema["doc_id"].dataType.simpleString()
+    scored = texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(
+        score, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    return scored.withColumnRenamed("doc_id", id_col)

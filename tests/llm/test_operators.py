@@ -303,26 +303,9 @@ def test_main_text(spark):
     assert [keys[i] for i in order] == sorted(keys) and (rank[0] == rank[6]) and rank[3] != rank[0]
 
 
-@pytest.mark.parametrize("bucket_bytes,merged_keys", [(2, 1 << 21), (1, 40), (3, 500)])
-def test_gram_counts(spark, docs, bucket_bytes, merged_keys):
-    """Pairs and words that occur more than once, last words and totals, however they are packed and added up."""
-    trusted = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)).alias("trusted")
-    got = lm_score.gram_counts(docs.select("text", trusted), bucket_bytes, merged_keys).collect()
-    rows = [(SPACE.findall((t or "").translate(LOWER)), i is not None and i % 2 == 0) for i, t in pairs()]
-    kinds = [[(g, ok) for w, ok in rows for g in zip([None, *w], w)], [(x, ok) for w, ok in rows for x in w],
-             [(w[-1], ok) for w, ok in rows if w]]
-    for kind, grams in enumerate(kinds):
-        n, good = collections.Counter(g for g, _ in grams), collections.Counter(g for g, ok in grams if ok)
-        mine = sorted((r.background, r.target) for r in got if r.kind == kind)
-        assert mine == sorted((n[g], good[g]) for g in n if n[g] > 1 or kind == 2)
-        assert len({r.key for r in got if r.kind == kind}) == len(mine)
-    sums = [sum(r[c] for r in got if r.kind == 3 and r.key == k) for k in (0, 1) for c in ("background", "target")]
-    assert sums == [len(kinds[1]), sum(ok for _, ok in kinds[1]), len(kinds[2]), sum(ok for _, ok in kinds[2])]
-
-
-@pytest.mark.parametrize("hot,map_bits", [(1 << 20, lm_score.MAP_BITS), (3, lm_score.MAP_BITS), (60, 1 << 8)])
-def test_lm_scores_of_real_pairs(spark, docs, labels, hot, map_bits):
-    """Counts of real words and pairs, however many there are and whichever way they are joined."""
+@pytest.mark.parametrize("group_bytes,merged_keys", [(lm_score.GROUP_BYTES, lm_score.MERGED_KEYS), (2000, 300), (100, 1)])
+def test_lm_scores_of_real_pairs(spark, docs, labels, group_bytes, merged_keys):
+    """Counts of real words and pairs, however the texts are grouped and the counts added up."""
     rows = [(i, SPACE.findall((t or "").translate(LOWER))) for i, t in pairs()]
     good = [(i, w) for i, w in rows if i is not None and i < 40 and i != 32]
     grams = lambda some: collections.Counter(g for _, w in some for g in zip([None, *w], w))
@@ -342,7 +325,7 @@ def test_lm_scores_of_real_pairs(spark, docs, labels, hot, map_bits):
         spread = max(1.0, context[a] * len(pair) / total)
         return -np.log((pair[a, b] + spread * lower) / (context[a] + spread))
 
-    out = lm_score.score_documents(docs, labels, hot_words=hot, hot_pairs=hot, map_bits=map_bits)
+    out = lm_score.score_documents(docs, labels, group_bytes=group_bytes, merged_keys=merged_keys)
     got = {r.doc_id: r for r in out.collect()}
     assert len(got) == len(rows)
     for i, w in rows:
