@@ -37,13 +37,11 @@ are carried along by ``mix`` whatever their names.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, only
-from .quality import UNIT, constant_array, words_of
+from .quality import UNIT, one_row, settled, total_of, words_of
 
 DOMAINS = ["good", "low", "toxic"]
 WEIGHTS = {"good": 0.94, "low": 0.04, "toxic": 0.02}
@@ -70,44 +68,41 @@ def labelled_domains(labels: DataFrame, limit: int) -> DataFrame:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING,
-                   labelled_rows: int = LABELLED_ROWS) -> list[list[int]]:
-    """Ratio table of every domain in units of 1 / UNIT.  ``docs``: doc_id, text."""
+                   labelled_rows: int = LABELLED_ROWS) -> DataFrame:
+    """One row with the ratio table of every domain but the first, in units of 1 / UNIT.  ``docs``: doc_id, text."""
     sample = labelled_domains(labels, labelled_rows)
     rows = docs.join(F.broadcast(sample), "doc_id")
-    counts = (rows.select("domain", F.explode(buckets_of(F.col("text"), buckets)).alias("b"))
-              .groupBy("b").agg(*[F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(len(DOMAINS))])
-              .collect())  # at most ``buckets`` rows
-    totals = [sum(r[f"c{k}"] for r in counts) for k in range(len(DOMAINS))]
-    tables = [[0] * buckets for _ in DOMAINS]
-    for r in counts:
-        every = sum(r[f"c{k}"] for k in range(len(DOMAINS)))
-        for k in range(1, len(DOMAINS)):
-            expected = every * (totals[k] / sum(totals))
-            weight = math.log((r[f"c{k}"] + smoothing) / (expected + smoothing)) if totals[k] else 0.0
-            if abs(weight) >= LEAST_EVIDENCE:
-                tables[k][r.b] = round(UNIT * weight)
-    return tables
-
-
-def _sum_of(indices: str, table: Column) -> Column:
-    return F.aggregate(indices, F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
-
-
-def with_posteriors(rows: DataFrame, tables: list[list[int]], text: str = "text",
-                    no_evidence: float = NO_EVIDENCE) -> DataFrame:
+    names = [f"c{k}" for k in range(len(DOMAINS))]
+    counts = materialize(rows.select("domain", F.explode(buckets_of(F.col("text"), buckets)).alias("b"))
+                         .groupBy("b").agg(*[F.count_if(F.col("domain") == k).alias(c) for k, c in enumerate(names)]),
+                         "domain-counts")
+    totals = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    every = sum((F.col(c) for c in names[1:]), F.col(names[0]))
+    tables = {}
+    for d, c in zip(DOMAINS[1:], names[1:]):
+        weight = F.lit(0.0)
+        if totals[c]:
+            expected = every * F.lit(totals[c] / sum(totals))
+            weight = F.log((F.col(c) + smoothing) / (expected + smoothing))
+        tables[f"w_{d}"] = F.when(F.abs(weight) >= LEAST_EVIDENCE, weight).otherwise(0.0)
+    return one_row(counts, tables, buckets)
+
+
+def with_posteriors(rows: DataFrame, tables: DataFrame, text: str = "text", no_evidence: float = NO_EVIDENCE,
+                    buckets: int = BUCKETS) -> DataFrame:
     """Adds n_tokens (words) and p_<domain>."""
-    buckets = len(tables[0])
     rows = rows.withColumn("_b", buckets_of(F.col(text), buckets)).withColumn("n_tokens", F.size("_b").cast("long"))
-    for k in range(1, len(tables)):
-        total = _sum_of("_b", constant_array(tables[k]))
-        logit = F.lit(no_evidence) + total * F.lit(1 / UNIT)
-        rows = rows.withColumn(f"_l{k}", F.least(F.lit(500.0), logit))
-    logits = [F.lit(0.0), *[F.col(f"_l{k}") for k in range(1, len(tables))]]
+    rows = settled(rows)
+    for d in DOMAINS[1:]:
+        rows = rows.withColumn("_table", tables.select(f"w_{d}").scalar())
+        logit = F.lit(no_evidence) + total_of(F.col("_b"), "_table") * F.lit(1 / UNIT)
+        rows = rows.withColumn(f"_l_{d}", F.least(F.lit(500.0), logit)).drop("_table")
+    logits = [F.lit(0.0), *[F.col(f"_l_{d}") for d in DOMAINS[1:]]]
     rows = rows.withColumn("_top", F.greatest(*logits))
     powers = [F.exp(x - F.col("_top")) for x in logits]
     whole = sum(powers[1:], powers[0])
     rows = rows.withColumns({f"p_{d}": p / whole for d, p in zip(DOMAINS, powers)})
-    return rows.drop("_b", "_top", *[f"_l{k}" for k in range(1, len(tables))])
+    return rows.drop("_b", "_top", *[f"_l_{d}" for d in DOMAINS[1:]])
 
 
 def _step(rate: Column, off: list[float], ridge: float) -> Column:
@@ -151,12 +146,12 @@ def copies_of(rate: Column, key: Column) -> Column:
     return F.floor(rate + draw).cast("int")
 
 
-def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS, **options) -> DataFrame:
     named = only(docs, doc_id=id_col, text=text_col)
-    tables = fit_classifier(named, labels, **options)
+    tables = fit_classifier(named, labels, buckets, **options)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
                        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return with_posteriors(rows, tables)
+    return with_posteriors(rows, tables, buckets=buckets)
 
 
 def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id",

@@ -12,8 +12,10 @@ ratios are whole numbers of a millionth, so scores don't depend on the order
 of additions, and ``score >= threshold`` decides every document.
 
 Counting aggregates by bucket inside every task before the shuffle (at most
-``buckets`` rows a task), so no frequent word meets in one place.  The ratio
-table has ``buckets`` entries and goes into the plan as a constant.  Trusted
+``buckets`` rows a task), so no frequent word meets in one place.  The ratios
+are one row with an array of ``buckets`` numbers, made by Spark and written; the
+scoring plan reads it by a scalar subquery, so no table is part of a plan or
+passes through the driver's Python.  Trusted
 ids come from a bounded sample of the labels: the ``trusted_rows`` smallest by
 hash; all raw counts cover every row.
 
@@ -25,12 +27,10 @@ untouched by ``keep_good``, whatever their names.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import materialize, only
 
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -97,36 +97,48 @@ def trusted_ids(labels: DataFrame, limit: int = TRUSTED_ROWS) -> DataFrame:
 
 
 def ratio_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 1,
-                buckets: int = BUCKETS, smoothing: float = SMOOTHING, trusted_rows: int = TRUSTED_ROWS) -> list[int]:
-    """Log ratio of every bucket in units of 1 / UNIT.  Bounded by ``buckets`` on the driver."""
+                buckets: int = BUCKETS, smoothing: float = SMOOTHING, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+    """One row: ``ratios``, the log ratio of every bucket in units of 1 / UNIT."""
     trusted = trusted_ids(labels, trusted_rows).select("doc_id", F.lit(1).alias("_trusted"))
     rows = with_words(only(docs, doc_id=id_col, text=text_col), "text")
     rows = rows.select("doc_id", ngram_hashes(F.col("_hashes"), n).alias("g"))
     rows = rows.join(F.broadcast(trusted), "doc_id", "left")
-    counts = (rows.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode("g").alias("h"))
-              .groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("b"))
-              .agg(F.count("*").alias("raw"), F.sum("t").alias("good")).collect())
-    raw_total, good_total = sum(r.raw for r in counts), sum(r.good for r in counts)
-    out = [0] * buckets
-    if good_total:
-        for r in counts:
-            expected = r.raw * (good_total / raw_total)
-            out[r.b] = round(UNIT * math.log((r.good + smoothing) / (expected + smoothing)))
-    return out
+    counts = materialize(rows.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode("g").alias("h"))
+                         .groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("b"))
+                         .agg(F.count("*").alias("raw"), F.sum("t").alias("good")), "ratio-counts")
+    total = counts.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
+    if not total["good"]:
+        return one_row(counts.limit(0).select("b"), {"ratios": F.lit(0)}, buckets)
+    expected = F.col("raw") * F.lit(total["good"] / total["raw"])
+    return one_row(counts, {"ratios": F.log((F.col("good") + smoothing) / (expected + smoothing))}, buckets)
+
+
+def one_row(counts: DataFrame, ratios: dict[str, Column], buckets: int) -> DataFrame:
+    """A written table of one row with an array of ``buckets`` whole numbers for each of ``ratios``, in units of 1 / UNIT;
+    0 for a bucket ``b`` that ``counts`` hasn't.  One task puts the arrays together from as many rows."""
+    values = counts.select("b", *[F.rint(x * F.lit(float(UNIT))).cast("int").alias(c) for c, x in ratios.items()])
+    every = counts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(values, "b", "left")
+    every = every.agg(F.sort_array(F.collect_list(F.struct("b", *[F.coalesce(c, F.lit(0)).alias(c) for c in ratios]))).alias("x"))
+    return materialize(every.select(*[F.col(f"x.{c}").alias(c) for c in ratios]), "ratios")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows behind a Generate, above which the columns are plain attributes.  A subquery's value that is used once
+    there is put where it is used; otherwise the optimizer would keep it as a column, and every row would carry it."""
+    return df.select("*", F.explode(F.array(F.lit(0))).alias("_one")).drop("_one")
 
 
-def constant_array(values: list[int]) -> Column:
-    """The values as one constant of the plan, folded from a single string."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+def total_of(indices: Column, table: str) -> Column:
+    """Sum of the entries of the array column ``table`` at the indices."""
+    return F.aggregate(indices, F.lit(0).cast("long"), lambda a, i: a + F.get(F.col(table), i))
 
 
-def with_verdict(df: DataFrame, table: list[int], n: int = 1, threshold: float = THRESHOLD) -> DataFrame:
+def with_verdict(df: DataFrame, table: DataFrame, n: int = 1, threshold: float = THRESHOLD,
+                 buckets: int = BUCKETS) -> DataFrame:
     """Adds score (mean log ratio, 0 without n-grams) and kept."""
-    buckets, ratios = len(table), constant_array(table)
-    grams = ngram_hashes(F.col("_hashes"), n)
-    total = F.aggregate("_grams", F.lit(0).cast("long"),
-                        lambda a, h: a + F.get(ratios, F.pmod(h, F.lit(buckets)).cast("int")))
-    df = df.withColumn("_grams", grams).withColumn("_total", total)
+    grams = F.transform(ngram_hashes(F.col("_hashes"), n), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    df = settled(df.withColumn("_grams", grams)).withColumn("_table", table.select("ratios").scalar())
+    df = df.withColumn("_total", total_of(F.col("_grams"), "_table")).drop("_table")
     enough = F.col("_total") >= F.lit(round(threshold * UNIT)) * F.size("_grams").cast("long")
     score = F.when(F.size("_grams") > 0, F.col("_total") / F.size("_grams") / UNIT).otherwise(0.0)
     return (df.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & enough)
@@ -134,21 +146,21 @@ def with_verdict(df: DataFrame, table: list[int], n: int = 1, threshold: float =
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 1,
-            threshold: float = THRESHOLD, **options) -> DataFrame:
+            threshold: float = THRESHOLD, buckets: int = BUCKETS, **options) -> DataFrame:
     """doc_id, the base columns, score and kept of every document."""
-    table = ratio_table(docs, labels, id_col, text_col, n, **options)
+    table = ratio_table(docs, labels, id_col, text_col, n, buckets, **options)
     rows = with_base(with_words(only(docs, doc_id=id_col, text=text_col), "text"), "text")
-    rows = with_verdict(rows, table, n, threshold)
+    rows = with_verdict(rows, table, n, threshold, buckets)
     return rows.select(F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines",
                        "n_repeat_words", "base_failed", "score", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 1,
-              threshold: float = THRESHOLD, **options) -> DataFrame:
+              threshold: float = THRESHOLD, buckets: int = BUCKETS, **options) -> DataFrame:
     """The documents that are kept, all columns as they are."""
-    table = ratio_table(docs, labels, id_col, text_col, n, **options)
+    table = ratio_table(docs, labels, id_col, text_col, n, buckets, **options)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
                        F.col(f"`{text_col}`").alias("_text"))
-    rows = with_verdict(with_base(with_words(rows, "_text"), "_text"), table, n, threshold)
+    rows = with_verdict(with_base(with_words(rows, "_text"), "_text"), table, n, threshold, buckets)
     # a generated column: a filter on it is not pushed down, where the rules would be computed again inside it
     return rows.select("_doc", F.explode_outer(F.array("kept")).alias("_keep")).where("_keep").select("_doc.*")

@@ -102,7 +102,7 @@ def test_quality(spark, docs, labels):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in out.items() if r.kept)
     # ratios against a direct count over the same buckets
-    table = quality.ratio_table(docs, labels, buckets=64)
+    table = quality.ratio_table(docs, labels, buckets=64).first()["ratios"]
     b = spark.createDataFrame([(w,) for _, t in pairs() for w in set(SPACE.findall(t or ""))], "w string")
     bucket = {r.w: r.b for r in b.distinct().select("w", F.pmod(F.xxhash64("w"), F.lit(64)).alias("b")).collect()}
     for i, t in pairs():
