@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import weather as wx
 from ..operators import geo
 from ..operators import records as rec
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import fixtures as fx
+from ..sources.accidents import path_exists
+
+#: partitions of an upserted table; each batch replaces those of its keys
+UPSERT_BUCKETS = 32
 
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
@@ -82,15 +86,38 @@ def start_continuous(df: DataFrame, name: str, every: str = "30 seconds", mode:
               .option("path", base + "/table").start())
 
 
+def upsert_table(batch: DataFrame, batch_id: int, out: str, keys: list[str], buckets: int = UPSERT_BUCKETS) -> None:
+    """Put a micro-batch's rows into the Parquet table ``out``: one row per key, the one of the latest batch.
+
+    The table is partitioned by a hash of the keys.  Only the partitions of
+    the batch's keys are read, merged and replaced (dynamic partition
+    overwrite), so the work follows the batch and not the table.  A batch that
+    is replayed after a failure brings the same rows under the same id and
+    changes nothing."""
+    spark = batch.sparkSession
+    new = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
+    new = materialize(new.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "upsert-batch")
+    touched = [r["_bucket"] for r in new.select("_bucket").distinct().collect()]  # at most ``buckets``
+    if not touched:
+        return
+    merged = new
+    if path_exists(spark, out):
+        merged = spark.read.schema(new.schema).parquet(out).where(F.col("_bucket").isin(touched)).unionByName(new)
+    rest = [c for c in new.columns if c not in keys]
+    newest = merged.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("_batch")).alias("_row")).select(*keys, "_row.*")
+    # written aside first: a table can't be replaced while it is read
+    (materialize(newest, "upsert-merged").repartition("_bucket").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(out))
+
+
 def run_to_table(df: DataFrame, name: str, mode: str = "append", upsert_keys: list[str] | None = None,
                  base: str | None = None) -> DataFrame:
     """Run a streaming DataFrame until its input is drained (availableNow) into a
     Parquet table under the shared checkpoint folder and return that table.
 
-    ``mode='update'`` writes each micro-batch's changed state rows with their
-    batch id (``foreachBatch``); the returned table keeps the newest row per
-    ``upsert_keys``.  Passing the same ``base`` again resumes the query from
-    its checkpoint (only new input is processed).
+    ``mode='update'`` puts each micro-batch's changed state rows into a table of
+    one row per ``upsert_keys`` (``upsert_table``).  Passing the same ``base``
+    again resumes the query from its checkpoint (only new input is processed).
     """
     spark = df.sparkSession
     base = base or scratch_path(spark, "stream-" + name)
@@ -99,14 +126,10 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", upsert_keys: li
     if mode == "append":
         q = w.outputMode("append").format("parquet").option("path", out).start()
     else:
-        def upsert(batch: DataFrame, batch_id: int) -> None:
-            batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
-        q = w.outputMode("update").foreachBatch(upsert).start()
+        q = w.outputMode("update").foreachBatch(lambda batch, n: upsert_table(batch, n, out, upsert_keys)).start()
     q.awaitTermination()
-    result = spark.read.parquet(out)
-    if upsert_keys:
-        result = (result.groupBy(*upsert_keys)
-                  .agg(F.max_by(F.struct(*[c for c in result.columns if c not in upsert_keys and c != "_batch"]),
-                                F.col("_batch")).alias("_row"))
-                  .select(*upsert_keys, "_row.*"))
-    return result
+    if mode == "append":
+        return spark.read.parquet(out)
+    if not path_exists(spark, out):  # no batch had a row
+        return spark.createDataFrame([], df.schema)
+    return spark.read.parquet(out).drop("_batch", "_bucket")

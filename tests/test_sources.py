@@ -53,3 +53,33 @@ def test_columns_are_read_by_name(spark, tmp_path):
     assert rows[0].hour is None and rows[0].zone is None
     paths = [str(tmp_path / x) for x in ("a.csv", "b.csv", "missing.csv")]
     assert [(r.accident, r.hour, r.file_rank) for r in src.read_accident_history(spark, paths).collect()] == [(1, 7, 0)]
+
+
+def test_files_of_a_folder_with_other_column_orders(spark, tmp_path):
+    """Each file is read by its own header; what doesn't fit comes back in columns of its own."""
+    import gzip
+    folder = tmp_path / "some files"
+    folder.mkdir()
+    (folder / "a.csv").write_text("accident,headline,zone\n1,first,North\n")
+    (folder / "b.csv").write_text('headline,zone,accident\n"second, with\na break",South,1\nthird,East,0\n')
+    (folder / "c.csv").write_text("accident,headline,zone\n1,short\nyes,odd,West\n1,long,West,9\n")
+    (folder / "d.csv").write_text("headline,zone\nno label,North\n")
+    (folder / "e.csv").write_text("")
+    with gzip.open(folder / "f.csv.gz", "wt") as f:
+        f.write("zone,accident,headline\nCentral,1,packed\n")
+    rows = {r.headline: r for r in src.read_accidents(spark, str(folder), errors=True).collect()}
+    assert {h: (r.accident, r.zone) for h, r in rows.items()} == {
+        "first": (1, "North"), "second, with\na break": (1, "South"), "third": (0, "East"), "short": (1, None),
+        "odd": (None, "West"), "long": (1, "West"), "no label": (None, "North"), "packed": (1, "Central")}
+    assert {h for h, r in rows.items() if r._corrupt_record} == {"short", "long"}
+    assert {h: r._bad_fields for h, r in rows.items() if r._bad_fields} == {"odd": ["accident"]}
+    assert len(src.read_accidents(spark, str(folder)).columns) == 34
+    hist = src.read_accident_history(spark, [str(folder / "missing"), str(folder)]).collect()
+    assert sorted(r.headline for r in hist) == ["first", "long", "packed", "second, with\na break", "short"]
+    assert {r.file_rank for r in hist} == {1}
+
+
+def test_no_files_or_rows(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("")
+    assert src.read_accidents(spark, str(tmp_path)).count() == 0
+    assert src.read_accident_history(spark, [str(tmp_path), str(tmp_path / "missing")]).count() == 0
