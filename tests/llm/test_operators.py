@@ -229,6 +229,27 @@ def test_secrets(spark, docs):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_many_repositories_of_one_owner(spark):
+    rows = [(i, "token=spread0value", "o1", f"r{i}") for i in range(4)] + [(9, "token=narrow0value", "o1", f"r{9}")]
+    rows += [(20 + i, "token=narrow0value", "o1", f"r{9 - i}") for i in range(3)]
+    out = {r.doc_id: r for r in secrets.find_secrets(
+        spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert all((out[i].n_live, out[i].n_example, out[i].ownership) == (0, 1, [(0, 18, 1, 4)]) for i in range(4))
+    assert (out[9].n_live, out[9].n_example, out[9].ownership) == (1, 0, [(0, 18, 1, 3)])
+
+
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    import time
+    n = 30_000
+    text = " ".join(f"password=value{i:06d}" for i in range(n))
+    made = spark.createDataFrame([(1, text, "o", "en")], "doc_id long, text string, source string, lang string")
+    begin = time.time()
+    r = secrets.find_secrets(made).first()
+    assert r.n_assign == n and time.time() - begin < 60
+    spans = [f"assign:{k * 21}:{k * 21 + 20}" for k in range(n)]
+    assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest() and r.n_live == n
+
+
 def test_chat(spark):
     said = r"\### Assistant: </turn> ok"
     log = [(1, 0, 0, "message", "user", said), (1, 1, 1, "delta", "assistant", "par"), (1, 2, 1, "delta", "assistant", "tly"),
