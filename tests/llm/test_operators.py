@@ -324,6 +324,24 @@ def test_main_text(spark):
     assert [keys[i] for i in order] == sorted(keys) and (rank[0] == rank[6]) and rank[3] != rank[0]
 
 
+def test_main_text_of_page_copies(spark):
+    body = "<div>a page that two addresses bring word for word</div><div>and that has no article at all here</div>"
+    df = spark.createDataFrame([(1, "http://h.example/a", body), (2, "http://h.example/b", body), (3, "http://h.example/b", body)],
+                               "page_id long, url string, html string")
+    text = "a page that two addresses bring word for word and that has no article at all here"
+    assert [r.text for r in html_main.main_text(df).collect()] == [text] * 3
+
+
+def test_blocks_in_time_linear_in_the_tags():
+    import time
+    begin, n = time.time(), 20_000
+    assert html_main.blocks("<div>" * n + "x" + "</b>" * n) == ([], ["x"])
+    assert html_main.blocks("<b><article>" + "<div>" * n + "x" + "</b>" * n + "y") == (["xy"], [])
+    assert time.time() - begin < 5
+    assert html_main.blocks("<div><p>a<b>c</div>d</b>e") == ([], ["ac", "de"])
+    assert html_main.blocks("<main><i>a</main>b</i>c") == (["a"], ["bc"])
+
+
 @pytest.mark.parametrize("group_bytes,merged_keys", [(lm_score.GROUP_BYTES, lm_score.MERGED_KEYS), (2000, 300), (100, 1)])
 def test_lm_scores_of_real_pairs(spark, docs, labels, group_bytes, merged_keys):
     """Counts of real words and pairs, however the texts are grouped and the counts added up."""
