@@ -89,14 +89,11 @@ def flood_risk_rain(rainfall) -> Column:
 # Feed date formats, tried in order (day-name prefix stripped first because
 # Spark refuses to parse day names; the offset or GMT marker is dropped so
 # the hour is the hour as written).
-PUBLISHED_FORMATS = ["dd MMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "MMMM d, yyyy", "d MMMM yyyy",
-                     "yyyy-MM-dd"]
-
 
 def parse_published(text) -> Column:
     """First matching feed date format -> struct(date, hour, day_of_week)."""
     t = F.trim(_c(text))
-    rfc = F.regexp_extract(t, r"^[A-Za-z]{3}, (\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) (?:[+-]\d{4}|GMT)$", 1)
+    rfc = F.regexp_extract(t, r"^[A-Za-z]{3}, (\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) (?:[+-]\d{2}:?\d{2}|Z|GMT)$", 1)
     iso = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})Z$", 1)
     ts = F.coalesce(
         F.when(rfc != "", F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss"))),

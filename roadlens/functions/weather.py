@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..schemas import WEATHER_PAYLOAD
+from ..session import materialize
 
 
 def _c(x) -> Column:
@@ -26,6 +27,38 @@ def parse_weather(obs: DataFrame, payload: str = "payload") -> DataFrame:
             .withColumn("is_valid", F.coalesce(valid, F.lit(False))))
 
 
+REQUIRED = ["main.temp", "main.feels_like", "main.humidity", "weather.main", "weather.description"]
+
+
+def fault(payload, w) -> Column:
+    """Why a parsed payload can't be used: null for a valid one."""
+    p, w = _c(payload), _c(w)
+    first = F.get(w["weather"], 0)
+    found = [w["main"]["temp"], w["main"]["feels_like"], w["main"]["humidity"], first["main"], first["description"]]
+    missing = F.array_compact(F.array(*[F.when(c.isNull(), F.lit(n)) for c, n in zip(found, REQUIRED)]))
+    return (F.when(p.isNull(), "no payload")
+             .when(F.is_valid_utf8(p) & F.try_parse_json(p).isNull(), "not JSON")
+             .when(F.size(missing) > 0, F.concat(F.lit("without "), F.array_join(missing, ", "))))
+
+
+def account_weather(obs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S8 + T23 without silent losses: (normalised rows, quarantined rows with
+    their ``fault``, accounts).
+
+    Every row is parsed once and written with its fault.  The accounts hold the
+    written rows of each fault (null: kept), the rows of the input, counted on
+    their own, and whether the two agree."""
+    parsed = parse_weather(obs)
+    table = materialize(parsed.withColumn("fault", F.when(~F.col("is_valid"), F.coalesce(
+        fault("payload", "w"), F.lit("unreadable")))), "weather-parsed")
+    total = F.sum("n_rows").over(Window.partitionBy(F.lit(1)))  # one row a fault
+    accounts = (table.groupBy("fault").agg(F.count(F.lit(1)).alias("n_rows"))
+                .withColumn("rows_in", obs.select(F.count(F.lit(1))).scalar())
+                .withColumn("adds_up", total == F.col("rows_in")))
+    return (normalize_weather(table.drop("fault")), table.where(F.col("fault").isNotNull()).drop("w", "is_valid"),
+            accounts)
+
+
 def parse_once(df: DataFrame, payload: str, schema, out: str) -> DataFrame:
     """``from_json`` evaluated exactly once per row into struct column ``out``.
 

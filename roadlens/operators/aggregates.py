@@ -6,9 +6,15 @@ record table; lookup tables they join to are fixed-size and broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from . import ranking
+from .geo import zone_name_incidents
+
 
 def positives(records: DataFrame) -> DataFrame:
     """accident rows only (pushed into the Parquet scan when reading files)."""
@@ -55,3 +61,36 @@ def source_month_counts(records: DataFrame) -> DataFrame:
     month = F.substring("date", 1, 7)
     return (records.select("source_rank", month.alias("month"))
             .rollup("source_rank", "month").agg(F.count(F.lit(1)).alias("records")))
+
+
+def dashboard(records: DataFrame, regions: DataFrame, top_zones: DataFrame, as_of, n: int = 10) -> DataFrame:
+    """A1 + A6 + J9 + W4 as one table of panels, one pass over the records.
+
+    The positives' few columns are written once; the panels read that table.
+    ``panel``: ``total`` (accidents and whether there is data), ``zone``
+    (incidents and risk a region), ``prediction`` (incidents and risk a
+    highlight zone), ``recent`` (the ``n`` newest accidents); ``pos`` is the
+    order inside a panel."""
+    cols = ["article_id", "accident", "zone", "date", "location_name", "headline", "severity", "source_url"]
+    pos = materialize(positives(records).select(*cols), "dashboard")
+    nothing = F.lit(None).cast("string")
+
+    def panel(df: DataFrame, name: str, order, label, value, risk, age=nothing, detail=nothing, color=nothing):
+        return df.select(F.lit(name).alias("panel"), order.cast("int").alias("pos"), label.alias("name"),
+                         value.cast("long").alias("value"), risk.cast("int").alias("risk"), age.alias("age"),
+                         detail.alias("detail"), color.alias("color"))
+
+    no_risk = F.lit(None)
+    places = zone_name_incidents(top_zones, pos)
+    recent = ranking.recent_accidents(pos, as_of, n)
+    newest = Window.orderBy(F.desc("date"), F.asc("article_id"))  # over the n rows kept
+    recent = (recent.join(F.broadcast(pos.orderBy(F.desc("date"), F.asc("article_id")).limit(n)
+                                      .select("article_id", F.row_number().over(newest).alias("pos"))), "article_id"))
+    region = region_summary(pos, regions).join(F.broadcast(regions.select("zone", "region_ord")), "zone")
+    return reduce(DataFrame.unionByName, [
+        panel(dashboard_totals(pos), "total", F.lit(1), F.lit("accidents"), F.col("total_records"), no_risk,
+              detail=F.when(F.col("real_data"), "data").otherwise("no data")),
+        panel(region, "zone", F.col("region_ord") + 1, F.col("zone"), F.col("incidents"), F.col("risk")),
+        panel(places, "prediction", F.col("top_ord") + 1, F.col("name"), F.col("real_incidents"), F.col("risk")),
+        panel(recent, "recent", F.col("pos"), F.col("location"), F.col("article_id"), no_risk, F.col("time"),
+              F.col("detail"), F.col("severity"))])

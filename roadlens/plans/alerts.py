@@ -88,9 +88,21 @@ def alerts_with_routes(probes: DataFrame, requests: DataFrame, obs: DataFrame, r
     the weather behind them and, where a fresh route set of its trip is stored,
     the recommended route.  ``requests`` has the request of a probe under its
     id.  Probes without a route set skip the join with the routes."""
+    return _with_routes(full_alerts_rules(probes, obs, ttl_s), requests, route_options, route_ttl_s)
+
+
+def full_alerts_with_routes(probes: DataFrame, requests: DataFrame, obs: DataFrame, route_options: DataFrame,
+                            model: PipelineModel, ttl_s: int = dims.WEATHER_TTL_S,
+                            route_ttl_s: int = dims.ROUTE_TTL_S) -> DataFrame:
+    """J10 whole: zone, weather, model score, merged alerts, combined severity and
+    the recommended route of every probe in one row."""
+    return _with_routes(full_alerts(probes, obs, model, ttl_s), requests, route_options, route_ttl_s)
+
+
+def _with_routes(alerts: DataFrame, requests: DataFrame, route_options: DataFrame, route_ttl_s: int) -> DataFrame:
     hits = (routes_asof(requests, route_options, route_ttl_s).where(F.col("matched_trip_id").isNotNull())
             .select(F.col("request_id").alias("probe_id"), F.col("matched_trip_id").alias("trip_id")))
     best = rank.recommended_route(rank.routes_table(route_options)).select(
         "trip_id", "route_type", F.col("summary").alias("route_summary"),
         F.col("duration_traffic_min").alias("route_min"), F.col("congestion_pct").alias("route_congestion_pct"))
-    return full_alerts_rules(probes, obs, ttl_s).join(hits.join(best, "trip_id"), "probe_id", "left")
+    return alerts.join(hits.join(best, "trip_id"), "probe_id", "left")

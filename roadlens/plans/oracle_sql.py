@@ -646,7 +646,7 @@ SELECT probe_id, zone_name, obs_id, rainfall_mm, visibility_km, weather_conditio
 FROM fa""")
 oracle("full_alerts_checked", full_alerts_sql(dims.WEATHER_TTL_S) + f"""
 SELECT probe_id, zone_name, obs_id, {_FULL_ALERTS}, {_FULL_SEVERITY} AS advisory_severity, TRUE AS severity_agrees FROM fa""")
-oracle("full_alerts_routes", full_alerts_sql(dims.WEATHER_TTL_S) + f""", {ROUTE_OPTIONS}, {ROUTE_REQUESTS}, {ROUTE_TABLE},
+_ALERT_ROUTES = full_alerts_sql(dims.WEATHER_TTL_S) + f""", {ROUTE_OPTIONS}, {ROUTE_REQUESTS}, {ROUTE_TABLE},
 trips AS (
   SELECT r.request_id, o.trip_id FROM route_requests r JOIN route_options o
     ON o.origin = r.origin AND o.destination = r.destination AND o.obs_ts <= r.ts
@@ -655,10 +655,18 @@ trips AS (
 chosen AS (
   SELECT trip_id, route_type, summary, duration_traffic_min, congestion_pct FROM rmt
   QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY duration_traffic_min, config_ord) = 1)
+"""
+_ROUTE_JOINS = " FROM fa LEFT JOIN trips ON trips.request_id = fa.probe_id LEFT JOIN chosen ON chosen.trip_id = trips.trip_id"
+oracle("full_alerts_routes", _ALERT_ROUTES + f"""
 SELECT fa.probe_id, zone_name, obs_id, temperature_c, humidity_pct, wind_speed_kmh, visibility_km, rainfall_mm,
        weather_condition, {_FULL_ALERTS}, {_FULL_SEVERITY} AS severity, trips.trip_id, route_type,
        summary AS route_summary, duration_traffic_min AS route_min, chosen.congestion_pct AS route_congestion_pct
-FROM fa LEFT JOIN trips ON trips.request_id = fa.probe_id LEFT JOIN chosen ON chosen.trip_id = trips.trip_id""")
+""" + _ROUTE_JOINS)
+oracle("full_alerts_whole_checked", _ALERT_ROUTES + f"""
+SELECT fa.probe_id, zone_name, obs_id, {_FULL_ALERTS}, {_FULL_SEVERITY} AS advisory_severity, trips.trip_id, route_type,
+       summary AS route_summary, duration_traffic_min AS route_min, chosen.congestion_pct AS route_congestion_pct,
+       TRUE AS severity_agrees
+""" + _ROUTE_JOINS)
 
 # ---- dataset (records + generated negatives) -------------------------------------
 
@@ -887,3 +895,43 @@ SELECT strftime(time_bucket(INTERVAL '30 seconds', obs_ts), '%Y-%m-%d %H:%M:%S')
 FROM z WHERE time_bucket(INTERVAL '30 seconds', obs_ts) + INTERVAL '30 seconds'
              <= (SELECT max(obs_ts) FROM wn) - INTERVAL '10 minutes'
 GROUP BY 1, zone_name""")
+
+oracle("stream_live", with_ctes(WEATHER_OBS, WEATHER_NORM) + """
+SELECT cell_lat, cell_lng, obs_id, rainfall_mm, weather_condition FROM (
+  SELECT * FROM wn QUALIFY row_number() OVER (PARTITION BY cell_lat, cell_lng ORDER BY obs_ts DESC, obs_id DESC) = 1) l
+WHERE obs_ts > (SELECT max(obs_ts) FROM wn) - INTERVAL '86400 seconds'""")
+oracle("stream_zone_board_all", with_ctes(WEATHER_OBS, WEATHER_NORM, zones_serving_cte()) + """
+, z AS (
+  SELECT w.*, s.zone_name FROM wn w CROSS JOIN zones_serving s
+  QUALIFY row_number() OVER (PARTITION BY w.obs_id
+          ORDER BY sqrt((w.lat - s.lat) * (w.lat - s.lat) + (w.lng - s.lng) * (w.lng - s.lng)), s.zone_ord) = 1)
+SELECT strftime(time_bucket(INTERVAL '30 seconds', obs_ts), '%Y-%m-%d %H:%M:%S') AS window_start, zone_name,
+       count(*) AS n_obs, round(avg(rainfall_mm), 9) AS avg_rainfall, max(rainfall_mm) AS max_rainfall,
+       min(visibility_km) AS min_visibility,
+       time_bucket(INTERVAL '30 seconds', obs_ts) + INTERVAL '30 seconds'
+         > (SELECT max(obs_ts) FROM wn) - INTERVAL '10 minutes' AS is_open
+FROM z GROUP BY time_bucket(INTERVAL '30 seconds', obs_ts), zone_name""")
+
+# ---- accounts and the dashboard as one table ---------------------------------------
+
+_FAULT = """fault AS (
+  SELECT obs_id, payload, CASE WHEN payload IS NULL THEN 'no payload' WHEN NOT json_valid(payload) THEN 'not JSON'
+    ELSE concat('without ', concat_ws(', ', CASE WHEN temp IS NULL THEN 'main.temp' END,
+      CASE WHEN feels_like IS NULL THEN 'main.feels_like' END, CASE WHEN humidity IS NULL THEN 'main.humidity' END,
+      CASE WHEN main IS NULL THEN 'weather.main' END, CASE WHEN description IS NULL THEN 'weather.description' END)) END AS fault
+  FROM wv JOIN wp USING (obs_id) WHERE NOT is_valid)"""
+oracle("weather_quarantine", with_ctes(WEATHER_OBS, WEATHER_PARSED, _FAULT) + "SELECT obs_id, payload, fault FROM fault")
+oracle("weather_accounts", with_ctes(WEATHER_OBS, WEATHER_PARSED, _FAULT) + """
+SELECT fault, count(*) AS n_rows, (SELECT count(*) FROM weather_obs) AS rows_in, TRUE AS adds_up
+FROM wv LEFT JOIN fault USING (obs_id) GROUP BY fault""")
+_RECENT = ORACLES["recent_accidents"].split(", top AS", 1)[1]
+oracle("dashboard", records_prefix() + ", " + REGIONS + ", " + TOP.replace("top AS", "zt AS") + ", top AS" + _RECENT.replace(
+    "SELECT article_id,", """, recent AS (SELECT article_id, CAST(row_number() OVER (ORDER BY date DESC, article_id) AS INTEGER) AS pos,""", 1) + """)
+SELECT 'total' AS panel, 1 AS pos, 'accidents' AS name, count(*) AS value, CAST(NULL AS INTEGER) AS risk,
+       CAST(NULL AS VARCHAR) AS age, CASE WHEN count(*) > 0 THEN 'data' ELSE 'no data' END AS detail, CAST(NULL AS VARCHAR) AS color
+FROM records WHERE accident = 1
+UNION ALL SELECT 'zone', region_ord + 1, zone, (SELECT count(*) FROM records r WHERE r.accident = 1 AND r.zone = g.zone), risk,
+       NULL, NULL, NULL FROM regions g
+UNION ALL SELECT 'prediction', top_ord + 1, name, (SELECT count(*) FROM records r WHERE r.accident = 1
+       AND contains(lower(r.location_name), lower(split_part(z.name, ' ', 1)))), risk, NULL, NULL, NULL FROM zt z
+UNION ALL SELECT 'recent', pos, location, article_id, NULL, time, detail, severity FROM recent""")

@@ -437,8 +437,25 @@ def q_merge_alerts(i: Inputs) -> DataFrame:
     return n.select("obs_id", F.array_join(rk.merge_alerts(adv["alerts"], drv), " | ").alias("alerts"))
 
 
+@register("weather_quarantine")
+def q_weather_quarantine(i: Inputs) -> DataFrame:
+    """The payloads that can't be used, with the reason."""
+    return wx.account_weather(i.weather_obs)[1].select("obs_id", "payload", "fault")
+
+
+@register("weather_accounts")
+def q_weather_accounts(i: Inputs) -> DataFrame:
+    """Rows in against rows kept and rows of each fault."""
+    return wx.account_weather(i.weather_obs)[2]
+
+
 # ---- dashboard and dataset reports ------------------------------------------------
 
+@register("dashboard")
+def q_dashboard(i: Inputs) -> DataFrame:
+    return agg.dashboard(i.records, dims.region_risk(i.spark), dims.top_zones(i.spark), F.lit(i.as_of))
+
+
 @register("dashboard_totals")
 def q_dashboard_totals(i: Inputs) -> DataFrame:
     return agg.dashboard_totals(i.records)
@@ -686,6 +703,16 @@ def q_full_alerts(i: Inputs) -> DataFrame:
                       F.array_join("alerts", " | ").alias("alerts"), "severity")
 
 
+@register("full_alerts_whole")
+def q_full_alerts_whole(i: Inputs) -> DataFrame:
+    """J10 with the model and the route in one row, both at the TTLs of the original."""
+    model, _, _ = _trained(i)
+    out = al.full_alerts_with_routes(i.probes, i.route_requests, i.weather_obs, i.route_options, model)
+    return out.select("probe_id", "zone_name", "obs_id", "accident_probability", "risk_level",
+                      F.array_join("alerts", " | ").alias("alerts"), "advisory_severity", "severity", "trip_id",
+                      "route_type", "route_summary", "route_min", "route_congestion_pct")
+
+
 # ---- what can be said exactly about the model-backed results ------------------------
 
 def _near(a, b, within: float):
@@ -776,6 +803,14 @@ def q_full_alerts_checked(i: Inputs) -> DataFrame:
                       "advisory_severity", agrees.alias("severity_agrees"))
 
 
+@register("full_alerts_whole_checked")
+def q_full_alerts_whole_checked(i: Inputs) -> DataFrame:
+    """J10 whole: all but the model's numbers, and whether the severity follows from advisory and level."""
+    agrees = F.col("severity") == rk.combined_severity("advisory_severity", "risk_level")
+    return q_full_alerts_whole(i).withColumn("severity_agrees", agrees).drop(
+        "accident_probability", "risk_level", "severity")
+
+
 # ---- streaming (run to completion with availableNow, final table compared) --------
 
 @register("stream_dedupe")
@@ -795,6 +830,27 @@ def q_stream_latest(i: Inputs) -> DataFrame:
                       F.col("latest.weather_condition").alias("weather_condition"), "n_obs", "expired")
 
 
+@register("stream_live")
+def q_stream_live(i: Inputs) -> DataFrame:
+    """X2 with expiry: the observations a cache of a day would still give out at the end."""
+    obs = fx.weather_obs(sj.events_stream(i.spark, i.sf_dir))
+    out = sj.run_to_table(sj.stream_live_weather(obs, 86400), "live", mode="update",
+                          upsert_keys=["cell_lat", "cell_lng"], newest_by="latest")
+    return sj.live_latest(out, 86400).select(
+        "cell_lat", "cell_lng", *[F.col("latest")[c].alias(c) for c in ("obs_id", "rainfall_mm", "weather_condition")])
+
+
+@register("stream_zone_board_all")
+def q_stream_zone_board_all(i: Inputs) -> DataFrame:
+    """X3 to its end: the emitted windows, and the open ones read from the state store."""
+    base = scratch_path(i.spark, "stream-zone-board")
+    obs = fx.weather_obs(sj.events_stream(i.spark, i.sf_dir))
+    closed = sj.run_to_table(sj.stream_zone_board(obs), "zone-board", base=base)
+    out = closed.withColumn("is_open", F.lit(False)).unionByName(
+        sj.open_windows(i.spark, base).withColumn("is_open", F.lit(True)))
+    return out.withColumn("avg_rainfall", F.round("avg_rainfall", 9))
+
+
 @register("stream_zone_board")
 def q_stream_zone_board(i: Inputs) -> DataFrame:
     obs = fx.weather_obs(sj.events_stream(i.spark, i.sf_dir))

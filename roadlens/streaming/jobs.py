@@ -55,10 +55,35 @@ def expire_latest(latest: DataFrame, ttl_s: int) -> DataFrame:
     """X2 expiry: a cell's latest observation is expired once it is ``ttl_s``
     seconds or more older than the newest observation the stream has seen
     (a one-value aggregate of the state table)."""
-    newest = latest.agg(F.max("latest.obs_ts").alias("m")).first()["m"]
-    age_us = F.lit(newest).cast("timestamp_ntz").cast("timestamp").cast("double") * 1_000_000 \
-        - F.unix_micros(F.col("latest.obs_ts").cast("timestamp"))
-    return latest.withColumn("expired", age_us >= int(ttl_s) * 1_000_000)
+    newest = latest.select(F.max("latest.obs_ts")).scalar()
+    return latest.withColumn("expired", F.col("latest.obs_ts") <= newest - F.make_dt_interval(secs=F.lit(int(ttl_s))))
+
+
+def stream_live_weather(obs: DataFrame, ttl_s: int) -> DataFrame:
+    """X2 with expiry: latest valid observation per cell and window of ``ttl_s``
+    seconds.  Windows that ended ``ttl_s`` before the newest observation leave
+    the state, so it holds the cells of the last three windows at most, not
+    every cell ever seen.  Put into a table of one row per cell
+    (``upsert_table`` by ``latest``), whose rows ``live_latest`` reads."""
+    w = wx.normalize_weather(wx.parse_weather(obs)).withColumn("event_time", F.col("obs_ts").cast("timestamp"))
+    cell = wx.grid_cell("lat", "lng")
+    # time first: the order of the struct is the order of the observations
+    latest = F.struct("obs_ts", "obs_id", "temperature_c", "rainfall_mm", "visibility_km", "weather_condition")
+    return (w.withColumn("cell_lat", cell["cell_lat"]).withColumn("cell_lng", cell["cell_lng"])
+             .withWatermark("event_time", f"{int(ttl_s)} seconds")
+             .groupBy(F.window("event_time", f"{int(ttl_s)} seconds").alias("win"), "cell_lat", "cell_lng")
+             .agg(F.max(latest).alias("latest"))
+             .select("cell_lat", "cell_lng", "latest"))
+
+
+def live_latest(table: DataFrame, ttl_s: int) -> DataFrame:
+    """The cells whose latest observation is younger than ``ttl_s`` seconds."""
+    return expire_latest(table, ttl_s).where(~F.col("expired")).drop("expired")
+
+
+def state_rows(spark: SparkSession, base: str) -> DataFrame:
+    """The state that a query run with ``run_to_table(base=...)`` keeps, as rows of ``key`` and ``value``."""
+    return spark.read.format("statestore").load(base + "/checkpoint")
 
 
 def stream_zone_board(obs: DataFrame, window: str = "30 seconds", delay: str = "10 minutes") -> DataFrame:
@@ -69,10 +94,21 @@ def stream_zone_board(obs: DataFrame, window: str = "30 seconds", delay: str = "
     z = geo.nearest_zone(w)
     return (z.withWatermark("event_time", delay)
              .groupBy(F.window("event_time", window).alias("win"), "zone_name")
-             .agg(F.count(F.lit(1)).alias("n_obs"), F.avg("rainfall_mm").alias("avg_rainfall"),
+             .agg(F.count(F.lit(1)).alias("n_obs"), F.sum("rainfall_mm").alias("rainfall"),
                   F.max("rainfall_mm").alias("max_rainfall"), F.min("visibility_km").alias("min_visibility"))
              .select(F.date_format(F.col("win.start"), "yyyy-MM-dd HH:mm:ss").alias("window_start"), "zone_name",
-                     "n_obs", "avg_rainfall", "max_rainfall", "min_visibility"))
+                     # a normalised observation always has a rainfall
+                     "n_obs", (F.col("rainfall") / F.col("n_obs")).alias("avg_rainfall"), "max_rainfall",
+                     "min_visibility"))
+
+
+def open_windows(spark: SparkSession, base: str) -> DataFrame:
+    """The windows the zone board hasn't emitted yet, as they stand in its state."""
+    v = F.col("value")
+    return state_rows(spark, base).select(
+        F.date_format(F.col("key.window.start"), "yyyy-MM-dd HH:mm:ss").alias("window_start"), "key.zone_name",
+        v["count"].alias("n_obs"), (v["sum"] / v["count"]).alias("avg_rainfall"), v["max"].alias("max_rainfall"),
+        v["min"].alias("min_visibility"))
 
 
 def start_continuous(df: DataFrame, name: str, every: str = "30 seconds", mode: str = "append"):
@@ -86,8 +122,10 @@ def start_continuous(df: DataFrame, name: str, every: str = "30 seconds", mode:
               .option("path", base + "/table").start())
 
 
-def upsert_table(batch: DataFrame, batch_id: int, out: str, keys: list[str], buckets: int = UPSERT_BUCKETS) -> None:
-    """Put a micro-batch's rows into the Parquet table ``out``: one row per key, the one of the latest batch.
+def upsert_table(batch: DataFrame, batch_id: int, out: str, keys: list[str], buckets: int = UPSERT_BUCKETS,
+                 newest_by: str = "_batch") -> None:
+    """Put a micro-batch's rows into the Parquet table ``out``: one row per key, the one of the latest batch
+    or the one of the greatest ``newest_by``.
 
     The table is partitioned by a hash of the keys.  Only the partitions of
     the batch's keys are read, merged and replaced (dynamic partition
@@ -104,14 +142,14 @@ def upsert_table(batch: DataFrame, batch_id: int, out: str, keys: list[str], buc
     if path_exists(spark, out):
         merged = spark.read.schema(new.schema).parquet(out).where(F.col("_bucket").isin(touched)).unionByName(new)
     rest = [c for c in new.columns if c not in keys]
-    newest = merged.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("_batch")).alias("_row")).select(*keys, "_row.*")
+    newest = merged.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(newest_by)).alias("_row")).select(*keys, "_row.*")
     # written aside first: a table can't be replaced while it is read
     (materialize(newest, "upsert-merged").repartition("_bucket").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(out))
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append", upsert_keys: list[str] | None = None,
-                 base: str | None = None) -> DataFrame:
+                 base: str | None = None, newest_by: str = "_batch") -> DataFrame:
     """Run a streaming DataFrame until its input is drained (availableNow) into a
     Parquet table under the shared checkpoint folder and return that table.
 
@@ -126,7 +164,7 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", upsert_keys: li
     if mode == "append":
         q = w.outputMode("append").format("parquet").option("path", out).start()
     else:
-        q = w.outputMode("update").foreachBatch(lambda batch, n: upsert_table(batch, n, out, upsert_keys)).start()
+        q = w.outputMode("update").foreachBatch(lambda batch, n: upsert_table(batch, n, out, upsert_keys, newest_by=newest_by)).start()
     q.awaitTermination()
     if mode == "append":
         return spark.read.parquet(out)

@@ -167,3 +167,27 @@ def test_origin_and_key(spark):
     assert tuple(got[0].p) == (13.05, 80.25) and tuple(got[1].p) == (None, None) and tuple(got[2].p) == (None, None)
     k = spark.createDataFrame([("ab", "c"), ("a", "bc")], "o string, d string").select(rt.route_key("o", "d").alias("k"))
     assert len({r.k for r in k.collect()}) == 2                      # Q23: separator keeps keys apart
+
+
+def test_feed_dates_with_offsets_keep_the_written_hour(spark):
+    texts = ["Mon, 01 Jan 2024 10:30:00 +0530", "Mon, 01 Jan 2024 10:30:00 +05:30", "Mon, 01 Jan 2024 10:30:00 Z",
+             "Mon, 01 Jan 2024 10:30:00 GMT", "Mon, 01 Jan 2024 10:30:00 IST"]
+    p = cal.parse_published("t")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", p["hour"].alias("h")).collect()
+    assert {r.t: r.h for r in rows} == dict(zip(texts, [10, 10, 10, 10, None]))
+
+
+def test_weather_faults_are_named_and_add_up(spark):
+    good = '{"main":{"temp":1,"feels_like":2,"humidity":3},"weather":[{"main":"Rain","description":"r"}]}'
+    payloads = [good, good, None, "{bad", "", '{"main":{"temp":1},"weather":[{"main":"Rain"}]}', "{}", "[1]",
+                good.replace('"temp":1', '"temp":"hot"')]
+    obs = spark.createDataFrame(list(enumerate(payloads)), "obs_id long, payload string")
+    kept, bad, accounts = wx.account_weather(obs)
+    assert sorted(r.obs_id for r in kept.collect()) == [0, 1]
+    faults = {r.obs_id: r.fault for r in bad.collect()}
+    assert sorted(faults) == [2, 3, 4, 5, 6, 7, 8] and all(faults.values())
+    assert faults[2] == "no payload" and faults[3] == "not JSON"
+    assert faults[5] == "without main.feels_like, main.humidity, weather.description"
+    rows = accounts.collect()
+    assert sum(r.n_rows for r in rows) == 9 and {r.rows_in for r in rows} == {9} and all(r.adds_up for r in rows)
+    assert wx.account_weather(obs.where("false"))[2].count() == 0

@@ -1,5 +1,6 @@
 """Streaming jobs resume from their checkpoint and end in the batch result."""
 
+import datetime
 import tempfile
 
 from pyspark.sql import functions as F
@@ -89,3 +90,39 @@ def test_latest_over_three_batches(spark, tmp_path):
     batch = sj.stream_latest_weather(fx.weather_obs(ev))
     rows = lambda df: sorted((r.cell_lat, r.cell_lng, r.latest.obs_id, r.n_obs) for r in df.collect())
     assert rows(out) == rows(batch)
+
+
+def test_expired_cells_leave_the_state(spark, tmp_path):
+    """Three batches, an hour apart: the state holds windows near the newest observation, the table tells
+    live cells from expired ones, and a late batch doesn't replace a newer observation."""
+    payload = '{"main":{"temp":30,"feels_like":31,"humidity":60},"weather":[{"main":"Clear","description":"x"}]}'
+    schema = "obs_id long, obs_ts timestamp_ntz, lat double, lng double, payload string"
+    base = str(tmp_path / "run")
+
+    def run(n, rows):
+        full = [(i, datetime.datetime(2024, 1, 1, h, m), lat, 80.0, payload) for i, h, m, lat in rows]
+        spark.createDataFrame(full, schema).coalesce(1).write.parquet(f"{tmp_path}/src/part{n}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/src/*")
+        out = sj.run_to_table(sj.stream_live_weather(stream, 600), "live", "update", ["cell_lat", "cell_lng"],
+                              base=base, newest_by="latest")
+        live = sorted(r.latest.obs_id for r in sj.live_latest(out, 600).collect())
+        kept = sorted(r.latest.obs_id for r in out.collect())
+        state = {r.h for r in sj.state_rows(spark, base).select(F.hour("key.window.start").alias("h")).collect()}
+        return live, kept, state
+
+    assert run(0, [(1, 0, 0, 10.0), (2, 0, 1, 10.0), (3, 0, 2, 11.0)]) == ([2, 3], [2, 3], {0})
+    assert run(1, [(4, 1, 0, 10.0), (5, 1, 1, 12.0)]) == ([4, 5], [3, 4, 5], {1})
+    assert run(2, [(6, 0, 5, 10.0), (7, 2, 0, 13.0)]) == ([7], [3, 4, 5, 7], {2})
+
+
+def test_open_windows_complete_the_board(spark, tmp_path):
+    ev = spark.read.parquet(f"{SMALL}/events.parquet")
+    obs = lambda df: fx.weather_obs(df)
+    base = str(tmp_path / "run")
+    stream = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events*.parquet").parquet(SMALL)
+    closed = sj.run_to_table(sj.stream_zone_board(obs(stream)), "zb", base=base)
+    opened = sj.open_windows(spark, base)
+    board = lambda df: sorted((r.window_start, r.zone_name, r.n_obs, round(r.avg_rainfall, 9))
+                              for r in df.collect())
+    assert opened.count() > 0
+    assert board(closed.unionByName(opened)) == board(sj.stream_zone_board(obs(ev)))
