@@ -373,6 +373,14 @@ def top_zones(spark: SparkSession) -> DataFrame:
     return values_df(spark, rows, ["top_ord", "name", "lat", "lng", "risk"], ["int", "string", "double", "double", "int"])
 
 
+def source_profiles(spark: SparkSession) -> DataFrame:
+    """One row a source: run order, kind, publisher, base of relative links, and
+    whether its links are dated and its relevance rule is relaxed."""
+    rows = [(r, k, p, SITE_BASES.get(r), r in URL_DATED_RANKS, r in TAMIL_RELAXED_RANKS) for r, k, p in SOURCES]
+    return values_df(spark, rows, ["source_rank", "source_kind", "site_publisher", "base", "url_dated", "relaxed"],
+                     ["int", "string", "string", "string", "boolean", "boolean"])
+
+
 def title_case(key: str) -> str:
     """Display form of a training gazetteer key (each word capitalised)."""
     return key.title()

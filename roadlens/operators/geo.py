@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
+from . import gazetteer
 
 
 def _c(x) -> Column:
@@ -48,11 +49,15 @@ def nearest_zone_struct(lat, lng, zones: list | None = None) -> Column:
 def nearest_zone(df: DataFrame, lat: str = "lat", lng: str = "lng", zones: DataFrame | None = None) -> DataFrame:
     """Adds zone_ord, zone_name, base_risk, zone_road_type, zone_dist.
 
-    Attributes come from the fixed gazetteer (broadcast, 60 rows)."""
-    spark = df.sparkSession
-    z = zones if zones is not None else dims.zones_serving(spark)
+    Without ``zones`` the fixed gazetteer (broadcast, 60 rows); a caller's table,
+    of any size, is searched by grid cells (``gazetteer.nearest_place``)."""
+    z = zones if zones is not None else dims.zones_serving(df.sparkSession)
+    if zones is not None:
+        df = gazetteer.nearest_place(df, zones, lat, lng)
     z = z.select("zone_ord", "zone_name", "base_risk", F.col("road_type").alias("zone_road_type"),
                  F.col("lat").alias("zone_lat"), F.col("lng").alias("zone_lng"))
+    if zones is not None:
+        return df.join(z, "zone_ord", "left")
     best = nearest_zone_struct(lat, lng)
     return (df.withColumn("_nz", best)
               .withColumn("zone_ord", F.col("_nz.zone_ord"))
@@ -148,11 +153,10 @@ def accidents_near(probes: DataFrame, accidents: DataFrame, radius: float = 0.05
 
 def geocode(df: DataFrame, name: str, zones: DataFrame | None = None) -> DataFrame:
     """Place name -> gazetteer coordinates (lower-case exact match, left join)."""
-    spark = df.sparkSession
-    z = zones if zones is not None else dims.zones_serving(spark)
+    z = zones if zones is not None else F.broadcast(dims.zones_serving(df.sparkSession))
     z = z.select(F.lower("zone_name").alias("_gkey"), F.col("lat").alias("geo_lat"), F.col("lng").alias("geo_lng"))
     return (df.withColumn("_gkey", F.lower(F.trim(F.col(name))))
-              .join(F.broadcast(z), "_gkey", "left").drop("_gkey"))
+              .join(z, "_gkey", "left").drop("_gkey"))
 
 
 # ---- J9 -----------------------------------------------------------------------
@@ -160,15 +164,13 @@ def geocode(df: DataFrame, name: str, zones: DataFrame | None = None) -> DataFra
 def zone_name_incidents(top_zones: DataFrame, accidents: DataFrame) -> DataFrame:
     """Per highlight zone, positives whose place name contains the zone
     name's first lower-cased token.  Accidents are first reduced to counts per
-    distinct place name (partial aggregation), so the substring test runs on
-    distinct names x 7 fixed zones only."""
+    distinct place name (partial aggregation); the tokens of ``top_zones``, a
+    table of any size, are looked up in these names."""
     names = (accidents.where(F.col("accident") == 1)
              .groupBy(F.lower("location_name").alias("lname")).agg(F.count(F.lit(1)).alias("n")))
-    tokens = [(i, n.split(" ")[0].lower()) for i, (n, *_r) in enumerate(dims.TOP_ZONES)]
-    matched = F.array_compact(F.array(*[F.when(F.col("lname").contains(tok), F.lit(i)) for i, tok in tokens]))
-    hits = (names.select("n", F.explode(matched).alias("top_ord"))
-            .groupBy("top_ord").agg(F.sum("n").alias("n")))
-    # at most one row per highlight zone (7): broadcast the counts
-    return (top_zones.join(F.broadcast(hits), "top_ord", "left")
+    zones = top_zones.withColumn("_token", F.lower(F.split_part("name", F.lit(" "), F.lit(1))))
+    hits = (gazetteer.key_hits(names, "lname", "lname", zones, "_token").join(names, "lname")
+            .groupBy("_token").agg(F.sum("n").alias("n")))
+    return (zones.join(hits, "_token", "left")
             .select("top_ord", "name", "lat", "lng", "risk",
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("real_incidents")))

@@ -15,11 +15,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import risk as rk
+from ..sources.accidents import path_exists
 from . import training as tr
 
 
@@ -61,7 +62,8 @@ def fit_ensemble(train: DataFrame, config: str = "retrain", seed: int = 42) -> P
 
     assembler, scaler, gbt, rf = ensemble_pipeline(config, seed).getStages()
     scaler_model = scaler.fit(assembler.transform(train))
-    features = scaler_model.transform(assembler.transform(train)).persist()
+    features = (scaler_model.transform(assembler.transform(train))
+                .select("features", "features_sc", rf.getLabelCol(), "class_weight").persist())
     try:
         with ThreadPoolExecutor(max_workers=2) as pool:
             gbt_job, rf_job = pool.submit(gbt.fit, features), pool.submit(rf.fit, features)
@@ -117,17 +119,30 @@ def importances(model: PipelineModel) -> list[tuple[str, float, float]]:
     return [(n, float(g[i]), float(f[i])) for i, n in enumerate(dims.FEATURES)]
 
 
-def model_metadata(dataset: DataFrame, metrics: DataFrame, trained_on: _dt.datetime | None = None) -> DataFrame:
-    """One-row metadata table built from aggregates (no driver loops)."""
+def model_metadata(dataset: DataFrame, metrics: DataFrame, trained_on: _dt.datetime | None = None,
+                   name: str | None = None, sources: list[str] | None = None) -> DataFrame:
+    """One-row metadata table built from aggregates (no driver loops).
+
+    The builder states the dataset's ``name`` and its ``sources``; retrainings
+    leave them out, and the columns too."""
     ts = (trained_on or _dt.datetime.now()).isoformat()
     m = metrics.first()
     totals = dataset.agg(F.count(F.lit(1)).alias("total_records"),
                          F.sum(F.col("accident").cast("int")).cast("bigint").alias("accident_rows"))
-    return (totals.select("*", *[F.lit(m[c]).alias(c) for c in metrics.columns])
+    stated = ([F.lit(name).alias("dataset")] if name else []) + (
+        [F.array(*[F.lit(s) for s in sources]).alias("sources")] if sources else [])
+    return (totals.select("*", *stated, *[F.lit(m[c]).alias(c) for c in metrics.columns])
             .withColumn("trained_on", F.lit(ts))
             .withColumn("features", F.array(*[F.lit(f) for f in dims.FEATURES])))
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """The stored metadata; without any, no model has been trained."""
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"Model not trained yet: no metadata at {path}")
+    return spark.read.json(path)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

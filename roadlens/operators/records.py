@@ -23,12 +23,21 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def tag_sources(items: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Adds the rules of each item's source (``dims.source_profiles`` or a table
+    like it): source_kind, site_publisher, url_dated, relaxed.  The record job
+    follows these columns; items of a source without a profile are dropped."""
+    return items.join(profiles.select("source_rank", "source_kind", "site_publisher", "url_dated", "relaxed"),
+                      "source_rank")
+
+
 def with_candidate_columns(articles: DataFrame) -> DataFrame:
     """Adds summary (empty if absent), dedupe key and the per-source relevance flag."""
     df = articles if "summary" in articles.columns else articles.withColumn("summary", F.lit(""))
     df = df.withColumn("summary", F.coalesce(F.col("summary"), F.lit("")))
     relevant = tx.is_relevant(F.concat_ws(" ", "title", "summary"))
-    tamil = F.col("source_rank").isin(dims.TAMIL_RELAXED_RANKS) & tx.has_tamil_accident_word("title")
+    relaxed = F.col("relaxed") if "relaxed" in df.columns else F.col("source_rank").isin(dims.TAMIL_RELAXED_RANKS)
+    tamil = relaxed & tx.has_tamil_accident_word("title")
     # the flag is produced by a Generate (one-element inline): a filter on it
     # stays above, so the text rule is not inlined into a predicate whose
     # generated code is not split
@@ -84,9 +93,13 @@ def build_records(articles: DataFrame, zones: DataFrame, as_of) -> DataFrame:
         df = df.withColumn("published_ts", F.lit(None).cast("timestamp_ntz"))
     if "keyword" not in df.columns:
         df = df.withColumn("keyword", F.lit(""))
-    is_feed = F.col("source_rank") == 0
     split = tx.split_publisher("title")
-    site_pub = dims.map_lookup({r: p for r, _, p in dims.SOURCES if p}, F.col("source_rank"), None)
+    if "source_kind" in df.columns:
+        is_feed, site_pub, url_dated = F.col("source_kind") == "feed", F.col("site_publisher"), F.col("url_dated")
+    else:
+        is_feed = F.col("source_rank") == 0
+        site_pub = dims.map_lookup({r: p for r, _, p in dims.SOURCES if p}, F.col("source_rank"), None)
+        url_dated = F.col("source_rank").isin(dims.URL_DATED_RANKS)
     df = (df.withColumn("clean_title", F.when(is_feed, split["title"]).otherwise(F.col("title")))
             .withColumn("publisher", F.when(is_feed, split["publisher"]).otherwise(site_pub))
             .withColumn("text", F.concat_ws(" ", "clean_title", "summary")))
@@ -95,7 +108,7 @@ def build_records(articles: DataFrame, zones: DataFrame, as_of) -> DataFrame:
     feed_ts = F.col("published_ts").cast("timestamp_ntz")
     url_date = cal.date_from_url("source_url")
     given_date = (F.when(is_feed, F.to_date(feed_ts))
-                   .when(F.col("source_rank").isin(dims.URL_DATED_RANKS), url_date))
+                   .when(url_dated, url_date))
     given_hour = F.when(is_feed, F.hour(feed_ts))
     given_dow = F.when(is_feed, cal.weekday_name(F.to_date(feed_ts)))
     df = (df.withColumn("_gdate", given_date)

@@ -39,11 +39,11 @@ def negatives_from_zones(positives: DataFrame, zones: DataFrame, as_of, ratio: i
     base = (positives.select(F.col(id_col).alias("src_id"))
             .withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(int(ratio))))))
     key = _key("src_id", "k")
-    nz = len(dims.ZONES_TRAIN)
+    nz = zones.select(F.count(F.lit(1))).scalar()  # ``zone_ord`` numbers the zones from 0
     z = zones.select("zone_ord", F.initcap("zone_key").alias("location_name"), "zone",
                      F.col("lat").alias("latitude"), F.col("lng").alias("longitude"), "road_type")
     df = (base.withColumn("zone_ord", cal.md5_draw(key, "zone", nz))
-              .join(F.broadcast(z), "zone_ord")
+              .join(z, "zone_ord")
               .withColumn("hour", cal.pick(dims.NEG_ZONE_HOURS, cal.md5_draw(key, "hour", len(dims.NEG_ZONE_HOURS))))
               .withColumn("_d", F.date_sub(as_of, _uniform(key, "days", 1, dims.NEG_ZONE_MAX_DAYS)))
               .withColumn("congestion_pct", F.greatest(F.lit(5), cal.estimate_congestion("hour", "zone")

@@ -935,3 +935,21 @@ UNION ALL SELECT 'zone', region_ord + 1, zone, (SELECT count(*) FROM records r W
 UNION ALL SELECT 'prediction', top_ord + 1, name, (SELECT count(*) FROM records r WHERE r.accident = 1
        AND contains(lower(r.location_name), lower(split_part(z.name, ' ', 1)))), risk, NULL, NULL, NULL FROM zt z
 UNION ALL SELECT 'recent', pos, location, article_id, NULL, time, detail, severity FROM recent""")
+
+oracle("article_location_any", ORACLES["article_location"])
+oracle("nearest_zone_any", ORACLES["nearest_zone"])
+
+# ---- the dataset build: site items have no summary, undated links the base of their site ----
+_SITES = ARTICLES.replace("articles AS (", "stored AS (", 1) + f""",
+articles AS (SELECT article_id * 1048576 AS article_id, source_rank, published_ts, title,
+  CASE WHEN source_rank = 0 THEN summary END AS summary, CASE WHEN source_rank = 0 THEN keyword END AS keyword,
+  CASE WHEN source_rank = 0 OR contains(source_url, '/2023/') THEN source_url
+       ELSE concat(CASE source_rank {" ".join(f"WHEN {r} THEN {q(b)}" for r, b in dims.SITE_BASES.items())} END,
+                   replace(source_url, 'https://news.example.org', '')) END AS source_url FROM stored)"""
+oracle("build_dataset", dataset_prefix().replace(ARTICLES, _SITES, 1) + f"SELECT record_id, {ACC_COLS} FROM dataset")
+
+oracle("evaluate_paired_checked", records_prefix() + """
+, n AS (SELECT count(*) AS n FROM records)
+SELECT training, config, CAST(round(n * 0.2) AS BIGINT) AS n_pos, CAST(round(n * copies * 0.2) AS BIGINT) AS n_neg,
+       TRUE AS beats_chance, TRUE AS accuracy_in_range
+FROM n CROSS JOIN (VALUES ('builder', 'builder', 1), ('retrain_1x', 'retrain', 1), ('retrain_3x', 'retrain', 3)) AS t(training, config, copies)""")

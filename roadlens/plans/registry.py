@@ -19,17 +19,19 @@ from ..functions import risk as rk
 from ..functions import routes as rt
 from ..functions import text as tx
 from ..functions import weather as wx
+from ..operators import gazetteer as gaz
 from ..operators import geo
 from ..operators import ranking as rank
 from ..operators import training as tr
 from ..schemas import ACCIDENT_COLUMNS
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import accidents as src
 from ..sources import feeds
 from ..operators import model as ml
 from ..sources import fixtures as fx
 from ..streaming import jobs as sj
 from . import alerts as al
+from . import build
 from . import train as trn
 from ..operators import aggregates as agg
 from ..operators import records as rec
@@ -72,6 +74,20 @@ def q_article_location(i: Inputs) -> DataFrame:
     return df.select("article_id", "zone_ord", F.initcap("zone_key").alias("location_name"), "zone")
 
 
+@register("article_location_any")
+def q_article_location_any(i: Inputs) -> DataFrame:
+    """J1 by a join with the place table, which may have any size."""
+    df = gaz.first_key(i.articles, "article_id", F.col("title"), i.zones_train)
+    return df.select("article_id", "zone_ord", F.initcap("zone_key").alias("location_name"), "zone")
+
+
+@register("build_dataset")
+def q_build_dataset(i: Inputs) -> DataFrame:
+    """The builder's whole run: listing pages and feed to the written dataset."""
+    return build.build_dataset(fx.feed_items(i.events), fx.listing_pages(i.events), dims.source_profiles(i.spark),
+                               i.zones_train, F.lit(i.as_of)).select("record_id", *ACCIDENT_COLUMNS)
+
+
 @register("article_records")
 def q_article_records(i: Inputs) -> DataFrame:
     return i.records.drop("source_rank")
@@ -325,6 +341,12 @@ def q_nearest_zone(i: Inputs) -> DataFrame:
     return geo.nearest_zone(i.probes).select("probe_id", "zone_name", "base_risk")
 
 
+@register("nearest_zone_any")
+def q_nearest_zone_any(i: Inputs) -> DataFrame:
+    """J2 by a grid search of the zone table, which may have any size."""
+    return geo.nearest_zone(i.probes, zones=i.zones_serving).select("probe_id", "zone_name", "base_risk")
+
+
 @register("history_base")
 def q_history_base(i: Inputs) -> DataFrame:
     return geo.history_base(i.records).select("article_id", "headline", "date", "location_name")
@@ -692,7 +714,7 @@ def q_model_meta(i: Inputs) -> DataFrame:
     meta = ml.model_metadata(i.dataset, metrics).withColumn("model_path", F.lit(path))
     meta_path = scratch_path(i.spark, "model-meta")
     meta.write.mode("overwrite").json(meta_path)
-    return i.spark.read.json(meta_path)
+    return ml.read_metadata(i.spark, meta_path)
 
 
 @register("full_alerts")
@@ -713,6 +735,21 @@ def q_full_alerts_whole(i: Inputs) -> DataFrame:
                       "route_type", "route_summary", "route_min", "route_congestion_pct")
 
 
+def _paired(i: Inputs) -> DataFrame:
+    key = (i.spark.sparkContext.applicationId, i.sf_dir, str(i.as_of), "paired")
+    if key not in _MODELS:
+        _MODELS[key] = materialize(trn.train_paired(i.record_table, i.dataset), "paired-metrics")
+    return _MODELS[key]
+
+
+@register("evaluate_paired")
+def q_evaluate_paired(i: Inputs) -> DataFrame:
+    """L6, L7, L12 as the original pairs them: the builder's configuration on L1
+    negatives, the retrainings on L2 and L3."""
+    return _paired(i).select("training", "config", *[F.round(c, 6).alias(c) for c in (
+        "gbt_auc", "rf_auc", "ensemble_auc", "accuracy")], "n_pos", "n_neg")
+
+
 # ---- what can be said exactly about the model-backed results ------------------------
 
 def _near(a, b, within: float):
@@ -738,6 +775,14 @@ def q_evaluate_checked(i: Inputs) -> DataFrame:
     return metrics.select("n_pos", "n_neg", *agrees, F.col("accuracy").between(0, 1).alias("accuracy_in_range"))
 
 
+@register("evaluate_paired_checked")
+def q_evaluate_paired_checked(i: Inputs) -> DataFrame:
+    """L6, L7, L12 paired: holdout counts, metrics in range and better than chance."""
+    aucs = [F.col(c).between(0.5, 1) for c in ("gbt_auc", "rf_auc", "ensemble_auc")]
+    return _paired(i).select("training", "config", "n_pos", "n_neg", (aucs[0] & aucs[1] & aucs[2]).alias("beats_chance"),
+                             F.col("accuracy").between(0, 1).alias("accuracy_in_range"))
+
+
 @register("score_ensemble_checked")
 def q_score_ensemble_checked(i: Inputs) -> DataFrame:
     """Every holdout row, scored also by the model after saving and loading it."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,22 @@ def train(dataset: DataFrame, config: str = "retrain", seed: int = 42, test_frac
     return model, scored, ml.evaluate(scored)
 
 
+def paired_datasets(records: DataFrame, builder: DataFrame) -> dict[str, tuple[str, DataFrame]]:
+    """The trainings of the original: name -> (configuration, dataset).  The
+    builder trains on its own dataset (L1 negatives), the retrainings on the
+    records with one (L2) or three (L3) changed copies each."""
+    return {"builder": ("builder", builder),
+            "retrain_1x": ("retrain", tr.training_set(records, tr.negatives_mutate(records, 1))),
+            "retrain_3x": ("retrain", tr.training_set(records, tr.negatives_mutate(records, 3)))}
+
+
+def train_paired(records: DataFrame, builder: DataFrame, seed: int = 42) -> DataFrame:
+    """L6, L7, L12 for every pairing: one row of holdout metrics a training."""
+    rows = [train(data, config, seed)[2].select(F.lit(name).alias("training"), F.lit(config).alias("config"), "*")
+            for name, (config, data) in paired_datasets(records, builder).items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def zone_board(model: PipelineModel, requests: DataFrame) -> DataFrame:
     """L10 + W3: score every zone request and rank zones per board hour."""
     scored = ml.score_requests(model, requests)

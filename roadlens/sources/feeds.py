@@ -27,15 +27,27 @@ def write_rss(items: DataFrame, path: str) -> None:
     items.write.mode("overwrite").format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
 
 
-def extract_links(pages: DataFrame, base: str | None = None) -> DataFrame:
+def extract_links(pages: DataFrame, base: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Anchors of each page: position, text (tags stripped, trimmed) and
     href (quoted either way or not at all), made absolute with ``base``
     (default: the page's own origin) when it does not start with ``http``."""
     origin = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1) if base is None else F.lit(base)
-    df = pages.select("page_id", origin.alias("_base"),
+    kept = ["page_id", *(keep or [])]
+    df = pages.select(*kept, origin.alias("_base"),
                       F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), 0)).alias("pos", "a"))
     href = F.concat(*[F.regexp_extract("a", HREF, k) for k in (1, 2, 3)])
     return df.select(
-        "page_id", "pos",
+        *kept, "pos",
         F.trim(F.regexp_replace("a", "<[^>]*>", "")).alias("text"),
         F.when(href.startswith("http"), href).otherwise(F.concat("_base", href)).alias("href"))
+
+
+def listing_items(pages: DataFrame, profiles: DataFrame) -> DataFrame:
+    """S5 by profile: the links of stored listing pages (page_id, source_rank,
+    html) as items of their source; relative links get the base of its row.
+    Pages of a source without a profile are dropped.  Items are numbered by
+    page, those of a page by position."""
+    known = pages.join(profiles.select("source_rank", "base"), "source_rank")
+    links = extract_links(known.withColumn("url", F.col("base")), keep=["source_rank"])
+    return links.select("source_rank", F.col("page_id").alias("article_id"), "pos", F.col("text").alias("title"),
+                        F.col("href").alias("source_url"))

@@ -137,3 +137,18 @@ def route_requests(events: DataFrame) -> DataFrame:
         F.when(eid % 4 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("d"), ((eid * F.when(eid % 3 == 0, 3).otherwise(1)) % 40).cast("string")))
          .alias("destination"))
+
+
+def feed_items(events: DataFrame) -> DataFrame:
+    """The feed's items of ``articles``."""
+    return articles(events).where(F.col("source_rank") == 0)
+
+
+def listing_pages(events: DataFrame) -> DataFrame:
+    """Stored listing pages of the sites: page_id, source_rank, html.  One link each to an
+    item of ``articles``, relative where the item's link has no date."""
+    path = F.substring_index("source_url", "https://news.example.org", -1)
+    href = F.when(path.contains("/2023/"), F.col("source_url")).otherwise(path)
+    return articles(events).where(F.col("source_rank") > 0).select(
+        F.col("article_id").alias("page_id"), "source_rank",
+        F.concat(F.lit('<h3 class="title"><a href="'), href, F.lit('">'), F.col("title"), F.lit("</a></h3>")).alias("html"))

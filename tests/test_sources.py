@@ -3,9 +3,11 @@ partitioned dataset sink (S10), feed XML round trip (S4)."""
 
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from roadlens.operators import model as ml
 from roadlens.plans.inputs import Inputs
 from roadlens.sources import accidents as src
 
@@ -83,3 +85,17 @@ def test_no_files_or_rows(spark, tmp_path):
     (tmp_path / "x.csv").write_text("")
     assert src.read_accidents(spark, str(tmp_path)).count() == 0
     assert src.read_accident_history(spark, [str(tmp_path), str(tmp_path / "missing")]).count() == 0
+
+
+def test_metadata_absent_and_variants(spark, tmp_path):
+    """No file is an error; the builder's form states name and sources, the retrainings' form doesn't."""
+    with pytest.raises(FileNotFoundError, match="not trained"):
+        ml.read_metadata(spark, str(tmp_path / "none"))
+    data = spark.createDataFrame([(1,), (0,), (1,)], "accident int")
+    metrics = spark.createDataFrame([(0.9, 0.8)], "gbt_auc double, rf_auc double")
+    plain = ml.model_metadata(data, metrics)
+    named = ml.model_metadata(data, metrics, name="News dataset", sources=["feed", "site"])
+    assert set(named.columns) - set(plain.columns) == {"dataset", "sources"}
+    named.write.json(str(tmp_path / "meta"))
+    row = ml.read_metadata(spark, str(tmp_path / "meta")).first()
+    assert (row.total_records, row.accident_rows, row.dataset, row.sources) == (3, 2, "News dataset", ["feed", "site"])
