@@ -13,7 +13,8 @@ The rules are patterns over whole texts and need no other document, so the
 operator is one pass without a shuffle.
 
 Cases: null text stays null (no spans); invalid numbers and impossible dates
-stay as they are; matches don't overlap (leftmost, then the order of KINDS);
+stay as they are; IBANs may stand in groups of four; mail names of any length
+are replaced whole; matches don't overlap (leftmost, then the order of KINDS);
 repeated rows are treated alike; extra columns are kept by ``pseudonymise``.
 """
 
@@ -31,13 +32,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUNDS = 8
+#: characters of a mail name that are permuted together; a longer name goes block by block
+NAME_BLOCK = 64
 KINDS = ["email", "iban", "card", "phone", "national", "ipv4", "date"]
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
+# Length of an IBAN -> countries.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _printed_iban() -> str:
+    """IBANs as they are printed, in groups of four; the country says where the last group ends."""
+    forms = []
+    for length, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(length - 4, 4)
+        last = f" [A-Z0-9]{{{rest}}}" if rest else ""
+        forms.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{groups}}}{last}")
+    return "|".join(forms)
+
+
 _PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
     r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"
-    r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![A-Za-z0-9])"
+    rf"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{_printed_iban()})(?![A-Za-z0-9])"
     r"|(?<![0-9A-Za-z.-])(?P<card>[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}"
     r"|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])(?P<phone>\+1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
@@ -118,14 +140,18 @@ def _by_class(text: str, f: Feistel, tweak: str, back: bool) -> str:
 
 def _email(v: str, f: Feistel, back: bool) -> str | None:
     name, domain = v.split("@")
-    return _by_class(name, f, "email", back) + "@" + domain
+    blocks = [name[i:i + NAME_BLOCK] for i in range(0, len(name), NAME_BLOCK)]
+    # the tweak of the first block is the one of a whole short name
+    return "".join(_by_class(b, f, f"email{i or ''}", back) for i, b in enumerate(blocks)) + "@" + domain
 
 
 def _iban(v: str, f: Feistel, back: bool) -> str | None:
-    if _iban_check(v[:2], v[4:]) != int(v[2:4]):
+    plain = v.replace(" ", "")  # a printed value gets the pseudonym of the plain one
+    if _iban_check(plain[:2], plain[4:]) != int(plain[2:4]):
         return None
-    account = _by_class(v[4:], f, "iban" + v[:2], back)
-    return f"{v[:2]}{_iban_check(v[:2], account):02d}{account}"
+    account = _by_class(plain[4:], f, "iban" + plain[:2], back)
+    new = iter(f"{plain[:2]}{_iban_check(plain[:2], account):02d}{account}")
+    return "".join(c if c == " " else next(new) for c in v)
 
 
 def _card(v: str, f: Feistel, back: bool) -> str | None:

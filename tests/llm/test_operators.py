@@ -303,6 +303,36 @@ def test_pseudonyms_of_long_names():
         assert pii.replace_all(new, f, back=True)[0] == text
 
 
+def test_pseudonyms_of_names_over_a_block():
+    f = pii.Feistel(b"k")
+    for n in (65, 128, 129, 5000):
+        text = f"to {'Ab9.' * n}@mail.example.com now"
+        new, spans = pii.replace_all(text, f)
+        assert [k for k, _, _ in spans] == ["email"] and pii.replace_all(new, f, back=True)[0] == text
+        assert sum(a != b for a, b in zip(new, text)) > n  # front and end alike
+        assert new[3:35] != text[3:35]
+    assert pii.replace_all("._%@mail.example.com", f)[0] == "._%@mail.example.com"
+    run = "a" * 400_000  # no address: linear in the text
+    assert pii.replace_all(run + " 1", f)[0] == run + " 1"
+
+
+def test_pseudonyms_of_printed_ibans():
+    f = pii.Feistel(b"k")
+    printed = ["GB82 WEST 1234 5698 7654 32", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00",
+               "NO93 8601 1117 947", "BE68 5390 0754 7034"]
+    for v in printed:
+        for text in (v, f"IBAN {v} THEN MORE TEXT 1234", f"({v})."):
+            new, spans = pii.replace_all(text, f)
+            assert [k for k, _, _ in spans] == ["iban"] and v not in new and len(new) == len(text)
+            assert pii.replace_all(new, f, back=True)[0] == text
+            i = text.index(v)
+            assert new[:i] == text[:i] and new[i + len(v):] == text[i + len(v):]
+        plain = pii.replace_all(v.replace(" ", ""), f)[0]
+        assert pii.replace_all(v, f)[0].replace(" ", "") == plain  # linked with the plain form
+    for v in ("GB82 WEST 1234 5698 7654 33", "GB82 WEST 1234 5698 7654 321", "ZZ82 WEST 1234 5698 7654 32"):
+        assert "iban" not in [k for k, _, _ in pii.replace_all(v, f)[1]]
+
+
 def test_main_text(spark):
     notice = "this site uses many words to say the very same thing on every page"
     pages = [(1, "http://H.example/1", "<nav>menu</nav><article><h1>T&amp;x</h1><p>one <b>b</b>old<p>two<br>three"
