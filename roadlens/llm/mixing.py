@@ -10,16 +10,20 @@
    ``NO_EVIDENCE``.  The sums are normalised by the softmax.
 2. Rates r >= 0, one per document, are fitted by projected gradient descent on
 
-       sum_k (sum_d r_d n_d p_dk - T_k)^2 / (2 N E_k) + ridge / 2 * sum_d n_d / N (r_d - 1)^2
+       sum_k (sum_d r_d n_d p_dk - T_k)^2 / (2 E_k) + ridge / 2 * sum_d n_d (r_d - 1)^2
 
    with n_d the tokens, p_dk the posteriors, E_k the expected tokens of domain
-   k, N all tokens, and targets T_k in the ratio of the weights, scaled so that
-   the domain ``good`` keeps its tokens; a domain that has less than its weight
-   allows keeps what it has.  The ridge makes the solution unique.
-   One step needs the K residuals only, so a step is one aggregate over a
-   table of (tokens, posteriors, rate), which is written anew every few steps;
-   rates are never shuffled.  Step size 1 is safe: the scaled Hessian is
-   row-stochastic.
+   k, and targets T_k in the ratio of the weights, scaled so that the domain
+   ``good`` keeps its tokens.  A domain with fewer tokens than its target gets
+   rates above 1, as high as the target asks.  The ridge makes the solution
+   unique and leaves totals within a hundredth of a reachable target.
+   The gradient of a rate is a combination of its K posteriors, so from rates
+   of 1 every step stays in the form r_d = max(0, 1 - sum_k a_k p_dk): the fit
+   moves the K numbers a_k, and no rate is ever written or shuffled.  A step is
+   one aggregate: the totals, and the K x K products of the posteriors of the
+   documents with a rate above 0, whose inverse scales the step.  Steps are
+   halved until the objective falls; they end when every total is within the
+   tolerance of the optimum, or when no step lowers the objective any more.
 3. Whole copies: every rate ``r`` gives ``floor(r + u)`` with ``u`` uniform by
    the hash of the doc_id, so a domain's expected kept tokens are those of its
    rates.
@@ -29,14 +33,17 @@ the order.  The classifier's sample is bounded (``labelled_rows`` smallest
 doc_ids by hash); posteriors, tokens and residuals cover every document.
 
 Cases: null or word-less texts have no tokens and the posterior
-without evidence; they never move a total.  A domain without tokens is left out of the fit.  Without
-labels every document is equally near ``good``.  Repeated rows count each for itself and
+without evidence; they never move a total.  A domain without tokens is left out of the fit; where
+``good`` has none, the other domains share all tokens by their weights.  Where posteriors are so wide that no rates
+reach the targets, the fit is the nearest in the sense above.  Documents with equal posteriors get equal rates.
+Without labels every document is equally near ``good``.  Repeated rows count each for itself and
 share the draw of their doc_id.  An empty table has no rates.  Extra columns
 are carried along by ``mix`` whatever their names.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +57,8 @@ SMOOTHING = 10.0
 LEAST_EVIDENCE = 0.8
 NO_EVIDENCE = -5.0
 LABELLED_ROWS = 100_000
-RIDGE = 1e-3
-STEPS, STEPS_PER_TABLE = 24, 6
-TOLERANCE = 1e-4
+RIDGE = 1e-4
+TOLERANCE = 1e-6
 
 
 def buckets_of(text: Column, buckets: int) -> Column:
@@ -105,39 +111,65 @@ def with_posteriors(rows: DataFrame, tables: DataFrame, text: str = "text", no_e
     return rows.drop("_b", "_top", *[f"_l_{d}" for d in DOMAINS[1:]])
 
 
-def _step(rate: Column, off: list[float], ridge: float) -> Column:
-    """One projected step: down the gradient, then back to rates of 0 or more."""
-    slope = F.lit(0.0)
-    for d, x in zip(DOMAINS, off):
-        slope = slope + F.col(f"p_{d}") * F.lit(x)
-    return F.greatest(F.lit(0.0), rate * F.lit(1 - ridge) + F.lit(ridge) - slope)
+def _rate(pull: np.ndarray) -> Column:
+    """The rate of a document for the numbers ``a_k``."""
+    rate = F.lit(1.0)
+    for d, a in zip(DOMAINS, pull):
+        rate = rate - F.col(f"p_{d}") * F.lit(float(a))
+    return F.greatest(F.lit(0.0), rate)
 
 
-def fit_rates(table: DataFrame, weights: dict[str, float], ridge: float = RIDGE, steps: int = STEPS,
-              tolerance: float = TOLERANCE) -> DataFrame:
-    """``table`` (n_tokens, p_<domain>, any more) with the fitted ``_rate``."""
+def targets_of(expected: np.ndarray, weights: dict[str, float]) -> np.ndarray:
+    """Tokens that every domain shall have."""
+    shares = np.array([weights[d] for d in DOMAINS]) * (expected > 0)
+    if not shares.sum():
+        return expected * 0
+    return shares * (expected[0] / shares[0] if shares[0] else expected.sum() / shares.sum())
 
-    def totals(rate: Column) -> list[float]:
-        sums = [F.sum(F.round(F.col("n_tokens") * rate * F.col(f"p_{d}") * UNIT).cast("decimal(38,0)")).alias(d)
-                for d in DOMAINS]
-        row = table.agg(*sums).first()
-        return [float(row[d] or 0) / UNIT for d in DOMAINS]
 
-    rate = F.lit(1.0)
-    now = expected = totals(rate)
-    everything = sum(expected)
-    targets = [min(e, expected[0] * weights[d] / weights[DOMAINS[0]]) for d, e in zip(DOMAINS, expected)]
-    for n in range(steps if everything else 0):
-        if n and n % STEPS_PER_TABLE == 0:  # keeps the expression short
-            table = materialize(table.withColumn("_next", rate).drop("_rate").withColumnRenamed("_next", "_rate"),
-                                "rates")
-            rate = F.col("_rate")
-        off = [round((x - t) / e, 12) if e else 0.0 for x, t, e in zip(now, targets, expected)]
-        rate = _step(rate, off, ridge)
-        before, now = now, totals(rate)
-        if max(abs(a - b) for a, b in zip(now, before)) <= tolerance * everything / len(DOMAINS):
+def fit_rates(table: DataFrame, weights: dict[str, float], ridge: float = RIDGE,
+              tolerance: float = TOLERANCE) -> DataFrame:
+    """``table`` (n_tokens, p_<domain>, any more) with the fitted ``_rate``."""
+    size = len(DOMAINS)
+    pairs = [(j, k) for j in range(size) for k in range(j, size)]
+
+    def sums(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Tokens by domain, products of the posteriors in use, and the sum of squared rates."""
+        n, rate, p = F.col("n_tokens"), _rate(pull), [F.col(f"p_{d}") for d in DOMAINS]
+        used = F.when(rate > 0, n).otherwise(0)
+        parts = [n * rate * x for x in p] + [used * p[j] * p[k] for j, k in pairs] + [n * rate * rate]
+        row = table.agg(*[F.sum(F.round(x * UNIT).cast("decimal(38,0)")).alias(f"s{i}")
+                          for i, x in enumerate(parts)]).first()
+        found = np.array([float(x or 0) / UNIT for x in row])
+        products = np.zeros((size, size))
+        for (j, k), x in zip(pairs, found[size:-1]):
+            products[j, k] = products[k, j] = x
+        return found[:size], products, found[-1]
+
+    pull = np.zeros(size)
+    now, products, squares = sums(pull)
+    expected = now
+    targets, open_ = targets_of(expected, weights), expected > 0
+
+    def height(pull: np.ndarray, squares: float) -> float:  # its least point holds the fitted a_k
+        return squares / 2 + pull @ targets + ridge / 2 * (expected * pull) @ pull
+
+    while open_.any():
+        off = (now - targets - ridge * expected * pull) * open_
+        if (np.abs(off) <= tolerance * np.maximum(targets, expected)).all():
             break
-    return table.withColumn("_next", rate).drop("_rate").withColumnRenamed("_next", "_rate")
+        scale = products + np.diag(np.where(open_, ridge * expected, 1.0))
+        step, share, at = np.linalg.solve(scale, off), 1.0, height(pull, squares)
+        while True:
+            after = pull + share * step
+            now, products, squares = sums(after)
+            if height(after, squares) <= at - 1e-4 * share * (off @ step):
+                break
+            share /= 2
+            if share < 1e-9:  # rounding: nothing left to gain
+                return table.withColumn("_rate", _rate(pull))
+        pull = after
+    return table.withColumn("_rate", _rate(pull))
 
 
 def copies_of(rate: Column, key: Column) -> Column:
