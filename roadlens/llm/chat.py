@@ -10,10 +10,17 @@ template:
 
 Folding groups by message, not by conversation: the events since the last one
 that replaces or drops the text are joined in sequence order.  A message
-stands where its first event stands.  Rendering works row by row.  The output
-is one row per segment of a conversation: turns in order, cut before a turn
-that would exceed ``segment_chars``, so that an endless conversation becomes
-many rows and a task holds one segment at a time; most conversations are one.
+stands where its first event stands.  Rendering works row by row, over ranges
+of (conversation, place): a conversation with a third of all rows is sorted and
+rendered by many tasks.  The output is one row per segment of a conversation:
+turns in order, cut before a turn that would exceed ``segment_chars`` and where
+a range ends, so that an endless conversation becomes many rows and a task
+holds one segment at a time; most conversations are one.  Segment numbers rise
+along a conversation, with gaps.
+
+A digest of a whole conversation is a chain over its bytes.  So ``read_back``,
+which checks an output, streams a conversation's segments through one task; the
+formatted output itself doesn't need it.
 
 A turn is rendered ``### role: text </turn>`` and a newline.  Inside roles and
 texts every backslash is doubled and a backslash is put before ``###`` and
@@ -23,7 +30,7 @@ segment) that cover the escaped assistant texts.
 
 Cases: null text and null role are empty; events without a kind are messages;
 null conversation ids form one conversation; null sequence numbers come
-first; ties go by role and text; an empty log gives no rows; extra columns
+first; ties go by role and text (turns of one place are one task's); an empty log gives no rows; extra columns
 are not read.
 """
 
@@ -40,7 +47,7 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "### ", " </turn>\n"
 SEGMENT_CHARS = 1 << 20
 TRAINED_ROLE = "assistant"
-SEGMENTS = "conv_id long, segment int, n_turns long, formatted string, mask array<struct<s:int,e:int>>"
+SEGMENTS = "conv_id long, segment long, n_turns long, formatted string, mask array<struct<s:int,e:int>>"
 
 _CONTROL = re.compile(r"\\|###|</turn>")
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -108,13 +115,13 @@ def render(messages: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame
 
         started = False
         for batch in batches:
-            for c, role, text in zip(*(batch[k].to_pylist() for k in ("conv_id", "role", "text"))):
+            for c, role, text, first in zip(*(batch[k].to_pylist() for k in ("conv_id", "role", "text", "first"))):
                 head = OPEN + escape(role).replace(":", "\\:") + ": "
                 body = escape(text)
                 turn = head + body + CLOSE
                 if not started or c != conv:
                     close()
-                    conv, segment, parts, mask, size, started = c, 0, [], [], 0, True
+                    conv, segment, parts, mask, size, started = c, first, [], [], 0, True
                 elif size + len(turn) > segment_chars:
                     close()
                     segment, parts, mask, size = segment + 1, [], [], 0
@@ -129,11 +136,13 @@ def render(messages: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame
         close()
         yield _segments(done)
 
-    ordered = messages.repartition("conv_id").sortWithinPartitions("conv_id", "place", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, SEGMENTS)
+    ordered = (messages.repartitionByRange("conv_id", "place")
+               .sortWithinPartitions("conv_id", "place", "role", "text"))
+    first = F.shiftleft(F.spark_partition_id().cast("long"), 32)  # a range's segments come after the range before
+    return ordered.select("conv_id", "role", "text", first.alias("first")).mapInArrow(run, SEGMENTS)
 
 
-_SEGMENT_ARROW = pa.schema([("conv_id", pa.int64()), ("segment", pa.int32()), ("n_turns", pa.int64()),
+_SEGMENT_ARROW = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("n_turns", pa.int64()),
                             ("formatted", pa.string()),
                             ("mask", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
 
@@ -179,6 +188,25 @@ def read_back(segments: DataFrame) -> DataFrame:
              "formatted_chars long")
 
 
+#: the report of ``read_back`` over ``conversations`` and the conversation -7, for DuckDB
+READ_BACK_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(t, r)),
+turns AS (
+  SELECT *, 4 + length(role) + len(regexp_extract_all(role, '\\|###|</turn>|:'))
+         + 2 + length(text) + len(regexp_extract_all(text, '\\|###|</turn>')) + 9 AS chars
+  FROM rows)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), ''))
+         AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
 def _digests(rows: list) -> pa.RecordBatch:
     number = lambda k: pa.array([r[k] for r in rows], pa.int64())
     digest = lambda k: pa.array([r[k].hexdigest() for r in rows], pa.string())

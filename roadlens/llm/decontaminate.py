@@ -232,3 +232,35 @@ def clean_documents(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col:
     names = _inner_names(docs.columns, id_col, text_col)
     scanned = _whole(docs, items, n, id_col, text_col, slice_windows).where(~F.col("contaminated"))
     return scanned.select(*[F.col(inner).alias(c) for inner, c in names.items()])
+
+
+#: the report over ``documents`` and ``benchmark``, for DuckDB
+REPORT_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, coalesce(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+  FROM documents),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, words, least(len(words), 10) AS size FROM (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark)
+  WHERE len(words) > 0),
+windows AS (
+  SELECT DISTINCT item, size, array_to_string(words[i:i + size - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS i FROM items)),
+places AS (
+  SELECT d, i, size, array_to_string(words[i:i + size - 1], ' ') AS win
+  FROM (SELECT d, words, size, unnest(range(1, len(words) - size + 2)) AS i
+        FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size)),
+hits AS (SELECT d, i, size, item FROM places JOIN windows USING (size, win)),
+words_hit AS (
+  SELECT d, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT d, unnest(range(i, i + size)) AS p FROM hits) GROUP BY d),
+items_hit AS (
+  SELECT d, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT d, item FROM hits) GROUP BY d)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words_hit USING (d) LEFT JOIN items_hit USING (d)
+"""

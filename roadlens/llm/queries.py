@@ -30,7 +30,8 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PSEUDONYM_KEY = b"example key of the registered query"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op11_lexical": lx.SEARCH_SQL}
+ORACLES: dict[str, str] = {"op1_chat": ch.READ_BACK_SQL, "op4_near_duplicates": nd.CLASSES_SQL,
+                           "op8_decontaminate": dc.REPORT_SQL, "op11_lexical": lx.SEARCH_SQL}
 
 
 def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

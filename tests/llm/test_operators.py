@@ -275,6 +275,22 @@ def test_chat(spark):
     assert chat.read_back(chat.format_chat(events.limit(0))).count() == 0
 
 
+def test_a_hot_conversation_is_rendered_by_many_tasks(spark):
+    """A third of the rows in one conversation, and a column that clashes with an inner name."""
+    rows = [(1 if i % 3 == 0 else 2 + i % 97, i, i, "user" if i % 2 else "assistant", f"text {i}", "x")
+            for i in range(6000)]
+    events = spark.createDataFrame(rows, "conv_id long, seq long, message_id long, role string, text string, first string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # or it puts the small ranges into one task
+    try:
+        segments = chat.format_chat(events.withColumn("kind", F.lit("message"))).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    mine = sorted((r for r in segments if r.conv_id == 1), key=lambda r: r.segment)
+    assert len(mine) > 1 and max(r.n_turns for r in mine) < 1900
+    assert [t for r in mine for _, t, _, _ in chat.parse(r.formatted)] == [f"text {i}" for i in range(0, 6000, 3)]
+
+
 def test_pseudonyms(spark, docs):
     f = pii.Feistel(b"k")
     for n in (1, 2, 7, 100, 997):
