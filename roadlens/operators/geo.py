@@ -9,9 +9,11 @@ Design notes for scale:
   to distinct locations (count + the newest ``limit`` rows per location,
   both partial-aggregated / window-group-limited before the shuffle, so a
   location holding a third of all rows is cut down map-side).  Probes are
-  bucketed into cells of the wide radius and exploded to their 3x3
+  bucketed into cells of the box's half-width and exploded to their 3x3
   neighbourhood, giving an equi-join on the cell instead of a nested-loop
-  range join.
+  range join.  Which of the two boxes a location needs is settled before, from
+  counts per cell and the points of the narrow grid, so only locations with
+  too few accidents nearby meet the points of the wide grid.
 """
 
 from __future__ import annotations
@@ -78,6 +80,44 @@ def history_base(records: DataFrame, order_col: str | Column = "article_id") ->
 
 # ---- J3 -----------------------------------------------------------------------
 
+def _cells(lat: str, lng: str, width: Column, around: int = 0) -> list[Column]:
+    """Grid cell of a place, or the cells up to ``around`` beside it.  Cells are a hair wider than
+    ``width``, so that places closer than ``width`` are never two cells apart by rounding."""
+    wide = width * F.lit(1 + 1e-9)
+    cells = [F.floor(F.col(x) / wide) for x in (lat, lng)]
+    return [F.explode(F.sequence(c - around, c + around)) for c in cells] if around else cells
+
+
+def _inside(half: Column) -> Column:
+    return (F.abs(F.col("a_lat") - F.col("p_lat")) < half) & (F.abs(F.col("a_lng") - F.col("p_lng")) < half)
+
+
+def choose_radius(locs: DataFrame, points: DataFrame, radius: float, widen: float, min_hits: int) -> DataFrame:
+    """``locs`` (p_lat, p_lng) with ``half``: ``radius``, or ``widen`` times it where the box of ``radius``
+    holds fewer than ``min_hits`` accidents (points: a_lat, a_lng, n_point).
+
+    Reads the points of the cells beside a location only, and its pairs are added up before they are
+    shuffled.  A location beside cells with too few accidents in all meets no point."""
+    width = F.lit(radius)
+    clat, clng = _cells("a_lat", "a_lng", width)
+    points = points.select("a_lat", "a_lng", "n_point", clat.alias("c_lat"), clng.alias("c_lng"))
+    counts = points.groupBy("c_lat", "c_lng").agg(F.sum("n_point").alias("n_cell"))
+    # per cell, the accidents of the 3x3 cells around it
+    blocks = (counts.withColumn("c_lat", F.explode(F.sequence(F.col("c_lat") - 1, F.col("c_lat") + 1)))
+              .withColumn("c_lng", F.explode(F.sequence(F.col("c_lng") - 1, F.col("c_lng") + 1)))
+              .groupBy("c_lat", "c_lng").agg(F.sum("n_cell").alias("n_block")).where(F.col("n_block") >= min_hits)
+              .select(F.col("c_lat").alias("b_lat"), F.col("c_lng").alias("b_lng")))
+    blat, blng = _cells("p_lat", "p_lng", width)
+    likely = locs.withColumn("b_lat", blat).withColumn("b_lng", blng).join(blocks, ["b_lat", "b_lng"], "left_semi")
+    nlat, nlng = _cells("p_lat", "p_lng", width, 1)
+    hits = (likely.select("p_lat", "p_lng").withColumn("c_lat", nlat).withColumn("c_lng", nlng)
+            .join(points, ["c_lat", "c_lng"]).where(_inside(width))
+            .groupBy("p_lat", "p_lng").agg(F.sum("n_point").alias("hits")).where(F.col("hits") >= min_hits))
+    return (locs.join(hits, ["p_lat", "p_lng"], "left")
+            .select("p_lat", "p_lng", F.when(F.col("hits").isNotNull(), width)
+                    .otherwise(F.lit(radius * widen)).alias("half")))
+
+
 def accidents_near(probes: DataFrame, accidents: DataFrame, radius: float = 0.05, limit: int = 10,
                    widen: float = 3.0, min_hits: int = 3, order_col: str = "article_id") -> DataFrame:
     """Per probe, accidents inside the box of half-width ``radius``
@@ -85,9 +125,11 @@ def accidents_near(probes: DataFrame, accidents: DataFrame, radius: float = 0.05
     it; newest first (date text descending, then file order); at most
     ``limit`` rows.  A probe without hits keeps one row with ``total`` 0 and no
     accident.  Output: probe_id, rank, record fields, total, matched.
+
+    The box is chosen first (``choose_radius``); then every location meets the
+    points of its own box, on a grid as wide as the box.
     """
     r = float(radius)
-    big = r * widen
     acc = accidents.select(F.col("latitude").alias("a_lat"), F.col("longitude").alias("a_lng"),
                            "date", "location_name", "zone", "headline", "severity", "publisher",
                            "source_url", "vehicle_type", F.col(order_col).alias("_ord"))
@@ -96,28 +138,22 @@ def accidents_near(probes: DataFrame, accidents: DataFrame, radius: float = 0.05
     newest = acc.withColumn("_prn", F.row_number().over(wp)).where(F.col("_prn") <= limit)
     ranked = newest.select("a_lat", "a_lng", "_prn", "date", "_ord")
     # distinct locations with their counts (partial + final hash aggregate) and newest row
-    points = (acc.groupBy("a_lat", "a_lng").agg(F.count(F.lit(1)).alias("n_point"))
-              .join(ranked.where("_prn = 1").drop("_prn"), ["a_lat", "a_lng"])
-              .withColumn("c_lat", F.floor(F.col("a_lat") / big))
-              .withColumn("c_lng", F.floor(F.col("a_lng") / big)))
+    counts = acc.groupBy("a_lat", "a_lng").agg(F.count(F.lit(1)).alias("n_point"))
+    points = counts.join(ranked.where("_prn = 1").drop("_prn"), ["a_lat", "a_lng"])
+    # every point on both grids
+    alat, alng = _cells("a_lat", "a_lng", F.col("half"))
+    points = (points.withColumn("half", F.explode(F.array(F.lit(r), F.lit(r * widen))))
+              .withColumn("c_lat", alat).withColumn("c_lng", alng))
 
     # the answer depends only on the probe's coordinates: search once per
     # distinct location (a hot location collapses in the partial aggregate)
     locs = probes.select(F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng")).distinct()
-    offs = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    pr = (locs
-          .withColumn("c_lat", F.explode(F.transform(offs, lambda o: F.floor(F.col("p_lat") / big) + o)))
-          .withColumn("c_lng", F.explode(F.transform(offs, lambda o: F.floor(F.col("p_lng") / big) + o))))
-    dlat = F.abs(F.col("a_lat") - F.col("p_lat"))
-    dlng = F.abs(F.col("a_lng") - F.col("p_lng"))
-    pairs = (pr.join(points, ["c_lat", "c_lng"])
-             .where((dlat < big) & (dlng < big))
-             .withColumn("in_r", (dlat < r) & (dlng < r)))
+    plat, plng = _cells("p_lat", "p_lng", F.col("half"), 1)
+    chosen = choose_radius(locs, counts, r, widen, min_hits).withColumn("c_lat", plat).withColumn("c_lng", plng)
+    pairs = chosen.join(points, ["half", "c_lat", "c_lng"]).where(_inside(F.col("half")))
     wloc = Window.partitionBy("p_lat", "p_lng")
     wr = wloc.orderBy(F.desc("date"), F.asc("_ord"))
     chosen = (pairs
-              .withColumn("hits_r", F.sum(F.when(F.col("in_r"), F.col("n_point")).otherwise(0)).over(wloc))
-              .where(F.col("in_r") | (F.col("hits_r") < min_hits))
               .withColumn("matched", F.sum("n_point").over(wloc))
               # Each of the k - 1 locations with a newer newest row has a row before
               # any row of the k-th, so that one can give limit - k + 1 rows at most.
