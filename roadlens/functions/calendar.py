@@ -95,14 +95,16 @@ def parse_published(text) -> Column:
     t = F.trim(_c(text))
     rfc = F.regexp_extract(t, r"^[A-Za-z]{3}, (\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) (?:[+-]\d{2}:?\d{2}|Z|GMT)$", 1)
     iso = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})Z$", 1)
+    # without a zone throughout: the session's zone can't move an hour
+    written = F.concat(F.try_to_date(F.regexp_extract(rfc, r"^\S+ \S+ \S+", 0), "d MMM yyyy").cast("string"), F.lit(" "),
+                       F.regexp_extract(rfc, r"\S+$", 0))
     ts = F.coalesce(
-        F.when(rfc != "", F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss"))),
-        F.when(iso != "", F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss"))),
-        F.when(t.rlike(r"^[A-Za-z]+ \d{1,2}, \d{4}$"), F.try_to_timestamp(t, F.lit("MMMM d, yyyy"))),
-        F.when(t.rlike(r"^\d{1,2} [A-Za-z]+ \d{4}$"), F.try_to_timestamp(t, F.lit("d MMMM yyyy"))),
-        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(t, F.lit("yyyy-MM-dd"))),
+        F.when(rfc != "", written.try_cast("timestamp_ntz")),
+        F.when(iso != "", iso.try_cast("timestamp_ntz")),
+        F.when(t.rlike(r"^[A-Za-z]+ \d{1,2}, \d{4}$"), F.try_to_date(t, "MMMM d, yyyy").cast("timestamp_ntz")),
+        F.when(t.rlike(r"^\d{1,2} [A-Za-z]+ \d{4}$"), F.try_to_date(t, "d MMMM yyyy").cast("timestamp_ntz")),
+        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd").cast("timestamp_ntz")),
     )
-    ts = ts.cast("timestamp_ntz")
     return F.struct(F.date_format(ts, "yyyy-MM-dd").alias("date"),
                     F.hour(ts).alias("hour"),
                     F.date_format(ts, "EEEE").alias("day_of_week"))

@@ -17,6 +17,27 @@ def _region_base_case(zone: str) -> str:
     return f"CASE {arms} ELSE {dims.REGION_CONGESTION_DEFAULT} END"
 
 
+def _class_case(text: str, classes, default: str, condition: str) -> str:
+    arms = " ".join(f"WHEN {condition.format(text=text, pattern='r' + dims.sql_str(p))} THEN {dims.sql_str(label)}"
+                    for label, patterns in classes for p in patterns)
+    return f"CASE {arms} ELSE {dims.sql_str(default)} END"
+
+
+def _advisory() -> str:
+    text = dims.sql_str
+    alerts = (f"array_compact(array("
+              f"CASE WHEN rainfall > 20 THEN {text(dims.ADV_HEAVY_RAIN)} "
+              f"WHEN rainfall > 5 THEN {text(dims.ADV_MODERATE_RAIN)} END, "
+              f"CASE WHEN visibility < 1 THEN {text(dims.ADV_VERY_LOW_VIS)} "
+              f"WHEN visibility < 3 THEN {text(dims.ADV_REDUCED_VIS)} END, "
+              f"CASE WHEN wind > 30 THEN {text(dims.ADV_WIND)} END, "
+              f"CASE WHEN condition = 'Thunderstorm' THEN {text(dims.ADV_THUNDER)} END))")
+    severity = ("CASE WHEN rainfall > 20 OR visibility < 1 OR condition = 'Thunderstorm' THEN 'DANGER' "
+                "WHEN rainfall > 5 OR visibility < 3 OR wind > 30 THEN 'WARN' ELSE 'OK' END")
+    return (f"named_struct('alerts', CASE WHEN size({alerts}) = 0 THEN array({text(dims.ADV_NORMAL)}) "
+            f"ELSE {alerts} END, 'severity', {severity})")
+
+
 def definitions() -> dict[str, str]:
     base = _region_base_case("zone")
     h = "COALESCE(hour, 12)"
@@ -36,6 +57,12 @@ def definitions() -> dict[str, str]:
         "flood_risk_rain": "(rainfall DOUBLE) RETURNS INT RETURN CAST(rainfall > 10 AS INT)",
         "traffic_status": "(congestion INT) RETURNS STRING RETURN CASE WHEN congestion > 60 THEN 'HEAVY' "
                           "WHEN congestion > 30 THEN 'MODERATE' ELSE 'CLEAR' END",
+        "extract_severity": "(text STRING) RETURNS STRING RETURN " + _class_case(
+            "lower(text)", dims.SEVERITY_PATTERNS, dims.SEVERITY_DEFAULT, "contains({text}, {pattern})"),
+        "extract_vehicle": "(text STRING) RETURNS STRING RETURN " + _class_case(
+            "lower(text)", dims.VEHICLE_PATTERNS, dims.VEHICLE_DEFAULT, "{text} RLIKE {pattern}"),
+        "weather_advisory": "(rainfall DOUBLE, visibility DOUBLE, wind DOUBLE, condition STRING) "
+                            "RETURNS STRUCT<alerts: ARRAY<STRING>, severity: STRING> RETURN " + _advisory(),
         "grid_cell_lat": "(lat DOUBLE) RETURNS BIGINT RETURN CAST(floor(lat * 100 + 0.5) AS BIGINT)",
     }
 

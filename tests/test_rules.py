@@ -93,6 +93,19 @@ def test_parse_published(spark):
         ("2024-01-04", 0, "Thursday"), ("2024-01-05", 0, "Friday"), ("2024-01-06", 0, "Saturday"), (None, None, None)]
 
 
+def test_published_hours_do_not_move_with_the_session_zone(spark):
+    texts = ["Sun, 10 Mar 2024 02:30:00 GMT", "2024-03-10T02:30:00Z", "March 10, 2024", "Sun, 32 Mar 2024 02:30:00 GMT",
+             "Sun, 10 Mar 2024 25:30:00 GMT"]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # has no half past two on that day
+    try:
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select(cal.parse_published("t").alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [tuple(r.p) for r in got] == [("2024-03-10", 2, "Sunday"), ("2024-03-10", 2, "Sunday"),
+                                         ("2024-03-10", 0, "Sunday"), (None, None, None), (None, None, None)]
+
+
 def test_risk_levels_and_outputs(spark):
     ps = [0.35, 0.3500001, 0.45, 0.4499999, 0.55, 0.5500001, 0.75, 0.7500001]
     df = spark.createDataFrame([(p,) for p in ps], "probability double")

@@ -7,6 +7,7 @@ from roadlens import dims
 from roadlens.functions import calendar as cal
 from roadlens.functions import risk as rk
 from roadlens.functions import routes as rt
+from roadlens.functions import text as tx
 from roadlens.functions import weather as wx
 from roadlens.functions.sql import register_sql_functions
 
@@ -30,3 +31,19 @@ def test_sql_functions_match_columns(spark):
     assert sql.exceptAll(col).count() == 0 and col.exceptAll(sql).count() == 0
     plan = sql._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_text_and_weather_functions_match_columns(spark):
+    register_sql_functions(spark)
+    words = [p for _, ps in dims.SEVERITY_PATTERNS for p in ps]
+    words += ["bike", "two-wheeler", "a car hit", "scar", "vehicle", "LORRY", "heavy vehicle", "bus", "busy", "auto", "", None,
+              "Two killed, 3 injured as truck rams bike"]
+    numbers = [None, 0.0, 0.5, 1.0, 2.9, 3.0, 5.0, 5.1, 20.0, 20.1, 30.0, 31.0]
+    rows = [(w, numbers[i % 12], numbers[i * 5 % 12], numbers[i * 7 % 12], ["Clear", "Thunderstorm", None][i % 3])
+            for i, w in enumerate(words * 12)]
+    df = spark.createDataFrame(rows, "t string, r double, v double, w double, c string")
+    df.createOrReplaceTempView("text_sqlfn")
+    sql = spark.sql("SELECT t, extract_severity(t) a, extract_vehicle(t) b, weather_advisory(r, v, w, c) c FROM text_sqlfn")
+    col = df.select("t", tx.extract_severity("t").alias("a"), tx.extract_vehicle("t").alias("b"),
+                    wx.weather_advisory("r", "v", "w", "c").alias("c"))
+    assert sql.exceptAll(col).count() == 0 and col.exceptAll(sql).count() == 0
