@@ -17,19 +17,11 @@ from ..session import materialize
 PIECE = 256
 
 
-def key_hits(texts: DataFrame, id_col: str, text: str, keys: DataFrame, key: str) -> DataFrame:
-    """(id, key) of every distinct key that is a substring of a text.
-
-    Each position of a text gives one row: the part that starts there, as long
-    as the longest key.  The first code points, as many as the shortest key
-    has, are joined to the beginnings of the keys, which say how long a key may
-    be here; the parts of these lengths are joined to the keys.  So most
-    positions end at the first join, and a position meets a key length once,
-    however many keys begin alike.  Texts are cut into overlapping pieces
-    first, so a long text costs in proportion to its length but for the cuts.
+def _hits(texts: DataFrame, id_col: str, text: str, keys: DataFrame, key: str) -> DataFrame:
+    """(id, key) of every place where a key stands in a text; see ``key_hits``.
 
-    Null and empty keys match nothing, so do null texts; an empty table gives
-    no hits.  Rows with the same id count as one."""
+    No step needs the positions in any order or once only, so they are not
+    exchanged unless the keys are too many to be sent to every task."""
     k = keys.select(F.col(key).alias("_key")).where(F.length("_key") > 0).distinct()
     shortest, longest = (k.select(f(F.length("_key"))).scalar() for f in (F.min, F.max))
     starts = (k.select(F.substring(F.col("_key"), F.lit(1), shortest).alias("_start"), F.length("_key").alias("_n"))
@@ -40,21 +32,37 @@ def key_hits(texts: DataFrame, id_col: str, text: str, keys: DataFrame, key: str
              .select("_id", "_text", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int"))).alias("_cut"))
              .select("_id", piece.alias("_text"))
              .select("_id", "_text", F.explode(F.sequence(F.lit(1), F.least(n, F.lit(PIECE)))).alias("_pos"))
-             .select("_id", F.substring(F.col("_text"), F.col("_pos"), longest).alias("_part"))
-             .distinct())
+             .select("_id", F.substring(F.col("_text"), F.col("_pos"), longest).alias("_part")))
     cand = (parts.withColumn("_start", F.substring(F.col("_part"), F.lit(1), shortest)).join(starts, "_start")
             .select("_id", "_part", F.explode("_lengths").alias("_n")).where(F.length("_part") >= F.col("_n"))
-            .select("_id", F.substring(F.col("_part"), F.lit(1), F.col("_n")).alias("_key")).distinct())
+            .select("_id", F.substring(F.col("_part"), F.lit(1), F.col("_n")).alias("_key")))
     return cand.join(k, "_key").select(F.col("_id").alias(id_col), F.col("_key").alias(key))
 
 
+def key_hits(texts: DataFrame, id_col: str, text: str, keys: DataFrame, key: str) -> DataFrame:
+    """(id, key) of every distinct key that is a substring of a text.
+
+    Each position of a text gives one row: the part that starts there, as long
+    as the longest key.  The first code points, as many as the shortest key
+    has, are joined to the beginnings of the keys, which say how long a key may
+    be here; the parts of these lengths are joined to the keys.  So most
+    positions end at the first join, and a position meets a key length once,
+    however many keys begin alike.  Texts are cut into overlapping pieces
+    first, so a long text costs in proportion to its length but for the cuts.
+    Only what is found is made distinct, not the positions.
+
+    Null and empty keys match nothing, so do null texts; an empty table gives
+    no hits.  Rows with the same id count as one."""
+    return _hits(texts, id_col, text, keys, key).distinct()
+
+
 def first_key(df: DataFrame, id_col: str, text: Column, zones: DataFrame, key: str = "zone_key",
               order: str = "zone_ord") -> DataFrame:
     """J1 with any table: adds the row of ``zones`` with the lowest ``order``
     whose key is in the lower-cased text (keys are taken as written); rows
     without one are left out, as in the fixed match."""
     low = df.select(id_col, F.lower(text).alias("_ltext"))
-    best = (key_hits(low, id_col, "_ltext", zones, key).join(zones.select(key, order), key)
+    best = (_hits(low, id_col, "_ltext", zones, key).join(zones.select(key, order), key)
             .groupBy(id_col).agg(F.min(order).alias(order)))
     return df.join(best, id_col).join(zones, order)
 

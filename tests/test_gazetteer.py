@@ -36,6 +36,18 @@ def test_ten_thousand_keys_equal_brute_force(spark):
     assert got == expected and {1002, 1003} <= set(got)
 
 
+def test_positions_of_texts_are_not_exchanged(spark):
+    df = spark.createDataFrame([(1, "anna salai anna salai"), (1, "guindy"), (None, "guindy"), (2, None)], "id long, t string")
+    zt = spark.createDataFrame([(0, "guindy"), (1, "anna salai")], "zone_ord int, zone_key string")
+    hits = gaz.key_hits(df, "id", "t", zt, "zone_key")
+    assert sorted(map(tuple, hits.collect()), key=str) == [(1, "anna salai"), (1, "guindy"), (None, "guindy")]
+    out = gaz.first_key(df, "id", F.col("t"), zt)
+    assert sorted((r.id, r.t, r.zone_ord) for r in out.collect()) == [(1, "anna salai anna salai", 0), (1, "guindy", 0)]
+    for frame in (hits, out):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "_part" in x]
+
+
 def test_empty_place_tables(spark):
     df = spark.createDataFrame([(1, "anna salai", 13.0, 80.0)], "id long, t string, lat double, lng double")
     none = spark.createDataFrame([], "zone_ord int, zone_key string, lat double, lng double")
