@@ -41,7 +41,7 @@ from .elias_fano import EliasFano
 
 BLOCK_TOKENS = 1 << 18
 CACHE_WORDS = 1_000_000
-CACHE_PIECES = 500_000
+CACHE_OTHERS = 250_000
 
 BLOCKS = ("part int, block int, n_docs int, n_tokens long, first long, doc_ids binary, doc_id_nulls binary, "
           "id_bytes int, ids binary, ef_low_bits int, ef_low binary, ef_high binary, ef_samples binary")
@@ -52,16 +52,28 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 # The split rule of the vocabulary file, for such words in lower case.
 _LETTERS = "a-zß-öø-ÿ"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+# Texts of such words, blanks and line ends alone.
+_PLAIN_TEXT = re.compile("[ \\n!-~À-ÖØ-öø-ÿ]*")
 
 
-class _Pieces(dict):
-    """Piece (letters, one digit or symbols) -> bytes of the ids its merges give."""
+class _PlainWords(dict):
+    """Plain word in lower case -> bytes of its ids.
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        text = piece if piece.isascii() else piece.translate(self.byte_chars)
-        out = self[piece] = array(self.typecode, [t.id for t in self.tokenize(text)]).tobytes()
+    A word is put together from its pieces (letters, one digit or symbols),
+    which are words of their own here, so that the library is asked once per
+    piece and not once per spelling.  Cleared when full."""
+
+    def __missing__(self, word: str) -> bytes:
+        pieces = _PIECES.findall(word)
+        if len(pieces) > 1:
+            out = b"".join([self[piece] for piece in pieces])
+        else:
+            text = word if word.isascii() else word.translate(self.byte_chars)
+            out = array(self.typecode, [t.id for t in self.tokenize(text)]).tobytes() if word else b""
+        if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -69,22 +81,20 @@ class WordEncoder(dict):
     """Word between white space -> bytes of its ids, filled on first sight.
 
     The tokenizer drops white space and never merges across it, so a text's
-    ids are the ids of its words in order.  Plain words are put together from
-    the ids of their pieces (letters, digit, symbols), so that the library is
-    asked once per piece and not once per spelling; all others go to it whole.
-    Both caches are cleared when full."""
+    ids are the ids of its words in order.  A text of plain words alone is
+    lower-cased and cut at its white space at once; in other texts words are
+    looked at one by one, and those that aren't plain go to the library whole."""
 
     def __init__(self, tokenizer_path: str, split_pieces: bool, dtype: str):
         super().__init__()
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.split_pieces, self.dtype, self.pieces = split_pieces, dtype, _Pieces()
-        self.piece = self.pieces.__getitem__
+        self.split_pieces, self.dtype, self.plain = split_pieces, dtype, _PlainWords()
         # the model reads bytes as printable characters; those of ASCII stand for themselves
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pieces.byte_chars = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        self.pieces.tokenize, self.pieces.typecode = self.tokenizer.model.tokenize, "H" if dtype == "<u2" else "I"
+        self.plain.byte_chars = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.plain.tokenize, self.plain.typecode = self.tokenizer.model.tokenize, "H" if dtype == "<u2" else "I"
 
     def _ask(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -93,16 +103,18 @@ class WordEncoder(dict):
         if not word:
             return b""
         if self.split_pieces and "<|" not in word and _PLAIN.fullmatch(word):
-            out = b"".join(map(self.piece, _PIECES.findall(word.lower())))
+            out = self.plain[word.lower()]
         else:
             out = self._ask(word)
         if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= CACHE_OTHERS:
                 self.clear()
             self[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
+        if self.split_pieces and "<|" not in text and _PLAIN_TEXT.fullmatch(text):
+            return b"".join(map(self.plain.__getitem__, text.lower().replace("\n", " ").split(" ")))
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 

@@ -84,6 +84,25 @@ def test_token_files(spark, docs):
     assert tb.read_documents(spark, empty).count() == 0
 
 
+def test_token_words_are_asked_in_lower_case(monkeypatch):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    encoder = tb.WordEncoder(TOKENIZER, True, "<u2")
+    texts = ["The the THE\n\nthe,  THE, Été ÉTÉ été.", "It's IT'S '' 's \"'s'll' 12a3 x<|y a||b ", "", " \n ", "ÀÖØÞ àöøþ ß ÿ"]
+    others = ["the “The” the", "a\tb The\r\nthe", "naïve — İstanbul ŒUVRE", "<|endoftext|> The", "数学 The", "\u00a0The\u200b the"]
+    for _ in range(2):
+        for text in texts + others:
+            ids = np.frombuffer(encoder.encode(text), dtype="<u2").tolist()
+            assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
+    plain = tb.WordEncoder(TOKENIZER, True, "<u2")
+    plain.encode(texts[0])
+    assert len(plain) == 0 and "The" not in plain.plain  # one entry for all spellings
+    monkeypatch.setattr(tb, "CACHE_WORDS", 3)
+    monkeypatch.setattr(tb, "CACHE_OTHERS", 2)
+    small = tb.WordEncoder(TOKENIZER, True, "<u2")
+    assert [small.encode(t) for t in texts + others] == [encoder.encode(t) for t in texts + others]
+
+
 def test_quality(spark, docs, labels):
     out = {r.doc_id: r for r in quality.quality(docs, labels, buckets=1 << 10).collect()}
     counts, good = collections.Counter(), collections.Counter()
