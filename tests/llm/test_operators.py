@@ -397,6 +397,66 @@ def test_main_text_of_page_copies(spark):
     assert [r.text for r in html_main.main_text(df).collect()] == [text] * 3
 
 
+def test_repeats_of_articles_and_short_blocks(spark):
+    menu = "".join(f"<li><a href='/{w}'>{w} page</a></li>" for w in ("home", "news", "sport", "culture", "contact"))
+    free = "".join(f"<p>{w} {w}</p>" for w in ("one", "two", "three", "four", "five"))
+    said = "a passage of more than eight words that two articles share"
+    rows = [(i, "http://a.example/x", f"<article><h1><a>Title</a></h1><ul>{menu}</ul><p>{said}</p><p>story {i}</p></article>")
+            for i in range(3)]
+    rows += [(10 + i, "http://b.example/x", f"{free}<p>story {i} told</p>") for i in range(3)]
+    rows += [(20, "http://c.example/x", f"<article><ul>{menu}</ul><p>{said}</p></article>")]  # another host
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    for chunk_bytes in (50, 1 << 20):
+        got = {r.page_id: (r.text, r.n_repeated) for r in html_main.main_text(df, chunk_bytes=chunk_bytes).collect()}
+        for i in range(3):
+            assert got[i] == (f"Title {said} story {i}", 23)
+            assert got[10 + i] == (f"story {i} told", 11)
+        assert got[20] == (f"home page news page sport page culture page contact page {said}", 0)
+
+
+def test_repeated_runs_against_brute_force(spark):
+    rng, length, rows = random.Random(7), 4, []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            text = " ".join(rng.choice("aabcdE") for _ in range(rng.randint(1, 7)))
+            parts.append(rng.choice(("<p>{}", "<p>{}", "<nav>{}</nav>", "<p><a>{}</a></p>")).format(text))
+        page = "".join(parts)
+        rows.append((i, f"http://{rng.choice('xy')}/", f"<main>{page}</main>" if i % 3 else page))
+    rows += [(i + 100, u, h) for i, u, h in rows[:9]]
+    streams = {}
+    for i, url, page in rows:
+        found = html_main._cut(page)
+        tokens = [(t.lower(), b) for b, (_, text) in enumerate(found) for t in text.split()]
+        streams[i] = (url, found, tokens, (url, *[t for k, t in found if k != html_main._CHROME_TEXT]))
+    owners = collections.defaultdict(set)
+    for url, _, tokens, content in streams.values():
+        for s in range(len(tokens) - length + 1):
+            owners[url, tuple(t for t, _ in tokens[s:s + length])].add(content)
+    expected = {}
+    for i, (url, found, tokens, _) in streams.items():
+        across, inside, menu = set(), set(), set()
+        for s in range(len(tokens) - length + 1):
+            run = range(s, s + length)
+            if len(owners[url, tuple(tokens[j][0] for j in run)]) > 1:
+                over = {tokens[j][1] for j in run}
+                across.update(run)
+                inside.update(run if len(over) == 1 else ())
+                menu.update(run if len(over) > 1 and all(found[b][0] == html_main._LINKS for b in over) else ())
+        kept, in_main = [], any(k >= html_main._PASSAGE for k, _ in found)
+        for b, (kind, text) in enumerate(found):
+            mine = [j for j, (_, of) in enumerate(tokens) if of == b]
+            if kind == html_main._PASSAGE or kind == html_main._LINKS and not menu.issuperset(mine):
+                kept.append(text)
+            elif kind == html_main._FREE and not in_main and not across.issuperset(mine):
+                kept.append(" ".join(t for t, j in zip(text.split(), mine) if j not in inside))
+        expected[i] = (" ".join(x for x in kept if x), len(across))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for chunk_bytes, bucket_bytes in ((100, 500), (1 << 20, 1 << 20)):
+        got = html_main.main_text(df, length=length, chunk_bytes=chunk_bytes, bucket_bytes=bucket_bytes).collect()
+        assert {r.page_id: (r.text, r.n_repeated) for r in got} == expected and len(got) == len(rows)
+
+
 def test_blocks_in_time_linear_in_the_tags():
     import time
     begin, n = time.time(), 20_000
